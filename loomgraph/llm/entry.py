@@ -26,9 +26,24 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_tables import id_width, read_tables, write_tables
+
+    path = tokenizer_path()
+    manifest = write_tables(table(spark, sf_dir, "documents"), path, end_id=1)
+    return read_tables(manifest, id_width(path, 1)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op3_divergence_rules": op3_divergence_rules,
+    "op7_token_tables": op7_token_tables,
 }
 
 ORACLES: dict[str, str] = {}
