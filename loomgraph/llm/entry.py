@@ -49,11 +49,19 @@ def op6_columnar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns)).withColumnRenamed("conv", "conv_id")
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"), least=10)
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op3_divergence_rules": op3_divergence_rules,
     "op6_columnar_chat": op6_columnar_chat,
     "op7_token_tables": op7_token_tables,
+    "op8_line_runs": op8_line_runs,
 }
 
 ORACLES: dict[str, str] = {}
