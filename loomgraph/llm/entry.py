@@ -56,12 +56,56 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+#: Weights by level of the tree: domain (sources by fives), language, source (all alike).
+MIX_WEIGHTS = ({"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, {})
+
+
+def mix_path() -> dict:
+    number = F.expr("coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as int), 0)")
+    return {"domain": F.concat(F.lit("d"), F.floor(number / 5).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op9_tree_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"), mix_path(), MIX_WEIGHTS, share=0.6, max_epochs=4, seed=17)
+    return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_budget").alias("leaf_budget"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op3_divergence_rules": op3_divergence_rules,
     "op6_columnar_chat": op6_columnar_chat,
     "op7_token_tables": op7_token_tables,
     "op8_line_runs": op8_line_runs,
+    "op9_tree_budgets": op9_tree_budgets,
 }
 
-ORACLES: dict[str, str] = {}
+_TOKENS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+
+
+def _mix_oracle(share: float, max_epochs: int, seed: int) -> str:
+    """The same budgets, level by level, and the same prefix by a plain running sum."""
+    case = lambda level, name: "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1.0 END" if MIX_WEIGHTS[level] else "1.0"
+    sql = f"""WITH d AS (SELECT doc_id, 'd' || CAST(coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS INT), 0) // 5 AS VARCHAR) AS domain,
+      coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST({_TOKENS} AS BIGINT) AS t FROM documents),
+    leaf AS (SELECT domain, lang, source, sum(t)::BIGINT AS tokens FROM d GROUP BY ALL)"""
+    parent = None
+    for level, cols in enumerate((["domain"], ["domain", "lang"], ["domain", "lang", "source"])):
+        keys, up = ", ".join(cols), ", ".join(cols[:-1])
+        over = f"PARTITION BY {up}" if up else ""
+        given = f"JOIN g{level - 1} USING ({up})" if up else f"CROSS JOIN (SELECT floor(sum(tokens) * {share}::DOUBLE)::DOUBLE AS given FROM leaf)"
+        sql += f""",
+    n{level} AS (SELECT {keys}, cap, given, {case(level, cols[-1])}::DOUBLE AS w FROM (SELECT {keys}, (sum(tokens) * {max_epochs})::DOUBLE AS cap FROM leaf GROUP BY ALL) {given}),
+    r{level} AS (SELECT *, sum(cap) OVER u AS cu, sum(w) OVER u AS wu, sum(w) OVER p AS wa FROM n{level} WINDOW p AS ({over}), u AS ({over} ORDER BY cap / w, {cols[-1]} ROWS UNBOUNDED PRECEDING)),
+    f{level} AS (SELECT *, cu + cap / w * (wa - wu) <= given AS is_full FROM r{level}),
+    s{level} AS (SELECT *, sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({over}) AS cf, sum(CASE WHEN is_full THEN w ELSE 0 END) OVER ({over}) AS wf FROM f{level}),
+    g{level} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE (given - cf) / (wa - wf) * w END AS given FROM s{level})"""
+    return sql + f""",
+    plan AS (SELECT domain, lang, source, tokens, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM (SELECT domain, lang, source, tokens, floor(given)::BIGINT AS budget FROM leaf JOIN g2 USING (domain, lang, source))),
+    o AS (SELECT d.*, budget, whole, budget - whole * tokens AS rest, ('0x' || substr(md5('{seed}|' || whole || '|' || doc_id), 1, 15))::BIGINT AS h FROM d JOIN plan USING (domain, lang, source)),
+    k AS (SELECT *, whole + CASE WHEN sum(t) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS taken FROM o)
+    SELECT doc_id, domain, lang, source, CAST(unnest(range(taken)) AS INT) AS epoch, t AS n_tokens, budget AS leaf_budget FROM k"""
+
+
+ORACLES: dict[str, str] = {"op9_tree_budgets": _mix_oracle(0.6, 4, 17)}
