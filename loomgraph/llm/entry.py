@@ -72,6 +72,13 @@ def op9_tree_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_budget").alias("leaf_budget"))
 
 
+def op10_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op3_divergence_rules": op3_divergence_rules,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_tables": op7_token_tables,
     "op8_line_runs": op8_line_runs,
     "op9_tree_budgets": op9_tree_budgets,
+    "op10_seed_and_align": op10_seed_and_align,
 }
 
 _TOKENS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
