@@ -40,6 +40,24 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tables(manifest, id_width(path, 1)).withColumnRenamed("id", "doc_id")
 
 
+def held_out() -> object:
+    """One document in five is never learnt from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    model = fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return score(docs, model)
+
+
+def op5_restored_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity_scores(spark, docs, sf_dir)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_columnar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_conversations
 
@@ -82,6 +100,7 @@ def op10_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op3_divergence_rules": op3_divergence_rules,
+    "op5_restored_toxicity": op5_restored_toxicity,
     "op6_columnar_chat": op6_columnar_chat,
     "op7_token_tables": op7_token_tables,
     "op8_line_runs": op8_line_runs,
