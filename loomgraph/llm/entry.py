@@ -19,6 +19,13 @@ def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    out = jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
+    return out.withColumnsRenamed({"id": "doc_id", "component": "component_id"})
+
+
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -99,6 +106,7 @@ def op10_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
+    "op2_token_group_join": op2_token_group_join,
     "op3_divergence_rules": op3_divergence_rules,
     "op5_restored_toxicity": op5_restored_toxicity,
     "op6_columnar_chat": op6_columnar_chat,

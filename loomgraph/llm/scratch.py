@@ -8,6 +8,7 @@ because executors could not see a machine-local folder.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,15 +33,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs a reread, never a recomputation.
+    ``release`` lets the driver forget earlier jobs' shuffle files at once, not
+    when it happens to collect garbage; for stages that shuffle much.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_tree(spark: SparkSession, path: str) -> None:
