@@ -47,6 +47,12 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tables(manifest, id_width(path, 1)).withColumnRenamed("id", "doc_id")
 
 
+def op4_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200).withColumnRenamed("id", "doc_id")
+
+
 def held_out() -> object:
     """One document in five is never learnt from."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op2_token_group_join": op2_token_group_join,
     "op3_divergence_rules": op3_divergence_rules,
+    "op4_suffix_runs": op4_suffix_runs,
     "op5_restored_toxicity": op5_restored_toxicity,
     "op6_columnar_chat": op6_columnar_chat,
     "op7_token_tables": op7_token_tables,
