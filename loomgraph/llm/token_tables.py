@@ -8,7 +8,7 @@ lists count, so a lost or repeated task leaves no trace in the result.
 
 Tokenizing is by the given tokenizer.  As its normalizer and splitter never join
 characters across a space or line feed, equal pieces between those have equal IDs
-wherever they stand: a worker keeps the IDs of the pieces that it has met (up to
+wherever they stand: a worker keeps the IDs of the pieces that it has met (some
 ``MEMO`` of them) and encodes only new ones.  ``tests/llm`` holds this against
 encoding whole texts.
 
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from . import sstable
 from .scratch import fresh_path, stage
 
-MEMO = 600_000
+MEMO, MEMO_BASES, SEGMENT = 700_000, 1_400_000, 6_000_000
 _LONGEST = 48
-_pieces: dict[tuple[str, int], dict[str, bytes]] = {}
+_pieces: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 @lru_cache(maxsize=2)
@@ -52,22 +52,30 @@ def id_width(path: str, end_id: int) -> int:
     return 2 if max(_tokenizer(path).get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
 
 
-def encode_texts(texts: list[str], path: str, width: int) -> Iterator[bytes]:
-    """Little-endian IDs of each text, without special tokens added."""
-    known = _pieces.setdefault((path, width), {})
-    kind = np.dtype(f"<u{width}")
+def _segments(text: str) -> Iterator[str]:
+    """The text in parts of about ``SEGMENT`` characters, cut at spaces or line feeds."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = at + SEGMENT
+        cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+        if cut < 0:
+            cut = min((x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+def _learn(new: list[str], known: dict[str, bytes], path: str, width: int) -> None:
+    """Encode strings and remember their IDs."""
     tok = _tokenizer(path)
-    special = [x.content for x in tok.get_added_tokens_decoder().values()]
-    mark, mark_id = max(((x.content, i) for i, x in tok.get_added_tokens_decoder().items()), key=lambda x: x[1], default=("", -1))
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*split).difference(known)
-    if len(known) + len(new) > MEMO:
-        known.clear()
-        new = set().union(*split)
+    kind = np.dtype(f"<u{width}")
+    added = tok.get_added_tokens_decoder()
+    special = [x.content for x in added.values()]
+    mark, mark_id = max(((x.content, i) for i, x in added.items()), key=lambda x: x[1], default=("", -1))
     plain, odd = [], []
     for p in new:
         (odd if not mark or len(p) > 2000 or "<" in p and any(s in p for s in special) else plain).append(p)
-    # Many short pieces in one call: a special token stands between them, which always ends a piece.
+    # Many short strings in one call: a special token stands between them, which always ends a piece.
     chunks = [plain[i : i + 400] for i in range(0, len(plain), 400)]
     for chunk, got in zip(chunks, tok.encode_batch_fast([mark.join(c) for c in chunks], add_special_tokens=False) if chunks else (), strict=True):
         ids = np.array(got.ids, np.int64)
@@ -77,11 +85,75 @@ def encode_texts(texts: list[str], path: str, width: int) -> Iterator[bytes]:
         known.update((p, data[a:b]) for p, a, b in zip(chunk, starts, [*(cuts * width).tolist(), len(data)], strict=True))
     for p in odd:
         known[p] = np.array(tok.encode(p, add_special_tokens=False).ids, kind).tobytes()
-    get = known.__getitem__
-    for words in split:
-        yield b"".join(map(get, words))
-    for p in [p for p in new if len(p) > _LONGEST]:  # long pieces would fill the memory and seldom come again
-        del known[p]
+
+
+def encode_texts(texts: list[str], path: str, width: int, folded: bool) -> list[bytes]:
+    """Little-endian IDs of each text, without special tokens added.
+
+    ``folded``: the tokenizer lowers case and splits letters from marks, so a word
+    of Latin letters with full stops or commas after it has its letters' IDs, then theirs.
+    """
+    known, whole = _pieces.setdefault((path, width), ({}, {}))
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    pieces = set().union(*split)
+    fresh = pieces.difference(whole)
+    if len(whole) + len(fresh) > MEMO:
+        whole.clear()
+        fresh = pieces
+    bases, marks = [], []
+    for p in fresh:
+        b, m = p, ""
+        if folded:
+            if p[-1:] in (".", ","):
+                b = p.rstrip(".,")
+            if b.isalpha() and (b.isascii() or max(b) <= "\xff"):
+                m = p[len(b) :]
+                b = b.lower()
+            else:
+                b = p
+        bases.append(b)
+        marks.append(m)
+    need = {*bases, *marks}
+    new = need.difference(known)
+    if len(known) + len(new) > MEMO_BASES:
+        known.clear()
+        new = need
+    _learn(list(new), known, path, width)
+    whole.update((p, known[b] + known[m] if m else known[b]) for p, b, m in zip(fresh, bases, marks, strict=True))
+    get = whole.__getitem__
+    out = [b"".join(map(get, words)) for words in split]
+    for store, of in ((known, new), (whole, fresh)):  # long strings would fill the memory and seldom come again
+        for p in [p for p in of if len(p) > _LONGEST]:
+            del store[p]
+    return out
+
+
+@lru_cache(maxsize=2)
+def _folds(path: str) -> bool:
+    """Whether the tokenizer lowers case and its splitter takes letters by themselves."""
+    import json
+
+    spec = json.loads(_tokenizer(path).to_str())
+    lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
+    probe = _tokenizer(path).encode("Word.,", add_special_tokens=False).ids
+    apart = [i for x in ("word", ".,") for i in _tokenizer(path).encode(x, add_special_tokens=False).ids]
+    return lowers and "[\\p{L}]+" in (json.loads(json.dumps(spec["pre_tokenizer"])).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "") and probe == apart
+
+
+def encode_all(texts: list[str], path: str, width: int) -> Iterator[bytes]:
+    """``encode_texts`` over as many texts at a time as memory should hold."""
+    i = 0
+    while i < len(texts):
+        if len(texts[i]) > SEGMENT:
+            yield b"".join(encode_texts([s], path, width, _folds(path))[0] for s in _segments(texts[i]))
+            i += 1
+            continue
+        j, size = i, 0
+        while j < len(texts) and size + len(texts[j]) <= SEGMENT:
+            size += len(texts[j])
+            j += 1
+        yield from encode_texts(texts[i:j], path, width, _folds(path))
+        i = j
 
 
 def _open_fs(path: str):
@@ -110,7 +182,7 @@ def write_tables(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             table = sstable.Writer(out)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for i, data in zip(ids, encode_texts(texts, tokenizer, width), strict=True):
+                for i, data in zip(ids, encode_all(texts, tokenizer, width), strict=True):
                     table.add(sstable.key_of(i), data + end, len(data) // width + 1)
             table.close()
             size = out.tell()
