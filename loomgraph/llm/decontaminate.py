@@ -11,8 +11,9 @@ aligned with the item by Smith-Waterman (match 1, other word -1, gap -1).  A pai
 is reported when its best score is at least ``limit`` times the item's words, so
 copies with replaced, dropped or added words count, and shared phrases do not.
 
-Nothing but the filter (of fixed size) is broadcast by hint; a larger benchmark
-fills it and makes more rows pass to the join, never another result.
+Texts are shuffled only if a second filter says that they may have a seed.  Nothing
+but the filters (of fixed size) goes to all tasks; a larger benchmark fills them and
+makes more rows pass to the joins, never another result.
 
 Edge cases: null texts have no words; items with fewer words than ``size`` cannot
 seed and are not found; documents with equal identifiers and different texts are
@@ -63,6 +64,31 @@ def _windows(ids: str, texts: str, size: int, bits: np.ndarray | None):
     return run
 
 
+def bit_filter(rows: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, of which those of the column ``h`` are set; built by an aggregate of 32,768-bit pieces."""
+    bit = F.col("h").bitwiseAND(FILTER_BITS - 1)  # a power of two, so the same bits as of the unsigned number
+    pieces = rows.select(bit.alias("b")).groupBy(F.expr("b div 32768").alias("n")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pieces.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
+        out[r.n * 4096 : r.n * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    p = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (bits[p >> 3] >> (p & 7) & 1).astype(bool)
+
+
+def _passing(bits: np.ndarray):
+    """Rows whose last column, a hash, passes a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64), bits)))
+
+    return run
+
+
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment score of two word-number arrays, and the region's span (begin, end) of it."""
     n = len(region)
@@ -103,7 +129,7 @@ def _regions(hits: list[tuple[int, int]], length: int, n_words: int) -> Iterator
     yield a, b
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 3, spread: int = 4, limit: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 4, spread: int = 3, limit: float = 0.5) -> DataFrame:
     """Rows (id, item, score, words, start, end): documents that hold a copy of a test item.
 
     ``score`` is the best alignment's, of at most ``words``; start and end are word positions in the document.
@@ -113,13 +139,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     tests = items.select(F.col(f"`{item_col}`").alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).filter("id is not null").withColumn("part", F.xxhash64("text"))
     of_items = stage(tests.mapInArrow(_windows("id", "text", size, None), f"id {item_type}, part long, h long, pos int"), "leak-items")
 
-    # The filter: FILTER_BITS bits, built by an aggregate of 32,768-bit pieces.
-    bit = F.col("h").bitwiseAND(FILTER_BITS - 1)  # a power of two, so the same bits as of the unsigned number
-    pieces = of_items.select(bit.alias("b")).groupBy(F.expr("b div 32768").alias("n")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pieces.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
-        bits[r.n * 4096 : r.n * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-
+    bits = bit_filter(of_items)
     passed = texts.select("id", "text", "part").mapInArrow(_windows("id", "text", size, bits), f"id {id_type}, part long, h long, pos int")
     hits = stage(passed.join(of_items.select("h").distinct(), "h", "left_semi"), "leak-hits")
     counts = hits.groupBy("h").agg(F.approx_count_distinct("id").alias("df"))
@@ -137,7 +157,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     tests_by = stage(tests.select(F.col("id").alias("item"), F.col("part").alias("item_part"), F.col("text").alias("item_text")).distinct(), "leak-tests")
     asked = pairs.join(tests_by, ["item", "item_part"]).groupBy("id", "part").agg(F.collect_list(F.struct("item", "item_text", "hits")).alias("asked"))  # at most the items that a text shares a window with
     asked = stage(asked, "leak-pairs")
-    rows = texts.join(asked, ["id", "part"]).select("id", "text", "asked")
+    # Only texts that can be asked for are shuffled, and by the same plan at every size.
+    wanted = bit_filter(asked.select(F.xxhash64("id", "part").alias("h")))
+    held = texts.withColumn("h", F.xxhash64("id", "part")).mapInArrow(_passing(wanted), f"id {id_type}, text string, part long, h long")
+    rows = held.join(asked.hint("merge"), ["id", "part"]).select("id", "text", "asked")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
