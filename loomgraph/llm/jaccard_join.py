@@ -11,15 +11,15 @@ whole sequence).  Documents link when the Jaccard similarity is at least
    ``percent`` % of its tokens are shared links with nothing.
 2. The others order their tokens by rarity.  Two linked sets share one of their
    first ``n - ceil(n * percent / 100) + 1`` tokens (the prefix), as any global order does it.
-3. Classes are dealt out by their smallest token hash and partitioned into groups of
-   similar ones: each joins the first group whose leader it links with, up to
-   ``GROUP`` members.  The groups are the columns of the matrix; each stores its
-   members' token union.
-4. For prefix tokens in groups of several clusters, every class outside the token's
-   commonest cluster is a query against all groups of other clusters with that
-   token.  A query opens a group only if its overlap with the group's union reaches
-   what a link needs, and stops there at the first member that it links with: a
-   group is connected, so that decides.
+3. Classes are dealt out by their smallest token hash and linked with a leader there,
+   in a few rounds with other hashes, leaders alone going on.  What that connects is
+   a cluster.  Parts of a large cluster, and classes of small ones with one hash, form
+   groups of some ``GROUP`` similar members: the columns of the matrix.  Each group
+   stores its members' token union.
+4. For prefix tokens in several clusters, every class outside the token's commonest
+   cluster is a query against all groups with that token and another cluster.  A query
+   opens a group only if its overlap with the group's union reaches what a link
+   needs; of each cluster there one link suffices.
 5. Links become components by star contraction.
 
 No pair of one cluster is looked at twice, so a group of many near copies costs its
@@ -45,10 +45,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stage
+from .scratch import release_memory, stage
 from .words import SPACE, mix, windows, word_hashes
 
-GROUP, LEADERS, FLUSH = 128, 64, 3_000_000
+GROUP, LEADERS, ROUNDS, FLUSH = 128, 32, 4, 1_500_000
 _U = np.uint64
 
 
@@ -92,7 +92,7 @@ def _deal(size: int, bits: int):
             if tokens:
                 h = np.concatenate(tokens)
                 counts = np.array([n for _, n in owners])
-                owner = np.repeat(np.arange(len(owners), dtype=np.int64), counts)
+                owner = np.repeat(np.arange(len(owners), dtype=np.int32), counts)
                 bucket = (h >> _U(64 - bits)).astype(np.uint16)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
@@ -128,6 +128,7 @@ def _deal(size: int, bits: int):
                     held = 0
                     yield flush()
         yield flush()
+        release_memory()
 
     return run
 
@@ -136,6 +137,12 @@ _SHARED = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("key", pa.int64())
 
 
 def _find_shared(t: pa.Table) -> pa.Table:
+    out = _shared_tokens(t)
+    release_memory()
+    return out
+
+
+def _shared_tokens(t: pa.Table) -> pa.Table:
     """One range: its documents' rows, and for each class the tokens that another class has too."""
     bucket = t.column("bucket")[0].as_py()
     kinds = t.column("kind").to_numpy()
@@ -149,8 +156,14 @@ def _find_shared(t: pa.Table) -> pa.Table:
     if len(rows):
         toks = np.concatenate([np.frombuffer(cols[0][i], np.uint32) for i in rows])
         keys = np.concatenate([np.repeat(np.frombuffer(cols[1][i], np.int64), np.frombuffer(zstandard.decompress(cols[2][i]), np.uint32)) for i in rows])
-        names, owner = np.unique(keys, return_inverse=True)
-        entry = np.unique(toks.astype(np.uint64) << _U(32) | owner.astype(np.uint64))
+        names = np.sort(keys)
+        names = names[np.concatenate(([True], names[1:] != names[:-1]))]
+        entry = toks.astype(np.uint64)
+        entry <<= _U(32)
+        entry |= np.searchsorted(names, keys).astype(np.uint64)
+        del toks, keys
+        entry.sort()
+        entry = entry[np.concatenate(([True], entry[1:] != entry[:-1]))]  # a set comes once from each task
         tok = (entry >> _U(32)).astype(np.uint32)
         firsts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         df = np.diff(np.append(firsts, len(tok)))
@@ -180,7 +193,7 @@ def _flat(column: pa.ListArray, field: str, kind: type) -> tuple[np.ndarray, np.
 
 
 def _order_tokens(percent: int):
-    """Rows of a class: its shared tokens from the rarest on, the prefix's length among them, its group hash."""
+    """Rows of a class: its shared tokens from the rarest on, the prefix's length among them, the share of the others in thousandths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,15 +204,15 @@ def _order_tokens(percent: int):
             df, _, _ = _flat(parts, "dfs", np.uint16)
             bucket = np.repeat(parts.flatten().field("bucket").to_numpy().astype(np.uint64), each)
             tok = bucket << _U(32) | tok
-            blobs, heads, gids = [], [], []
+            blobs, heads, ranks = [], [], []
             for n, a, b in zip(batch.column(batch.schema.get_field_index("n")).to_pylist(), at[:-1], at[1:], strict=True):
                 t = tok[a:b]
                 t = t[np.lexsort((t, df[a:b]))]
                 prefix = n - -(-n * percent // 100) + 1 - (n - len(t))
                 blobs.append(t.tobytes())
                 heads.append(max(0, prefix))
-                gids.append(int(mix(t).min()) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gids, pa.int64()), pa.array(heads, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "n", "gid", "head", "toks"])
+                ranks.append(1000 - 1000 * len(t) // n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranks, pa.int32()), pa.array(heads, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "n", "rank", "head", "toks"])
 
     return run
 
@@ -214,33 +227,40 @@ def _linked(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+def _min_hash(seed: int):
+    """Add a class's smallest token hash under a seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = mix(np.array([seed], np.uint64))
+        for batch in batches:
+            gids = [int(mix(np.frombuffer(b, np.uint64) ^ turn).min()) >> 1 for b in batch.column("toks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), *(batch.column(c) for c in ("key", "n", "rank", "toks"))], names=["gid", "key", "n", "rank", "toks"])
+
+    return run
+
+
 def _lead(percent: int):
-    """Deal classes of one hash into groups under leaders; rows come sorted by (gid, key)."""
+    """Link classes of one hash with a leader; rows come sorted by (gid, rank, key).
+
+    A class whose tokens are all shared leads before its edited copies do, so that
+    copies that link with their original, but not with each other, find it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid = None
-        leaders: list[list] = []  # key, size, tokens, group's name, members
+        leaders: list[tuple[int, int, np.ndarray]] = []
         for batch in batches:
-            out: dict[str, list] = {"key": [], "cluster": [], "grp": []}
+            out: dict[str, list] = {"key": [], "leader": [], "gid": []}
             for g, key, n, blob in zip(*(batch.column(c).to_pylist() for c in ("gid", "key", "n", "toks")), strict=True):
                 if g != gid:
                     gid, leaders = g, []
                 mine = np.sort(np.frombuffer(blob, np.uint64))
-                for x in leaders:
-                    if _linked(mine, n, x[2], x[1], percent):
-                        if x[4] >= GROUP:  # a new group of the same cluster
-                            x[3], x[4] = key, 0
-                        x[4] += 1
-                        out["key"].append(key)
-                        out["cluster"].append(x[0])
-                        out["grp"].append(x[3])
-                        break
-                else:
-                    if len(leaders) < LEADERS:
-                        leaders.append([key, n, mine, key, 1])
-                    out["key"].append(key)
-                    out["cluster"].append(key)
-                    out["grp"].append(key)
+                found = next((k for k, m, theirs in leaders if _linked(mine, n, theirs, m, percent)), key)
+                if found == key and len(leaders) < LEADERS:
+                    leaders.append((key, n, mine))
+                out["key"].append(key)
+                out["leader"].append(found)
+                out["gid"].append(g)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(c, pa.int64()) for c in out]))
 
     return run
@@ -251,28 +271,29 @@ def _open(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp = None
-        members: list[tuple[int, int, np.ndarray]] = []
+        members: list[tuple[int, int, int, np.ndarray]] = []
         union: np.ndarray | None = None
         for batch in batches:
             out: dict[str, list] = {"u": [], "v": []}
-            for g, kind, key, n, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "key", "n", "toks")), strict=True):
+            for g, kind, key, cluster, n, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "kind", "key", "cluster", "n", "toks")), strict=True):
                 if g != grp:
                     grp, members, union = g, [], None
                 mine = np.sort(np.frombuffer(blob, np.uint64))
                 if kind == 0:
-                    members.append((key, n, mine))
+                    members.append((key, cluster, n, mine))
                     continue
                 if union is None:
-                    union = np.unique(np.concatenate([m[2] for m in members])) if members else np.empty(0, _U)
+                    union = np.unique(np.concatenate([m[3] for m in members])) if members else np.empty(0, _U)
                 at = np.searchsorted(union, mine)
                 bound = int(np.count_nonzero(union[np.minimum(at, len(union) - 1)] == mine)) if len(union) else 0
                 if 100 * bound < percent * n:
                     continue  # no member can have enough of the query
-                for other, m, theirs in members:
-                    if _linked(mine, n, theirs, m, percent):
+                met = {cluster}
+                for other, its, m, theirs in members:
+                    if its not in met and _linked(mine, n, theirs, m, percent):
+                        met.add(its)  # a cluster is connected: one link decides
                         out["u"].append(key)
                         out["v"].append(other)
-                        break
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return run
@@ -297,23 +318,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = of_docs.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"))
     tokens = shared.filter("doc is null").groupBy("key").agg(F.sum("cnt").alias("cnt"), F.collect_list(F.struct("bucket", "toks", "dfs")).alias("parts"))  # a class's tokens: one document's
     alive = classes.join(tokens, "key").filter(100 * F.col("cnt") >= percent * F.col("n")).select("key", "n", "parts")
-    sets = stage(alive.mapInArrow(_order_tokens(percent), "key long, n long, gid long, head int, toks binary").filter("head > 0"), "jaccard-sets", release=True)
-
-    # A hot hash is dealt to several tasks; what they don't link there, the queries below do.
-    led = sets.select("gid", "key", "n", "toks").repartition(n_parts, "gid", F.pmod("key", F.lit(4))).sortWithinPartitions("gid", "key")
-    groups = stage(led.mapInArrow(_lead(percent), "key long, cluster long, grp long"), "jaccard-groups", release=True)
+    sets = stage(alive.mapInArrow(_order_tokens(percent), "key long, n long, rank int, head int, toks binary").filter("head > 0"), "jaccard-sets", release=True)
+
+    # Rounds of linking with leaders; only leaders take part in the next, under another hash.
+    edges, part, firsts = None, sets, None
+    for seed in range(ROUNDS):
+        met = part.mapInArrow(_min_hash(seed), "gid long, key long, n long, rank int, toks binary").repartition(n_parts, "gid").sortWithinPartitions("gid", "rank", "key")
+        led = stage(met.mapInArrow(_lead(percent), "key long, leader long, gid long"), "jaccard-led", release=True)
+        firsts = led.select("key", "gid") if firsts is None else firsts
+        new = led.filter("key != leader").select(F.col("key").alias("u"), F.col("leader").alias("v"))
+        edges = new if edges is None else edges.unionByName(new)
+        part = sets.join(led.filter("key = leader").select("key"), "key", "left_semi")
+    roots = components(edges)
+    clusters = stage(sets.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("cluster")), "jaccard-clusters")
+    # Groups of similar classes: parts of a large cluster, or classes of small clusters with one hash.
+    big = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= GROUP // 2).select("cluster", F.lit(True).alias("big"))
+    placed = clusters.join(big, "cluster", "left").join(firsts, "key").select("key", "cluster", F.when(F.col("big"), F.col("cluster")).otherwise(F.col("gid")).alias("near"))
+    many = placed.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    groups = stage(placed.join(many, "near").select("key", "cluster", F.xxhash64("near", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("grp")), "jaccard-groups")
 
     heads = sets.mapInArrow(_prefixes, "key long, tok long").join(groups, "key")
-    heads = stage(heads, "jaccard-heads")
     mixed = heads.groupBy("tok").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo < hi").select("tok")
-    heads = stage(heads.join(mixed, "tok"), "jaccard-mixed")
+    heads = stage(heads.join(mixed, "tok"), "jaccard-mixed", release=True)
     common = heads.groupBy("tok", "cluster").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("top"))
     asking = heads.join(common, "tok").filter("cluster != top").select("tok", "key", "cluster")
-    index = heads.select("tok", "grp", F.col("cluster").alias("other")).distinct()
-    asked = stage(asking.join(index, "tok").filter("cluster != other").select("key", "grp").distinct(), "jaccard-asked")
+    index = heads.groupBy("tok", "grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+    asked = stage(asking.join(index, "tok").filter("cluster != lo or cluster != hi").select("key", "cluster", "grp").distinct(), "jaccard-asked", release=True)
 
-    queries = asked.join(sets.select("key", "n", "toks"), "key").select("grp", F.lit(1).alias("kind"), "key", "n", "toks")
-    opened = asked.select("grp").distinct().join(groups, "grp").select("grp", "key").join(sets.select("key", "n", "toks"), "key").select("grp", F.lit(0).alias("kind"), "key", "n", "toks")
+    queries = asked.join(sets.select("key", "n", "toks"), "key").select("grp", F.lit(1).alias("kind"), "key", "cluster", "n", "toks")
+    opened = asked.select("grp").distinct().join(groups, "grp").select("grp", "key", "cluster").join(sets.select("key", "n", "toks"), "key").select("grp", F.lit(0).alias("kind"), "key", "cluster", "n", "toks")
     links = opened.unionByName(queries).repartition(n_parts, "grp").sortWithinPartitions("grp", "kind", "key").mapInArrow(_open(percent), "u long, v long")
 
     by_key = groups.select("key", "cluster")

@@ -8,10 +8,13 @@ because executors could not see a machine-local folder.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -51,6 +54,13 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give a worker's freed memory back to the system; workers are used again, and stages differ in what they need."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def drop_tree(spark: SparkSession, path: str) -> None:
     """Delete a path with the file system that holds it (not only a local one)."""
     jvm = spark.sparkContext._jvm
