@@ -311,10 +311,10 @@ def _(spark, sf):
 _Q10 = ", ".join(f"{i}/9.0" for i in range(10))
 
 
-@query("quantile_knots", f"SELECT unnest(range(10)) AS knot, round(unnest(quantile_cont(o_totalprice, [{_Q10}])), 4) AS at FROM orders")
+@query("quantile_knots", f"SELECT unnest(range(10)) AS knot, round(unnest(quantile_cont(o_totalprice, [{_Q10}])), 4) AS knot_at FROM orders")
 def _(spark, sf):
     k = _t(spark, sf, "orders").agg(F.percentile("o_totalprice", F.array(*(F.lit(i / 9.0) for i in range(10)))).alias("k"))
-    return k.select(F.posexplode("k").alias("knot", "at")).select(F.col("knot").cast("long").alias("knot"), _r("at", 4).alias("at"))
+    return k.select(F.posexplode("k").alias("knot", "at")).select(F.col("knot").cast("long").alias("knot"), _r("at", 4).alias("knot_at"))
 
 
 @query("spline_basis", f"""WITH {_SUP}, k AS (SELECT quantile_cont(v0, [{_Q10}]) AS k FROM m), c AS (SELECT unnest(range(10)) AS b, unnest(k) AS c FROM k),
@@ -328,9 +328,9 @@ def _(spark, sf):
     return rows.select("i", F.col("basis").cast("long").alias("basis"), _r("value").alias("value"))
 
 
-@query("lambda_grid", "SELECT i AS step, round(exp(ln(1e-4) * (1 - i / 24.0) + ln(1e4) * (i / 24.0)), 6) AS lambda FROM range(25) t(i)")
+@query("lambda_grid", "SELECT i AS step, round(exp(ln(1e-4) * (1 - i / 24.0) + ln(1e4) * (i / 24.0)), 6) AS smoothing FROM range(25) t(i)")
 def _(spark, sf):
-    return spark.range(1).select(F.posexplode(splines.lambda_grid_col()).alias("step", "l")).select(F.col("step").cast("long").alias("step"), _r("l").alias("lambda"))
+    return spark.range(1).select(F.posexplode(splines.lambda_grid_col()).alias("step", "l")).select(F.col("step").cast("long").alias("step"), _r("l").alias("smoothing"))
 
 
 @query("penalty_second_difference", "WITH d AS (SELECT r, c, CASE c - r WHEN 0 THEN 1 WHEN 1 THEN -2 WHEN 2 THEN 1 ELSE 0 END AS v FROM range(8) a(r), range(10) b(c)) SELECT x.c AS i, y.c AS j, sum(x.v * y.v)::DOUBLE AS value FROM d x JOIN d y ON x.r = y.r GROUP BY ALL")
