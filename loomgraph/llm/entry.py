@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -123,14 +125,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_seed_and_align": op10_seed_and_align,
 }
 
-_TOKENS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
-
 
 def _mix_oracle(share: float, max_epochs: int, seed: int) -> str:
     """The same budgets, level by level, and the same prefix by a plain running sum."""
     case = lambda level, name: "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items()) + " ELSE 1.0 END" if MIX_WEIGHTS[level] else "1.0"
     sql = f"""WITH d AS (SELECT doc_id, 'd' || CAST(coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS INT), 0) // 5 AS VARCHAR) AS domain,
-      coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST({_TOKENS} AS BIGINT) AS t FROM documents),
+      coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len({oracles.WORDS}) AS BIGINT) AS t FROM documents),
     leaf AS (SELECT domain, lang, source, sum(t)::BIGINT AS tokens FROM d GROUP BY ALL)"""
     parent = None
     for level, cols in enumerate((["domain"], ["domain", "lang"], ["domain", "lang", "source"])):
@@ -150,4 +150,11 @@ def _mix_oracle(share: float, max_epochs: int, seed: int) -> str:
     SELECT doc_id, domain, lang, source, CAST(unnest(range(taken)) AS INT) AS epoch, t AS n_tokens, budget AS leaf_budget FROM k"""
 
 
-ORACLES: dict[str, str] = {"op9_tree_budgets": _mix_oracle(0.6, 4, 17)}
+ORACLES: dict[str, str] = {
+    "op1_byte_shards": oracles.SHARDS,
+    "op2_token_group_join": oracles.JACCARD,
+    "op3_divergence_rules": oracles.QUALITY,
+    "op6_columnar_chat": oracles.CHAT,
+    "op8_line_runs": oracles.LINES,
+    "op9_tree_budgets": _mix_oracle(0.6, 4, 17),
+}
