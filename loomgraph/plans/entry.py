@@ -273,6 +273,24 @@ def _(spark, sf):
     return plan.join(p, "task_id").select("x", "y", _r("p", 8).alias("p"))
 
 
+@query("dcov_by_region")
+def _(spark, sf):
+    from ..functions.udfs import dcov_pvalue, hsic_pvalue
+
+    m = suppliers(spark, sf).join(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), "s_nationkey"), "i").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return m.groupBy("n_regionkey").agg(F.round(dcov_pvalue("v1", "v2"), 8).alias("dcov_p"), F.round(hsic_pvalue("v1", "v2"), 8).alias("hsic_p"))
+
+
+@query("combos_udtf", "WITH r AS (SELECT n_regionkey AS region, n_nationkey AS k FROM nation), c AS (SELECT a.region, a.k AS a, b.k AS b FROM r a JOIN r b ON a.region = b.region AND a.k < b.k) SELECT region, row_number() OVER (PARTITION BY region ORDER BY a, b) - 1 AS nth, a || '|' || b AS s_key FROM c")
+def _(spark, sf):
+    from ..functions.udfs import register
+
+    register(spark)
+    n = _t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list("n_nationkey").alias("k"))
+    out = spark.sql("SELECT region, nth, s FROM {n}, LATERAL combos(k, 2)", n=n)
+    return out.select("region", F.col("nth").cast("long").alias("nth"), layer.set_key(F.col("s")).alias("s_key"))
+
+
 # ---- Regression -----------------------------------------------------------------------------
 
 
