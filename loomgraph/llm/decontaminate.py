@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import release_memory, stage
 from .words import PUNCTUATION, SPACE, byte_table, windows, word_hashes
 
 SEPARATORS = SPACE + PUNCTUATION
@@ -47,6 +47,7 @@ def _windows(ids: str, texts: str, size: int, bits: np.ndarray | None):
     """Rows (id, part, h, pos) of the windows of each text that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for at in range(0, len(batch), 512):
                 b = batch.slice(at, 512)

@@ -71,6 +71,7 @@ def _deal(size: int, bits: int):
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         pack = zstandard.ZstdCompressor(level=1)
         ids: list[int] = []
         keys: list[int] = []

@@ -13,11 +13,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: By operator, how to drop what it keeps in a worker between tasks.
+CACHES: dict[str, Callable[[], object]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,8 +57,14 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release_memory() -> None:
-    """Give a worker's freed memory back to the system; workers are used again, and stages differ in what they need."""
+def release_memory(keep: str = "") -> None:
+    """Drop what other operators keep in this worker, and give freed memory back to the system.
+
+    Workers are used again by later stages, which need their memory for other things.
+    """
+    for name, clear in CACHES.items():
+        if name != keep:
+            clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sstable
-from .scratch import fresh_path, stage
+from .scratch import CACHES, fresh_path, release_memory, stage
 
-MEMO, MEMO_BASES, SEGMENT = 700_000, 1_400_000, 6_000_000
+MEMO, MEMO_BASES, SEGMENT = 500_000, 1_000_000, 4_000_000
 _LONGEST = 48
 _pieces: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
+CACHES["token_tables"] = lambda: (_pieces.clear(), _tokenizer.cache_clear())
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -174,6 +176,7 @@ def write_tables(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     end = end_id.to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory(keep="token_tables")
         fs, base = _open_fs(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.sst"

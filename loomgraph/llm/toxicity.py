@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import release_memory, stage
 from .words import PUNCTUATION, SPACE, byte_table
 
 # Letters that a sign can stand for.
@@ -56,6 +56,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of letter trigrams (0: not a letter a to z) over all texts, as a 32 x 32 x 32 array."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         total = np.zeros(CODES**3, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -234,6 +235,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             got = pa.array([model.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*names, out_col])
