@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import _passing, bit_filter
-from .scratch import stage
+from .scratch import release_memory, stage
 from .words import mix
 
 _U = np.uint64
@@ -104,6 +104,7 @@ def _deal_anchors(length: int, gram: int, bits: int):
     schema = pa.schema([("bucket", pa.int32()), ("toks", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         pack = zstandard.ZstdCompressor(level=1)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         met: set[int] = set()
@@ -433,6 +434,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = repeated_spans(rows.select("key", "text"), length=length, gram=gram)
     copies = stage(rows.filter(F.octet_length("text") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key", F.lit(True).alias("whole")), "suffix-copies")
 
+    # Of repeated texts all goes, so that no group of copies meets at its key.
+    spans = stage(spans.join(copies, "key", "left_anti"), "suffix-cuts")
     # A text travels only if spans are cut from it; the others need its digest alone.
     wanted = bit_filter(spans.select(F.xxhash64("key").alias("h")))
     hashed = rows.withColumn("h", F.xxhash64("key"))
@@ -443,5 +446,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         "id", "n_bytes", F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("whole"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"), F.when(F.col("whole"), F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("sha")).alias("kept_sha256")
     )
     texts = hashed.select("id", "text", "key", "h").mapInArrow(_passing(wanted), f"id {id_type}, text string, key long, h long")
-    cut = texts.join(spans.hint("merge"), "key").join(copies, "key", "left_anti").select("id", "text", "places", F.octet_length("text").cast("long").alias("n_bytes"))
+    cut = texts.join(spans.hint("merge"), "key").select("id", "text", "places", F.octet_length("text").cast("long").alias("n_bytes"))
     return uncut.unionByName(cut.mapInArrow(_cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
