@@ -60,12 +60,12 @@ def budgets(leaves: DataFrame, path: Sequence[str], weights: Sequence[Mapping[st
         family = Window.partitionBy(*path[: depth + 1])
         tree = tree.withColumn(f"cap{depth}", F.sum("tokens").over(family) * max_epochs)
     # One row a leaf from here on; each level looks at one row a node.
-    top = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")).select(F.floor(total).cast("double").alias("given"))
+    given = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens")).select(F.floor(total).cast("double").alias("g")).first().g
     level: DataFrame | None = None
     for depth in range(len(path)):
         nodes = tree.groupBy(*path[: depth + 1]).agg(F.first(f"cap{depth}").cast("double").alias("cap"))
         nodes = nodes.withColumn("w", F.greatest(_weight(depth, F.col(path[depth]), weights), F.lit(0.0)))
-        nodes = nodes.crossJoin(F.broadcast(top)) if level is None else nodes.join(level, list(path[:depth]))  # one row against the top nodes
+        nodes = nodes.withColumn("given", F.lit(given)) if level is None else nodes.join(level, list(path[:depth]))
         order = Window.partitionBy(*path[:depth]) if depth else whole
         upto = order.orderBy("ratio", path[depth]).rowsBetween(Window.unboundedPreceding, 0)
         live = F.when(F.col("w") > 0, F.col("cap")).otherwise(0.0)
