@@ -356,7 +356,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     label = groups.join(roots, F.col("cluster") == F.col("node"), "left").select("key", F.coalesce("root", "cluster").alias("label"))
     named = of_docs.join(label, "key", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "key")))
     named = stage(named, "jaccard-named")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("doc").alias("component"))
+    # Staged, so that the join below reads two plain exchanges, of which Spark can split a hot one.
+    least = stage(named.filter("label is not null").groupBy("label").agg(F.min("doc").alias("component")), "jaccard-least")
     return named.join(least, "label", "left").select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
