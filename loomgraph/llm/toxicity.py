@@ -224,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             f = np.array([_word_features(restorer.words(t), weights) for t in batch.column(0).to_pylist()]).reshape(len(batch), 4)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, i]) for i in range(4))], names=["y", "a", "b", "c", "d"])
 
-    made = np.array([tuple(r) for r in rows.select("text", "y").mapInArrow(measure, "y int, a double, b double, c double, d double").orderBy("y", "a", "b", "c", "d").collect()])  # at most `sample` rows
+    made = np.array([tuple(r) for r in rows.select("text", "y").mapInArrow(measure, "y int, a double, b double, c double, d double").collect()])  # at most `sample` rows
+    made = made[np.lexsort(made.T)]  # sums in one order, however rows were dealt out
     return ToxicityModel(restorer, weights, fit_logistic(made[:, 1:], made[:, 0]))
 
 
