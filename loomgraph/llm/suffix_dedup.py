@@ -113,7 +113,7 @@ def _deal_anchors(length: int, gram: int, bits: int):
         def flush() -> pa.RecordBatch:
             rows: dict[str, list] = {k: [] for k in schema.names}
             if found:
-                h = np.concatenate([x[2] for x in found])
+                h = mix(~np.concatenate([x[2] for x in found]))  # anchors have small hashes; these are spread evenly
                 at = np.concatenate([x[1] for x in found])
                 owner = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
                 names = np.array([x[0] for x in found], np.int64)
