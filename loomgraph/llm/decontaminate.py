@@ -1,28 +1,33 @@
 r"""Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Words are maximal runs without white space and ASCII punctuation, in lower
-case.  Every window of ``size`` words of a document that passes a bounded bit
-filter of the test items' windows is a possible hit; a join with the items' windows
-settles which are.  How many documents hold a window is counted over all
-documents; of each ``spread`` neighbouring windows of an item the rarest is a seed,
-so that every stretch of ``spread + size - 1`` shared words has one, however often
-the passage was copied.  The regions of a document around an item's seeds are
-aligned with the item by Smith-Waterman (match 1, other word -1, gap -1).  A pair
-is reported when its best score is at least ``limit`` times the item's words, so
-copies with replaced, dropped or added words count, and shared phrases do not.
+case.  A document and an item are a pair when the best score of their local
+alignment (Smith-Waterman: match 1, other word -1, gap -1) is at least ``limit``
+times the item's words, so copies with replaced, dropped or added words count, and
+shared phrases do not.  No such pair is missed by the seeds: an alignment of score s
+with m equal words in k runs has k - 1 edits at least, so s <= m - k + 1, and m - k
+neighbouring word pairs of the item are intact in it, s - 1 at least.  Of an item's w
+word pairs, at most w - (s - 1) can be broken; the w - (s - 1) + ``least`` rarest are
+its seeds, and a document that holds fewer than ``least`` of them is no pair.  How
+rare a word pair is, is counted on a sample of the texts: it decides what a search
+costs, never what it finds.  Windows of a document that pass a bounded bit filter of
+the seeds are possible hits; a join with the seeds settles which are.  The regions of
+a document around an item's seeds are aligned with it.
 
 Texts are shuffled only if a second filter says that they may have a seed.  Nothing
 but the filters (of fixed size) goes to all tasks; a larger benchmark fills them and
 makes more rows pass to the joins, never another result.
 
-Edge cases: null texts have no words; items with fewer words than ``size`` cannot
-seed and are not found; documents with equal identifiers and different texts are
+Edge cases: null texts have no words; items of one word are not found, of two words
+only where both stand together (half of them is any text with one of the words);
+documents with equal identifiers and different texts are
 looked at one by one and reported once for each item, with the best score; repeated
 rows are reported once; null identifiers are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,8 @@ from .words import PUNCTUATION, SPACE, byte_table, windows, word_hashes
 
 SEPARATORS = SPACE + PUNCTUATION
 FILTER_BITS = 1 << 22
+SIZE = 2  # words of a seed; the bound on intact windows above holds for two
+SAMPLE = 8  # one text in so many counts for rarity
 _FOLD = byte_table(SEPARATORS)
 
 
@@ -43,24 +50,41 @@ def fold(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def _windows(ids: str, texts: str, size: int, bits: np.ndarray | None):
-    """Rows (id, part, h, pos) of the windows of each text that pass the filter."""
+def _window_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of some texts: number of the text, hash and word position."""
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    words, bounds = word_hashes(raw, SEPARATORS)
+    text = np.repeat(np.arange(len(raw)), np.diff(bounds))
+    h = windows(words, SIZE)
+    k = np.flatnonzero(text[: len(h)] == text[SIZE - 1 :]) if len(h) else np.empty(0, np.int64)
+    return text[k], h[k], k - bounds[text[k]]
+
+
+def _windows(bits: np.ndarray | None):
+    """Rows (id, part, h, pos) of the windows of each text (id, text, part) that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
             for at in range(0, len(batch), 512):
                 b = batch.slice(at, 512)
-                raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-                words, bounds = word_hashes(raw, SEPARATORS)
-                h = windows(words, size)
-                text = np.repeat(np.arange(len(raw)), np.diff(bounds))
-                whole = text[: len(h)] == text[size - 1 :] if len(h) else np.empty(0, bool)
-                if bits is not None and len(h):
-                    p = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-                    whole &= (bits[p >> 3] >> (p & 7) & 1).astype(bool)
-                k = np.flatnonzero(whole)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[k])), b.column(2).take(pa.array(text[k])), pa.array(h[k].view(np.int64)), pa.array((k - bounds[text[k]]).astype(np.int32))], names=["id", "part", "h", "pos"])
+                text, h, pos = _window_hashes(b.column(1).to_pylist())
+                k = np.flatnonzero(passes(h, bits)) if bits is not None else np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[k])), b.column(2).take(pa.array(text[k])), pa.array(h[k].view(np.int64)), pa.array(pos[k].astype(np.int32))], names=["id", "part", "h", "pos"])
+
+    return run
+
+
+def _window_counts(bits: np.ndarray):
+    """Rows (h, n): how often each window that passes the filter occurs in some texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                _, h, _ = _window_hashes(batch.column(0).slice(at, 512).to_pylist())
+                values, n = np.unique(h[passes(h, bits)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return run
 
@@ -90,6 +114,11 @@ def _passing(bits: np.ndarray):
     return run
 
 
+def needed(n_words: int, limit: float) -> int:
+    """The least score that is ``limit`` times an item's words."""
+    return math.ceil(limit * n_words)
+
+
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment score of two word-number arrays, and the region's span (begin, end) of it."""
     n = len(region)
@@ -117,9 +146,9 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _regions(hits: list[tuple[int, int]], length: int, n_words: int) -> Iterator[tuple[int, int]]:
-    """Spans of the document around seeds: the item's length to each side, joined where they meet."""
-    spans = sorted((max(0, d - i - length // 2), min(n_words, d - i + length + length // 2 + 1)) for d, i in hits)
+def _regions(shifts: list[int], length: int, reach: int, n_words: int) -> Iterator[tuple[int, int]]:
+    """Spans of the document around seeds (document's less item's position): the item and ``reach`` gaps to each side, joined where they meet."""
+    spans = sorted((max(0, d - reach), min(n_words, d + length + reach + 1)) for d in shifts)
     a, b = spans[0]
     for c, d in spans[1:]:
         if c > b:
@@ -130,33 +159,32 @@ def _regions(hits: list[tuple[int, int]], length: int, n_words: int) -> Iterator
     yield a, b
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 4, spread: int = 3, limit: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = 2, limit: float = 0.5) -> DataFrame:
     """Rows (id, item, score, words, start, end): documents that hold a copy of a test item.
 
     ``score`` is the best alignment's, of at most ``words``; start and end are word positions in the document.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("id is not null").withColumn("part", F.xxhash64("text"))
-    tests = items.select(F.col(f"`{item_col}`").alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).filter("id is not null").withColumn("part", F.xxhash64("text"))
-    of_items = stage(tests.mapInArrow(_windows("id", "text", size, None), f"id {item_type}, part long, h long, pos int"), "leak-items")
-
-    bits = bit_filter(of_items)
-    passed = texts.select("id", "text", "part").mapInArrow(_windows("id", "text", size, bits), f"id {id_type}, part long, h long, pos int")
-    hits = stage(passed.join(of_items.select("h").distinct(), "h", "left_semi"), "leak-hits")
-    counts = hits.groupBy("h").agg(F.approx_count_distinct("id").alias("df"))
+    tests = items.select(F.col(f"`{item_col}`").alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).filter("id is not null").distinct().withColumn("part", F.xxhash64("text"))
+    of_items = stage(tests.mapInArrow(_windows(None), f"id {item_type}, part long, h long, pos int"), "leak-items")
+    sample = texts.filter(F.pmod(F.xxhash64("part", F.lit(11)), F.lit(SAMPLE)) == 0)
+    counts = sample.select("text").mapInArrow(_window_counts(bit_filter(of_items)), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
 
     def seeds(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("pos").to_numpy(), kind="stable")
-        pos, df = t.column("pos").to_numpy()[order], t.column("df").to_numpy()[order]
-        chosen = {int(a + np.argmin(df[a : a + spread])) for a in range(max(1, len(df) - spread + 1))}
-        keep = order[sorted(chosen)]
-        return t.select(["id", "part", "h", "pos"]).take(pa.array(keep))
-
-    rare = of_items.join(counts, "h", "left").select("id", "part", "h", "pos", F.coalesce("df", F.lit(0)).alias("df")).groupBy("id", "part").applyInArrow(seeds, f"id {item_type}, part long, h long, pos int")
-    rare = stage(rare.select(F.col("id").alias("item"), F.col("part").alias("item_part"), "h", F.col("pos").alias("item_pos")), "leak-seeds")
-    pairs = hits.join(rare, "h").groupBy("id", "part", "item", "item_part").agg(F.collect_set(F.struct("pos", "item_pos")).alias("hits"))
-    tests_by = stage(tests.select(F.col("id").alias("item"), F.col("part").alias("item_part"), F.col("text").alias("item_text")).distinct(), "leak-tests")
-    asked = pairs.join(tests_by, ["item", "item_part"]).groupBy("id", "part").agg(F.collect_list(F.struct("item", "item_text", "hits")).alias("asked"))  # at most the items that a text shares a window with
+        n = len(t)
+        intact = max(1, needed(n + SIZE - 1, limit) - 1)
+        asks = min(least, intact)
+        order = np.lexsort((t.column("pos").to_numpy(), t.column("df").to_numpy()))[: n - intact + asks]
+        return t.select(["id", "part", "h", "pos"]).take(pa.array(order)).append_column("asks", pa.array(np.full(len(order), asks, np.int32)))
+
+    rare = of_items.join(counts, "h", "left").select("id", "part", "h", "pos", F.coalesce("df", F.lit(0)).alias("df")).groupBy("id", "part").applyInArrow(seeds, f"id {item_type}, part long, h long, pos int, asks int")
+    rare = stage(rare.select(F.col("id").alias("item"), F.col("part").alias("item_part"), "h", F.col("pos").alias("item_pos"), "asks"), "leak-seeds")
+    hits = stage(texts.select("id", "text", "part").mapInArrow(_windows(bit_filter(rare)), f"id {id_type}, part long, h long, pos int"), "leak-hits")
+    held = hits.join(rare, "h").groupBy("id", "part", "item", "item_part").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"), F.collect_set("item_pos").alias("at"), F.first("asks").alias("asks"))
+    pairs = held.filter(F.size("at") >= F.col("asks")).drop("at", "asks")
+    tests_by = stage(tests.select(F.col("id").alias("item"), F.col("part").alias("item_part"), F.col("text").alias("item_text")), "leak-tests")
+    asked = pairs.join(tests_by, ["item", "item_part"]).groupBy("id", "part").agg(F.collect_list(F.struct("item", "item_text", "shifts")).alias("asked"))  # at most the items that a text shares seeds with
     asked = stage(asked, "leak-pairs")
     # Only texts that can be asked for are shuffled, and by the same plan at every size.
     wanted = bit_filter(asked.select(F.xxhash64("id", "part").alias("h")))
@@ -173,7 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
                     number = {w: k for k, w in enumerate(dict.fromkeys(test))}
                     item = np.array([number[w] for w in test])
                     best = (0, 0, 0)
-                    for a, b in _regions([(h["pos"], h["item_pos"]) for h in ask["hits"]], len(test), len(words)):
+                    for a, b in _regions(ask["shifts"], len(test), len(test) - needed(len(test), limit), len(words)):
                         region = np.array([number.get(w, -1) for w in words[a:b]])
                         if np.count_nonzero(region >= 0) < limit * len(test):
                             continue  # fewer equal words than the score needs

@@ -388,3 +388,33 @@ def test_decontamination(spark, empty):
     assert {(r.id, r.item) for r in got} == want and len(got) == len(want)
     assert decontaminate.contaminated(docs, tests.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), tests).count() == 0
+
+
+def test_decontamination_misses_no_edited_copy(spark):
+    """Copies with an edit every two to seven words, of all kinds, against alignments of all pairs; no other text holds what the edits made."""
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(500)]
+    prose = lambda k: rng.choice(vocab, k).tolist()
+    items = [prose(30), *(prose(int(rng.integers(3, 36))) for _ in range(11)), ["on", "on"] * 8]
+    rows = []
+    for i in range(240):
+        w = list(items[i % 13])
+        every, kind = 2 + i % 6, i // 6 % 4
+        for j in reversed(range(every, len(w), every + (kind != 2))):
+            new = f"new{i}x{j}"
+            w[j : j + 1] = ([new], [], [new, w[j]], ([new], [], [new, w[j]])[int(rng.integers(3))])[kind]
+        rows.append((i, " ".join([*prose(20), *w, *prose(20)])))
+    w = list(items[0])
+    w[5::6] = [f"alone{j}" for j in range(5)]  # runs of five words: 25 - 4 edits
+    rows.append((900, " ".join(w)))
+    want = {}
+    for i, text in rows:
+        for k, item in enumerate(items):
+            number = {v: n for n, v in enumerate(dict.fromkeys(item))}
+            s = decontaminate.align(np.array([number[v] for v in item]), np.array([number.get(v, -1) for v in text.split()]))[0]
+            if s >= 0.5 * len(item):
+                want[i, k] = s
+    assert want[900, 0] == 21 and 100 < len(want) < 240
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.id, r.item): r.score for r in got} == want
