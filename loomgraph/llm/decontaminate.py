@@ -18,9 +18,8 @@ Texts are shuffled only if a second filter says that they may have a seed.  Noth
 but the filters (of fixed size) goes to all tasks; a larger benchmark fills them and
 makes more rows pass to the joins, never another result.
 
-Edge cases: null texts have no words; items of one word are not found, of two words
-only where both stand together (half of them is any text with one of the words);
-documents with equal identifiers and different texts are
+Edge cases: null texts have no words; items of one or two words are found where they
+stand whole (half of two words is any text with one of them); documents with equal identifiers and different texts are
 looked at one by one and reported once for each item, with the best score; repeated
 rows are reported once; null identifiers are left out; extra columns are ignored.
 """
@@ -50,17 +49,24 @@ def fold(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def _window_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of some texts: number of the text, hash and word position."""
+def _window_hashes(texts: list[str | None], single: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of some texts: number of the text, hash and word position.
+
+    Single words are windows, too: "all", those that are a "whole" text, or "no" one.
+    """
     raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     words, bounds = word_hashes(raw, SEPARATORS)
     text = np.repeat(np.arange(len(raw)), np.diff(bounds))
     h = windows(words, SIZE)
     k = np.flatnonzero(text[: len(h)] == text[SIZE - 1 :]) if len(h) else np.empty(0, np.int64)
-    return text[k], h[k], k - bounds[text[k]]
+    h = h[k]
+    if single != "no":
+        one = np.flatnonzero(np.diff(bounds)[text] == 1) if single == "whole" else np.arange(len(words))
+        k, h = np.concatenate((k, one)), np.concatenate((h, windows(words[one], 1)))
+    return text[k], h, k - bounds[text[k]]
 
 
-def _windows(bits: np.ndarray | None):
+def _windows(bits: np.ndarray | None, single: str):
     """Rows (id, part, h, pos) of the windows of each text (id, text, part) that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,21 +74,21 @@ def _windows(bits: np.ndarray | None):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 b = batch.slice(at, 512)
-                text, h, pos = _window_hashes(b.column(1).to_pylist())
+                text, h, pos = _window_hashes(b.column(1).to_pylist(), single)
                 k = np.flatnonzero(passes(h, bits)) if bits is not None else np.arange(len(h))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text[k])), b.column(2).take(pa.array(text[k])), pa.array(h[k].view(np.int64)), pa.array(pos[k].astype(np.int32))], names=["id", "part", "h", "pos"])
 
     return run
 
 
-def _window_counts(bits: np.ndarray):
+def _window_counts(bits: np.ndarray, single: str):
     """Rows (h, n): how often each window that passes the filter occurs in some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
             for at in range(0, len(batch), 512):
-                _, h, _ = _window_hashes(batch.column(0).slice(at, 512).to_pylist())
+                _, h, _ = _window_hashes(batch.column(0).slice(at, 512).to_pylist(), single)
                 values, n = np.unique(h[passes(h, bits)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -167,9 +173,11 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("id is not null").withColumn("part", F.xxhash64("text"))
     tests = items.select(F.col(f"`{item_col}`").alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).filter("id is not null").distinct().withColumn("part", F.xxhash64("text"))
-    of_items = stage(tests.mapInArrow(_windows(None), f"id {item_type}, part long, h long, pos int"), "leak-items")
+    of_items = stage(tests.mapInArrow(_windows(None, "whole"), f"id {item_type}, part long, h long, pos int"), "leak-items")
+    lone = of_items.groupBy("id", "part").count().filter("count = 1")  # items of one or two words
+    single = "no" if lone.isEmpty() else "all"
     sample = texts.filter(F.pmod(F.xxhash64("part", F.lit(11)), F.lit(SAMPLE)) == 0)
-    counts = sample.select("text").mapInArrow(_window_counts(bit_filter(of_items)), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
+    counts = sample.select("text").mapInArrow(_window_counts(bit_filter(of_items), single), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
 
     def seeds(key: tuple, t: pa.Table) -> pa.Table:
         n = len(t)
@@ -180,7 +188,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     rare = of_items.join(counts, "h", "left").select("id", "part", "h", "pos", F.coalesce("df", F.lit(0)).alias("df")).groupBy("id", "part").applyInArrow(seeds, f"id {item_type}, part long, h long, pos int, asks int")
     rare = stage(rare.select(F.col("id").alias("item"), F.col("part").alias("item_part"), "h", F.col("pos").alias("item_pos"), "asks"), "leak-seeds")
-    hits = stage(texts.select("id", "text", "part").mapInArrow(_windows(bit_filter(rare)), f"id {id_type}, part long, h long, pos int"), "leak-hits")
+    hits = stage(texts.select("id", "text", "part").mapInArrow(_windows(bit_filter(rare), single), f"id {id_type}, part long, h long, pos int"), "leak-hits")
     held = hits.join(rare, "h").groupBy("id", "part", "item", "item_part").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("shifts"), F.collect_set("item_pos").alias("at"), F.first("asks").alias("asks"))
     pairs = held.filter(F.size("at") >= F.col("asks")).drop("at", "asks")
     tests_by = stage(tests.select(F.col("id").alias("item"), F.col("part").alias("item_part"), F.col("text").alias("item_text")), "leak-tests")

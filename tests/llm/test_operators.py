@@ -418,3 +418,10 @@ def test_decontamination_misses_no_edited_copy(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = decontaminate.contaminated(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
     assert {(r.id, r.item): r.score for r in got} == want
+
+
+def test_decontamination_of_short_items(spark):
+    docs = spark.createDataFrame([(1, "so Alpha, said"), (2, "beta gamma!"), (3, "beta or gamma"), (4, "delta eps zeta"), (5, "alphabet"), (6, "alpha"), (7, "eps zeta it")], "doc_id long, text string")
+    items = [(10, "alpha"), (11, "beta, gamma"), (12, "delta eps zeta"), (13, ""), (14, "unseen")]
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item, r.score, r.start, r.end) for r in got} == {(1, 10, 1, 1, 2), (6, 10, 1, 0, 1), (2, 11, 2, 0, 2), (4, 12, 3, 0, 3), (7, 12, 2, 0, 2)}
