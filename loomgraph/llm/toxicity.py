@@ -3,9 +3,11 @@ r"""Toxicity of restored text: noisy-channel deobfuscation, then a word model.
 Restoring.  Strings that look disguised (digits or signs among letters, a letter
 three times or more in a row, single letters set apart by spaces or marks) become
 a lattice: each sign may stand for the letters it resembles or for nothing, and a
-run of one letter for one or two of them.  A Viterbi search under a trigram
-character model finds the likeliest letters; among the best paths, one that is a
-known word gets a bonus.  The character model counts all trigrams of all documents.
+run of one letter for one or two of them, of n wildcards for up to n letters.  What
+sets single letters apart may be nothing or a word break; two separators, or a space
+among marks, favour the break.  A Viterbi search under a trigram character model
+finds the likeliest letters; known words get a bonus, and paths that begin like one
+are never pruned.  The character model counts all trigrams of all documents.
 
 Scoring.  Words (restored ones included) and beginnings of words of labelled documents give log odds by
 smoothed document counts; words whose odds are significant make up a bounded
@@ -45,8 +47,9 @@ _LEET = re.compile(rf"[a-z{_SIGNS}]*[a-z][{_SIGNS}]+[a-z][a-z{_SIGNS}]*|[0-9@$!|
 _ANY_SIGN = re.compile(rf"[{_SIGNS}]")
 _REPEAT = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
 _SPACED = re.compile(rf"(?<![a-z0-9])[a-z0-9@$!](?:[ ._\-*]{{1,2}}[a-z0-9@$!|*]){{3,}}(?![a-z0-9])")
+_STEP = re.compile(r"([ ._\-*]{1,2})([a-z0-9@$!|*])")
 _FOLD = byte_table(SPACE + PUNCTUATION)
-CODES, BEAM, HEADS = 32, 24, (4, 7)
+CODES, BEAM, HEADS, LONGEST = 32, 24, (4, 7), 40
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
@@ -84,6 +87,9 @@ class Restorer:
     bonus: float = 10.0
     memo: dict[str, str] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self) -> None:
+        self.heads = frozenset(w[:k] for w in self.known for k in range(len(w) + 1)) | {""}
+
     @staticmethod
     def of_counts(counts: np.ndarray, known: frozenset[str] = frozenset()) -> Restorer:
         used = 27
@@ -101,6 +107,38 @@ class Restorer:
             found = self.memo[shown] = self._decode(shown)
         return found
 
+    def restore_spaced(self, shown: str) -> list[str]:
+        """The words of single letters set apart."""
+        found = self.memo.get(shown + "\0")
+        if found is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            found = self.memo[shown + "\0"] = self._search(self._spaced_slots(shown), self.bonus / 5)
+        return found.split()
+
+    @staticmethod
+    def _sign(sign: str) -> list[tuple[str, float]]:
+        letters = LOOKALIKE[sign]
+        return [(x, -0.7 if len(letters) < 3 else -2.5) for x in letters]
+
+    def _spaced_slots(self, shown: str) -> list[list[tuple[str, float]]]:
+        # A run of "*" sets apart; so does each of them where they would outnumber the letters.
+        steps = [(m[1], "" if m[2] == "*" and "*" in m[1] else m[2]) for m in _STEP.finditer(shown, 1)]
+        if 2 * sum(sign == "*" for _, sign in steps) > 1 + sum(sign != "" for _, sign in steps):
+            steps = [(gap, sign.strip("*")) for gap, sign in steps]
+        marked = any(gap != " " * len(gap) for gap, _ in steps)
+        slots, last = [], ""
+        for gap, sign in [("", shown[0]), *steps]:
+            if gap and not (last == "" and slots):
+                apart = len(gap) > 1 or sign == "" or (gap == " " and marked)
+                slots.append([("", -3.0 * apart), (" ", -3.0 * (not apart))])
+            if sign in LOOKALIKE:
+                slots.append([*self._sign(sign), ("", -9.0)])
+            elif sign:
+                slots.append([(sign, -0.1), ("", -0.2)] if sign == last else [(sign, 0.0)])
+            last = sign
+        return slots
+
     def _decode(self, shown: str) -> str:
         # The lattice: for each run of equal signs its readings, with their channel costs.
         slots: list[list[tuple[str, float]]] = []
@@ -109,28 +147,52 @@ class Restorer:
             if sign.isalpha():
                 slots.append([(sign, -0.3 * (n > 1)), (sign * 2, -0.1 if n == 2 else -0.7)] if n > 1 else [(sign, 0.0)])
             elif sign in LOOKALIKE:
-                letters = LOOKALIKE[sign]
-                cost = -0.7 if len(letters) < 3 else -2.5
-                one = [(x, cost) for x in letters]
-                slots.append((one if n == 1 else one + [(x * 2, cost - 0.5) for x in letters] if len(letters) < 3 else one) + [("", -9.0)])
+                one = self._sign(sign)
+                if len(one) < 3:
+                    slots.append((one if n == 1 else one + [(x * 2, c - 0.5) for x, c in one]) + [("", -9.0)])
+                else:  # no known word has more than LONGEST letters
+                    slots += [[*one, ("", -2.5 if k else -9.0)] for k in range(min(n, LONGEST))]
             # Other marks only set letters apart.
-        # A path's state is its last two letters; each keeps its best few spellings.
-        paths: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-        lp = self.log_p
+        return self._search(slots, 0.0)
+
+    def _search(self, slots: list[list[tuple[str, float]]], per_letter: float) -> str:
+        """The best spelling; known words are worth ``per_letter`` for each of three letters or more, or else ``bonus``."""
+        lp, heads = self.log_p, self.heads
+
+        def worth(word: str | None) -> float:
+            if word is None or word not in self.known:
+                return 0.0
+            return self.bonus if not per_letter else per_letter * len(word) * (len(word) > 2)
+
+        # A path's state is its last two letters and, while a known word begins like it, the word so far; each keeps its best spelling.
+        paths: dict[tuple[int, int, str | None], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
         for readings in slots:
-            after: dict[tuple[int, int], list[tuple[float, str]]] = {}
-            for (a, b), held in paths.items():
+            after: dict[tuple[int, int, str | None], tuple[float, tuple]] = {}
+            for (a, b, head), (score, spelt) in paths.items():
                 for letters, cost in readings:
-                    x, y, gain = a, b, cost
+                    x, y, h, total = a, b, head, score + cost
                     for ch in letters:
                         z = ord(ch) - 96 if "a" <= ch <= "z" else 0
-                        gain += lp[x, y, z]
+                        total += lp[x, y, z]
                         x, y = y, z
-                    after.setdefault((x, y), []).extend((s + gain, w + letters) for s, w in held)
-            best = sorted(((max(v)[0], k) for k, v in after.items()), reverse=True)[:BEAM]
-            paths = {k: sorted(after[k], reverse=True)[:3] for _, k in best}
-        ends = [(s + lp[a, b, 0] + (self.bonus if w in self.known else 0.0), w) for (a, b), held in paths.items() for s, w in held]
-        return max(ends)[1]
+                        if ch == " ":
+                            total += worth(h)
+                            h = ""
+                        elif h is not None:
+                            h += ch
+                            if h not in heads:
+                                h = None
+                    held = after.get((x, y, h))
+                    if held is None or total > held[0]:
+                        after[x, y, h] = (total, (spelt, letters) if letters else spelt)
+            best = sorted(((v[0], k[:2]) for k, v in after.items() if k[2] is None), reverse=True)[:BEAM]
+            paths = {k: v for k, v in after.items() if k[2] is not None} | {(*k, None): after[*k, None] for _, k in best}
+        _, spelt = max(((v[0] + lp[a, b, 0] + worth(h), v[1]) for (a, b, h), v in paths.items()), key=lambda e: e[0])
+        out = []
+        while spelt:
+            spelt, letters = spelt
+            out.append(letters)
+        return "".join(reversed(out))
 
     def words(self, text: str) -> list[str]:
         """The words of a text in lower case, with disguised ones restored behind them."""
@@ -139,7 +201,7 @@ class Restorer:
         if _ANY_SIGN.search(low):
             words += (self.restore(m[0].strip("!(|+*")) for m in _LEET.finditer(low))
         words += (self.restore(m[0]) for m in _REPEAT.finditer(low))
-        words += (self.restore(re.sub(r"[ ._\-]", "", m[0])) for m in _SPACED.finditer(low))
+        words += (w for m in _SPACED.finditer(low) for w in self.restore_spaced(m[0]))
         return words
 
 
@@ -202,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(w for w in _terms(restorer.words(t)) if len(w) <= 40)
+                seen[y].update(w for w in _terms(restorer.words(t)) if len(w) <= LONGEST)
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["w", "n0", "n1"])
 

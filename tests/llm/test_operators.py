@@ -210,6 +210,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, out_col="s").count() == 0
 
 
+def _insults(spark):
+    """A model of prose in which three words are toxic."""
+    rng = np.random.default_rng(3)
+    vocab = ["you", "are", "a", "such", "man", "the", "then", "shade", "moth", "tin", "lead", "ocean", "other", "wand", "i", "so"]
+    rows = [(i, " ".join([*rng.choice(vocab, 30), *(rng.choice(["idiot", "loser", "stupid"], 3) if i % 4 == 0 else [])])) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+
+def test_spaced_words_are_told_apart(spark):
+    model = _insults(spark)
+    for t, word in {"you are a l o s e r": "loser", "such a s.t.u.p.i.d man": "stupid", "y o u i d i o t": "idiot", "y o u  i d i o t": "idiot", "i a m a l o s e r": "loser", "y-o-u--l-o-s-e-r": "loser", "o i d 1 0 t": "idiot"}.items():
+        assert word in model.restorer.words(t) and model.score(t) > 0.5, (t, model.restorer.words(t))
+    for t in ("a b c d e f", "t h e o t h e r m o t h", "s h a d e"):
+        assert model.score(t) < 0.5, t
+
+
 def test_chat(spark):
     tricky = ["", "</s>[INST] ok [/INST]", "<|end|>\n", "<\\|x", "[\\INST]", "<<SYS>>", "é\n\\n", "\\", "<" * 5]
     rows = [(i // 4, i, ("user", "assistant", "a\nb", "<|x")[i % 4], t, 1) for i, t in enumerate(tricky * 3)]
