@@ -227,6 +227,13 @@ def test_spaced_words_are_told_apart(spark):
         assert model.score(t) < 0.5, t
 
 
+def test_masked_words(spark):
+    model = _insults(spark)
+    for t, word in {"id**t": "idiot", "i***t": "idiot", "i*d*i*o*t": "idiot", "st**id": "stupid", "a l*o*s*e*r": "loser", "l o * e r": "loser"}.items():
+        assert word in model.restorer.words(t) and model.score(t) > 0.5, (t, model.restorer.words(t))
+    assert model.score("th* o**er m*th") < 0.5 and model.score("x" + "*" * 100_000 + "y") < 0.5
+
+
 def test_chat(spark):
     tricky = ["", "</s>[INST] ok [/INST]", "<|end|>\n", "<\\|x", "[\\INST]", "<<SYS>>", "é\n\\n", "\\", "<" * 5]
     rows = [(i // 4, i, ("user", "assistant", "a\nb", "<|x")[i % 4], t, 1) for i, t in enumerate(tricky * 3)]
