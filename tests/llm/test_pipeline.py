@@ -155,3 +155,10 @@ def test_held_out_accuracy(spark):
     pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
     assert auc > 0.75 and sum(s >= 0.5 for s in neg) <= 2
+
+
+def test_near_duplicates_of_one_identifier(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(7, text(0)), (7, text(1)), (3, text(1) + " more"), (9, text(2)), (9, text(3)), (9, text(3)), (None, text(3))]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[3], rows[4], rows[6]], key=str)
