@@ -313,19 +313,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).filter("id is not null")
     dealt = texts.mapInArrow(_deal(size, bits), "bucket int, kind int, a binary, b binary, c binary")
-    shared = stage(dealt.groupBy("bucket").applyInArrow(_find_shared, "doc long, n long, key long, bucket int, cnt int, toks binary, dfs binary"), "jaccard-shared", release=True)
+    shared = stage(dealt.groupBy("bucket").applyInArrow(_find_shared, "doc long, n long, key long, bucket int, cnt int, toks binary, dfs binary"), "jaccard-shared")
 
     of_docs = shared.filter("doc is not null").select("doc", "n", "key")
     classes = of_docs.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"))
     tokens = shared.filter("doc is null").groupBy("key").agg(F.sum("cnt").alias("cnt"), F.collect_list(F.struct("bucket", "toks", "dfs")).alias("parts"))  # a class's tokens: one document's
     alive = classes.join(tokens, "key").filter(100 * F.col("cnt") >= percent * F.col("n")).select("key", "n", "parts")
-    sets = stage(alive.mapInArrow(_order_tokens(percent), "key long, n long, rank int, head int, toks binary").filter("head > 0"), "jaccard-sets", release=True)
+    sets = stage(alive.mapInArrow(_order_tokens(percent), "key long, n long, rank int, head int, toks binary").filter("head > 0"), "jaccard-sets")
 
     # Rounds of linking with leaders; only leaders take part in the next, under another hash.
     edges, part, firsts = None, sets, None
     for seed in range(ROUNDS):
         met = part.mapInArrow(_min_hash(seed), "gid long, key long, n long, rank int, toks binary").repartition(n_parts, "gid").sortWithinPartitions("gid", "rank", "key")
-        led = stage(met.mapInArrow(_lead(percent), "key long, leader long, gid long"), "jaccard-led", release=True)
+        led = stage(met.mapInArrow(_lead(percent), "key long, leader long, gid long"), "jaccard-led")
         firsts = led.select("key", "gid") if firsts is None else firsts
         new = led.filter("key != leader").select(F.col("key").alias("u"), F.col("leader").alias("v"))
         edges = new if edges is None else edges.unionByName(new)
@@ -340,11 +340,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     heads = sets.mapInArrow(_prefixes, "key long, tok long").join(groups, "key")
     mixed = heads.groupBy("tok").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo < hi").select("tok")
-    heads = stage(heads.join(mixed, "tok"), "jaccard-mixed", release=True)
+    heads = stage(heads.join(mixed, "tok"), "jaccard-mixed")
     common = heads.groupBy("tok", "cluster").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("top"))
     asking = heads.join(common, "tok").filter("cluster != top").select("tok", "key", "cluster")
     index = heads.groupBy("tok", "grp").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-    asked = stage(asking.join(index, "tok").filter("cluster != lo or cluster != hi").select("key", "cluster", "grp").distinct(), "jaccard-asked", release=True)
+    asked = stage(asking.join(index, "tok").filter("cluster != lo or cluster != hi").select("key", "cluster", "grp").distinct(), "jaccard-asked")
 
     queries = asked.join(sets.select("key", "n", "toks"), "key").select("grp", F.lit(1).alias("kind"), "key", "cluster", "n", "toks")
     opened = asked.select("grp").distinct().join(groups, "grp").select("grp", "key", "cluster").join(sets.select("key", "n", "toks"), "key").select("grp", F.lit(0).alias("kind"), "key", "cluster", "n", "toks")

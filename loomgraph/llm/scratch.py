@@ -8,17 +8,16 @@ because executors could not see a machine-local folder.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Spark deletes a plan's shuffle files when the plan has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: By operator, how to drop what it keeps in a worker between tasks.
 CACHES: dict[str, Callable[[], object]] = {}
 
@@ -30,7 +29,9 @@ def shared_root(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="loomgraph-"))
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="loomgraph-")
+        found = _LOCAL[app]
     return f"{found.rstrip('/')}/loomgraph/{app}"
 
 
@@ -39,35 +40,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (a folder for each value of ``by``) and read it back.
 
-    Cuts lineage: a lost executor costs a reread, never a recomputation.
-    ``release`` lets the driver forget earlier jobs' shuffle files at once, not
-    when it happens to collect garbage; for stages that shuffle much.
+    Cuts lineage: a lost executor costs a reread, never a recomputation.  So the
+    shuffle files of the plan that wrote it are of no more use, and Spark is told to
+    delete them at the plan's end.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, with underscores behind until no column of ``taken`` begins like it (Spark ignores case)."""
+    low = [c.lower() for c in taken]
+    while any(c.startswith(wanted.lower()) for c in low):
+        wanted += "_"
+    return wanted
 
 
 def release_memory(keep: str = "") -> None:
-    """Drop what other operators keep in this worker, and give freed memory back to the system.
-
-    Workers are used again by later stages, which need their memory for other things.
-    """
+    """Drop what other operators keep in this worker; later stages use workers again and need their memory for other things."""
     for name, clear in CACHES.items():
         if name != keep:
             clear()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def drop_tree(spark: SparkSession, path: str) -> None:

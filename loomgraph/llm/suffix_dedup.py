@@ -406,12 +406,12 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, gram: int = 40, range
     bits = min(16, max(4, int(total // range_bytes).bit_length()))
     dealt = texts.select("key", "text").mapInArrow(_deal_anchors(length, gram, bits), "bucket int, toks binary, keys binary, counts binary, places binary")
     shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors, "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places"))
-    shared = stage(shared, "suffix-anchors", release=True)
+    shared = stage(shared, "suffix-anchors")
     wanted = bit_filter(shared.select(F.xxhash64("key").alias("h")))
     once = texts.select("key", "text", F.xxhash64("key").alias("h")).mapInArrow(_passing(wanted), "key long, text string, h long").mapInArrow(_first_of_task, "key long, text string, h long")
     found = once.join(shared.hint("merge"), "key").select("key", "text", "places").sortWithinPartitions("key")
     runs = found.mapInArrow(_deal_suffixes(length, gram, bits), "bucket int, n int, keys binary, places binary, shared binary, sizes binary, rest binary, lefts binary")
-    return stage(runs.groupBy("bucket").applyInArrow(_repeats(length, gram), "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places")), "suffix-spans", release=True)
+    return stage(runs.groupBy("bucket").applyInArrow(_repeats(length, gram), "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places")), "suffix-spans")
 
 
 def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
