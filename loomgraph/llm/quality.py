@@ -38,8 +38,6 @@ COMMON_WORDS = (
 #: Limits of the Jensen-Shannon distance (0 to 1) and the least characters and words to judge by; documents labelled good stay below them.
 CHAR_LIMIT, CHAR_LEAST = 0.27, 400
 WORD_LIMIT, WORD_LEAST = 0.22, 150
-#: Words a document can have for positions to share a 64-bit number with their hash.
-PACKED_WORDS = 1 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,37 +51,52 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def repeated_window_words(words: Column, n: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, each word once.
 
-    Windows are sorted by hash with their position in the low bits, so equal ones
-    are neighbours.  Documents of over ``PACKED_WORDS`` words sort pairs instead.
+    Windows are sorted by hash, with their position in the low bits, so equal ones are
+    neighbours; their words are compared.  Where neighbours of one hash differ, which a
+    long text makes likelier as positions leave fewer bits, that text's windows are sorted
+    again by the whole hash, and if that, too, puts different ones together, by their words.
     """
+    sr, sl = (lambda a, b: F.call_function("shiftright", a, b)), (lambda a, b: F.call_function("shiftleft", a, b))
 
-    def hashes(make: Callable[[Column, Column], Column]) -> Column:
+    def windows(make: Callable[[Column, Column], Column]) -> Column:
         at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: make(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), i))
+        return F.transform(at, lambda i: make(window_hash(*(F.get(words, i + k) for k in range(3))), i))
 
-    def packed() -> Column:
-        # Bits for a position; the hash keeps the rest.
-        bits = F.ceil(F.log2(n + 1)).cast("int")
-        sr, sl = (lambda a, b: F.call_function("shiftright", a, b)), (lambda a, b: F.call_function("shiftleft", a, b))
+    def checked(found: Column, hashed: Callable[[Column], Column], place: Callable[[Column], Column], other: Callable[[], Column]) -> Column:
+        """Words that the windows in ``found``, neighbours by hash, cover; ``other()`` if different ones are neighbours."""
 
-        def twins(s: Column, b: Column) -> Column:
-            return F.filter(s, lambda x, i: (sr(x, b) == sr(F.get(s, i - 1), b)) | (sr(x, b) == sr(F.get(s, i + 1), b)))
+        def differ(x: Column, i: Column) -> Column:
+            a, b = place(x), place(F.get(found, i - 1))
+            unlike = [F.get(words, (a + k).cast("int")) != F.get(words, (b + k).cast("int")) for k in range(3)]
+            return (i > 0) & (hashed(x) == hashed(F.get(found, i - 1))) & (unlike[0] | unlike[1] | unlike[2])
 
-        def count(b: Column) -> Column:
-            found = let(F.sort_array(hashes(lambda h, i: sl(sr(h, b), b).bitwiseOR(i.cast("long")))), lambda s: twins(s, b))
-            return let(F.sort_array(F.transform(found, lambda x: x - sl(sr(x, b), b))), _covered)
+        clash = F.exists(F.transform(found, differ), lambda v: F.coalesce(v, F.lit(False)))
+        return F.when(clash, other()).otherwise(let(F.sort_array(F.transform(found, place)), _covered))
 
-        return let(bits, count)
+    def by_words() -> Column:
+        made = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(*(F.get(words, i + k).alias(f"w{k}") for k in range(3)), i.cast("long").alias("i")))
+        same = lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+        found = let(F.sort_array(made), lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))))
+        return let(F.sort_array(F.transform(found, lambda x: x["i"])), _covered)
 
-    def pairs() -> Column:
-        made = F.sort_array(hashes(lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    def by_hash() -> Column:
+        made = F.sort_array(windows(lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
         found = let(made, lambda s: F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])))
-        return let(F.sort_array(F.transform(found, lambda x: x["i"])), _covered)
+        return let(found, lambda f: checked(f, lambda x: x["h"], lambda x: x["i"], by_words))
+
+    def packed(b: Column) -> Column:
+        made = F.sort_array(windows(lambda h, i: sl(sr(h, b), b).bitwiseOR(i.cast("long"))))
+        found = let(made, lambda s: F.filter(s, lambda x, i: (sr(x, b) == sr(F.get(s, i - 1), b)) | (sr(x, b) == sr(F.get(s, i + 1), b))))
+        return let(found, lambda f: checked(f, lambda x: sr(x, b), lambda x: x - sl(sr(x, b), b), by_hash))
 
-    return F.when(n < PACKED_WORDS, packed()).otherwise(pairs())
+    return let(F.ceil(F.log2(n + 1)).cast("int"), packed)  # bits for a position; the hash keeps the rest
 
 
 def _drop_count(text: Column, what: str) -> Column:

@@ -127,11 +127,6 @@ def test_quality(docs, rows, empty):
     got = collections.defaultdict(list)
     for r in quality.quality(docs).collect():
         got[r.id].append((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed))
-    for packed in (quality.PACKED_WORDS, 0):
-        old, quality.PACKED_WORDS = quality.PACKED_WORDS, packed
-        again = {r.id: r.n_repeat_words for r in quality.quality(docs).select("id", "n_repeat_words").collect()}
-        quality.PACKED_WORDS = old
-        assert all(again[k] in {v[4] for v in vs} for k, vs in got.items())
     for r in rows:
         t = r[1] or ""
         w = WORD.findall(t)
@@ -142,6 +137,20 @@ def test_quality(docs, rows, empty):
     assert quality.quality(empty).count() == 0
 
 
+@pytest.mark.parametrize("bad", [lambda *w: F.xxhash64(*w).bitwiseAND(3), lambda *w: F.call_function("shiftleft", F.xxhash64(w[0]), F.lit(58))])
+def test_repeated_windows_are_told_by_their_words(spark, monkeypatch, bad):
+    """Hashes that put different windows together change nothing."""
+    monkeypatch.setattr(quality, "window_hash", bad)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), k)) for k in (0, 1, 2, 3, 4, 30, 30, 100, 400)] + ["a b c d a b c", "a b c a b c", "a a a a"]
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "i int, w array<string>")
+    got = {r.i: r.n for r in df.select("i", quality.repeated_window_words(F.col("w"), F.size("w")).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        assert got[i] == len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}), t
+
+
 def test_js_distance(spark):
     p, q = np.array([3.0, 0, 5]), np.array([1.0, 4, 5])
     a, b = p / p.sum(), q / q.sum()
