@@ -15,8 +15,10 @@ the seeds are possible hits; a join with the seeds settles which are.  The regio
 a document around an item's seeds are aligned with it.
 
 Texts are shuffled only if a second filter says that they may have a seed.  Nothing
-but the filters (of fixed size) goes to all tasks; a larger benchmark fills them and
-makes more rows pass to the joins, never another result.
+but the filters (of bounded size) goes to all tasks; a benchmark of many million word
+pairs fills them and makes more rows pass to the joins, never another result.  The hits
+of a word pair that many texts hold are plain rows of a join of two staged tables, of
+which Spark splits the longer side.
 
 Edge cases: null texts have no words; items of one or two words are found where they
 stand whole (half of two words is any text with one of them); documents with equal identifiers and different texts are
@@ -38,7 +40,7 @@ from .scratch import release_memory, stage
 from .words import PUNCTUATION, SPACE, byte_table, windows, word_hashes
 
 SEPARATORS = SPACE + PUNCTUATION
-FILTER_BITS = 1 << 22
+FILTER_BITS, FILTER_MOST = 1 << 22, 1 << 27
 SIZE = 2  # words of a seed; the bound on intact windows above holds for two
 SAMPLE = 8  # one text in so many counts for rarity
 _FOLD = byte_table(SEPARATORS)
@@ -96,17 +98,22 @@ def _window_counts(bits: np.ndarray, single: str):
 
 
 def bit_filter(rows: DataFrame) -> np.ndarray:
-    """``FILTER_BITS`` bits, of which those of the column ``h`` are set; built by an aggregate of 32,768-bit pieces."""
-    bit = F.col("h").bitwiseAND(FILTER_BITS - 1)  # a power of two, so the same bits as of the unsigned number
+    """A bit for each value of the column ``h`` of a staged table; built by an aggregate of 32,768-bit pieces.
+
+    Sixteen bits or more a row, between ``FILTER_BITS`` (512 KB) and ``FILTER_MOST`` (16 MB); a table
+    of over eight million rows fills it, so that more passes and is dropped by the join that follows.
+    """
+    size = min(FILTER_MOST, max(FILTER_BITS, 1 << (16 * rows.count()).bit_length()))
+    bit = F.col("h").bitwiseAND(size - 1)  # a power of two, so the same bits as of the unsigned number
     pieces = rows.select(bit.alias("b")).groupBy(F.expr("b div 32768").alias("n")).agg(F.bitmap_construct_agg(F.col("b") % 32768).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pieces.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
+    out = np.zeros(size // 8, np.uint8)
+    for r in pieces.collect():  # at most FILTER_MOST / 32768 rows of 4 KB
         out[r.n * 4096 : r.n * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
 def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    p = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+    p = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[p >> 3] >> (p & 7) & 1).astype(bool)
 
 

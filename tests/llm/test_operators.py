@@ -123,6 +123,55 @@ def test_jaccard(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_names_of_several_sets_are_drawn_anew(spark, docs, monkeypatch):
+    want = collections.Counter(map(tuple, jaccard_join.jaccard_components(docs).collect()))
+    real = jaccard_join.set_names
+    monkeypatch.setattr(jaccard_join, "set_names", lambda s: (real(s)[0] % 5, real(s)[1]))
+    assert collections.Counter(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
+
+
+def test_jaccard_in_pieces(spark, monkeypatch):
+    """Near copies by the hundred, and phrases that most texts hold, with everything dealt out in pieces."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(200)]
+    phrases = [" ".join(rng.choice(vocab, 12)) for _ in range(6)]
+    base = rng.choice(vocab, 60).tolist()
+    rows = []
+    for i in range(260):
+        if i % 2:
+            w = list(base)
+            w[int(rng.integers(60))] = f"x{i % 90}"
+            rows.append((f"id{i:03d}", " ".join(w)))
+        else:
+            rows.append((f"id{i:03d}", " ".join(rng.permutation(phrases)[:4])))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        i = len(sets[a] & sets[b])
+        if 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    want = {(r[0], len(s), rows[find(i)][0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))}
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for hot, leaders, group in ((1024, 32, 128), (2, 1, 8)):
+        for name, value in (("HOT", hot), ("LEADERS", leaders), ("GROUP", group)):
+            monkeypatch.setattr(jaccard_join, name, value)
+        assert {tuple(r) for r in jaccard_join.jaccard_components(df).collect()} == want
+    monkeypatch.undo()
+    nulls = spark.createDataFrame([(None, "a b c"), (None, "a b c"), ("x", "d e"), (None, "D  e"), (None, None)], "doc_id string, text string")
+    got = collections.Counter(map(tuple, jaccard_join.jaccard_components(nulls).collect()))
+    assert got == collections.Counter([(None, 1, None), (None, 1, None), ("x", 1, "x"), (None, 1, "x"), (None, 0, None)])
+
+
 def test_quality(docs, rows, empty):
     got = collections.defaultdict(list)
     for r in quality.quality(docs).collect():
