@@ -8,24 +8,32 @@ equal places, so no repeat is missed.
 
 1. Anchors' hashes are dealt out by range; those that occur once are dropped.
 2. For each other anchor, its suffix (``length`` bytes) and the bytes before it go to
-   a bucket of its gram.  Each task sorts what it has for a bucket and sends it as a
-   front-coded run: the common prefix with the suffix before, and the rest.
-3. The bucket's task merges the runs with a loser tree whose nodes know how much
+   a bucket of its gram.  Each task sorts what it has for a bucket, by suffix and by the
+   reversed bytes before, and sends both orders as front-coded runs: the common prefix
+   with the string before, and the rest.  Anchors with equal bytes on both sides in one
+   task repeat each other wherever they may; their spans are known there, and one of
+   them goes on for all.
+3. The bucket's task merges both kinds of runs with loser trees whose nodes know how much
    each candidate shares with the last winner: a candidate that shares more is
    smaller, and only on a tie are bytes compared, from that place on.  The merge
-   yields the sorted suffixes with their common prefixes.
+   yields the sorted strings with their common prefixes.
 4. The string of ``length`` bytes with ``a`` bytes before the anchor is repeated if
    another occurrence is in the same class of suffixes by their first ``length - a``
    bytes (runs of the sorted order) and in the same class by the last ``a`` bytes
-   before (runs of the order of reversed prefixes).  All ``a`` are tried.
+   before (runs of the order of reversed prefixes).  All ``a`` are tried, one after the other.
 
 Equal texts are one class from the start: all of a repeated text is removed, and one
-of its copies stands for it in the search, so a group of copies costs its size.
+of its copies stands for it in the search, so a group of copies costs its size.  Texts
+have 64-bit names, which a second hash of 64 bits checks: names of different texts are
+drawn anew.
+
+Buckets grow in number with the input, without a top.  A gram that different texts hold
+in different surroundings is one bucket's, at some 400 bytes an occurrence.
 
 Edge cases: null texts are empty; texts shorter than ``length`` keep all their bytes;
-matches never cross texts; repeated rows and rows with equal identifiers are texts
-like any other; texts of any length are cut into their anchors' surroundings; an
-empty table gives no rows; extra columns are ignored.
+matches never cross texts; repeated rows and rows with equal or null identifiers are texts
+like any other; identifiers may have any type; texts of any length are cut into their
+anchors' surroundings; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +44,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import _passing, bit_filter
@@ -46,6 +55,7 @@ from .words import mix
 
 _U = np.uint64
 FLUSH_BYTES = 48 << 20
+_RUN = ("keys", "places", "shared", "sizes", "rest", "by_left", "left_shared", "left_sizes", "left_rest", "told")
 
 
 @lru_cache(maxsize=2)
@@ -117,17 +127,15 @@ def _deal_anchors(length: int, gram: int, bits: int):
                 at = np.concatenate([x[1] for x in found])
                 owner = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
                 names = np.array([x[0] for x in found], np.int64)
-                bucket = (h >> _U(64 - bits)).astype(np.uint16)
+                bucket = (h >> _U(64 - bits)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                short, at, owner = (h >> _U(32 - bits)).astype(np.uint32)[order], at[order], owner[order]
-                for i in range(1 << bits):
-                    a, b = cuts[i], cuts[i + 1]
-                    if a < b:
-                        firsts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                        many = np.diff(np.append(firsts, b - a)).astype(np.uint32)
-                        for k, v in zip(schema.names, (i, short[a:b].tobytes(), names[owner[a:b][firsts]].tobytes(), pack.compress(many.tobytes()), pack.compress(at[a:b].astype(np.int64).tobytes())), strict=True):
-                            rows[k].append(v)
+                bucket, short, at, owner = bucket[order], (h >> _U(32 - bits)).astype(np.uint32)[order], at[order], owner[order]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] ^ 1, append=bucket[-1] ^ 1)) if len(bucket) else bucket
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    firsts = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                    many = np.diff(np.append(firsts, b - a)).astype(np.uint32)
+                    for k, v in zip(schema.names, (int(bucket[a]), short[a:b].tobytes(), names[owner[a:b][firsts]].tobytes(), pack.compress(many.tobytes()), pack.compress(at[a:b].astype(np.int64).tobytes())), strict=True):
+                        rows[k].append(v)
             found.clear()
             return pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -141,7 +149,7 @@ def _deal_anchors(length: int, gram: int, bits: int):
                         at, h = anchors(np.frombuffer(text, np.uint8), length, gram)
                         found.append((key, at, h))
                         held += len(at)
-                if held > 2_000_000:
+                if held > max(2_000_000, 1 << bits):
                     held = 0
                     yield flush()
         yield flush()
@@ -258,24 +266,45 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tupl
         top = new
 
 
+def whole_span(place: int, left: int, right: int, length: int, gram: int) -> tuple[int, int] | None:
+    """What all strings of ``length`` bytes cover that hold an anchor's gram and lie inside its surroundings."""
+    low, high = max(0, length - right), min(length - gram, left)
+    return (place - high, place - low + length) if low <= high else None
+
+
 def _deal_suffixes(length: int, gram: int, bits: int):
-    """For each text and its shared anchors: rows (bucket, run) with sorted, front-coded suffixes."""
+    """For each text and its shared anchors: rows (bucket, run) with two sorted, front-coded orders, and spans that are known already."""
     before = length - gram
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("shared", pa.binary()), ("sizes", pa.binary()), ("rest", pa.binary()), ("lefts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in _RUN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        piles: dict[int, list[tuple[bytes, int, int, bytes]]] = {}
+        piles: dict[int, list[tuple[bytes, bytes, int, int]]] = {}
         held = 0
 
         def flush() -> pa.RecordBatch:
             rows: dict[str, list] = {k: [] for k in schema.names}
             for bucket, pile in piles.items():
                 pile.sort()
-                shared, rest = front_code([x[0] for x in pile])
+                kept, told, i = [], [], 0
+                while i < len(pile):
+                    j = i + 1
+                    while j < len(pile) and pile[j][0] == pile[i][0] and pile[j][1] == pile[i][1]:
+                        j += 1
+                    if j > i + 1:
+                        for right, left, key, place in pile[i:j]:
+                            span = whole_span(place, len(left), len(right), length, gram)
+                            if span:
+                                told.append((key, *span))
+                    kept.append(pile[i])
+                    i = j
+                by_left = sorted(range(len(kept)), key=lambda i, kept=kept: kept[i][1])
+                shared, rest = front_code([x[0] for x in kept])
+                left_shared, left_rest = front_code([kept[i][1] for i in by_left])
+                sizes = lambda parts: np.array([len(x) for x in parts], np.uint16).tobytes()
                 values = (
-                    bucket, len(pile), np.array([x[1] for x in pile], np.int64).tobytes(), np.array([x[2] for x in pile], np.int64).tobytes(), shared.tobytes(),
-                    np.array([(len(r), len(x[3])) for r, x in zip(rest, pile, strict=True)], np.uint16).tobytes(), b"".join(rest), b"".join(x[3] for x in pile),
+                    bucket, len(kept), np.array([x[2] for x in kept], np.int64).tobytes(), np.array([x[3] for x in kept], np.int64).tobytes(), shared.tobytes(), sizes(rest), b"".join(rest),
+                    np.array(by_left, np.uint32).tobytes(), left_shared.tobytes(), sizes(left_rest), b"".join(left_rest), np.array(told, np.int64).tobytes(),
                 )
                 for k, v in zip(schema.names, values, strict=True):
                     rows[k].append(pack.compress(v) if isinstance(v, bytes) else v)
@@ -293,7 +322,7 @@ def _deal_suffixes(length: int, gram: int, bits: int):
                 for p in at.tolist():
                     right = text[p : p + length]
                     bucket = hash_bytes(right[:gram]) >> (64 - bits)
-                    piles.setdefault(bucket, []).append((right, key, p, text[max(0, p - before) : p]))
+                    piles.setdefault(bucket, []).append((right, text[max(0, p - before) : p][::-1], key, p))
                     held += 2 * length
                 if held > FLUSH_BYTES:
                     held = 0
@@ -304,17 +333,23 @@ def _deal_suffixes(length: int, gram: int, bits: int):
 
 
 def hash_bytes(data: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(data)
 
 
-def _read_run(shared: np.ndarray, sizes: np.ndarray, rest: bytes, first: int) -> Iterator[tuple[bytes, int, int]]:
+def _read_run(shared: bytes, sizes: bytes, rest: bytes, numbers: list[int]) -> Iterator[tuple[bytes, int, int]]:
     last, at = b"", 0
-    for i, (n, size) in enumerate(zip(shared.tolist(), sizes.tolist(), strict=True)):
+    for n, size, i in zip(np.frombuffer(shared, np.uint16).tolist(), np.frombuffer(sizes, np.uint16).tolist(), numbers, strict=True):
         last = last[:n] + rest[at : at + size]
         at += size
-        yield last, n, first + i
+        yield last, n, i
+
+
+def _merged(runs: list[Iterator[tuple[bytes, int, int]]], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The occurrences in sorted order, what each shares with the one before, and (by occurrence) the lengths."""
+    order, lcp, size = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total, np.int32)
+    for i, (s, n, who) in enumerate(merge_runs(runs)):
+        order[i], lcp[i], size[who] = who, n, len(s)
+    return order, lcp, size
 
 
 def _repeats(length: int, gram: int):
@@ -322,52 +357,51 @@ def _repeats(length: int, gram: int):
 
     def run(t: pa.Table) -> pa.Table:
         unpack = zstandard.decompress
-        keys, places, runs, lefts = [], [], [], []
+        keys, places, rights, lefts, told = [], [], [], [], []
         total = 0
         for r in t.to_pylist():
-            keys.append(np.frombuffer(unpack(r["keys"]), np.int64))
-            places.append(np.frombuffer(unpack(r["places"]), np.int64))
-            sizes = np.frombuffer(unpack(r["sizes"]), np.uint16).reshape(-1, 2)
-            runs.append(_read_run(np.frombuffer(unpack(r["shared"]), np.uint16), sizes[:, 0], unpack(r["rest"]), total))
-            blob = unpack(r["lefts"])
-            ends = np.cumsum(sizes[:, 1]).tolist()
-            lefts += [blob[e - n : e][::-1] for e, n in zip(ends, sizes[:, 1].tolist(), strict=True)]
+            x = {c: unpack(r[c]) for c in _RUN}
+            keys.append(np.frombuffer(x["keys"], np.int64))
+            places.append(np.frombuffer(x["places"], np.int64))
+            told.append(np.frombuffer(x["told"], np.int64).reshape(-1, 3))
+            rights.append(_read_run(x["shared"], x["sizes"], x["rest"], list(range(total, total + r["n"]))))
+            lefts.append(_read_run(x["left_shared"], x["left_sizes"], x["left_rest"], (np.frombuffer(x["by_left"], np.uint32).astype(np.int64) + total).tolist()))
             total += r["n"]
         if not total:
             return _PLACES.empty_table()
         key, at = np.concatenate(keys), np.concatenate(places)
-        right_order = np.empty(total, np.int64)
-        right_lcp, right_len = np.empty(total, np.int32), np.empty(total, np.int32)
-        for i, (s, lcp, where) in enumerate(merge_runs(runs)):
-            right_order[i], right_lcp[i], right_len[i] = where, lcp, len(s)
-        key, at = key[right_order], at[right_order]
-        mine = [lefts[i] for i in right_order.tolist()]
-        left_len = np.fromiter(map(len, mine), np.int32, total)
-        left_order = np.array(sorted(range(total), key=mine.__getitem__), np.int64)
-        left_lcp = np.zeros(total, np.int32)
-        for i in range(1, total):
-            left_lcp[i] = _common(mine[left_order[i - 1]], mine[left_order[i]], 0)
-        hit = np.zeros((length - gram + 1, total), bool)
-        left_class = np.empty(total, np.int64)
+        right_order, right_lcp, right_len = _merged(rights, total)
+        left_order, left_lcp, left_len = _merged(lefts, total)
+        # One text may come from several tasks, if a join was split; an occurrence is no repeat of itself.
+        order = np.lexsort((at, key))
+        own = np.ones(total, bool)
+        own[order[1:][(key[order][1:] == key[order][:-1]) & (at[order][1:] == at[order][:-1])]] = False
+        right_class, left_class = np.empty(total, np.int64), np.empty(total, np.int64)
+        before, opened = np.zeros(total, bool), np.zeros(total, np.int64)
+        found = [np.concatenate(told)]
+
+        def close(ended: np.ndarray, a: int) -> None:
+            """Strings with opened[i] to a - 1 bytes before occurrence i are repeated."""
+            found.append(np.column_stack((key[ended], at[ended] - a + 1, at[ended] - opened[ended] + length)))
+
         for a in range(length - gram + 1):
-            valid = np.flatnonzero((left_len >= a) & (right_len >= length - a))
-            if len(valid) < 2:
-                continue
-            right_class = np.cumsum(right_lcp < length - a)
-            left_class[left_order] = np.cumsum(left_lcp < a)
-            both = right_class[valid] * (total + 1) + left_class[valid]
-            order = np.argsort(both, kind="stable")
-            same = both[order][1:] == both[order][:-1]
-            hit[a, valid[order[1:][same]]] = True
-            hit[a, valid[order[:-1][same]]] = True
-        edge = np.diff(np.vstack((np.zeros((1, total), np.int8), hit.astype(np.int8), np.zeros((1, total), np.int8))), axis=0)
-        who, low = np.nonzero((edge == 1).T)  # runs of offsets, by occurrence
-        _, high = np.nonzero((edge == -1).T)
-        begin, end = at[who] - high + 1, at[who] - low + length
-        owner = key[who]
-        order = np.lexsort((begin, owner))
-        owner, begin, end = owner[order], begin[order], end[order]
-        return _blobs(owner, np.column_stack((begin, end)).astype(np.int64))
+            hit = np.zeros(total, bool)
+            valid = np.flatnonzero(own & (left_len >= a) & (right_len >= length - a))
+            if len(valid) > 1:
+                right_class[right_order] = np.cumsum(right_lcp < length - a)
+                left_class[left_order] = np.cumsum(left_lcp < a)
+                both = right_class[valid] * (total + 1) + left_class[valid]
+                order = np.argsort(both, kind="stable")
+                same = both[order][1:] == both[order][:-1]
+                hit[valid[order[1:][same]]] = True
+                hit[valid[order[:-1][same]]] = True
+            opened[hit & ~before] = a
+            close(np.flatnonzero(before & ~hit), a)
+            before = hit
+        close(np.flatnonzero(before), length - gram + 1)
+        spans = np.concatenate(found)
+        spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+        return _blobs(spans[:, 0], spans[:, 1:])
 
     return run
 
@@ -403,14 +437,14 @@ def repeated_spans(texts: DataFrame, *, length: int = 200, gram: int = 40, range
     spark = texts.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    bits = min(16, max(4, int(total // range_bytes).bit_length()))
+    bits = max(4, int(total // range_bytes).bit_length())
     dealt = texts.select("key", "text").mapInArrow(_deal_anchors(length, gram, bits), "bucket int, toks binary, keys binary, counts binary, places binary")
     shared = dealt.groupBy("bucket").applyInArrow(_shared_anchors, "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places"))
     shared = stage(shared, "suffix-anchors")
     wanted = bit_filter(shared.select(F.xxhash64("key").alias("h")))
     once = texts.select("key", "text", F.xxhash64("key").alias("h")).mapInArrow(_passing(wanted), "key long, text string, h long").mapInArrow(_first_of_task, "key long, text string, h long")
     found = once.join(shared.hint("merge"), "key").select("key", "text", "places").sortWithinPartitions("key")
-    runs = found.mapInArrow(_deal_suffixes(length, gram, bits), "bucket int, n int, keys binary, places binary, shared binary, sizes binary, rest binary, lefts binary")
+    runs = found.mapInArrow(_deal_suffixes(length, gram, bits), "bucket int, n int, " + ", ".join(f"{c} binary" for c in _RUN))
     return stage(runs.groupBy("bucket").applyInArrow(_repeats(length, gram), "key long, places binary").groupBy("key").agg(F.collect_list("places").alias("places")), "suffix-spans")
 
 
@@ -426,13 +460,30 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def text_names(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text: its name, and what tells texts of one name apart (and is their name then)."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 40) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256), one for each document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    name, check = text_names(F.col("text"))
+    renamed: set[int] = set()
+    while True:
+        rows = texts.withColumn("key", F.when(name.isin(*renamed), check).otherwise(name) if renamed else name)
+        copies = stage(
+            rows.select("key", check.alias("chk"), (F.octet_length("text") >= length).alias("long")).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("chk").alias("lo"), F.max("chk").alias("hi"), F.max("long").alias("long")).filter("copies > 1"),
+            "suffix-copies",
+        )
+        twice = copies.filter("lo != hi").select("key").collect()  # names of several texts: some n^2 / 2^65
+        if not twice:
+            break
+        renamed |= {r.key for r in twice}
+    copies = copies.filter("long").select("key", F.lit(True).alias("whole"))
     spans = repeated_spans(rows.select("key", "text"), length=length, gram=gram)
-    copies = stage(rows.filter(F.octet_length("text") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key", F.lit(True).alias("whole")), "suffix-copies")
 
     # Of repeated texts all goes, so that no group of copies meets at its key.
     spans = stage(spans.join(copies, "key", "left_anti"), "suffix-cuts")

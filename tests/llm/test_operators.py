@@ -230,6 +230,26 @@ def test_suffix(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_names_of_several_texts_are_drawn_anew(docs, rows, monkeypatch):
+    real = suffix_dedup.text_names
+    monkeypatch.setattr(suffix_dedup, "text_names", lambda t: (F.pmod(real(t)[0], F.lit(7)), real(t)[1]))
+    want = collections.Counter((r[0], *x) for r, x in zip(rows, _repeats([(r[1] or "").encode() for r in rows], 200), strict=True))
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert collections.Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_suffix_of_a_common_passage(spark):
+    """A passage that hundreds of texts hold, at their beginnings, ends and between other words; some texts come twice."""
+    rng = np.random.default_rng(12)
+    prose = lambda k: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(k))
+    passage, long = prose(45), prose(120)
+    texts = [f"{prose(int(rng.integers(0, 60)))} {(passage, long)[i % 2]} {prose(int(rng.integers(0, 60)))}"[: (300, 5000)[i % 7 > 0]] for i in range(150)]
+    texts += [texts[0], texts[3], passage, long, passage + passage]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(5)).collect()
+    want = {(f"d{i}", *x) for i, x in enumerate(_repeats([t.encode() for t in texts], 200))}
+    assert {(r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 7):
