@@ -60,11 +60,11 @@ def held_out() -> object:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, out_col: str = "score") -> DataFrame:
     from .toxicity import fit, score
 
     model = fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    return score(docs, model)
+    return score(docs, model, out_col=out_col)
 
 
 def op5_restored_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

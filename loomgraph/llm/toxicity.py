@@ -3,11 +3,12 @@ r"""Toxicity of restored text: noisy-channel deobfuscation, then a word model.
 Restoring.  Strings that look disguised (digits or signs among letters, a letter
 three times or more in a row, single letters set apart by spaces or marks) become
 a lattice: each sign may stand for the letters it resembles or for nothing, and a
-run of one letter for one or two of them, of n wildcards for up to n letters.  What
+run of one letter for one or two of them, of n wildcards for up to n letters (or as many
+as the longest known word has).  What
 sets single letters apart may be nothing or a word break; two separators, or a space
-among marks, favour the break.  A Viterbi search under a trigram character model
-finds the likeliest letters; known words get a bonus, and paths that begin like one
-are never pruned.  The character model counts all trigrams of all documents.
+among marks, favour the break.  A Viterbi search under a trigram character model, with a
+bonus for known words, finds the likeliest spelling of all; nothing is pruned.  The
+character model counts all trigrams of all documents.
 
 Scoring.  Words (restored ones included) and beginnings of words of labelled documents give log odds by
 smoothed document counts; words whose odds are significant make up a bounded
@@ -18,7 +19,8 @@ are used for fitting (a documented bound); everything else covers all rows.
 Edge cases: null and empty texts get the score of a text without words; labels of
 null identifiers or classes are left out, of repeated ones the largest counts;
 without labels of both classes the score is the smoothed share of the one class;
-long strings are restored in linear time; extra columns are ignored.
+long strings are restored in linear time; identifiers may have any type; extra columns
+are kept, and ``score`` refuses a name for its own that is taken.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ _REPEAT = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
 _SPACED = re.compile(rf"(?<![a-z0-9])[a-z0-9@$!](?:[ ._\-*]{{1,2}}[a-z0-9@$!|*]){{3,}}(?![a-z0-9])")
 _STEP = re.compile(r"([ ._\-*]{1,2})([a-z0-9@$!|*])")
 _FOLD = byte_table(SPACE + PUNCTUATION)
-CODES, BEAM, HEADS, LONGEST = 32, 24, (4, 7), 40
+CODES, HEADS = 32, (4, 7)
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
@@ -78,6 +80,40 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.reshape(CODES, CODES, CODES)
 
 
+class _Cells:
+    """The best path to each pair of last letters."""
+
+    def __init__(self) -> None:
+        self.score = np.full((27, 27), -np.inf)
+        self.spelt = np.empty((27, 27), object)
+        self.used = False
+
+    def offer(self, x: int, y: int, score: float, spelt: tuple) -> None:
+        if score > self.score[x, y]:
+            self.score[x, y], self.spelt[x, y], self.used = score, spelt, True
+
+    def moved(self, letters: str, cost: float, log_p: np.ndarray) -> _Cells:
+        """These paths with some letters more; ``spelt`` is still without them."""
+        score, spelt = self.score + cost, self.spelt
+        for ch in letters:
+            z = ord(ch) - 96 if "a" <= ch <= "z" else 0
+            reached = score + log_p[:, :, z]
+            came = reached.argmax(0)
+            cols = np.arange(27)
+            next_score, next_spelt = np.full((27, 27), -np.inf), np.empty((27, 27), object)
+            next_score[:, z], next_spelt[:, z] = reached[came, cols], spelt[came, cols]
+            score, spelt = next_score, next_spelt
+        out = _Cells()
+        out.score, out.spelt = score, spelt
+        return out
+
+    def take(self, other: _Cells, letters: str) -> None:
+        for x, y in np.argwhere(other.score > self.score).tolist():
+            self.score[x, y] = other.score[x, y]
+            self.spelt[x, y] = (other.spelt[x, y], letters) if letters else other.spelt[x, y]
+            self.used = True
+
+
 @dataclass
 class Restorer:
     """Viterbi decoding of disguised strings under a trigram model and a set of known words."""
@@ -89,6 +125,8 @@ class Restorer:
 
     def __post_init__(self) -> None:
         self.heads = frozenset(w[:k] for w in self.known for k in range(len(w) + 1)) | {""}
+        self.longest = max(map(len, self.known), default=0)
+        self.steps = self.log_p.tolist()
 
     @staticmethod
     def of_counts(counts: np.ndarray, known: frozenset[str] = frozenset()) -> Restorer:
@@ -150,44 +188,64 @@ class Restorer:
                 one = self._sign(sign)
                 if len(one) < 3:
                     slots.append((one if n == 1 else one + [(x * 2, c - 0.5) for x, c in one]) + [("", -9.0)])
-                else:  # no known word has more than LONGEST letters
-                    slots += [[*one, ("", -2.5 if k else -9.0)] for k in range(min(n, LONGEST))]
+                else:  # as many letters as the longest known word has, at most
+                    slots += [[*one, ("", -2.5 if k else -9.0)] for k in range(min(n, max(1, self.longest)))]
             # Other marks only set letters apart.
         return self._search(slots, 0.0)
 
     def _search(self, slots: list[list[tuple[str, float]]], per_letter: float) -> str:
         """The best spelling; known words are worth ``per_letter`` for each of three letters or more, or else ``bonus``."""
-        lp, heads = self.log_p, self.heads
+        heads = self.heads
+        state = tuple[int, int, str]
+        path = tuple[float, tuple]
 
-        def worth(word: str | None) -> float:
-            if word is None or word not in self.known:
+        def worth(word: str) -> float:
+            if word not in self.known:
                 return 0.0
             return self.bonus if not per_letter else per_letter * len(word) * (len(word) > 2)
 
-        # A path's state is its last two letters and, while a known word begins like it, the word so far; each keeps its best spelling.
-        paths: dict[tuple[int, int, str | None], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
+        # A state is the last two letters and, while a known word begins like it, the word so far; each keeps its
+        # best path.  States without such a word are the cells of a 27 x 27 table.
+        begun: dict[state, path] = {(0, 0, ""): (0.0, ())}
+        free = _Cells()
         for readings in slots:
-            after: dict[tuple[int, int, str | None], tuple[float, tuple]] = {}
-            for (a, b, head), (score, spelt) in paths.items():
+            next_begun: dict[state, path] = {}
+            next_free = _Cells()
+            for (a, b, head), (score, spelt) in begun.items():
                 for letters, cost in readings:
                     x, y, h, total = a, b, head, score + cost
                     for ch in letters:
                         z = ord(ch) - 96 if "a" <= ch <= "z" else 0
-                        total += lp[x, y, z]
+                        total += self.steps[x][y][z]
                         x, y = y, z
                         if ch == " ":
-                            total += worth(h)
+                            total += worth(h) if h is not None else 0.0
                             h = ""
                         elif h is not None:
                             h += ch
                             if h not in heads:
                                 h = None
-                    held = after.get((x, y, h))
-                    if held is None or total > held[0]:
-                        after[x, y, h] = (total, (spelt, letters) if letters else spelt)
-            best = sorted(((v[0], k[:2]) for k, v in after.items() if k[2] is None), reverse=True)[:BEAM]
-            paths = {k: v for k, v in after.items() if k[2] is not None} | {(*k, None): after[*k, None] for _, k in best}
-        _, spelt = max(((v[0] + lp[a, b, 0] + worth(h), v[1]) for (a, b, h), v in paths.items()), key=lambda e: e[0])
+                    now = (spelt, letters) if letters else spelt
+                    if h is None:
+                        next_free.offer(x, y, total, now)
+                    elif (x, y, h) not in next_begun or total > next_begun[x, y, h][0]:
+                        next_begun[x, y, h] = (total, now)
+            if free.used:
+                for letters, cost in readings:
+                    moved = free.moved(letters, cost, self.log_p)
+                    if letters != " ":
+                        next_free.take(moved, letters)
+                        continue
+                    for y in range(27):  # a break: any word may begin
+                        if moved.score[y, 0] > (next_begun[y, 0, ""][0] if (y, 0, "") in next_begun else -math.inf):
+                            next_begun[y, 0, ""] = (float(moved.score[y, 0]), (moved.spelt[y, 0], " "))
+            begun, free = next_begun, next_free
+        ends = [(v[0] + self.steps[a][b][0] + worth(h), v[1]) for (a, b, h), v in begun.items()]
+        if free.used:
+            last = free.score + self.log_p[:, :, 0]
+            at = np.unravel_index(int(last.argmax()), last.shape)
+            ends.append((float(last[at]), free.spelt[at]))
+        _, spelt = max(ends, key=lambda e: e[0])
         out = []
         while spelt:
             spelt, letters = spelt
@@ -264,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(w for w in _terms(restorer.words(t)) if len(w) <= LONGEST)
+                seen[y].update(_terms(restorer.words(t)).keys())
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["w", "n0", "n1"])
 
@@ -294,6 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with the column ``out_col``: the probability of being toxic."""
     names = docs.columns
+    if out_col.lower() in (c.lower() for c in names):
+        raise ValueError(f"there is a column {out_col!r} already")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out_col}` double"
     at = names.index(text_col)
 

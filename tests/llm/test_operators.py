@@ -305,6 +305,40 @@ def test_spaced_words_are_told_apart(spark):
         assert model.score(t) < 0.5, t
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_decoding_finds_the_best_of_all_spellings(seed):
+    """Random lattices under random models, against all their spellings."""
+    rng = np.random.default_rng(seed)
+    letters = "abcd"
+    for per_letter in (0.0, 2.0):
+        model = toxicity.Restorer.of_counts(rng.integers(0, 50, (32, 32, 32)), frozenset({"abc", "cab", "dd", "a"}))
+        for _ in range(25):
+            slots = []
+            for _ in range(int(rng.integers(1, 7))):
+                options = rng.choice([*letters, "aa", "dd", "", " "] if per_letter else [*letters, "aa", "dd", ""], int(rng.integers(1, 4)), replace=False)
+                slots.append([(str(o), -float(rng.random() * 3)) for o in options])
+            if int(rng.integers(3)) == 0:
+                slots.insert(0, [(x, -2.5) for x in letters] + [("", -9.0)])
+
+            def value(spelling, slots=slots, model=model, per_letter=per_letter):
+                total = sum(c for _, c in spelling)
+                text = "".join(x for x, _ in spelling)
+                x = y = 0
+                for ch in text + "\0":
+                    z = ord(ch) - 96 if "a" <= ch <= "z" else 0
+                    total += model.log_p[x, y, z]
+                    x, y = y, z
+                for w in text.split(" "):
+                    if w in model.known:
+                        total += per_letter * len(w) * (len(w) > 2) if per_letter else model.bonus
+                return total, text
+
+            best = max(map(value, itertools.product(*slots)))
+            got = model._search(slots, per_letter)
+            same = [value(s)[0] for s in itertools.product(*slots) if "".join(x for x, _ in s) == got]
+            assert max(same) == pytest.approx(best[0]), (got, best)
+
+
 def test_masked_words(spark):
     model = _insults(spark)
     for t, word in {"id**t": "idiot", "i***t": "idiot", "i*d*i*o*t": "idiot", "st**id": "stupid", "a l*o*s*e*r": "loser", "l o * e r": "loser"}.items():
