@@ -13,6 +13,7 @@ after the first character of ``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``,
 A conversation is one row, unless it has over ``part_turns`` turn numbers or
 very many rows: then it comes in chunks, in the order of ``(part, seq)``, which
 concatenate to the whole.  So no task must hold a conversation of any size.
+``whole_conversations`` puts chunks together where one row each is wanted.
 
 Edge cases: null texts and roles count as empty; null conversation IDs form one
 conversation; equal turn numbers are ordered by role and text, and repeated rows
@@ -186,6 +187,22 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def whole_conversations(formatted: DataFrame) -> DataFrame:
+    """Rows (conv, formatted, n_turns, loss_starts, loss_ends), one for each conversation, with spans in the whole text.
+
+    A conversation must fit in one row, so in 2 GB.
+    """
+    chunk = F.struct("part", "seq", "formatted", "n_turns", "loss_starts", "loss_ends")
+    sizes = F.transform("c", lambda x: F.char_length(x["formatted"]).cast("long"))
+    before = lambda i: F.aggregate(F.slice("sizes", 1, i), F.lit(0).cast("long"), lambda a, v: a + v)
+    spans = lambda name: F.flatten(F.transform("c", lambda x, i: F.transform(x[name], lambda at: at + before(i))))
+    rows = formatted.groupBy("conv").agg(F.sort_array(F.collect_list(chunk)).alias("c")).withColumn("sizes", sizes)
+    return rows.select(
+        "conv", F.array_join(F.transform("c", lambda x: x["formatted"]), "").alias("formatted"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n_turns"]).alias("n_turns"),
+        spans("loss_starts").alias("loss_starts"), spans("loss_ends").alias("loss_ends"),
+    )
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """Rows (conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) read back from the formatted chunks."""
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
