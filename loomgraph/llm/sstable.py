@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,13 +74,14 @@ def _bits(hashes: np.ndarray, m: int, k: int) -> np.ndarray:
 
 
 class Writer:
-    """Appends entries in key order to a binary stream; holds one block and the index."""
+    """Appends entries in key order to a binary stream; holds one block, the index and a hash of each key."""
 
     def __init__(self, out, block_bytes: int = 1 << 18, bits_per_key: int = 10):
         self.out, self.block_bytes, self.bits_per_key = out, block_bytes, bits_per_key
         self.at = out.write(MAGIC) or len(MAGIC)
         self.index: list[bytes] = []
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
+        self.lowest = b""
         self.units = self.entries = self.units_before = self.held = 0
         self.parts: list[bytes] = []
         self.size = 0
@@ -89,6 +91,8 @@ class Writer:
     def add(self, key: bytes, value: bytes, units: int) -> None:
         if self.entries and key < self.last:
             raise ValueError("keys must ascend")
+        if not self.entries:
+            self.lowest = key
         shared = 0
         if self.held:
             top = min(len(key), len(self.last))
@@ -122,7 +126,7 @@ class Writer:
         m = max(64, self.bits_per_key * len(self.hashes) + 7 & ~7)
         bits = np.zeros(m, np.uint8)
         for i in range(0, len(self.hashes), 1 << 16):
-            bits[_bits(np.array(self.hashes[i : i + (1 << 16)], np.uint64), m, k)] = 1
+            bits[_bits(np.frombuffer(self.hashes[i : i + (1 << 16)], np.uint64), m, k)] = 1
         bloom = np.packbits(bits).tobytes()
         self.out.write(index + bloom)
         self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), k, self.entries, self.units, zlib.crc32(index), MAGIC))

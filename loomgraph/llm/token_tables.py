@@ -6,20 +6,28 @@ whose values are little-endian token IDs of 2 bytes (or 4, if the vocabulary nee
 them).  Tasks write under names of their own, and only the files that the manifest
 lists count, so a lost or repeated task leaves no trace in the result.
 
-Tokenizing is by the given tokenizer.  As its normalizer and splitter never join
-characters across a space or line feed, equal pieces between those have equal IDs
-wherever they stand: a worker keeps the IDs of the pieces that it has met (some
-``MEMO`` of them) and encodes only new ones.  ``tests/llm`` holds this against
-encoding whole texts.
+Tokenizing is by the given tokenizer.  Where its file says that its normalizer and
+splitter never join characters across a space or line feed (``piecewise`` knows which
+steps those are), equal pieces between those have equal IDs wherever they stand: a worker
+keeps the IDs of the pieces that it has met (some ``MEMO`` of them) and encodes only new
+ones.  Any other tokenizer gets whole texts.  ``tests/llm`` holds both against encoding
+whole texts.
+
+There are as many tables as shuffle partitions, or more so that none has over some
+``shard_bytes`` of text; the manifest has each one's first and last key, so a lookup
+opens only those that can hold it.
 
 Edge cases: null texts count as empty and get just the end ID; null identifiers
-come first; repeated identifiers stay, in the order of their texts' CRCs; an empty
-table gives empty shards; a text of any length is one entry; extra columns are ignored.
+come first; identifiers are integers or strings; repeated ones stay, in the order of
+their texts' CRCs; an empty table gives empty shards; a text of any length is one entry;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,12 +38,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from . import sstable
 from .scratch import CACHES, fresh_path, release_memory, stage
 
 MEMO, MEMO_BASES, SEGMENT = 500_000, 1_000_000, 4_000_000
 _LONGEST = 48
+_MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("id_type", pa.string())])
 _pieces: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 CACHES["token_tables"] = lambda: (_pieces.clear(), _tokenizer.cache_clear())
@@ -130,31 +140,54 @@ def encode_texts(texts: list[str], path: str, width: int, folded: bool) -> list[
     return out
 
 
+# Splitters that take letters by themselves, drop white space and never cross it.
+_SPLITTERS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
 @lru_cache(maxsize=2)
-def _folds(path: str) -> bool:
-    """Whether the tokenizer lowers case and its splitter takes letters by themselves."""
-    import json
+def piecewise(path: str) -> str:
+    """How a tokenizer's file allows to encode: "whole" texts only, "pieces" between spaces, or "folded" pieces, too.
 
+    Pieces: it composes characters (NFC), lowers case, replaces white space by a space, splits by a known
+    splitter that drops white space, maps bytes, and merges without chance; its added tokens hold no space.
+    Folded: besides, it lowers case, so letters and the marks behind them have the IDs of each in lower case.
+    """
     spec = json.loads(_tokenizer(path).to_str())
-    lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
-    probe = _tokenizer(path).encode("Word.,", add_special_tokens=False).ids
-    apart = [i for x in ("word", ".,") for i in _tokenizer(path).encode(x, add_special_tokens=False).ids]
-    return lowers and "[\\p{L}]+" in (json.loads(json.dumps(spec["pre_tokenizer"])).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "") and probe == apart
+
+    def steps(of: dict | None, inside: str) -> list[dict]:
+        return [] if of is None else of[inside] if of["type"] == "Sequence" else [of]
+
+    normal = steps(spec.get("normalizer"), "normalizers")
+    space = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = [{"type": "Split", "pattern": {"Regex": r}, "behavior": "Removed", "invert": True} for r in _SPLITTERS]
+    cut = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    fine = (
+        all(s == space or s == {"type": s["type"]} and s["type"] in ("NFC", "Lowercase") for s in normal)
+        and len(cut) == 2 and cut[0] in split and {k: v for k, v in cut[1].items() if k != "trim_offsets"} == to_bytes
+        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("post_processor") is None
+        and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
+    )
+    return "whole" if not fine else "folded" if {"type": "Lowercase"} in normal else "pieces"
 
 
 def encode_all(texts: list[str], path: str, width: int) -> Iterator[bytes]:
     """``encode_texts`` over as many texts at a time as memory should hold."""
+    how = piecewise(path)
     i = 0
     while i < len(texts):
-        if len(texts[i]) > SEGMENT:
-            yield b"".join(encode_texts([s], path, width, _folds(path))[0] for s in _segments(texts[i]))
+        if how != "whole" and len(texts[i]) > SEGMENT:
+            yield b"".join(encode_texts([s], path, width, how == "folded")[0] for s in _segments(texts[i]))
             i += 1
             continue
         j, size = i, 0
-        while j < len(texts) and size + len(texts[j]) <= SEGMENT:
+        while j < len(texts) and (j == i or size + len(texts[j]) <= SEGMENT):
             size += len(texts[j])
             j += 1
-        yield from encode_texts(texts[i:j], path, width, _folds(path))
+        if how == "whole":
+            yield from (np.array(e.ids, f"<u{width}").tobytes() for e in _tokenizer(path).encode_batch_fast(texts[i:j], add_special_tokens=False))
+        else:
+            yield from encode_texts(texts[i:j], path, width, how == "folded")
         i = j
 
 
@@ -164,14 +197,22 @@ def _open_fs(path: str):
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_tables(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, folder: str | None = None, shards: int | None = None) -> DataFrame:
-    """Write the shards; the manifest: (shard, file, docs, ids, bytes, docs_before, ids_before).
+def write_tables(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, folder: str | None = None, shards: int | None = None, shard_bytes: int = 1 << 27) -> DataFrame:
+    """Write the shards; the manifest: (shard, file, docs, ids, bytes, first_key, last_key, id_type, docs_before, ids_before).
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-tables")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, StringType)):
+        raise TypeError(f"identifiers are integers or strings, not {kind.simpleString()}")
+    id_type = "string" if isinstance(kind, StringType) else "bigint"
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first().b
+        n = max(n, -(-total // shard_bytes))
     width = id_width(tokenizer, end_id)
     end = end_id.to_bytes(width, "little")
 
@@ -189,21 +230,23 @@ def write_tables(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                     table.add(sstable.key_of(i), data + end, len(data) // width + 1)
             table.close()
             size = out.tell()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "docs": [table.entries], "ids": [table.units], "bytes": [size]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
+        row = {"shard": shard, "file": f"{folder}/{name}", "docs": table.entries, "ids": table.units, "bytes": size, "first_key": table.lowest, "last_key": table.last, "id_type": id_type}
+        yield pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    dealt = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("c", F.crc32("text")).repartitionByRange(n, "id", "c").sortWithinPartitions("id", "c")
-    manifest = stage(dealt.select("id", "text").mapInArrow(write, "shard int, file string, docs long, ids long, bytes long"), "token-manifest")
+    dealt = docs.select(F.col(f"`{id_col}`").cast(id_type).alias("id"), text.alias("text")).withColumn("c", F.crc32("text")).repartitionByRange(n, "id", "c").sortWithinPartitions("id", "c")
+    manifest = stage(dealt.select("id", "text").mapInArrow(write, "shard int, file string, docs long, ids long, bytes long, first_key binary, last_key binary, id_type string"), "token-manifest")
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return manifest.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("docs", "ids")})
 
 
-def read_tables(manifest: DataFrame, width: int, id_type: str = "bigint") -> DataFrame:
+def read_tables(manifest: DataFrame, width: int) -> DataFrame:
     """Rows (id, start, n_tokens, ids_crc32) of every entry in the shards' files, read block by block.
 
     ``ids_crc32`` is over the IDs as little-endian unsigned 32-bit integers.
     """
     kind = np.dtype(f"<u{width}")
+    some = manifest.select("id_type").first()  # alike in all rows
+    id_type = some.id_type if some else "bigint"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +270,12 @@ def read_tables(manifest: DataFrame, width: int, id_type: str = "bigint") -> Dat
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, identifier: object, width: int) -> list[list[int]]:
-    """Token IDs of one identifier's documents; opens each shard's filter, and blocks only where it may be."""
+    """Token IDs of one identifier's documents; opens the shards whose range holds it, and blocks only where their filter says that it may be."""
     found = []
-    for row in manifest.orderBy("shard").select("file").toLocalIterator():
+    key = sstable.key_of(identifier)
+    inside = (F.col("docs") > 0) & (F.col("first_key") <= F.lit(key)) & (F.col("last_key") >= F.lit(key))
+    for row in manifest.filter(inside).orderBy("shard").select("file").toLocalIterator():
         fs, base = _open_fs(row["file"])
         with fs.open_input_file(base) as f:
-            found += [np.frombuffer(v, f"<u{width}").tolist() for v in sstable.Reader(f).get(sstable.key_of(identifier))]
+            found += [np.frombuffer(v, f"<u{width}").tolist() for v in sstable.Reader(f).get(key)]
     return found

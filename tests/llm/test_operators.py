@@ -370,6 +370,17 @@ def test_chat(spark):
         chat.parse("no turn")
 
 
+def test_whole_conversations(spark):
+    turns = [(c, i, ("user", "assistant")[i % 2], f"é{i} <|x", 0) for c in (1, 2) for i in range(7)] + [(None, None, "assistant", None, 0)]
+    parts = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part int"), part_turns=3)
+    got = {r.conv: r for r in chat.whole_conversations(parts).collect()}
+    assert parts.count() == 7 and set(got) == {1, 2, None}
+    for c in got:
+        want = [(r, x or "") for k, _, r, x, _ in turns if k == c]
+        assert chat.parse(got[c].formatted) == want and got[c].n_turns == len(want)
+        assert [chat.unescape(got[c].formatted[a:b]) for a, b in zip(got[c].loss_starts, got[c].loss_ends, strict=True)] == [x for r, x in want if r == "assistant"]
+
+
 def test_sstable(tmp_path):
     path = tmp_path / "t"
     keys = sorted([sstable.key_of(i) for i in (*range(-50, 400, 3), 7, 7, None)])
@@ -423,6 +434,32 @@ def test_token_tables(spark, docs, rows, empty):
     token_tables.SEGMENT = old
 
 
+def test_token_tables_of_string_identifiers(spark):
+    df = spark.createDataFrame([("b", "two words"), ("é", None), (None, "x"), ("a", "one"), ("a", "other"), ("", "y")], "doc_id string, text string")
+    manifest = token_tables.write_tables(df, tokenizer_path(), shards=2).cache()
+    got = [r.id for r in token_tables.read_tables(manifest, 2).orderBy("start").collect()]
+    assert got == [None, "", "a", "a", "b", "é"]
+    assert len(token_tables.lookup(spark, manifest, "a", 2)) == 2 and token_tables.lookup(spark, manifest, "zz", 2) == [] and len(token_tables.lookup(spark, manifest, None, 2)) == 1
+    with pytest.raises(TypeError):
+        token_tables.write_tables(df.select(F.lit(1.5).alias("doc_id"), "text"), tokenizer_path())
+
+
+def test_a_tokenizer_that_crosses_spaces_gets_whole_texts(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, World... it's x", "", "a  b\nc", "naïve café. 1,2"]
+    spec = json.loads(open(tokenizer_path()).read())
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    for path, how in ((tokenizer_path(), "folded"), (str(tmp_path / "t.json"), "pieces"), (public_tokenizers.path("byte_bpe_50k.json"), "whole")):
+        assert token_tables.piecewise(path) == how
+        tok, width = Tokenizer.from_file(path), token_tables.id_width(path, 1)
+        assert list(token_tables.encode_all(texts, path, width)) == [np.array(tok.encode(t, add_special_tokens=False).ids, f"<u{width}").tobytes() for t in texts]
+
+
 def _kept_lines(rows, least):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low)
