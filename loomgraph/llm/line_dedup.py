@@ -12,7 +12,11 @@ into one run of the next level.  So a batch never shuffles what came before it.
 Runs are files under the shared folder; only those that a finished job reported
 count, so lost or repeated tasks leave no trace.
 
-Edge cases: null or empty texts are one empty line; null identifiers order before
+The number of buckets grows with the keys, ``BUCKET_KEYS`` for each; staged keys are kept
+by batch, so a batch reads its own alone.
+
+Edge cases: identifiers are integers (others raise a TypeError, as owners are kept as
+numbers); null or empty texts are one empty line; null identifiers order before
 all others; rows with the same identifier are one document (all keep an owned
 line); repeated rows are treated alike; empty batches add an empty run; very long
 texts are split where they stand; extra columns are ignored.
@@ -29,6 +33,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from .scratch import fresh_path, stage
 from .token_tables import _open_fs
@@ -39,6 +44,7 @@ _RUN = pa.schema([("h1", pa.uint64()), ("h2", pa.uint64()), ("owner", pa.int64()
 _OUT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("owner", pa.int64()), ("bucket", pa.int32()), ("file", pa.string()), ("n", pa.int64())])
 _OUT_DDL = "h1 long, h2 long, owner long, bucket int, file string, n long"
 _CHUNK = 1 << 20
+BUCKETS, BUCKET_KEYS = 64, 1 << 21
 
 
 def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
@@ -95,7 +101,7 @@ class LineStore:
 
     spark: SparkSession
     folder: str
-    buckets: int = 64
+    buckets: int = BUCKETS
     fanout: int = 3
     levels: list[list[dict[int, str]]] = field(default_factory=list)
 
@@ -163,23 +169,24 @@ class LineStore:
         return {r.bucket: r.file for r in stage(plan.mapInArrow(merge, "bucket int, file string"), "line-compaction").collect()}  # one row a bucket
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 4, buckets: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 4, buckets: int | None = None) -> DataFrame:
     """Rows (id, text, n_lines, n_dropped): ``docs`` without lines that a smaller identifier holds.
 
     The table goes through the store in ``batches`` ranges of the identifier, in ascending order.
+    ``buckets``: of the store; by default as many as keep one within ``BUCKET_KEYS`` keys.
     """
     spark = docs.sparkSession
-    keys = stage(line_keys(docs, id_col=id_col, text_col=text_col, least=least), "line-keys")
-    cuts = keys.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    store = LineStore(spark, fresh_path(spark, "line-store"), buckets)
+    if not isinstance(docs.schema[id_col].dataType, (IntegralType, NullType)):
+        raise TypeError(f"identifiers are integers, not {docs.schema[id_col].dataType.simpleString()}")
+    cuts = docs.agg(F.percentile_approx(F.col(f"`{id_col}`").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    batch = sum(((F.col("doc") > c).cast("int") for c in cuts), F.lit(0))
+    keys = stage(line_keys(docs, id_col=id_col, text_col=text_col, least=least).withColumn("batch", batch), "line-keys", by="batch")
+    n_buckets = buckets or max(BUCKETS, -(-keys.count() // BUCKET_KEYS))
+    store = LineStore(spark, fresh_path(spark, "line-store"), n_buckets)
     drops = None
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        part = keys
-        if lo is not None:
-            part = part.filter(F.col("doc") > lo)
-        if hi is not None:
-            part = part.filter(F.col("doc") <= hi)
+    for i in range(len(cuts) + 1):
+        part = keys.filter(F.col("batch") == i).drop("batch")
         owned = store.add(part)
         hit = part.join(owned, ["h1", "h2"]).filter("owner < doc").select("doc", "row_hash", "pos")
         drops = hit if drops is None else drops.unionByName(hit)
