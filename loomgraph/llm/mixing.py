@@ -11,14 +11,16 @@ that are full form a prefix, which running sums find without iteration.
 
 A leaf takes all its documents for each whole epoch in its budget, then the
 longest prefix of the next epoch's order that fits.  An epoch's order is by the
-first 60 bits of ``md5(seed|epoch|id)``.  Tokens are summed by 1,024 ranges of
-that order first, so only documents of the one range that holds the cut are sorted;
-no leaf's documents meet in one task, and texts are not shuffled.
+first 60 bits of ``md5(seed|epoch|id)``.  Where the prefix ends is found by radix: tokens
+are summed by 64 ranges of that order, the range that holds the cut by 64 ranges of its
+own, and so on until ``SORTED`` documents are left in it at most, which are sorted.  So no
+leaf's documents meet in one task, and texts are not shuffled.
 
 Edge cases: a null path value is the same as an empty one; null texts have no
 tokens and cost nothing; rows with equal identifiers in a leaf stand or fall
 together; a weight of 0 or less gets nothing; empty tables give no rows; all columns
-of the input are kept, and names of ours that clash with them are not visible.
+of the input are kept, under their names; where one of them is called like a column of
+ours, ours gets underscores behind.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import WORD_GAP
-from .scratch import stage
+from .scratch import free_name, stage
 
-RANGES_BITS = 10
+ORDER_BITS, RANGE_BITS, SORTED = 60, 6, 4096
 
 
 def word_tokens(text: Column) -> Column:
@@ -85,33 +87,52 @@ def mix(docs: DataFrame, path: Mapping[str, Column], weights: Sequence[Mapping[s
     budget as a part of all tokens.  ``details`` adds the path and the columns
     mix_epoch, mix_tokens and mix_budget; else the columns are those of ``docs``.
     """
-    names = [f"_mix_{i}" for i in range(len(path))]
+    own = free_name("_mix", docs.columns)
+    names = [f"{own}_{i}" for i in range(len(path))]
     keyed = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, path.values(), strict=True)})
     narrow = stage(keyed.select(F.col(f"`{id_col}`").alias("id"), *names, word_tokens(F.col(f"`{text_col}`")).alias("t")), "mix-tokens")
     leaves = stage(narrow.groupBy(*names).agg(F.sum("t").alias("tokens")), "mix-leaves")
     plan = budgets(leaves, names, weights, F.col("all_tokens") * F.lit(share), max_epochs)
     # Whole epochs, and what is left for a prefix of the next.  Staged, so that its size is known when joins are planned.
     plan = stage(plan.withColumns({"whole": F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).cast("int")}).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "mix-plan")
-
-    ordered = narrow.join(plan.select(*names, "whole", "rest"), names).withColumn("h", epoch_order(seed, F.col("whole"), F.col("id"))).withColumn("range", F.shiftright("h", 60 - RANGES_BITS).cast("int"))
-    sums = stage(ordered.groupBy(*names, "rest", "range").agg(F.sum("t").alias("t")), "mix-ranges")
-    upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    # The first range that the rest does not cover whole; one past the last if there is none.
-    cut_at = sums.withColumn("c", F.sum("t").over(upto)).groupBy(*names).agg(F.min(F.when(F.col("c") > F.col("rest"), F.struct("range", (F.col("c") - F.col("t")).alias("before")))).alias("x"))
-    cut_at = stage(cut_at.select(*names, F.coalesce("x.range", F.lit(1 << RANGES_BITS)).alias("cut_range"), F.coalesce("x.before", F.lit(0)).alias("before")), "mix-cuts")
-    inside = ordered.join(cut_at, names).filter(F.col("range") == F.col("cut_range")).groupBy(*names, "rest", "before", "h", "id").agg(F.sum("t").alias("t"))
-    run = Window.partitionBy(*names).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("c", F.col("before") + F.sum("t").over(run)).filter(F.col("c") <= F.col("rest")).groupBy(*names).agg(F.max(F.struct("h", F.coalesce("id", F.lit(None)).alias("id"))).alias("last"))
-    final = stage(plan.join(cut_at, names).join(last, names, "left").select(*names, "budget", "whole", "cut_range", "last"), "mix-final")
-
-    h = epoch_order(seed, F.col("_mix_whole"), F.col(f"`{id_col}`"))
-    joined = keyed.join(final.select(*names, F.col("budget").alias("_mix_budget"), F.col("whole").alias("_mix_whole"), F.col("cut_range").alias("_mix_cut"), F.col("last").alias("_mix_last")), names).withColumn("_mix_h", h)
-    ranged = F.shiftright("_mix_h", 60 - RANGES_BITS)
-    upto_last = F.coalesce(F.struct(F.col("_mix_h").alias("h"), F.col(f"`{id_col}`").alias("id")) <= F.col("_mix_last"), F.lit(False))
-    taken = F.col("_mix_whole") + ((ranged < F.col("_mix_cut")) | ((ranged == F.col("_mix_cut")) & upto_last)).cast("int")
-    out = joined.withColumn("_mix_taken", taken).filter("_mix_taken > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_taken") - 1)))
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "mix_epoch"]
+    ends = _prefix_ends(narrow, plan, names, seed)
+
+    final = plan.join(ends, names).select(*names, F.col("budget").alias(f"{own}_budget"), F.col("whole").alias(f"{own}_whole"), F.col("below").alias(f"{own}_below"), F.col("last").alias(f"{own}_last"))
+    final = stage(final, "mix-final")
+    joined = keyed.join(final, names).withColumn(f"{own}_h", epoch_order(seed, F.col(f"{own}_whole"), F.col(f"`{id_col}`")))
+    upto_last = F.coalesce(F.struct(F.col(f"{own}_h").alias("h"), F.col(f"`{id_col}`").alias("id")) <= F.col(f"{own}_last"), F.lit(False))
+    taken = F.col(f"{own}_whole") + ((F.col(f"{own}_h") < F.col(f"{own}_below")) | upto_last).cast("int")
+    out = joined.withColumn(f"{own}_taken", taken).filter(F.col(f"{own}_taken") > 0).withColumn(f"{own}_epoch", F.explode(F.sequence(F.lit(0), F.col(f"{own}_taken") - 1)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     if not details:
-        return out.select(*own)
-    levels = [F.col(n).alias(f"mix_{k}") for n, k in zip(names, path, strict=True)]
-    return out.select(*own, *levels, "mix_epoch", word_tokens(F.col(f"`{text_col}`")).alias("mix_tokens"), F.col("_mix_budget").alias("mix_budget"))
+        return out.select(*kept)
+    made = {**{f"mix_{k}": F.col(n) for n, k in zip(names, path, strict=True)}, "mix_epoch": F.col(f"{own}_epoch"), "mix_tokens": word_tokens(F.col(f"`{text_col}`")), "mix_budget": F.col(f"{own}_budget")}
+    return out.select(*kept, *(c.alias(free_name(k, docs.columns)) for k, c in made.items()))
+
+
+def _prefix_ends(narrow: DataFrame, plan: DataFrame, names: Sequence[str], seed: int) -> DataFrame:
+    """Rows (path..., below, last): of the next epoch a leaf takes what is ``below``, and up to ``last`` (h, id) if that isn't null."""
+    left = narrow.join(plan.select(*names, "whole", "rest"), list(names)).withColumn("h", epoch_order(seed, F.col("whole"), F.col("id"))).select(*names, "rest", "h", "id", "t")
+    shift, done = ORDER_BITS, []
+    while True:
+        shift -= RANGE_BITS
+        at = F.shiftright("h", shift)
+        sums = left.groupBy(*names, "rest", at.alias("range")).agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # 64 rows a leaf
+        summed = sums.withColumn("c", F.sum("t").over(upto)).groupBy(*names, "rest").agg(F.min(F.when(F.col("c") > F.col("rest"), F.struct("range", (F.col("c") - F.col("t")).alias("before"), "n"))).alias("x"))
+        cuts = stage(summed.select(*names, "x.range", (F.col("rest") - F.col("x.before")).alias("rest"), "x.n", (F.col("x.range") * (1 << shift)).alias("below")), "mix-cuts")
+        done.append(cuts.filter("range is null").select(*names, F.lit(1 << ORDER_BITS).alias("below")))  # all that was left is taken
+        cuts = cuts.filter("range is not null")
+        left = left.drop("rest").join(cuts.select(*names, "range", "rest"), list(names)).filter(at == F.col("range")).drop("range")
+        most = cuts.agg(F.max("n").alias("n")).first().n or 0
+        if most <= SORTED or not shift:
+            break
+        left = stage(left, "mix-left")
+    done.append(cuts.select(*names, "below"))
+    below = done[0]
+    for part in done[1:]:
+        below = below.unionByName(part)
+    run = Window.partitionBy(*names).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = left.groupBy(*names, "rest", "h", "id").agg(F.sum("t").alias("t")).withColumn("c", F.sum("t").over(run))
+    last = inside.filter(F.col("c") <= F.col("rest")).groupBy(*names).agg(F.max(F.struct("h", F.coalesce("id", F.lit(None)).alias("id"))).alias("last"))
+    return below.join(last, list(names), "left")

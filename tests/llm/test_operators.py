@@ -481,6 +481,18 @@ def test_lines(docs, rows, empty, batches):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_buckets_grow_with_the_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUCKETS", 1)
+    monkeypatch.setattr(line_dedup, "BUCKET_KEYS", 7)
+    made = []
+    real = line_dedup.LineStore
+    monkeypatch.setattr(line_dedup, "LineStore", lambda *a: made.append(a) or real(*a))
+    assert collections.Counter(tuple(r) for r in line_dedup.dedup_lines(docs).collect()) == collections.Counter(_kept_lines(rows, 10))
+    assert made[0][2] > 5
+    with pytest.raises(TypeError):
+        line_dedup.dedup_lines(docs.withColumn("doc_id", F.lit("x")))
+
+
 def test_line_store_levels(spark, docs):
     from loomgraph.llm.scratch import fresh_path
 
@@ -515,6 +527,18 @@ def test_mixing(spark, docs, rows, empty):
     assert one.count() == len(rows)
 
 
+def test_mixing_by_radix_is_mixing_by_sorting(spark, monkeypatch):
+    rows = [(i // 2, "w " * (i % 5), ("a", "b")[i % 7 > 0], "theirs", i, i) for i in range(600)] + [(None, "w w", "a", None, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, mix_epoch string, _mix_0 int, mix_lang int")
+    run = lambda: mixing.mix(df, {"lang": F.col("lang")}, ({"a": 3.0},), share=0.37, max_epochs=2, seed=3)
+    want = run()
+    assert want.columns == [*df.columns, "mix_lang_", "mix_epoch_", "mix_tokens", "mix_budget"]
+    want = sorted(map(str, want.collect()))
+    monkeypatch.setattr(mixing, "SORTED", 0)
+    assert sorted(map(str, run().collect())) == want and all("theirs" in r or "None" in r for r in want)
+    assert mixing.mix(df, {"lang": F.col("lang")}, ({},), details=False).columns == df.columns
+
+
 def test_budget_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000)], "d string, s string, tokens long")
     got = {(r.d, r.s): r.budget for r in mixing.budgets(leaves, ["d", "s"], ({}, {}), F.lit(600.0), 1).collect()}
