@@ -159,6 +159,29 @@ def test_held_out_accuracy(spark):
 
 def test_near_duplicates_of_one_identifier(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
-    rows = [(7, text(0)), (7, text(1)), (3, text(1) + " more"), (9, text(2)), (9, text(3)), (9, text(3)), (None, text(3))]
+    rows = [(7, text(0)), (7, text(1)), (3, text(1) + " more"), (9, text(2)), (9, text(3)), (9, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (None, None), (5, None), (6, "")]
     got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
-    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[3], rows[4], rows[6]], key=str)
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[3], rows[4], rows[7], rows[9], rows[10], rows[11]], key=str)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and repeated texts, one doc_id for different texts, and columns called like those that stages make."""
+    clashes = ["score", "_row", "row", "id", "component", "name", "h", "part", "_mix_0", "mix_epoch", "key", "t", "text_", "n_tokens", "start", "_mix_taken"]
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(2).collect()]
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    texts = [(1, prose(1)), (1, prose(1)), (1, prose(2)), (2, "see " + items[0]), (2, prose(3)), (None, prose(4)), (None, items[1]), (None, None), (3, None), (4, ""), (5, "a b"), (6, "x " * 200_000), (7, prose(5) + " end")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashes)
+    rows = [(i, t, ("en", None)[k % 2], (None, f"src{k % 3}")[k % 4 > 0], k % 2, *("theirs" for _ in clashes)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema)
+    pairs = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    clean = pipeline.toxicity(spark, docs, DATA)
+    assert clean.columns == docs.columns and pairs(clean) == collections.Counter(texts)
+    once = pipeline.near_duplicates(spark, docs, DATA)
+    assert once.columns == docs.columns and pairs(once) == collections.Counter(set(texts))
+    pure = pipeline.decontamination(spark, docs, DATA)
+    assert pure.columns == docs.columns and pairs(pure) == collections.Counter(x for x in texts if x[1] not in ("see " + items[0], items[1]))
+    mixed_ = pipeline.mixing(spark, docs, DATA)
+    assert mixed_.columns == docs.columns and set(pairs(mixed_)) <= set(texts) and all(r.score == "theirs" for r in mixed_.collect())
+    assert pipeline.token_tables(spark, docs, DATA).count() == len(texts)
+    empty = docs.limit(0)
+    assert [f(spark, empty, DATA).count() for _, f in pipeline.STAGES] == [0] * 5
