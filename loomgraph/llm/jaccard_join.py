@@ -21,7 +21,7 @@ whole sequence).  Documents link when the Jaccard similarity is at least
    commonest cluster is a query against all groups with that token, another cluster and
    members of a fitting size.  A query opens a group only if its overlap with the group's
    union reaches what a link needs; of each cluster there one link suffices.  Tokens with
-   over ``HOT`` classes and groups with over ``HOT`` queries are dealt out in pieces, with
+   over ``HOT`` classes and groups with over ``GROUP`` queries are dealt out in pieces, with
    the smaller side (the token's clusters, the group's members) in each piece.
 5. Links become components by star contraction.
 
@@ -408,7 +408,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     asked = asking.join(index.select("tok", every.alias("piece"), "grp", "lo", "hi", "least", "most"), ["tok", "piece"]).filter("cluster != lo or cluster != hi").filter(fits)
     asked = stage(asked.select("key", "cluster", "grp").distinct(), "jaccard-asked")
 
-    load = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / HOT).alias("parts"))
+    load = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))  # as many queries a piece as members
     body = sets.select("key", "n", "toks")
     queries = asked.join(load, "grp").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("parts"))).join(body, "key").select("grp", "piece", F.lit(1).alias("kind"), "key", "cluster", "n", "toks")
     opened = load.join(groups.drop("n"), "grp").join(body, "key").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
