@@ -65,6 +65,7 @@ class DiscoverConfig:
     precision: str = "fast"
     verifier: str = "tprs_gcv"
     tau: float = 0.6931471805599453
+    trace: bool = False
 
     def __post_init__(self) -> None:
         if not 0 <= self.alpha <= 1:

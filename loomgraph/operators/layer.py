@@ -38,6 +38,20 @@ def combinations(items: Column, size: int) -> Column:
     return out
 
 
+def subsets(items: Column) -> Column:
+    """All subsets of an array of at most some 20 items, the empty one too, in the order of their bit masks."""
+    masks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.size(items)) - 1)
+    return F.transform(masks, lambda m: F.filter(items, lambda e, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+
+
+def choose(n: Column, k: int) -> Column:
+    """Binomial coefficient of a column, 0 where n < k."""
+    out = F.lit(1).cast("long")
+    for i in range(k):
+        out = F.floor(out * F.greatest(n - i, F.lit(0)) / (i + 1))
+    return out
+
+
 def set_key(s: Column) -> Column:
     return F.array_join(s, "|")
 
@@ -51,10 +65,25 @@ def layer_plan(edges: DataFrame, level: int) -> DataFrame:
     """
     near = neighbours(edges)
     sides = edges.select(F.col("x").alias("edge_x"), F.col("y").alias("edge_y"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit(1).alias("side"), F.col("y").alias("x"), F.col("x").alias("y")))))
-    pool = sides.join(near, F.col("x") == F.col("v")).withColumn("pool", F.array_remove("adj", F.col("y")))
-    tasks = pool.select("edge_x", "edge_y", "side", "x", "y", F.size("pool").alias("n_pool"), F.posexplode(combinations(F.col("pool"), level)).alias("nth", "s"))
-    order = Window.orderBy("edge_x", "edge_y", "side", "nth")  # a level's tasks: some 10^5 narrow rows at most
-    return tasks.select((F.row_number().over(order) - 1).cast("long").alias("task_id"), F.lit(level).alias("level"), "edge_x", "edge_y", "side", "x", "y", "s", ((F.col("nth") == 0) & (F.col("n_pool") > level)).alias("opens_next"))
+    pool = sides.join(near, F.col("x") == F.col("v")).withColumn("pool", F.array_remove("adj", F.col("y"))).withColumn("n_pool", F.size("pool")).drop("adj", "v")
+    # A side's tasks are numbered behind those of the sides before it, whose numbers are known without listing them.
+    order = Window.orderBy("edge_x", "edge_y", "side").rowsBetween(Window.unboundedPreceding, -1)  # two rows an edge
+    pool = pool.withColumn("first", F.coalesce(F.sum(choose(F.col("n_pool"), level)).over(order), F.lit(0)).cast("long"))
+    if level == 0:
+        tasks = pool.select("*", F.lit(0).cast("long").alias("nth"), F.array().cast("array<int>").alias("s"))
+    else:
+        # A row for each smallest member first, so that no row holds all sets of a side.
+        heads = pool.select("*", F.posexplode("pool").alias("at", "head")).filter(F.col("at") <= F.col("n_pool") - level)
+        rest = F.slice("pool", F.col("at") + 2, F.col("n_pool"))
+        skipped = choose(F.col("n_pool"), level) - choose(F.col("n_pool") - F.col("at"), level)
+        some = heads.select("*", skipped.alias("skipped"), F.posexplode(combinations(rest, level - 1)).alias("k", "tail"))
+        tasks = some.select("*", (F.col("skipped") + F.col("k")).alias("nth"), F.concat(F.array("head"), "tail").alias("s"))
+    return tasks.select((F.col("first") + F.col("nth")).cast("long").alias("task_id"), F.lit(level).alias("level"), "edge_x", "edge_y", "side", "x", "y", "s", ((F.col("nth") == 0) & (F.col("n_pool") > level)).alias("opens_next"))
+
+
+def in_pcalg_order(tasks: DataFrame) -> DataFrame:
+    """Tasks with ``rank``: their place by (x, y, set), the order in which random numbers are drawn elsewhere."""
+    return tasks.withColumn("rank", F.row_number().over(Window.orderBy("x", "y", "s")) - 1)
 
 
 def residual_requests(tasks: DataFrame) -> DataFrame:
@@ -81,10 +110,10 @@ def replay(tasks: DataFrame, alpha: float, na_delete: bool = True) -> DataFrame:
 
 
 def edge_outcome(consumed: DataFrame) -> DataFrame:
-    """Rows (x, y, n_tests, pmax, deleted, s) of a replayed level."""
+    """Rows (x, y, n_tests, pmax, deleted, s, opens) of a replayed level; ``opens``: whether a test of it opens the next level."""
     hit = F.col("task_id") == F.col("first_hit")
-    out = consumed.groupBy(F.col("edge_x").alias("x"), F.col("edge_y").alias("y")).agg(F.count(F.lit(1)).alias("n_tests"), F.max("p").alias("pmax"), F.max(hit.cast("int")).alias("d"), F.max(F.when(hit, F.struct("task_id", "s"))).alias("h"))
-    return out.select("x", "y", "n_tests", "pmax", (F.coalesce("d", F.lit(0)) == 1).alias("deleted"), F.col("h.s").alias("s"))
+    out = consumed.groupBy(F.col("edge_x").alias("x"), F.col("edge_y").alias("y")).agg(F.count(F.lit(1)).alias("n_tests"), F.max("p").alias("pmax"), F.max(hit.cast("int")).alias("d"), F.max(F.when(hit, F.struct("task_id", "s"))).alias("h"), F.max("opens_next").alias("opens"))
+    return out.select("x", "y", "n_tests", "pmax", (F.coalesce("d", F.lit(0)) == 1).alias("deleted"), F.col("h.s").alias("s"), "opens")
 
 
 def perm_seed(base: int, test_id: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import layer
+
 
 def skeleton_pdag(edges: DataFrame) -> DataFrame:
     """Both directions of each edge."""
@@ -88,3 +90,21 @@ def check_immor(pdag: DataFrame, asked: DataFrame) -> DataFrame:
     outer = items.join(d.select(F.col("a").alias("o"), F.col("b").alias("v")), "v").filter("m != o").select("v", "key", "m", "o")
     missing = inner.unionByName(outer).join(adj.select(F.col("a").alias("m"), F.col("b").alias("o")), ["m", "o"], "left_anti").select("v", "key").distinct().withColumn("bad", F.lit(True))
     return q.join(missing, ["v", "key"], "left").select("v", "s", F.col("bad").isNull().alias("ok"))
+
+
+def triple_tests(edges: DataFrame) -> DataFrame:
+    """Rows (x, y, z, s): for each unshielded triple x-y-z, x < z, the subsets of either end's other neighbours."""
+    t = unshielded_triples(skeleton_pdag(edges))
+    near = layer.neighbours(edges)
+    pool = lambda end, other: t.join(near, F.col(end) == F.col("v")).select("x", "y", "z", F.array_remove("adj", F.col(other)).alias("pool"))
+    return pool("x", "z").unionByName(pool("z", "x")).select("x", "y", "z", F.explode(layer.subsets(F.col("pool"))).alias("s")).distinct()
+
+
+def unfaithful(tests: DataFrame, alpha: float, majority: bool = False) -> DataFrame:
+    """Rows (x, y, z, share) of ambiguous triples, from triple tests with p.
+
+    Of the sets that separate the ends, ``share`` hold the middle: some but not all of them, or half of them by majority.
+    """
+    holds = F.array_contains("s", F.col("y")).cast("double")
+    share = tests.filter(F.col("p") >= alpha).groupBy("x", "y", "z").agg(F.avg(holds).alias("share"))
+    return share.filter(F.col("share") == 0.5 if majority else (F.col("share") > 0) & (F.col("share") < 1))

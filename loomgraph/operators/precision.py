@@ -67,9 +67,20 @@ def hybrid_provider(primary: Callable[[DataFrame], DataFrame], verifier: Callabl
 
     def provide(tasks: DataFrame) -> DataFrame:
         first = primary(tasks).persist()
+        kept.append(first)
         again = tasks.join(first, "task_id").filter(near_alpha(F.col("p"), alpha, tau) & (F.size("s") > 0)).drop("p")
         return verify(first, verifier(again), alpha, tau).select("task_id", F.col("p_final").alias("p"))
 
+    def close() -> None:
+        for df in kept:
+            df.unpersist()
+        kept.clear()
+        for part in (primary, verifier):
+            if hasattr(part, "close"):
+                part.close()
+
+    kept: list[DataFrame] = []
+    provide.close = close
     return provide
 
 

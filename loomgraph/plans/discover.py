@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, replace
+import pickle
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DiscoverConfig
+from ..config import CIConfig, DiscoverConfig
 from ..operators import precision
 from ..operators.ci import fisher_z, run_test
 from ..operators.residuals import residual
@@ -26,6 +28,7 @@ class Discovery:
     found: Skeleton
     orientation: Orientation | None
     info: DataFrame
+    cache: dict[str, int] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         spark = self.info.sparkSession
@@ -44,7 +47,7 @@ class Discovery:
         return self.info.sparkSession.createDataFrame([(self.labels[i], self.labels[j], int(g[i, j])) for i, j in zip(*np.nonzero(g), strict=True)], "a string, b string, mark int")
 
     def summary(self) -> dict[str, object]:
-        return {"variables": len(self.labels), "edges": len(self.found.edges), "levels": len(self.found.levels), "tests": sum(x[1] for x in self.found.levels), "oriented": self.orientation is not None, "settings": asdict(self.config)}
+        return {"variables": len(self.labels), "edges": len(self.found.edges), "levels": len(self.found.levels), "tests": sum(x[1] for x in self.found.levels), "oriented": self.orientation is not None, "regression_step": bool(self.orientation) and all(e[2] != "skipped" for e in self.orientation.events), "evaluated": sum(self.found.evaluated), "residual_cache": self.cache, "settings": asdict(self.config)}
 
 
 def discover(df: DataFrame, columns: Sequence[str] | None = None, config: DiscoverConfig = DiscoverConfig(), *, order_by: Sequence[str] = (), provider: Provider | None = None, labels: Sequence[str] | None = None) -> Discovery:
@@ -63,23 +66,44 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, config: Discov
         raise ValueError("as many labels as variables are needed")
     cfg = config
     data = None
+    backend = cfg.verifier if cfg.precision in ("compatible", "legacy") else cfg.residual
     if provider is None:
         if cfg.ci.method == "gauss" and cfg.residual == "linear":
             n, corr = moments(df.dropna(subset=cols), cols)
             provider = gauss_provider(n, corr)
         else:
             data = to_numpy(df, cols, order_by)
-            provider = matrix_provider(data, cfg.ci, cfg.verifier if cfg.precision in ("compatible", "legacy") else cfg.residual, cfg.spline)
+            provider = matrix_provider(data, cfg.ci, backend, cfg.spline)
             if cfg.precision == "hybrid":
                 provider = precision.hybrid_provider(provider, matrix_provider(data, cfg.ci, cfg.verifier, cfg.spline), cfg.alpha, cfg.tau)
-    found = search(spark, len(cols), provider, alpha=cfg.alpha, max_size=cfg.max_conditioning_size, na_delete=cfg.na_delete, gaps=cfg.fixed_gaps, fixed=cfg.fixed_edges, method=cfg.skeleton_method)
+    # Tests on the matrix are dear, so they go in waves; moments are not worth it.
+    waves = (128, 1024, 8192) if data is not None else ()
+    found = search(spark, len(cols), provider, alpha=cfg.alpha, max_size=cfg.max_conditioning_size, na_delete=cfg.na_delete, gaps=cfg.fixed_gaps, fixed=cfg.fixed_edges, method=cfg.skeleton_method, waves=waves, trace=cfg.trace)
     oriented = None
     if cfg.graph_stage == "wanpdag":
         odd: frozenset = frozenset()
-        if (cfg.conservative or cfg.majority) and data is not None:
-            odd = unfaithful_triples(found, _test_of(data, cfg), cfg.alpha, cfg.majority)
-        oriented = orient(found, data, alpha=cfg.alpha, ci=cfg.ci if cfg.ci.method != "hsic.clust" else replace(cfg.ci, method="hsic.gamma"), backend=cfg.residual, spline=cfg.spline, rules=cfg.rules, orient_collider=cfg.orient_collider, solve_confl=cfg.solve_confl, unfaithful=odd)
-    return Discovery(cfg, names, found, oriented, descriptor(df, cols))
+        if cfg.conservative or cfg.majority:
+            odd = unfaithful_triples(spark, found, provider, cfg.alpha, cfg.majority, cfg.na_delete)
+        # The regression step tests residuals against plain columns, with the residuals that the skeleton's tests use.
+        ci = cfg.ci if cfg.ci.method != "hsic.clust" else replace(cfg.ci, method="hsic.gamma")
+        settings = {"alpha": cfg.alpha, "ci": ci, "backend": backend, "spline": cfg.spline, "rules": cfg.rules, "orient_collider": cfg.orient_collider, "solve_confl": cfg.solve_confl, "unfaithful": odd}
+        bare = replace(found, traced=[])
+        oriented = orient(found, None, **settings) if data is None else on_executor(spark, lambda: orient(bare, data, **settings))
+    cache = provider.stats() if hasattr(provider, "stats") else {}
+    if data is not None:
+        provider.close()
+    return Discovery(cfg, names, found, oriented, descriptor(df, cols), cache)
+
+
+def on_executor(spark: SparkSession, f: Callable[[], object]) -> object:
+    """What ``f`` returns in a task: for steps that can't be divided and need more than the driver should do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"out": [pickle.dumps(f())]}, schema=pa.schema([("out", pa.binary())]))
+
+    return pickle.loads(bytes(spark.range(1, numPartitions=1).mapInArrow(run, "out binary").collect()[0].out))
 
 
 def _test_of(data: np.ndarray, cfg: DiscoverConfig) -> Callable[[int, int, tuple[int, ...]], float]:
@@ -92,7 +116,11 @@ def _test_of(data: np.ndarray, cfg: DiscoverConfig) -> Callable[[int, int, tuple
     return test
 
 
-def kernel_ci_test(data: np.ndarray, x: int, y: int, s: Sequence[int] = (), config: DiscoverConfig = DiscoverConfig()) -> float:
+#: Settings of a single test where none are given: permutations of distances, and tenths of the rows for ranks and clusters.
+SINGLE = DiscoverConfig(ci=CIConfig("dcc.perm", index=1.0, replicates=100, sig=1.0, eps=0.1))
+
+
+def kernel_ci_test(data: np.ndarray, x: int, y: int, s: Sequence[int] = (), config: DiscoverConfig = SINGLE) -> float:
     """p-value of one conditional-independence test."""
     return _test_of(np.asarray(data, float), config)(x, y, tuple(s))
 

@@ -1,8 +1,8 @@
 """Orientation of a skeleton: colliders, rules to a fixpoint, and the regression step.
 
 These steps write one after the other and look at what was written, on a graph of
-at most some hundred nodes; so they run on the driver's p x p array, and only the
-regressions and tests would be worth distributing.  The joins in
+at most some hundred nodes; so they run on one p x p array, in one task where
+there are regressions to do (``plans.discover``).  The joins in
 ``operators.patterns`` give the same patterns as tables.
 """
 
@@ -13,11 +13,14 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..config import CIConfig, SplineConfig
+from ..operators import layer, patterns
 from ..operators.ci import run_test
 from ..operators.residuals import residual
+from .providers import Provider
 from .skeleton import Skeleton
 
 Sepset = Callable[[int, int], tuple[int, ...]]
@@ -99,7 +102,7 @@ def orient_colliders(o: Orientation, sepset: Sepset, solve_confl: bool = False,
                 o.note("collider", "collider", x, y, z)
 
 
-def _rule1(o: Orientation, solve: bool) -> None:
+def _rule1(o: Orientation) -> None:
     g = o.pdag
     for a, b in _by_column(g, _arrow):
         for c in range(len(g)):
@@ -108,7 +111,7 @@ def _rule1(o: Orientation, solve: bool) -> None:
                 o.note("rules", "rule1", b, c, a)
 
 
-def _rule2(o: Orientation, solve: bool) -> None:
+def _rule2(o: Orientation) -> None:
     g = o.pdag
     for a, b in _by_column(g, _line):
         if _line(g, a, b) and any(_arrow(g, a, c) and _arrow(g, c, b) for c in range(len(g))):
@@ -116,7 +119,7 @@ def _rule2(o: Orientation, solve: bool) -> None:
             o.note("rules", "rule2", a, b)
 
 
-def _rule3(o: Orientation, solve: bool) -> None:
+def _rule3(o: Orientation) -> None:
     g = o.pdag
     for a, b in _by_column(g, _line):
         if not _line(g, a, b):
@@ -127,13 +130,13 @@ def _rule3(o: Orientation, solve: bool) -> None:
             o.note("rules", "rule3", a, b)
 
 
-def apply_rules(o: Orientation, rules: tuple[bool, bool, bool] = (True, True, True), solve_confl: bool = False) -> None:
-    """The chosen rules in turn until the graph stands still."""
+def apply_rules(o: Orientation, rules: tuple[bool, bool, bool] = (True, True, True)) -> None:
+    """The chosen rules in turn until the graph stands still; they point edges that are undirected still, so conflicts come from colliders alone."""
     while True:
         before = o.pdag.copy()
         for used, rule in zip(rules, (_rule1, _rule2, _rule3), strict=True):
             if used:
-                rule(o, solve_confl)
+                rule(o)
         if (before == o.pdag).all():
             return
 
@@ -164,7 +167,7 @@ def _subsets(items: list[int]) -> Iterator[tuple[int, ...]]:
         yield from combinations(items, k)
 
 
-def generalised_step(o: Orientation, rejections: Callable[[int, tuple[int, ...]], int], rules: tuple[bool, bool, bool], solve_confl: bool) -> None:
+def generalised_step(o: Orientation, rejections: Callable[[int, tuple[int, ...]], int], rules: tuple[bool, bool, bool]) -> None:
     """Orient undirected neighbours of nodes that regress to independence, small neighbourhoods first."""
     g = o.pdag
     p = len(g)
@@ -187,7 +190,7 @@ def generalised_step(o: Orientation, rejections: Callable[[int, tuple[int, ...]]
                     if u not in s and _line(g, u, v):
                         g[v, u], g[u, v] = 1, 0
                 o.note("regression", "accepted", v, -1, s=s)
-                apply_rules(o, rules, solve_confl)
+                apply_rules(o, rules)
                 near = around()
                 done[v] = True
                 break
@@ -202,34 +205,26 @@ def orient(sk: Skeleton, data: np.ndarray | None, *, alpha: float = 0.2, ci: CIC
     sep = lambda a, b: sk.sepsets.get((min(a, b), max(a, b)), ())
     if orient_collider:
         orient_colliders(o, sep, solve_confl, unfaithful)
-    apply_rules(o, rules, solve_confl)
-    if data is not None:
-        generalised_step(o, lambda v, s: regression_rejections(o, data, v, s, alpha, ci, backend, spline), rules, solve_confl)
+    apply_rules(o, rules)
+    if data is None:
+        o.note("regression", "skipped", -1, -1, accepted=False, message="there is no matrix to regress on")
+    else:
+        generalised_step(o, lambda v, s: regression_rejections(o, data, v, s, alpha, ci, backend, spline), rules)
     return o
 
 
-def unfaithful_triples(sk: Skeleton, test: Callable[[int, int, tuple[int, ...]], float], alpha: float, majority: bool = False) -> frozenset:
-    """Unshielded triples whose middle is in some but not all separating sets of the ends (or in half of them, by majority).
+def unfaithful_triples(spark: SparkSession, sk: Skeleton, provider: Provider, alpha: float, majority: bool = False, na_delete: bool = True) -> frozenset:
+    """The ambiguous unshielded triples (x, y, z) with x < z, by the published conservative and majority rules.
 
-    Sets are all subsets of either end's neighbours, as the published conservative and majority rules take them.
+    All tests go to the provider at once; each pair of ends is tested once given a set.
     """
-    g = adjacency(sk)
-    out = set()
-    for y in range(sk.p):
-        around = [v for v in range(sk.p) if g[v, y]]
-        for x, z in combinations(around, 2):
-            if g[x, z]:
-                continue
-            votes, tried = [], set()
-            for end, other in ((x, z), (z, x)):
-                pool = [u for u in range(sk.p) if g[end, u] and u != other]
-                for k in range(len(pool) + 1):
-                    for s in combinations(pool, k):
-                        if s not in tried:
-                            tried.add(s)
-                            if test(x, z, s) >= alpha:
-                                votes.append(y in s)
-            share = sum(votes) / len(votes) if votes else 0.0
-            if (share == 0.5 if majority else 0 < share < 1):
-                out.add((x, y, z))
-    return frozenset(out)
+    if not sk.edges:
+        return frozenset()
+    wanted = patterns.triple_tests(spark.createDataFrame(sorted(sk.edges), "x int, y int")).persist()
+    asked = wanted.select("x", F.col("z").alias("y"), "s").distinct()
+    asked = asked.withColumn("task_id", F.row_number().over(Window.orderBy("x", "y", "s")).cast("long") - 1).persist()  # two ends' subsets; numbers name permutations
+    tests = asked.join(provider(asked), "task_id").select("x", F.col("y").alias("z"), "s", layer.effective_p(F.col("p"), na_delete).alias("p"))
+    found = patterns.unfaithful(wanted.join(tests, ["x", "z", "s"]), alpha, majority).collect()  # triples of a graph
+    wanted.unpersist()
+    asked.unpersist()
+    return frozenset((r.x, r.y, r.z) for r in found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
@@ -13,34 +14,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CIConfig, SplineConfig
-from ..operators.ci import fisher_z, run_test
-from ..operators.residuals import residual
+from ..operators.ci import MATRIX_ROWS, fisher_z, paired, prepare, run_test
+from ..operators.residuals import residual, residuals
 
 Provider = Callable[[DataFrame], DataFrame]
 
 
+#: Bytes of residuals and of test parts that a task keeps.
+KEPT_BYTES = 256 << 20
+
+
+class _Kept:
+    """A cache of arrays, least recently used first to go; counts requests and makes."""
+
+    def __init__(self, make: Callable, size: Callable[[object], int]) -> None:
+        self.make, self.size, self.held, self.bytes, self.asked, self.made = make, size, OrderedDict(), 0, 0, 0
+
+    def get(self, *key):
+        self.asked += 1
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        self.made += 1
+        value = self.held[key] = self.make(*key)
+        self.bytes += self.size(value)
+        while self.bytes > KEPT_BYTES and len(self.held) > 1:
+            self.bytes -= self.size(self.held.popitem(last=False)[1])
+        return value
+
+
+#: What a worker keeps between tasks, by provider.
+_WORKER: dict[str, tuple[_Kept, _Kept, _Kept]] = {}
+
+
+def _all_residuals(x: np.ndarray, s: tuple[int, ...], backend: str, spline: SplineConfig) -> np.ndarray:
+    """Residuals of all columns given some, whose own places stay empty."""
+    out = np.full(x.shape, np.nan, order="F")
+    others = [j for j in range(x.shape[1]) if j not in s]
+    out[:, others] = residuals(x[:, others], x[:, list(s)], backend, spline)
+    return out
+
+
 def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None) -> Provider:
-    """Tests on the matrix, which every executor gets (its size is checked where it is read).
+    """Tests on the matrix, which every executor gets once (its size is checked where it is read).
 
-    Tasks are dealt out by conditioning set, so that a set's residuals are fitted
-    once, and evaluated in Arrow batches.
+    Tasks are dealt out by conditioning set, and by x where there are fewer sets than tasks to
+    run at a time.  A worker fits a set's residuals once (for linear and spline fits, all
+    columns' together) and makes a residual's part of the test (its distances or kernel) once,
+    as far as ``KEPT_BYTES`` hold them.  ``provide.stats()`` tells residuals asked for and fitted, so
+    far, and ``provide.close()`` frees the matrix.
     """
+    x = np.asarray(data, float)
+    p = x.shape[1]
+    shared = backend != "tprs_gcv"
+    uid = uuid.uuid4().hex
+    state: dict = {}
 
     def provide(tasks: DataFrame) -> DataFrame:
         spark = tasks.sparkSession
-        held = spark.sparkContext.broadcast(np.asarray(data, float))
+        if not state:
+            sc = spark.sparkContext
+            state.update(held=sc.broadcast(x), asked=sc.accumulator(0), made=sc.accumulator(0))
+        held, asked, made = state["held"], state["asked"], state["made"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = held.value
-            memo: OrderedDict[tuple, np.ndarray] = OrderedDict()
+            if uid not in _WORKER:
+                _WORKER.clear()  # one provider's at a time
+                _WORKER[uid] = (_Kept(lambda s: _all_residuals(x, s, backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: residual(x[:, t], x[:, list(s)], backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: prepare(of(t, s), ci), lambda part: part.matrix.nbytes))
+            sets, fits, parts = _WORKER[uid]
 
             def of(target: int, s: tuple[int, ...]) -> np.ndarray:
-                if (target, s) not in memo:
-                    memo[target, s] = residual(x[:, target], x[:, list(s)], backend, spline) if s else x[:, target]
-                    if len(memo) > 2048:
-                        memo.popitem(last=False)
-                return memo[target, s]
+                if not s:
+                    return x[:, target]
+                return sets.get(s)[:, target] if shared else fits.get(target, s)
 
+            seen = (sets.asked + fits.asked, sets.made + fits.made)
+            plain = ci.method == "dcc.gamma" and len(x) > MATRIX_ROWS
             for batch in batches:
                 ps = []
                 for t, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("task_id", "x", "y", "s")), strict=True):
@@ -51,13 +101,21 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
                     elif ci.method == "gauss":
                         r = float(np.corrcoef(of(a, key), of(b, key))[0, 1])
                         ps.append(fisher_z(r, len(x), len(key)))
-                    else:
+                    elif plain:
                         ps.append(run_test(of(a, key), of(b, key), cfg).p_value)
+                    else:
+                        ps.append(paired(parts.get(a, key), parts.get(b, key), cfg).p_value)
                 yield pa.RecordBatch.from_arrays([batch.column("task_id"), pa.array(ps, pa.float64())], names=["task_id", "p"])
+            asked.add(sets.asked + fits.asked - seen[0])
+            made.add(sets.made + fits.made - seen[1])
 
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return tasks.select("task_id", "x", "y", "s").repartition(n, F.array_join("s", "|"), F.col("task_id") % 4).mapInArrow(run, "task_id long, p double")
+        # Pieces of a set, by its size: there are at most C(p, size) sets.
+        pieces = F.element_at(F.array(*(F.lit(max(1, -(-4 * n // math.comb(p, k)))) for k in range(p + 1))), F.size("s") + 1)
+        return tasks.select("task_id", "x", "y", "s").repartition(n, F.array_join("s", "|"), F.pmod(F.xxhash64(F.least("x", "y")), pieces)).mapInArrow(run, "task_id long, p double")
 
+    provide.stats = lambda: {"requests": state["asked"].value, "fits": state["made"].value} if state else {"requests": 0, "fits": 0}
+    provide.close = lambda: state.pop("held").destroy() if "held" in state else None
     return provide
 
 
@@ -68,12 +126,19 @@ def gauss_provider(n: int, corr: np.ndarray) -> Provider:
     def provide(tasks: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ps = []
-                for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "s")), strict=True):
-                    at = [a, b, *s]
-                    inv = np.linalg.pinv(corr[np.ix_(at, at)])
-                    d = inv[0, 0] * inv[1, 1]
-                    ps.append(fisher_z(-inv[0, 1] / math.sqrt(d), n, len(s)) if d > 0 else math.nan)
+                x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+                given = batch.column("s")
+                size = np.diff(given.offsets.to_numpy())
+                ps = np.full(len(batch), np.nan)
+                for k in np.unique(size):  # sets of one size at a time
+                    rows = np.flatnonzero(size == k)
+                    s = given.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), k)
+                    at = np.column_stack((x[rows], y[rows], s)).astype(int)
+                    inv = np.linalg.pinv(corr[at[:, :, None], at[:, None, :]], hermitian=True)
+                    d = inv[:, 0, 0] * inv[:, 1, 1]
+                    fine = d > 0
+                    r = -inv[fine, 0, 1] / np.sqrt(d[fine])
+                    ps[rows[fine]] = [fisher_z(float(v), n, int(k)) for v in r]
                 yield pa.RecordBatch.from_arrays([batch.column("task_id"), pa.array(ps, pa.float64())], names=["task_id", "p"])
 
         return tasks.select("task_id", "x", "y", "s").mapInArrow(run, "task_id long, p double")

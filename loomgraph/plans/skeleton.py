@@ -1,4 +1,4 @@
-"""The level loop: plan, p-values, replay, deletion, until no test opens another level.
+"""The level loop: plan, p-values in waves, replay, deletion, until no test opens another level.
 
 Between levels the driver holds at most p(p-1)/2 edges; tests and p-values stay in
 tables.  So results do not depend on how tasks were dealt out.
@@ -6,16 +6,21 @@ tables.  So results do not depend on how tasks were dealt out.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import resolve_max_size
 from ..operators import layer
 from .providers import Provider
 
+#: Planned tests of a level up to which a trace is kept on the driver; beyond, it is a query that runs the level again.
+TRACED = 100_000
+
 
 @dataclass
 class Skeleton:
@@ -26,6 +31,8 @@ class Skeleton:
     sepsets: dict[tuple[int, int], tuple[int, ...]] = field(default_factory=dict)
     pmax: dict[tuple[int, int], float] = field(default_factory=dict)
     levels: list[tuple[int, int, int, int]] = field(default_factory=list)
+    evaluated: list[int] = field(default_factory=list)
+    traced: list[DataFrame] = field(default_factory=list)
     deletions: list[tuple[int, int, int, tuple[int, ...], float]] = field(default_factory=list)
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
@@ -35,17 +42,31 @@ class Skeleton:
             "sepsets": make([(*k, list(v)) for k, v in sorted(self.sepsets.items())], "x int, y int, s array<int>"),
             "pmax": make([(*k, v) for k, v in sorted(self.pmax.items())], "x int, y int, p double"),
             "levels": make(self.levels, "level int, n_tests long, n_planned long, n_deleted long"),
+            "evaluated": make(list(enumerate(self.evaluated)), "level int, n_evaluated long"),
+            "ci_results": self.ci_results(spark),
             "deletions": make([(a, b, c, list(s), q) for a, b, c, s, q in self.deletions], "level int, x int, y int, s array<int>, p double"),
         }
 
 
+    def ci_results(self, spark: SparkSession) -> DataFrame:
+        """Rows (level, task_id, x, y, s, p, deletes) of the tests that a sequential search runs, if they were traced."""
+        out = spark.createDataFrame([], "level int, task_id long, x int, y int, s array<int>, p double, deletes boolean")
+        for part in self.traced:
+            out = out.unionByName(part)
+        return out
+
+
 def _pairs(pairs: Sequence[tuple[int, int]]) -> set[tuple[int, int]]:
     return {(min(a, b), max(a, b)) for a, b in pairs}
 
 
-def search(spark: SparkSession, p: int, provider: Provider, *, alpha: float, max_size: float = float("inf"), na_delete: bool = True, gaps: Sequence[tuple[int, int]] = (), fixed: Sequence[tuple[int, int]] = (), method: str = "stable") -> Skeleton:
+def search(spark: SparkSession, p: int, provider: Provider, *, alpha: float, max_size: float = float("inf"), na_delete: bool = True, gaps: Sequence[tuple[int, int]] = (), fixed: Sequence[tuple[int, int]] = (), method: str = "stable", waves: Sequence[int] = (), trace: bool = False) -> Skeleton:
     """The skeleton over variables 0 to p-1.
 
+    ``waves``: a level's tests are run so many an edge at a time (the last number again and
+    again), and not for edges that a wave has decided; () runs all at once.  Results are the
+    same.  ``trace`` keeps a row for each test in ``ci_results``.
+
     ``method``: 'stable' deletes after each level; 'original' at once, edge by edge, so its result depends on the variables' order.
     """
     top = resolve_max_size(max_size, p)
@@ -57,29 +78,64 @@ def search(spark: SparkSession, p: int, provider: Provider, *, alpha: float, max
         if method == "original":
             opens = _original_level(spark, out, provider, level, alpha, na_delete, keep)
         else:
-            opens = _stable_level(spark, out, provider, level, alpha, na_delete, keep)
+            opens = _stable_level(spark, out, provider, level, alpha, na_delete, keep, waves, trace)
         if not opens:
             break
     return out
 
 
-def _stable_level(spark, out, provider, level, alpha, na_delete, keep) -> bool:
-    edges = spark.createDataFrame(sorted(out.edges), "x int, y int")
-    plan = layer.layer_plan(edges, level)
-    if keep:
-        fixed = spark.createDataFrame(sorted(keep), "edge_x int, edge_y int")
-        plan = plan.join(fixed, ["edge_x", "edge_y"], "left_anti")
-    plan = plan.persist()
+def _in_waves(plan: DataFrame, provider: Provider, alpha: float, na_delete: bool, waves: Sequence[int], most: int, held: list[DataFrame]) -> DataFrame:
+    """Rows (task_id, p) of the tests that may count."""
+    spark = plan.sparkSession
+    ranked = plan.withColumn("rank", F.col("task_id") - F.min("task_id").over(Window.partitionBy("edge_x", "edge_y"))).persist()
+    held.append(ranked)
+    at, k, decided, got = 0, 0, [], None
+    while at < most:
+        step = waves[min(k, len(waves) - 1)]
+        part = ranked.filter((F.col("rank") >= at) & (F.col("rank") < at + step))
+        if decided:
+            part = part.join(spark.createDataFrame(decided, "edge_x int, edge_y int"), ["edge_x", "edge_y"], "left_anti")
+        p = provider(part).persist()
+        held.append(p)
+        got = p if got is None else got.unionByName(p)
+        if at + step < most:
+            hits = part.join(p, "task_id").filter(layer.effective_p(F.col("p"), na_delete) >= alpha).select("edge_x", "edge_y").distinct().collect()  # edges
+            decided += [(r.edge_x, r.edge_y) for r in hits]
+        at, k = at + step, k + 1
+    return got
+
+
+def _stable_level(spark, out, provider, level, alpha, na_delete, keep, waves, trace) -> bool:
+    tested = sorted(out.edges - keep)
+    degree = Counter(v for e in out.edges for v in e)
+    each = [math.comb(degree[x] - 1, level) + math.comb(degree[y] - 1, level) for x, y in tested]
+    planned, most = sum(each), max(each, default=0)
+    if not planned:
+        return False
+    plan = layer.layer_plan(spark.createDataFrame(sorted(out.edges), "x int, y int"), level)
+    if len(tested) < len(out.edges):
+        plan = plan.join(spark.createDataFrame(tested, "edge_x int, edge_y int"), ["edge_x", "edge_y"], "left_semi")
+    held = [plan.persist()]
     try:
-        planned = plan.count()
-        if not planned:
-            return False
-        consumed = layer.replay(plan.join(provider(plan), "task_id"), alpha, na_delete).persist()
-        rows = layer.edge_outcome(consumed).orderBy("x", "y").collect()  # one row an edge
-        opens = bool(consumed.filter("opens_next").limit(1).count())
-        consumed.unpersist()
+        if waves and most > waves[0]:
+            p = _in_waves(plan, provider, alpha, na_delete, waves, most, held)
+        else:
+            p = provider(plan).persist()
+            held.append(p)
+        consumed = layer.replay(plan.join(p, "task_id"), alpha, na_delete)
+        if trace:
+            consumed = consumed.persist()
+            held.append(consumed)
+        rows = layer.edge_outcome(consumed).collect()  # one row an edge
+        rows.sort(key=lambda r: (r.x, r.y))
+        opens = any(r.opens for r in rows)
+        out.evaluated.append(p.count())
+        if trace:
+            kept = consumed.select("level", "task_id", "x", "y", "s", "p", F.coalesce(F.col("task_id") == F.col("first_hit"), F.lit(False)).alias("deletes"))
+            out.traced.append(spark.createDataFrame(kept.collect(), kept.schema) if planned <= TRACED else kept)
     finally:
-        plan.unpersist()
+        for df in held:
+            df.unpersist()
     gone = 0
     for r in rows:
         e = (r.x, r.y)

@@ -77,7 +77,7 @@ def to_numpy(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] = ()
     picked = df.orderBy(*order_by) if order_by else df
     out = picked.select(*(F.col(f"`{c}`").cast("double") for c in columns)).toPandas().to_numpy(float)
     if not np.isfinite(out).all():
-        raise ValueError("Data contains missing or infinite values")
+        raise ValueError("every value must be a finite number")
     return out
 
 

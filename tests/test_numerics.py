@@ -39,11 +39,11 @@ def test_dcov_against_definition():
 
 
 def test_errors():
-    with pytest.raises(ValueError, match="n > 5"):
+    with pytest.raises(ValueError, match="six rows"):
         ci.dcov_gamma(np.arange(5.0), np.arange(5.0))
-    with pytest.raises(ValueError, match="missing or infinite"):
+    with pytest.raises(ValueError, match="finite number"):
         ci.dcov_gamma([1, 2, 3, 4, 5, np.nan], np.arange(6.0))
-    with pytest.raises(ValueError, match="agree"):
+    with pytest.raises(ValueError, match="differ"):
         ci.hsic_gamma(np.arange(6.0), np.arange(7.0))
     with pytest.raises(ValueError):
         CIConfig("other")

@@ -151,7 +151,7 @@ def test_pattern_joins_agree_with_the_array_rules(spark):
         # A sequential pass may go on from what it wrote; it starts only where the join finds something.
         for join, rule in ((patterns.rule1, orientation._rule1), (patterns.rule2, orientation._rule2), (patterns.rule3, orientation._rule3)):
             o = orientation.Orientation(g.copy())
-            rule(o, False)
+            rule(o)
             found = {(r.a, r.b) for r in join(df).collect()}
             assert bool(found) == bool(o.events)
             assert not o.events or o.events[0][3:5] in found
