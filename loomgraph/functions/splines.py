@@ -148,3 +148,13 @@ def tprs_design(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndar
         pens.append(full)
         at += m
     return x, pens
+
+
+def tensor_col(a: Column, b: Column) -> Column:
+    """The row of a tensor product basis from two basis rows."""
+    return F.flatten(F.transform(a, lambda u: F.transform(b, lambda v: u * v)))
+
+
+def additive_col(*rows: Column) -> Column:
+    """The row of a sum of smooths from their basis rows."""
+    return F.concat(*rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +32,9 @@ def workload_census(tasks: DataFrame) -> DataFrame:
 
 def campaign_grid(spark: SparkSession, axes: Mapping[str, Sequence[object]]) -> DataFrame:
     """All combinations of some settings' values."""
-    out: DataFrame | None = None
-    for name, values in axes.items():
-        axis = spark.createDataFrame([(v,) for v in values], [name])
-        out = axis if out is None else out.crossJoin(axis)  # settings, a few each
-    if out is None:
+    if not axes:
         raise ValueError("a grid needs an axis")
-    return out
+    return spark.createDataFrame(list(product(*axes.values())), list(axes))  # settings, a few each
 
 
 def safe_runs(settings: Iterable[object], run: Callable[[object], Mapping[str, object]]) -> list[dict[str, object]]:
@@ -104,3 +101,62 @@ def decision(rows: DataFrame, limits: Mapping[str, float]) -> DataFrame:
 def fingerprint(parts: Sequence[Column]) -> Column:
     """A hash identity of some values."""
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
+
+
+def census_maps(tasks: DataFrame) -> DataFrame:
+    """Rows (task_id, side, target, s_key, identity): which residual each side of each test asks for."""
+    asked = tasks.select("task_id", F.array_join("s", "|").alias("s_key"), F.inline(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("target")) for c in ("x", "y")))))
+    return asked.withColumn("identity", F.sha2(F.concat_ws("#", F.col("target").cast("string"), "s_key"), 256))
+
+
+def request_counts(tasks: DataFrame) -> DataFrame:
+    """By level: residuals that tests with a set ask for, distinct ones (what a cache fits), hits and hit rate."""
+    asked = tasks.filter(F.size("s") > 0).select("level", F.explode(F.array("x", "y")).alias("target"), F.array_join("s", "|").alias("s_key"))
+    per = asked.groupBy("level", "target", "s_key").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("level").agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("fits")).withColumn("hits", F.col("requests") - F.col("fits")).withColumn("hit_rate", F.col("hits") / F.col("requests"))
+
+
+#: Limits of the two decisions below.
+LINEAR_SHARE, TARGETS_P95, UNSUPPORTED_SHARE = 0.5, 4.0, 0.25
+FLOOR_LEAST, ORACLE_LEAST, SHD_LEAST = 0.10, 0.05, 1.0
+
+
+def batching_decision(timing: DataFrame, workload: DataFrame) -> DataFrame:
+    """One row: whether solving many targets of a setup together is worth it.
+
+    ``timing``: total_ms, linear_solve_ms, setup_ms, ci_ms, of which the longest run counts;
+    ``workload``: targets_p95, supported, unsupported.  Without rows: 'defer'.
+    """
+    longest = timing.agg(F.max_by(F.struct("total_ms", "linear_solve_ms", "setup_ms", "ci_ms"), "total_ms").alias("t"))
+    load = workload.agg(F.max("targets_p95").alias("p95"), F.sum("supported").alias("yes"), F.sum("unsupported").alias("no"))
+    t = lambda c: F.col(f"t.{c}")
+    share = t("linear_solve_ms") / F.greatest(t("total_ms"), F.lit(2.220446049250313e-16))
+    refused = F.col("no") / F.greatest(F.lit(1.0), F.col("yes") + F.col("no"))
+    why = (
+        F.when(F.col("t").isNull() | F.col("p95").isNull(), "no evidence").when(t("setup_ms") >= F.greatest(t("linear_solve_ms"), t("ci_ms")), "setup takes longest")
+        .when(t("ci_ms") >= F.greatest(t("linear_solve_ms"), t("setup_ms")), "tests take longest").when(share < LINEAR_SHARE, "solving takes too little")
+        .when(F.col("p95") < TARGETS_P95, "too few targets a setup").when(refused > UNSUPPORTED_SHARE, "too many tests are unsupported")
+    )
+    return longest.crossJoin(load).select(F.when(why.isNull(), "proceed").otherwise("defer").alias("decision"), F.coalesce(why, F.lit("solving dominates")).alias("reason"), share.alias("linear_share"), F.col("p95").alias("targets_p95"), refused.alias("unsupported_share"))  # one row each
+
+
+def approximation_decision(rows: DataFrame) -> DataFrame:
+    """One row: 'investigate' if the basis limits fits, a better smoothing parameter would not help, and graphs differ (rows floor, oracle, flip, shd)."""
+    m = rows.agg(*(F.avg(c).alias(c) for c in ("floor", "oracle", "flip", "shd")))
+    over = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(False))
+    return m.withColumns({"basis_limits": over("floor", FLOOR_LEAST), "smoothing_helps": over("oracle", ORACLE_LEAST), "graphs_differ": over("shd", SHD_LEAST)}).withColumn("decision", F.when(F.col("basis_limits") & ~F.col("smoothing_helps") & F.col("graphs_differ"), "investigate").otherwise("defer"))
+
+
+def flatten_list(runs: DataFrame, column: str, key: str = "run_id") -> DataFrame:
+    """A row for each struct of a run's list (levels, batches, events, tests), with its place; runs without any give none."""
+    return runs.select(key, F.posexplode(column).alias("nth", "item")).select(key, "nth", "item.*")
+
+
+def flatten_map(runs: DataFrame, column: str, key: str = "run_id") -> DataFrame:
+    """A row (key, name, value) for each entry of a run's map (timings, settings)."""
+    return runs.select(key, F.explode(column).alias("name", "value"))
+
+
+def flatten_struct(runs: DataFrame, column: str, key: str = "run_id") -> DataFrame:
+    """A row for each run, with the fields of a struct (cache counters) as columns; runs without one give nulls."""
+    return runs.select(key, f"{column}.*")

@@ -74,3 +74,29 @@ def trace_faults(plan: DataFrame, trace: DataFrame) -> DataFrame:
     unknown = trace.join(plan.select(*keys), keys, "left_anti").select(*keys).withColumn("fault", F.lit("not planned"))
     twice = trace.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*keys).withColumn("fault", F.lit("run twice"))
     return unknown.unionByName(twice)
+
+
+def graph_diff(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
+    """One row that compares two searches: tables edges (x, y), pmax (x, y, p), sepsets (x, y, s), levels (n_tests)."""
+    edges = adjacency_diff(a["edges"], b["edges"])
+    count = lambda s: F.sum((F.col("status") == s).cast("long"))
+    shape = edges.agg(*(F.coalesce(count(s), F.lit(0)).alias(s) for s in ("added", "removed", "unchanged"))).withColumn("shd", F.col("added") + F.col("removed"))
+    tests = [t["levels"].agg(F.coalesce(F.sum("n_tests"), F.lit(0)).alias(n)) for t, n in ((a, "tests_a"), (b, "tests_b"))]
+    out = shape.crossJoin(pmax_summary(a["pmax"], b["pmax"])).crossJoin(sepset_mismatch_rate(a["sepsets"], b["sepsets"])).crossJoin(tests[0]).crossJoin(tests[1])  # one row each
+    return out.select("added", "removed", "unchanged", "shd", F.struct("max_abs", "mean_abs", F.col("n").alias("pairs")).alias("pmax"), F.struct("mismatch_rate", "pairs").alias("sepsets"), (F.col("tests_b") - F.col("tests_a")).alias("tests_delta"))
+
+
+def log_p_drift(p_a: Column, p_b: Column) -> Column:
+    """How far two p-values are apart on the log scale; zeros count as the smallest normal double."""
+    least = F.lit(2.2250738585072014e-308)
+    return F.abs(F.log(F.greatest(p_b, least)) - F.log(F.greatest(p_a, least)))
+
+
+def adjacency_faults(start: DataFrame, deletions: DataFrame, end: DataFrame) -> DataFrame:
+    """Rows (x, y, fault): where the deletions of a trace do not lead from one edge table to another."""
+    want = start.select("x", "y").join(deletions.select("x", "y"), ["x", "y"], "left_anti")
+    tag = lambda df, s: df.select("x", "y").withColumn("fault", F.lit(s))
+    gone = tag(want.join(end, ["x", "y"], "left_anti"), "lost without a deletion")
+    kept = tag(end.join(want, ["x", "y"], "left_anti"), "kept though deleted")
+    twice = tag(deletions.groupBy("x", "y").count().filter("count > 1"), "deleted twice")
+    return gone.unionByName(kept).unionByName(twice)

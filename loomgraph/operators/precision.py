@@ -95,3 +95,37 @@ def fallback_chain(tasks: DataFrame, providers: list[Callable[[DataFrame], DataF
         done = fine if done is None else done.unionByName(fine)
         left = got.filter(_odd(F.col("p"))).drop("p")
     return done if done is not None else tasks.select("task_id", F.lit(math.nan).alias("p"), F.lit(0).alias("attempts"))
+
+
+#: What the exact regression is made for.
+FORMULA_CLASSES, MOST_GIVEN, PENALTIES = ("direct", "full", "additive"), 2, 1
+
+
+def envelope(family: Column, link: Column, formula: Column, given: Column, penalties: Column, version_known: Column, allow_canary: bool = False) -> Column:
+    """Struct (status, action, failed): whether a fit lies within what the verifier supports, and which checks say no."""
+    checks = {"version": version_known, "family": family == "gaussian", "link": link == "identity", "formula": formula.isin(*FORMULA_CLASSES), "given": given <= MOST_GIVEN, "penalties": penalties == PENALTIES}
+    failed = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())), lambda n: n.isNotNull())
+    fine = F.size(failed) == 0
+    other = ("canary", "warn") if allow_canary else ("unsupported", "fall back")
+    return F.struct(F.when(fine, "supported").otherwise(other[0]).alias("status"), F.when(fine, "run").otherwise(other[1]).alias("action"), failed.alias("failed"))
+
+
+def formula_col(target: Column, given: Column) -> Column:
+    """``formula_text`` of variable numbers, as x0, x1 and so on; one smooth of up to two, a sum beyond; a constant for none."""
+    names = F.transform(given, lambda v: F.concat(F.lit("x"), v.cast("string")))
+    each = F.array_join(F.transform(names, lambda n: F.concat(F.lit("s("), n, F.lit(")"))), " + ")
+    right = F.when(F.size(given) == 0, "1").when(F.size(given) <= 2, F.concat(F.lit("s("), F.array_join(names, ","), F.lit(")"))).otherwise(each)
+    return F.concat(F.lit("x"), target.cast("string"), F.lit(" ~ "), right)
+
+
+def inject(provider: Callable[[DataFrame], DataFrame], broken: Column, value: float | None) -> Callable[[DataFrame], DataFrame]:
+    """A provider that gives ``value`` (null, nan, infinity) where ``broken``, a condition on task_id, holds."""
+    return lambda tasks: provider(tasks).withColumn("p", F.when(broken, F.lit(value).cast("double")).otherwise(F.col("p")))
+
+
+def snapshot(consumed: DataFrame) -> DataFrame:
+    """Rows (edge_x, edge_y, deleted, n_tests, identity) of a replay: what a later run must give again."""
+    last = F.max(F.struct("task_id", F.array_join("s", "|").alias("s_key"), "p"))
+    out = consumed.groupBy("edge_x", "edge_y").agg(F.max(F.coalesce(F.col("task_id") == F.col("first_hit"), F.lit(False))).alias("deleted"), F.count(F.lit(1)).alias("n_tests"), last.alias("last"))
+    name = F.concat_ws("#", F.col("edge_x").cast("string"), F.col("edge_y").cast("string"), F.col("deleted").cast("string"), F.col("n_tests").cast("string"), F.col("last.task_id").cast("string"), F.col("last.s_key"))
+    return out.select("edge_x", "edge_y", "deleted", "n_tests", F.sha2(name, 256).alias("identity"))

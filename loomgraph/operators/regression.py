@@ -35,3 +35,17 @@ def ols_residual(df: DataFrame, y: str, given: Sequence[str]) -> DataFrame:
     for c, b in zip(given, beta[1:], strict=True):
         fitted = fitted + F.lit(float(b)) * F.col(c)
     return df.withColumn("resid", F.col(y) - fitted)
+
+
+def ols_residuals(df: DataFrame, ys: Sequence[str], given: Sequence[str]) -> DataFrame:
+    """``df`` with ``resid_<y>`` for several targets of one set: their moments come from one aggregate."""
+    cols: list[Column] = [F.lit(1.0), *(F.col(c).cast("double") for c in given)]
+    targets = [F.col(y).cast("double") for y in ys]
+    k = len(cols)
+    gram = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
+    row = df.agg(*gram, *(F.sum(cols[i] * t).alias(f"t{i}_{n}") for i in range(k) for n, t in enumerate(targets))).first()
+    g = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    right = np.array([[row[f"t{i}_{n}"] or 0.0 for n in range(len(ys))] for i in range(k)])
+    beta = np.linalg.lstsq(g, right, rcond=None)[0]
+    fits = {f"resid_{y}": F.col(y) - sum((F.lit(float(b)) * c for b, c in zip(beta[:, n], cols, strict=True)), F.lit(0.0)) for n, y in enumerate(ys)}
+    return df.withColumns(fits)

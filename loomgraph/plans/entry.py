@@ -261,24 +261,12 @@ def _(spark, sf):
     return s.select("a", "x", _r(gamma_upper(F.col("a"), F.col("x"))).alias("q"))
 
 
-@query("pairwise_dcov_matrix")
-def _(spark, sf):
-    data = suppliers(spark, sf)
-    edges = layer.complete_graph(layer.variables(spark, 5))
-    plan = layer.layer_plan(edges, 0).filter("side = 0")
-    from ..sources.matrix import to_numpy
-    from .providers import matrix_provider
-
-    p = matrix_provider(to_numpy(data, FIVE, ["i"]), CIConfig())(plan)
-    return plan.join(p, "task_id").select("x", "y", _r("p", 8).alias("p"))
-
-
 @query("dcov_by_region")
 def _(spark, sf):
     from ..functions.udfs import dcov_pvalue, hsic_pvalue
 
     m = suppliers(spark, sf).join(_t(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), "s_nationkey"), "i").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return m.groupBy("n_regionkey").agg(F.round(dcov_pvalue("v1", "v2"), 8).alias("dcov_p"), F.round(hsic_pvalue("v1", "v2"), 8).alias("hsic_p"))
+    return m.groupBy("n_regionkey").agg(_r(dcov_pvalue("v1", "v2")).alias("dcov_p"), _r(hsic_pvalue("v1", "v2")).alias("hsic_p"))
 
 
 @query("combos_udtf", "WITH r AS (SELECT n_regionkey AS region, n_nationkey AS k FROM nation), c AS (SELECT a.region, a.k AS a, b.k AS b FROM r a JOIN r b ON a.region = b.region AND a.k < b.k) SELECT region, row_number() OVER (PARTITION BY region ORDER BY a, b) - 1 AS nth, a || '|' || b AS s_key FROM c")
@@ -489,7 +477,7 @@ def _(spark, sf):
 
 def _discovery(residual: str, method: str, precision_mode: str = "fast"):
     def run(spark, sf):
-        cfg = DiscoverConfig(alpha=0.1, max_conditioning_size=2, ci=CIConfig(method, replicates=20), residual=residual, precision=precision_mode)
+        cfg = DiscoverConfig(alpha=0.1, max_conditioning_size=2, ci=CIConfig(method), residual=residual, precision=precision_mode)
         out = discover(suppliers(spark, sf), FIVE, cfg, order_by=["i"])
         return out.pdag()
 
@@ -733,3 +721,6 @@ def _(spark, sf):
 def _(spark, sf):
     out = window_moments(_t(spark, sf, "events"), "ts", ["value", "user_id"], "1 day")
     return out.select("start", "n", _r("c_0_1").alias("c"))
+
+
+from . import more  # noqa: E402, F401  (registers more queries with the helpers above)
