@@ -13,7 +13,7 @@ whole sequence).  Documents link when the Jaccard similarity is at least
    first ``n - ceil(n * percent / 100) + 1`` tokens (the prefix), as any global order does it.
 3. Grouping.  Classes are dealt out by their smallest token hash and linked with a
    leader there, in a few rounds with other hashes, leaders alone going on; a hash with
-   over ``HOT`` classes is dealt out in pieces.  What that connects is a cluster.  Parts
+   over ``HOT`` classes is dealt out in as many pieces as bring each below that.  What that connects is a cluster.  Parts
    of a large cluster, and classes of small ones with one hash, form groups of some
    ``GROUP`` similar members: the columns of the matrix.  Each group stores its members'
    token union.
@@ -268,7 +268,17 @@ def _smallest(blobs: list[bytes], seed: int) -> np.ndarray:
     return np.array([int(mix(np.frombuffer(b, np.uint64) ^ turn).min()) >> 1 for b in blobs], np.int64)
 
 
-def _min_hash(seed: int, hot: np.ndarray | None):
+def _tiers(counts: DataFrame) -> list[tuple[np.ndarray, int]]:
+    """For hashes (h, count) of over ``HOT`` classes, filters and numbers of pieces, so that a piece has some ``HOT`` at most."""
+    most = counts.agg(F.max("count").alias("c")).first().c or 0
+    out, pieces = [], 1
+    while most > HOT * pieces:
+        out.append((bit_filter(counts.filter(F.col("count") > HOT * pieces).select("h")), pieces * PIECES))
+        pieces *= PIECES
+    return out
+
+
+def _min_hash(seed: int, hot: list[tuple[np.ndarray, int]] | None):
     """A class's smallest token hash under a seed; with ``hot``, the whole row, and hot hashes in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +287,12 @@ def _min_hash(seed: int, hot: np.ndarray | None):
             if hot is None:
                 yield pa.RecordBatch.from_arrays([pa.array(gids)], names=["gid"])
                 continue
-            piece = mix(batch.column("key").to_numpy().view(np.uint64)) % _U(PIECES)
+            pieces = np.ones(len(gids), np.uint64)
+            for bits, n in hot:
+                pieces[passes(gids.view(np.uint64), bits)] = n
+            piece = mix(batch.column("key").to_numpy().view(np.uint64)) % pieces
             parted = (mix(gids.view(np.uint64) + piece) >> _U(1)).view(np.int64)
-            gids = np.where(passes(gids.view(np.uint64), hot), parted, gids)
+            gids = np.where(pieces > 1, parted, gids)
             yield pa.RecordBatch.from_arrays([pa.array(gids), *(batch.column(c) for c in ("key", "n", "rank", "toks"))], names=["gid", "key", "n", "rank", "toks"])
 
     return run
@@ -378,7 +391,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Rounds of linking with leaders; only leaders take part in the next, under another hash.
     edges, part, firsts = None, sets, None
     for seed in range(ROUNDS):
-        hot = bit_filter(stage(part.mapInArrow(_min_hash(seed, None), "gid long").groupBy(F.col("gid").alias("h")).count().filter(F.col("count") > HOT).select("h"), "jaccard-hot"))
+        hot = _tiers(stage(part.mapInArrow(_min_hash(seed, None), "gid long").groupBy(F.col("gid").alias("h")).count().filter(F.col("count") > HOT), "jaccard-hot"))
         met = part.mapInArrow(_min_hash(seed, hot), "gid long, key long, n long, rank int, toks binary").repartition(n_parts, "gid").sortWithinPartitions("gid", "rank", "key")
         led = stage(met.mapInArrow(_lead(percent), "key long, leader long, gid long"), "jaccard-led")
         firsts = led.select("key", "gid") if firsts is None else firsts

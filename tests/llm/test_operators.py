@@ -172,6 +172,20 @@ def test_jaccard_in_pieces(spark, monkeypatch):
     assert got == collections.Counter([(None, 1, None), (None, 1, None), ("x", 1, "x"), (None, 1, "x"), (None, 0, None)])
 
 
+def test_jaccard_pieces_grow_with_a_hot_hash(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "PIECES", 4)
+    counts = {11: 2, 22: 3, 33: 8, 44: 9, 55: 100}
+    tiers = jaccard_join._tiers(spark.createDataFrame(list(counts.items()), "h long, count long"))
+    pieces = {}
+    for h in counts:
+        for bits, n in tiers:
+            if jaccard_join.passes(np.array([h], np.uint64), bits)[0]:
+                pieces[h] = n
+    assert pieces == {22: 4, 33: 4, 44: 16, 55: 64}
+    assert jaccard_join._tiers(spark.createDataFrame([], "h long, count long")) == []
+
+
 def test_quality(docs, rows, empty):
     got = collections.defaultdict(list)
     for r in quality.quality(docs).collect():
