@@ -112,6 +112,19 @@ def op10_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op11_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy), is_anchor=F.col("id") % 100 == 0)
+
+
+def op13_drake_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_shards": op1_byte_shards,
     "op2_token_group_join": op2_token_group_join,
@@ -123,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_runs": op8_line_runs,
     "op9_tree_budgets": op9_tree_budgets,
     "op10_seed_and_align": op10_seed_and_align,
+    "op11_radix_negatives": op11_radix_negatives,
+    "op13_drake_bounds": op13_drake_bounds,
 }
 
 
@@ -157,4 +172,6 @@ ORACLES: dict[str, str] = {
     "op6_columnar_chat": oracles.CHAT,
     "op8_line_runs": oracles.LINES,
     "op9_tree_budgets": _mix_oracle(0.6, 4, 17),
+    "op11_radix_negatives": oracles.NEGATIVES,
+    "op13_drake_bounds": oracles.centroids(40, 5, 64),
 }
