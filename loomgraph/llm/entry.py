@@ -119,6 +119,14 @@ def op11_radix_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy), is_anchor=F.col("id") % 100 == 0)
 
 
+def op12_exchange_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import score_documents
+
+    tenth = F.crc32(F.col("doc_id").cast("string")) % 10
+    out = score_documents(table(spark, sf_dir, "documents"), train=tenth != 0).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", F.coalesce(tenth == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_drake_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster
 
@@ -137,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tree_budgets": op9_tree_budgets,
     "op10_seed_and_align": op10_seed_and_align,
     "op11_radix_negatives": op11_radix_negatives,
+    "op12_exchange_classes": op12_exchange_classes,
     "op13_drake_bounds": op13_drake_bounds,
 }
 
