@@ -7,7 +7,7 @@ search does not use them; it sends the matrix out and distributes the tests.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +34,11 @@ def rbf(column: str, sig: float = 1.0) -> Column:
 
 
 def double_centre(pairwise: DataFrame, value: str, out: str) -> DataFrame:
-    """Add ``value`` less its row and column means plus its grand mean."""
-    w = lambda *by: F.avg(value).over(Window.partitionBy(*by))
-    return pairwise.withColumn(out, F.col(value) - w("i") - w("j") + w(F.lit(0)))
+    """Add ``value`` less its row and column means plus its grand mean; means are aggregates, the grand one of the rows'."""
+    rows = pairwise.groupBy("i").agg(F.avg(value).alias("_mi"))
+    cols = pairwise.groupBy("j").agg(F.avg(value).alias("_mj"))
+    grand = rows.agg(F.avg("_mi").alias("_m"))  # rows are equally long
+    return pairwise.join(rows, "i").join(cols, "j").crossJoin(F.broadcast(grand)).withColumn(out, F.col(value) - F.col("_mi") - F.col("_mj") + F.col("_m")).drop("_mi", "_mj", "_m")
 
 
 def off_diagonal_mean(pairwise: DataFrame, value: str) -> Column:
@@ -50,7 +52,16 @@ def centred_sums(pairwise: DataFrame) -> DataFrame:
     """
     off = F.when(F.col("i") != F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0))
     rows = pairwise.groupBy("i").agg(F.sum("k").alias("rk"), F.sum("l").alias("rl"), F.sum(F.col("k") * F.col("l")).alias("kl"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("k") * off).alias("ok"), F.sum(F.col("l") * off).alias("ol"))
-    t = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(c).alias(c) for c in ("rk", "rl", "kl", "kk", "ll", "ok", "ol")), F.sum(F.col("rk") * F.col("rl")).alias("rr"), F.sum(F.col("rk") * F.col("rk")).alias("rrk"), F.sum(F.col("rl") * F.col("rl")).alias("rrl"))
+    return from_totals(row_totals(rows))
+
+
+def row_totals(rows: DataFrame) -> DataFrame:
+    """One row of totals from rows (i, rk, rl, kl, kk, ll, ok, ol): a row's sums of k, l and their products, and of k and l without its own."""
+    return rows.agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(c).alias(c) for c in ("rk", "rl", "kl", "kk", "ll", "ok", "ol")), F.sum(F.col("rk") * F.col("rl")).alias("rr"), F.sum(F.col("rk") * F.col("rk")).alias("rrk"), F.sum(F.col("rl") * F.col("rl")).alias("rrl"))
+
+
+def from_totals(t: DataFrame) -> DataFrame:
+    """The columns of ``centred_sums`` from totals."""
     n = F.col("n")
     return t.select(
         "n", F.col("rk").alias("sk"), F.col("rl").alias("sl"), (F.col("ok") / (n * (n - 1))).alias("mu_k"), (F.col("ol") / (n * (n - 1))).alias("mu_l"),
@@ -66,16 +77,26 @@ def _factor(n: Column) -> Column:
 
 def dcov_gamma(pairwise: DataFrame) -> DataFrame:
     """One row (n, statistic, mean, variance, dcov, p_value) from pairs with distances k and l."""
+    return dcov_tail(centred_sums(pairwise))
+
+
+def dcov_tail(sums: DataFrame) -> DataFrame:
+    """The same from ``centred_sums``."""
     n = F.col("n")
-    t = centred_sums(pairwise).select("n", (F.col("ab") / n).alias("statistic"), (F.col("sk") / (n * n) * (F.col("sl") / (n * n))).alias("mean"), (_factor(n) * F.col("aa") * F.col("bb") / (n * n)).alias("variance"))
+    t = sums.select("n", (F.col("ab") / n).alias("statistic"), (F.col("sk") / (n * n) * (F.col("sl") / (n * n))).alias("mean"), (_factor(n) * F.col("aa") * F.col("bb") / (n * n)).alias("variance"))
     return _with_tail(t).withColumn("dcov", F.sqrt(F.greatest(F.col("statistic"), F.lit(0.0)) / n))
 
 
 def hsic_gamma(pairwise: DataFrame) -> DataFrame:
     """One row (n, statistic, mean, variance, p_value) from pairs with kernels k and l."""
+    return hsic_tail(centred_sums(pairwise))
+
+
+def hsic_tail(sums: DataFrame) -> DataFrame:
+    """The same from ``centred_sums``."""
     n = F.col("n")
     mu = 1 + F.col("mu_k") * F.col("mu_l") - F.col("mu_k") - F.col("mu_l")
-    return _with_tail(centred_sums(pairwise).select("n", (F.col("ab") / (n * n)).alias("statistic"), (mu / n).alias("mean"), (_factor(n) * F.col("aa") * F.col("bb") / F.pow(n, F.lit(4.0))).alias("variance")))
+    return _with_tail(sums.select("n", (F.col("ab") / (n * n)).alias("statistic"), (mu / n).alias("mean"), (_factor(n) * F.col("aa") * F.col("bb") / F.pow(n, F.lit(4.0))).alias("variance")))
 
 
 def _with_tail(t: DataFrame) -> DataFrame:
@@ -91,19 +112,3 @@ def permutations(sample: DataFrame, replicates: int, seed: int) -> DataFrame:
     a = rep.withColumn("rn", F.row_number().over(by.orderBy("i")))
     b = rep.select("rep", F.col("i").alias("pi"), F.row_number().over(by.orderBy(key)).alias("rn"))
     return a.join(b, ["rep", "rn"]).select("rep", "i", "pi")
-
-
-def permutation_test(sample: DataFrame, pairwise: DataFrame, replicates: int, seed: int, scale: Callable[[Column], Column], include_observed: bool = True, strict: bool = False) -> DataFrame:
-    """One row (statistic, replicates, exceedances, p_value) from pairs with kernels k and l."""
-    c = double_centre(double_centre(pairwise, "k", "a"), "l", "b").select("i", "j", "a", "b")
-    n = sample.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    perm = permutations(sample, replicates, seed)
-    moved = c.select("i", "j", "a").join(perm, "i").join(perm.select("rep", F.col("i").alias("j"), F.col("pi").alias("pj")), ["rep", "j"])
-    reps = moved.join(c.select(F.col("i").alias("pi"), F.col("j").alias("pj"), "b"), ["pi", "pj"]).groupBy("rep").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    seen = c.agg(F.sum(F.col("a") * F.col("b")).alias("s0"))
-    # Replicates that tie with the observed value up to rounding count as equal to it.
-    near = F.abs(F.col("s") - F.col("s0")) <= 1e-9 * F.abs(F.col("s0"))
-    over = ((F.col("s") > F.col("s0")) & ~near) if strict else ((F.col("s") >= F.col("s0")) | near)
-    counted = reps.crossJoin(seen).agg(F.sum(over.cast("int")).alias("exceedances"), F.count(F.lit(1)).alias("replicates"), F.first("s0").alias("s0")).crossJoin(n)
-    inc = int(include_observed and not strict)
-    return counted.select(scale(F.col("n")).alias("f"), "*").select((F.col("s0") * F.col("f")).alias("statistic"), "replicates", "exceedances", ((F.col("exceedances") + inc) / (F.col("replicates") + inc)).alias("p_value"))

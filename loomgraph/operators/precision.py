@@ -8,6 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
+#: What a provider may tell of a test besides its p-value, and what is told of how that was come by.
+RECORD = {"method": "string", "statistic": "double", "mean": "double", "variance": "double", "replicates": "int"}
+LEDGER = {"source": "string", "attempts": "int"}
 #: The smallest normal double, which a p-value of 0 stands for.
 LEAST_P = 2.2250738585072014e-308
 #: Ways to get residuals, from the cheapest.
@@ -62,14 +67,38 @@ def formula_text(target: str, given: list[str], additive: bool | None = None) ->
     return f"{target} ~ " + (" + ".join(f"s({g})" for g in given) if additive else f"s({','.join(given)})")
 
 
+def record_columns(p: DataFrame, source: str | None = None, attempts: int | None = None) -> list[Column]:
+    """The columns of ``RECORD`` and ``LEDGER``; what a provider does not tell is null, or as given."""
+    said = {c: F.col(c) if c in p.columns else F.lit(None) for c in (*RECORD, *LEDGER)}
+    given = {"source": F.lit(source), "attempts": F.lit(attempts)}
+    return [(F.coalesce(v, given[c]) if c in given else v).cast({**RECORD, **LEDGER}[c]).alias(c) for c, v in said.items()]
+
+
+def recorded(p: DataFrame, source: str | None = None, attempts: int | None = None) -> DataFrame:
+    """Rows (task_id, p) with their records."""
+    return p.select("task_id", "p", *record_columns(p, source, attempts))
+
+
 def hybrid_provider(primary: Callable[[DataFrame], DataFrame], verifier: Callable[[DataFrame], DataFrame], alpha: float, tau: float) -> Callable[[DataFrame], DataFrame]:
-    """All tasks by the primary; those near alpha with a conditioning set again by the verifier."""
+    """All tasks by the primary; those near alpha with a conditioning set again by the verifier.
+
+    A row tells the whole record of the test that counts, its source, and how many tests were made.
+    """
 
     def provide(tasks: DataFrame) -> DataFrame:
         first = primary(tasks).persist()
         kept.append(first)
-        again = tasks.join(first, "task_id").filter(near_alpha(F.col("p"), alpha, tau) & (F.size("s") > 0)).drop("p")
-        return verify(first, verifier(again), alpha, tau).select("task_id", F.col("p_final").alias("p"))
+        again = tasks.join(first.select("task_id", "p"), "task_id").filter(near_alpha(F.col("p"), alpha, tau) & (F.size("s") > 0)).drop("p")
+        one = recorded(first, "primary", 1)
+        two = recorded(verifier(again), "verifier", 1).withColumnsRenamed({c: f"v_{c}" for c in ("p", *RECORD, *LEDGER)})
+        both = one.join(two, "task_id", "left")
+        called = near_alpha(F.col("p"), alpha, tau) & ~_odd(F.col("v_p"))
+        pick = lambda c: F.when(called, F.col(f"v_{c}")).otherwise(F.col(c)).alias(c)
+        return both.select("task_id", hybrid_p(F.col("p"), F.col("v_p"), alpha, tau).alias("p"), *map(pick, RECORD), pick("source"), (F.col("attempts") + F.coalesce("v_attempts", F.lit(0))).cast("int").alias("attempts"))
+
+    def stats() -> dict[str, int]:
+        told = [part.stats() for part in (primary, verifier) if hasattr(part, "stats")]
+        return {k: sum(t[k] for t in told) for k in (told[0] if told else ())}
 
     def close() -> None:
         for df in kept:
@@ -80,21 +109,27 @@ def hybrid_provider(primary: Callable[[DataFrame], DataFrame], verifier: Callabl
                 part.close()
 
     kept: list[DataFrame] = []
-    provide.close = close
+    provide.close, provide.stats = close, stats
     return provide
 
 
-def fallback_chain(tasks: DataFrame, providers: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Rows (task_id, p, attempts): each task's first finite p, by as few providers as that takes."""
+def fallback_chain(tasks: DataFrame, providers: list[Callable[[DataFrame], DataFrame]], names: list[str] | None = None) -> DataFrame:
+    """Each task's first finite p with its record, by as few providers as that takes.
+
+    Rows (task_id, p, the columns of ``RECORD``, source, attempts); ``names`` are the providers', by default
+    their numbers from 1.  The last one's result counts whatever it is.  What a provider gave is written
+    before the next is asked, so no test runs twice.
+    """
+    names = names or [str(i) for i in range(1, len(providers) + 1)]
     done: DataFrame | None = None
     left = tasks
-    for i, provider in enumerate(providers, 1):
-        got = left.join(provider(left), "task_id").persist()
-        last = i == len(providers)
-        fine = got.filter(~_odd(F.col("p")) | F.lit(last)).select("task_id", "p", F.lit(i).alias("attempts"))
+    for i, (name, provider) in enumerate(zip(names, providers, strict=True), 1):
+        got = stage(recorded(provider(left)).withColumns({"source": F.lit(name), "attempts": F.lit(i)}), "attempts")
+        odd = _odd(F.col("p"))
+        fine = got if i == len(providers) else got.filter(~odd)
         done = fine if done is None else done.unionByName(fine)
-        left = got.filter(_odd(F.col("p"))).drop("p")
-    return done if done is not None else tasks.select("task_id", F.lit(math.nan).alias("p"), F.lit(0).alias("attempts"))
+        left = tasks.join(got.filter(odd).select("task_id"), "task_id", "left_semi")
+    return done if done is not None else recorded(tasks.select("task_id", F.lit(math.nan).alias("p")), None, 0)
 
 
 #: What the exact regression is made for.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CIConfig, DiscoverConfig
-from ..functions import kernels, splines
+from ..functions import kernels, sorted_sums, splines, tiles
 from ..functions.special import gamma_upper, normal_two_sided_col
 from ..operators import analytics, graphdiff, layer, patterns, precision, regression
 from ..sources.matrix import complete_cases, descriptor, moments, to_long
@@ -184,12 +184,38 @@ def _k(c: str, sig: float = 1.0) -> str:
 
 @query("dcov_gamma_pvalue", _moment_sql(_SUP, _d("v1"), _d("v2")))
 def _(spark, sf):
-    return _rounded(kernels.dcov_gamma(kernels.pairs(suppliers(spark, sf), ["v1", "v2"]).select("i", "j", kernels.distance(["v1"]).alias("k"), kernels.distance(["v2"]).alias("l"))))
+    return _rounded(kernels.dcov_tail(sorted_sums.distance_sums(suppliers(spark, sf), "v1", "v2")))
+
+
+@query("dcov_sorted_blocks", _moment_sql(_SUP, _d("v0"), _d("v3")))
+def _(spark, sf):
+    return _rounded(kernels.dcov_tail(sorted_sums.distance_sums(suppliers(spark, sf), "v0", "v3", block=8)))
+
+
+def _large_sql(k: str, l: str, hsic: bool = False) -> str:
+    """``_moment_sql`` over all orders, from sums of each row's pairs."""
+    mean = "(1 + mk * ml - mk - ml) / n" if hsic else "sk / (n * n) * (sl / (n * n))"
+    stat, var = ("ab / (n * n)", "pow(n, 4)") if hsic else ("ab / n", "(n * n)")
+    return f"""WITH {_ORD}, r AS (SELECT i, sum(k) AS rk, sum(l) AS rl, sum(k * l) AS kl, sum(k * k) AS kk, sum(l * l) AS ll, sum(k) FILTER (i <> j) AS ok, sum(l) FILTER (i <> j) AS ol FROM (SELECT a.i AS i, b.i AS j, {k} AS k, {l} AS l FROM m a CROSS JOIN m b) GROUP BY i),
+    s AS (SELECT count(*)::DOUBLE AS n, sum(rk) AS sk, sum(rl) AS sl, sum(kl) - 2 / count(*) * sum(rk * rl) + sum(rk) * sum(rl) / pow(count(*), 2) AS ab, sum(kk) - 2 / count(*) * sum(rk * rk) + pow(sum(rk) / count(*), 2) AS aa, sum(ll) - 2 / count(*) * sum(rl * rl) + pow(sum(rl) / count(*), 2) AS bb, sum(ok) / (count(*) * (count(*) - 1.0)) AS mk, sum(ol) / (count(*) * (count(*) - 1.0)) AS ml FROM r),
+    t AS (SELECT n, {stat} AS stat, {mean} AS mean, 2 * (n - 4) * (n - 5) / (n * (n - 1) * (n - 2) * (n - 3)) * aa * bb / {var} AS variance FROM s),
+    u AS (SELECT *, mean * mean / variance AS shape, stat / (variance / mean) AS xx FROM t)
+    SELECT round(stat, 6) AS statistic, round(mean, 6) AS mean, round(variance, 6) AS variance, round({_q("shape", "xx")}, 6) AS p_value FROM u"""
+
+
+@query("dcov_sorted_orders", _large_sql(_d("v0"), _d("v3")))
+def _(spark, sf):
+    return _rounded(kernels.dcov_tail(sorted_sums.distance_sums(orders(spark, sf), "v0", "v3")))
+
+
+@query("hsic_tiled_orders", _large_sql(_k("v0"), _k("v3"), True))
+def _(spark, sf):
+    return _rounded(kernels.hsic_tail(tiles.centred_sums(orders(spark, sf), tiles.Kernel(("v0",), "rbf"), tiles.Kernel(("v3",), "rbf"), 2048)))
 
 
 @query("dcov_index", _moment_sql(_SUP, f"pow({_d('v0')}, 1.5)", f"pow({_d('v3')}, 1.5)"))
 def _(spark, sf):
-    return _rounded(kernels.dcov_gamma(kernels.pairs(suppliers(spark, sf), ["v0", "v3"]).select("i", "j", kernels.distance(["v0"], 1.5, False).alias("k"), kernels.distance(["v3"], 1.5, False).alias("l"))))
+    return _rounded(kernels.dcov_tail(tiles.centred_sums(suppliers(spark, sf), tiles.Kernel(("v0",), index=1.5), tiles.Kernel(("v3",), index=1.5))))
 
 
 _E2 = "sqrt((a.{0} - b.{0}) * (a.{0} - b.{0}) + (a.{1} - b.{1}) * (a.{1} - b.{1}))"
@@ -197,12 +223,12 @@ _E2 = "sqrt((a.{0} - b.{0}) * (a.{0} - b.{0}) + (a.{1} - b.{1}) * (a.{1} - b.{1}
 
 @query("dcov_multivariate", _moment_sql(_SUP, _E2.format("v0", "v1"), _E2.format("v2", "v3")))
 def _(spark, sf):
-    return _rounded(kernels.dcov_gamma(kernels.pairs(suppliers(spark, sf), ["v0", "v1", "v2", "v3"]).select("i", "j", kernels.distance(["v0", "v1"]).alias("k"), kernels.distance(["v2", "v3"]).alias("l"))))
+    return _rounded(kernels.dcov_tail(tiles.centred_sums(suppliers(spark, sf), tiles.Kernel(("v0", "v1")), tiles.Kernel(("v2", "v3")), 16)))
 
 
 @query("hsic_gamma", _moment_sql(_SUP, _k("v1"), _k("v2"), True))
 def _(spark, sf):
-    return _rounded(kernels.hsic_gamma(kernels.pairs(suppliers(spark, sf), ["v1", "v2"]).select("i", "j", kernels.rbf("v1").alias("k"), kernels.rbf("v2").alias("l"))))
+    return _rounded(kernels.hsic_tail(tiles.centred_sums(suppliers(spark, sf), tiles.Kernel(("v1",), "rbf"), tiles.Kernel(("v2",), "rbf"))))
 
 
 def _perm_sql(base: str, k: str, l: str, reps: int, seed: int, scale: str, over: str, inc: int) -> str:
@@ -220,26 +246,24 @@ _GE, _GT = "s >= s0 - 1e-9 * abs(s0)", "s > s0 + 1e-9 * abs(s0)"
 _N = "(SELECT count(*) FROM m)"
 
 
-def _perm(spark, sf, make, scale, strict=False):
-    m = nations(spark, sf)
-    pw = kernels.pairs(m, ["v0", "v1"]).select("i", "j", make("v0").alias("k"), make("v1").alias("l"))
-    t = kernels.permutation_test(m, pw, 20, 5, scale, strict=strict)
+def _perm(spark, sf, kind, scale, strict=False):
+    t = tiles.permutation_test(nations(spark, sf), tiles.Kernel(("v0",), kind), tiles.Kernel(("v1",), kind), 20, 5, scale, strict=strict, tile=8)
     return t.select(_r("statistic").alias("statistic"), "replicates", "exceedances", _r("p_value").alias("p_value"))
 
 
 @query("dcov_perm", _perm_sql(_NAT, _d("v0"), _d("v1"), 20, 5, f"1.0 / {_N}", _GE, 1))
 def _(spark, sf):
-    return _perm(spark, sf, lambda c: kernels.distance([c]), lambda n: 1 / n)
+    return _perm(spark, sf, "distance", lambda n: 1 / n)
 
 
 @query("hsic_perm", _perm_sql(_NAT, _k("v0"), _k("v1"), 20, 5, f"1.0 / ({_N} * {_N})", _GE, 1))
 def _(spark, sf):
-    return _perm(spark, sf, lambda c: kernels.rbf(c), lambda n: 1 / (n * n))
+    return _perm(spark, sf, "rbf", lambda n: 1 / (n * n))
 
 
 @query("hsic_test_perm_strict", _perm_sql(_NAT, _k("v0"), _k("v1"), 20, 5, f"1.0 / ({_N} * {_N})", _GT, 0))
 def _(spark, sf):
-    return _perm(spark, sf, lambda c: kernels.rbf(c), lambda n: 1 / (n * n), True)
+    return _perm(spark, sf, "rbf", lambda n: 1 / (n * n), True)
 
 
 def _gauss_sql(r: str, size: int) -> str:
@@ -304,14 +328,14 @@ _RES = f"{_SUP.replace('m AS', 'm0 AS', 1)}, f AS (SELECT regr_slope(v1, v0) AS
 def _(spark, sf):
     m = regression.ols_residual_1(suppliers(spark, sf), "v1", "v0").withColumnRenamed("resid", "r1")
     m = regression.ols_residual_1(m, "v2", "v0").withColumnRenamed("resid", "r2")
-    return _rounded(kernels.dcov_gamma(kernels.pairs(m, ["r1", "r2"]).select("i", "j", kernels.distance(["r1"]).alias("k"), kernels.distance(["r2"]).alias("l"))))
+    return _rounded(kernels.dcov_tail(sorted_sums.distance_sums(m, "r1", "r2")))
 
 
 @query("cond_hsic_1", _moment_sql(_RES, _k("r1", 0.1), _k("r2", 0.1), True))
 def _(spark, sf):
     m = regression.ols_residual_1(suppliers(spark, sf), "v1", "v0").withColumnRenamed("resid", "r1")
     m = regression.ols_residual_1(m, "v2", "v0").withColumnRenamed("resid", "r2")
-    return _rounded(kernels.hsic_gamma(kernels.pairs(m, ["r1", "r2"]).select("i", "j", kernels.rbf("r1", 0.1).alias("k"), kernels.rbf("r2", 0.1).alias("l"))))
+    return _rounded(kernels.hsic_tail(tiles.centred_sums(m, tiles.Kernel(("r1",), "rbf", sig=0.1), tiles.Kernel(("r2",), "rbf", sig=0.1))))
 
 
 _Q10 = ", ".join(f"{i}/9.0" for i in range(10))

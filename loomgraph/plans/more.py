@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +12,7 @@ from ..operators import analytics, graphdiff, layer, patterns, precision, regres
 from ..operators.residuals import fixed_solve
 from ..sources.matrix import read_any, to_numpy
 from ..sources.sinks import write_tables
+from ..sources.staging import shared_folder
 from .discover import discover, kernel_ci_test
 from .entry import FIVE, ORACLES, _BOTH, _GE, _NAT, _ORD, _PSQL, _Q10, _SUP, _g, _perm_sql, _plan_sql, _q, _r, _replay_sql, _seps, _t, _tasks, formula_p, graph, nations, orders, query, suppliers
 from .providers import formula_provider, matrix_provider
@@ -26,18 +24,10 @@ from .skeleton import search
 _FORMATS = ("csv", "json", "orc", "parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for files that a query writes and reads again."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix="loomgraph-q-")
-    return f"{root.rstrip('/')}/loomgraph-q/{spark.sparkContext.applicationId}-{os.urandom(4).hex()}"
-
-
 @query("read_formats", " UNION ALL ".join(f"SELECT '{f}' AS format, n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS r FROM nation" for f in _FORMATS))
 def _(spark, sf):
     made, out = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("r")), None
-    folder = _folder(spark)
+    folder = shared_folder(spark, "formats")
     for fmt in _FORMATS:
         write_tables({f"nation.{fmt}": made}, folder, fmt)
         part = read_any(spark, f"{folder}/nation.{fmt}").select(F.lit(fmt).alias("format"), F.col("k").cast("long").alias("k"), F.col("r").cast("long").alias("r"))

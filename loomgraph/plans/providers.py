@@ -1,4 +1,4 @@
-"""Sources of p-values for the skeleton search: tasks in, (task_id, p) out."""
+"""Sources of p-values for the skeleton search: tasks in, (task_id, p) out, and from tests of the matrix their whole records."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CIConfig, SplineConfig
-from ..operators.ci import MATRIX_ROWS, fisher_z, paired, prepare, run_test
+from ..operators.ci import TestResult, fisher_z, paired, prepare, run_test
+from ..operators.precision import RECORD
 from ..operators.residuals import residual, residuals
 
 Provider = Callable[[DataFrame], DataFrame]
@@ -90,29 +91,27 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
                 return sets.get(s)[:, target] if shared else fits.get(target, s)
 
             seen = (sets.asked + fits.asked, sets.made + fits.made)
-            plain = ci.method == "dcc.gamma" and len(x) > MATRIX_ROWS
             for batch in batches:
-                ps = []
+                tests: list[TestResult] = []
                 for t, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("task_id", "x", "y", "s")), strict=True):
                     key = tuple(sorted(s))
                     cfg = replace(ci, seed=(ci.seed + 1000003 * t) % 2147483647)
                     if ci.method == "hsic.clust" and key:
-                        ps.append(run_test(x[:, a], x[:, b], cfg, x[:, list(key)]).p_value)
+                        tests.append(run_test(x[:, a], x[:, b], cfg, x[:, list(key)]))
                     elif ci.method == "gauss":
                         r = float(np.corrcoef(of(a, key), of(b, key))[0, 1])
-                        ps.append(fisher_z(r, len(x), len(key)))
-                    elif plain:
-                        ps.append(run_test(of(a, key), of(b, key), cfg).p_value)
+                        tests.append(TestResult("gauss", fisher_z(r, len(x), len(key)), r))
                     else:
-                        ps.append(paired(parts.get(a, key), parts.get(b, key), cfg).p_value)
-                yield pa.RecordBatch.from_arrays([batch.column("task_id"), pa.array(ps, pa.float64())], names=["task_id", "p"])
+                        tests.append(paired(parts.get(a, key), parts.get(b, key), cfg))
+                told = [[r.p_value for r in tests], [r.method for r in tests], *([getattr(r, c) for r in tests] for c in ("statistic", "mean", "variance")), [len(r.replicates) for r in tests]]
+                yield pa.RecordBatch.from_arrays([batch.column("task_id"), *map(pa.array, told, (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32()))], names=["task_id", "p", *RECORD])
             asked.add(sets.asked + fits.asked - seen[0])
             made.add(sets.made + fits.made - seen[1])
 
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         # Pieces of a set, by its size: there are at most C(p, size) sets.
         pieces = F.element_at(F.array(*(F.lit(max(1, -(-4 * n // math.comb(p, k)))) for k in range(p + 1))), F.size("s") + 1)
-        return tasks.select("task_id", "x", "y", "s").repartition(n, F.array_join("s", "|"), F.pmod(F.xxhash64(F.least("x", "y")), pieces)).mapInArrow(run, "task_id long, p double")
+        return tasks.select("task_id", "x", "y", "s").repartition(n, F.array_join("s", "|"), F.pmod(F.xxhash64(F.least("x", "y")), pieces)).mapInArrow(run, "task_id long, p double, " + ", ".join(f"{c} {t}" for c, t in RECORD.items()))
 
     provide.stats = lambda: {"requests": state["asked"].value, "fits": state["made"].value} if state else {"requests": 0, "fits": 0}
     provide.close = lambda: state.pop("held").destroy() if "held" in state else None

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from ..config import resolve_max_size
 from ..operators import layer
+from ..operators.precision import LEDGER, RECORD, record_columns
+from ..sources.staging import stage
 from .providers import Provider
 
-#: Planned tests of a level up to which a trace is kept on the driver; beyond, it is a query that runs the level again.
-TRACED = 100_000
-
 
 @dataclass
 class Skeleton:
@@ -49,8 +48,11 @@ class Skeleton:
 
 
     def ci_results(self, spark: SparkSession) -> DataFrame:
-        """Rows (level, task_id, x, y, s, p, deletes) of the tests that a sequential search runs, if they were traced."""
-        out = spark.createDataFrame([], "level int, task_id long, x int, y int, s array<int>, p double, deletes boolean")
+        """Rows (level, task_id, x, y, s, p, deletes) of the tests that a sequential search runs, if they were traced.
+
+        With them what the provider tells: method, statistic, mean, variance, replicates, source, attempts.
+        """
+        out = spark.createDataFrame([], "level int, task_id long, x int, y int, s array<int>, p double, deletes boolean, " + ", ".join(f"{c} {t}" for c, t in (RECORD | LEDGER).items()))
         for part in self.traced:
             out = out.unionByName(part)
         return out
@@ -123,16 +125,14 @@ def _stable_level(spark, out, provider, level, alpha, na_delete, keep, waves, tr
             p = provider(plan).persist()
             held.append(p)
         consumed = layer.replay(plan.join(p, "task_id"), alpha, na_delete)
-        if trace:
-            consumed = consumed.persist()
-            held.append(consumed)
+        if trace:  # written, whatever its size: the provider's matrix may be gone when it is read
+            deletes = F.coalesce(F.col("task_id") == F.col("first_hit"), F.lit(False)).alias("deletes")
+            kept = consumed.select("level", "task_id", "x", "y", "s", "p", deletes, *record_columns(consumed, "provider", 1))
+            out.traced.append(stage(kept, "trace"))
         rows = layer.edge_outcome(consumed).collect()  # one row an edge
         rows.sort(key=lambda r: (r.x, r.y))
         opens = any(r.opens for r in rows)
         out.evaluated.append(p.count())
-        if trace:
-            kept = consumed.select("level", "task_id", "x", "y", "s", "p", F.coalesce(F.col("task_id") == F.col("first_hit"), F.lit(False)).alias("deletes"))
-            out.traced.append(spark.createDataFrame(kept.collect(), kept.schema) if planned <= TRACED else kept)
     finally:
         for df in held:
             df.unpersist()

@@ -174,10 +174,29 @@ def test_parts_and_definitions():
     finally:
         ci.kmeans = real
     assert len(set(seen)) == 5
-    with pytest.raises(ValueError):
-        ci.prepare(np.zeros(ci.MATRIX_ROWS + 1), CIConfig("hsic.gamma"))
-    big, y = rng.normal(size=ci.MATRIX_ROWS + 1), rng.normal(size=ci.MATRIX_ROWS + 1)
-    assert 0 <= ci.dcov_gamma(big, y).p_value <= 1
+
+
+@pytest.mark.parametrize("method", ["dcc.gamma", "dcc.perm", "hsic.gamma", "hsic.perm"])
+@pytest.mark.parametrize("index", [1.0, 1.5])
+@pytest.mark.parametrize("dims", [1, 2])
+def test_large_samples_give_the_same_values(monkeypatch, method, index, dims):
+    """Beyond the rows of a matrix, blocks and sorted order give what the matrix gives, ties included."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 40, (300, dims)) / 10, rng.normal(size=(300, dims))
+    cfg = CIConfig(method, index=index, legacy_index=False, replicates=7)
+    small = ci.run_test(x, y, cfg)
+    monkeypatch.setattr(ci, "MATRIX_ROWS", 100)
+    monkeypatch.setattr(ci, "_BLOCK", 64)
+    large = ci.run_test(x, y, cfg)
+    assert np.allclose([large.p_value, large.statistic, large.mean, large.variance], [small.p_value, small.statistic, small.mean, small.variance], rtol=1e-10)
+    assert np.allclose(large.replicates, small.replicates, rtol=1e-9)
+
+
+def test_hundred_thousand_rows():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=100_000)
+    free, bound = ci.dcov_gamma(x, rng.normal(size=len(x))), ci.dcov_gamma(x, x**2 + rng.normal(size=len(x)))
+    assert free.p_value > 1e-3 and bound.p_value < 1e-6
 
 
 def test_shared_fits_and_solves():
