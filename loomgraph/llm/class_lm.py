@@ -175,6 +175,10 @@ def move_gains(m: np.ndarray, left: np.ndarray, right: np.ndarray, own: int, sel
 
     ``left`` and ``right`` are its counts after and before words of each class, ``self_n`` those beside itself.
     """
+    # Marginals without the word: pairs with it stay in other classes' margins, whatever its class.
+    out, into = m.sum(1), m.sum(0)
+    out[own] -= right.sum()
+    into[own] -= left.sum()
     m = m.copy()
     m[:, own] -= left
     m[own, :] -= right
@@ -187,9 +191,6 @@ def move_gains(m: np.ndarray, left: np.ndarray, right: np.ndarray, own: int, sel
     cols, rows = _f(m + l[:, None]) - before, _f(m + r[None, :]) - before
     both = _f(m[d, d] + l + r + self_n) - before[d, d]
     to = cols.sum(0) - cols[d, d] + rows.sum(1) - rows[d, d] + both
-    out, into = m.sum(1), m.sum(0)
-    # Marginals: the class's row gains the word's right counts (itself included), its column the left ones.
-    # Other classes' margins do not change, as their cells only move from one class to another.
     to -= _f(out + right.sum()) - _f(out) + _f(into + left.sum()) - _f(into)
     return to - to[own]
 
