@@ -29,11 +29,20 @@ def bump_basis(x: np.ndarray, cfg: SplineConfig = SplineConfig()) -> np.ndarray:
     cols = max(6, cfg.knots)
     if not len(x):
         return np.zeros((0, cols))
-    if np.ptp(x) <= 1e-12 * max(1.0, np.abs(x).max()):
-        out = np.zeros((len(x), cols))
+    return tents(x, quantile_knots(x, cols))
+
+
+def is_flat(knots: Sequence[float]) -> bool:
+    """Whether a column's knots, its ends among them, are one value."""
+    return knots[-1] - knots[0] <= 1e-12 * max(1.0, abs(knots[0]), abs(knots[-1]))
+
+
+def tents(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """``bump_basis`` of some values with knots from all."""
+    if is_flat(knots):
+        out = np.zeros((len(x), len(knots)))
         out[:, 0] = 1
         return out
-    knots = quantile_knots(x, cols)
     far = np.abs(x[:, None] - knots)
     out = np.clip(1 - far / bump_width(knots), 0, None) ** 3
     total = out.sum(1)
@@ -54,20 +63,31 @@ def second_difference_penalty(k: int) -> np.ndarray:
 def design(columns: Sequence[np.ndarray], cfg: SplineConfig = SplineConfig()) -> tuple[np.ndarray, np.ndarray]:
     """Basis and penalty of a conditioning set: one smooth, a tensor product for two, a sum of smooths beyond."""
     bases = [bump_basis(c, cfg) for c in columns]
-    pens = [second_difference_penalty(b.shape[1]) for b in bases]
-    if len(bases) == 1:
-        return bases[0], pens[0]
-    if len(bases) == 2:
-        a, b = bases
-        x = (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
-        return x, np.kron(pens[0], np.eye(b.shape[1])) + np.kron(np.eye(a.shape[1]), pens[1])
-    width = sum(p.shape[0] for p in pens)
-    pen = np.zeros((width, width))
+    pen = penalty_of([b.shape[1] for b in bases])
+    return (bases[0] if len(bases) == 1 else tensor_rows(*bases) if len(bases) == 2 else additive_rows(bases)), pen
+
+
+def tensor_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
+
+
+def additive_rows(bases: Sequence[np.ndarray]) -> np.ndarray:
+    return np.hstack(list(bases))
+
+
+def penalty_of(sizes: Sequence[int]) -> np.ndarray:
+    """The penalty of a design from bases of these sizes."""
+    pens = [second_difference_penalty(k) for k in sizes]
+    if len(pens) == 1:
+        return pens[0]
+    if len(pens) == 2:
+        return np.kron(pens[0], np.eye(sizes[1])) + np.kron(np.eye(sizes[0]), pens[1])
+    out = np.zeros((sum(sizes), sum(sizes)))
     at = 0
     for p in pens:
-        pen[at : at + len(p), at : at + len(p)] = p
+        out[at : at + len(p), at : at + len(p)] = p
         at += len(p)
-    return np.hstack(bases), pen
+    return out
 
 
 def lambda_grid(cfg: SplineConfig = SplineConfig()) -> np.ndarray:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..config import CIConfig, DiscoverConfig, SplineConfig
 from ..functions import splines
 from ..operators import analytics, graphdiff, layer, patterns, precision, regression
+from ..operators.factors import hsic_lowrank
+from ..operators.moment_splines import spline_residuals
 from ..operators.residuals import fixed_solve
 from ..sources.matrix import read_any, to_numpy
 from ..sources.sinks import write_tables
 from ..sources.staging import shared_folder
 from .discover import discover, kernel_ci_test
-from .entry import FIVE, ORACLES, _BOTH, _GE, _NAT, _ORD, _PSQL, _Q10, _SUP, _g, _perm_sql, _plan_sql, _q, _r, _replay_sql, _seps, _t, _tasks, formula_p, graph, nations, orders, query, suppliers
+from .entry import FIVE, ORACLES, _BOTH, _GE, _NAT, _ORD, _PSQL, _Q10, _SUP, _g, _k, _large_sql, _perm_sql, _plan_sql, _q, _r, _replay_sql, _seps, _t, _tasks, formula_p, graph, nations, orders, query, suppliers
 from .providers import formula_provider, matrix_provider
 from .residual_tables import residual_table
 from .skeleton import search
@@ -179,6 +181,12 @@ def _(spark, sf):
     return out.select("i", _r("resid", 4).alias("resid"))
 
 
+@query("moment_spline_orders", _SPLINE.replace(_SUP, _ORD).replace("SELECT row_number() OVER (ORDER BY i) - 1 AS i,", "SELECT i,"))
+def _(spark, sf):
+    out = spline_residuals(orders(spark, sf).select("i", "v0", "v1"), ["v1"], ["v0"])
+    return out.select("i", _r("resid_v1", 4).alias("resid"))
+
+
 @query("penalised_solve", f"WITH {_SUP}, f AS (SELECT covar_pop(v1, v0) * count(*) AS sxy, var_pop(v0) * count(*) AS sxx, avg(v0) AS mx, avg(v1) AS my FROM m), l AS (SELECT unnest([0.0, 0.5, 20.0]) AS lam) SELECT lam::DOUBLE AS lam, round(my - mx * sxy / (sxx + lam), 6) + 0.0 AS b0, round(sxy / (sxx + lam), 6) + 0.0 AS b1 FROM f, l")
 def _(spark, sf):
     d = to_numpy(suppliers(spark, sf), FIVE, ["i"])
@@ -197,6 +205,12 @@ def _(spark, sf):
     return out
 
 
+@query("hsic_factor_orders", _large_sql(_k("v0"), _k("v3"), True))
+def _(spark, sf):
+    r = hsic_lowrank(orders(spark, sf).select("i", "v0", "v3"), ["v0"], ["v3"], num_col=40, tol=1e-11)
+    return spark.createDataFrame([tuple(float(v) for v in (r.statistic, r.mean, r.variance, r.p_value))], "s double, m double, v double, p double").select(_r("s").alias("statistic"), _r("m").alias("mean"), _r("v").alias("variance"), _r("p").alias("p_value"))
+
+
 # ---- Search -----------------------------------------------------------------------------------
 
 
