@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import CIConfig, SplineConfig
 from ..operators.ci import TestResult, fisher_z, paired, prepare, run_test
 from ..operators.precision import RECORD
-from ..operators.residuals import residual, residuals
+from ..operators.residuals import residuals
 
 Provider = Callable[[DataFrame], DataFrame]
 
@@ -45,7 +45,7 @@ class _Kept:
 
 
 #: What a worker keeps between tasks, by provider.
-_WORKER: dict[str, tuple[_Kept, _Kept, _Kept]] = {}
+_WORKER: dict[str, tuple[_Kept, _Kept]] = {}
 
 
 def _all_residuals(x: np.ndarray, s: tuple[int, ...], backend: str, spline: SplineConfig) -> np.ndarray:
@@ -60,14 +60,13 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
     """Tests on the matrix, which every executor gets once (its size is checked where it is read).
 
     Tasks are dealt out by conditioning set, and by x where there are fewer sets than tasks to
-    run at a time.  A worker fits a set's residuals once (for linear and spline fits, all
+    run at a time.  A worker fits a set's residuals once (all
     columns' together) and makes a residual's part of the test (its distances or kernel) once,
     as far as ``KEPT_BYTES`` hold them.  ``provide.stats()`` tells residuals asked for and fitted, so
     far, and ``provide.close()`` frees the matrix.
     """
     x = np.asarray(data, float)
     p = x.shape[1]
-    shared = backend != "tprs_gcv"
     uid = uuid.uuid4().hex
     state: dict = {}
 
@@ -82,15 +81,15 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
             x = held.value
             if uid not in _WORKER:
                 _WORKER.clear()  # one provider's at a time
-                _WORKER[uid] = (_Kept(lambda s: _all_residuals(x, s, backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: residual(x[:, t], x[:, list(s)], backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: prepare(of(t, s), ci), lambda part: part.matrix.nbytes))
-            sets, fits, parts = _WORKER[uid]
+                _WORKER[uid] = (_Kept(lambda s: _all_residuals(x, s, backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: prepare(of(t, s), ci), lambda part: part.matrix.nbytes))
+            sets, parts = _WORKER[uid]
 
             def of(target: int, s: tuple[int, ...]) -> np.ndarray:
                 if not s:
                     return x[:, target]
-                return sets.get(s)[:, target] if shared else fits.get(target, s)
+                return sets.get(s)[:, target]
 
-            seen = (sets.asked + fits.asked, sets.made + fits.made)
+            seen = (sets.asked, sets.made)
             for batch in batches:
                 tests: list[TestResult] = []
                 for t, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("task_id", "x", "y", "s")), strict=True):
@@ -105,8 +104,8 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
                         tests.append(paired(parts.get(a, key), parts.get(b, key), cfg))
                 told = [[r.p_value for r in tests], [r.method for r in tests], *([getattr(r, c) for r in tests] for c in ("statistic", "mean", "variance")), [len(r.replicates) for r in tests]]
                 yield pa.RecordBatch.from_arrays([batch.column("task_id"), *map(pa.array, told, (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32()))], names=["task_id", "p", *RECORD])
-            asked.add(sets.asked + fits.asked - seen[0])
-            made.add(sets.made + fits.made - seen[1])
+            asked.add(sets.asked - seen[0])
+            made.add(sets.made - seen[1])
 
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         # Pieces of a set, by its size: there are at most C(p, size) sets.

@@ -128,3 +128,59 @@ def test_records_of_second_opinions(spark):
     rows = {r.task_id: r for r in hybrid(tasks).collect()}
     assert (rows[0].p, rows[0].source, rows[0].attempts, rows[0].statistic) == (0.04, "verifier", 2, 0.04)
     hybrid.close()
+
+
+def _curves(seed, n=120):
+    rng = np.random.default_rng(seed)
+    s = rng.normal(size=(n, 3))
+    return s, np.column_stack((np.sin(2 * s[:, 0]) + 0.3 * rng.normal(size=n), s[:, 0] ** 2 + s[:, 1] + rng.normal(size=n), rng.normal(size=n)))
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_one_penalty_reaches_the_best_of_a_fine_grid(size):
+    s, ys = _curves(size)
+    x, pens = splines.tprs_design([s[:, j] for j in range(size)])
+    for y, fit in zip(ys.T, residuals.tprs_gcv_many(ys, s[:, :size]), strict=True):
+        grid = np.linspace(-14, 14, 1500)  # beyond, the plain score cuts off directions without a penalty
+        scores = [residuals._gcv_parts(x, y, pens, np.array([r]))[0] for r in grid]
+        assert fit.gcv <= min(scores) * (1 + 1e-9)
+        gcv, edf, beta = residuals._gcv_parts(x, y, pens, np.minimum(np.log(fit.smoothing), 14))
+        assert fit.gcv == pytest.approx(gcv, rel=1e-6) and fit.edf == pytest.approx(edf, rel=1e-5) and np.allclose(fit.residuals, y - x @ beta, atol=1e-5)
+
+
+def test_gradient_and_hessian_of_several_penalties():
+    s, ys = _curves(7)
+    x, pens = splines.tprs_design([s[:, j] for j in range(3)])
+    w = residuals.Whitened.of(x, pens)
+    solves = {"analytic": 0, "differences": 0}
+    for y in ys.T:
+        z = w.q.T @ y
+        rest = float(y @ y - z @ z)
+        cost = lambda r, z=z, rest=rest: w.score(r, z, rest, len(y), False)
+        for rho in (np.zeros(3), np.array([2.0, -3.0, 1.0])):
+            assert cost(rho) == pytest.approx(residuals._gcv_parts(x, y, pens, rho)[0], rel=1e-8)
+            _, g, h = w.score(rho, z, rest, len(y))
+            _, g2, h2 = residuals.by_differences(cost, 1e-4)(rho)
+            assert np.allclose(g, g2, atol=1e-6) and np.allclose(h, h2, atol=1e-5)
+        ends = {}
+        for name in solves:
+            def counted(r, name=name, cost=cost):
+                solves[name] += 1
+                return cost(r)
+
+            def slopes(r, z=z, rest=rest):
+                solves["analytic"] += 1
+                return w.score(r, z, rest, len(y))
+
+            start = np.log([residuals.initial_smoothing(x, p) for p in pens])
+            rho, _ = residuals.minimise(counted, slopes if name == "analytic" else residuals.by_differences(counted), start)
+            ends[name] = cost(rho)
+        assert ends["analytic"] == pytest.approx(ends["differences"], rel=1e-6)
+    assert solves["analytic"] * 3 < solves["differences"]
+
+
+def test_designs_without_full_rank():
+    s, ys = _curves(8, 60)
+    twice = np.column_stack((s[:, 0], s[:, 0], s[:, 1]))
+    fits = residuals.tprs_gcv_many(ys, twice)
+    assert all(np.isfinite(f.residuals).all() and np.isfinite(f.gcv) for f in fits)
