@@ -11,8 +11,8 @@ bonus for known words, finds the likeliest spelling of all; nothing is pruned.
 character model counts all trigrams of all documents.
 
 Scoring.  Words (restored ones included) and beginnings of words of labelled documents give log odds by
-smoothed document counts; words whose odds are significant make up a bounded
-table.  A logistic regression on what a text's words say under that table gives the
+smoothed document counts; words whose odds are significant (|z| > 4.5) make up a
+table, as large as the bounded sample makes it.  A logistic regression on what a text's words say under that table gives the
 probability.  At most ``sample`` labelled rows, picked by a hash of the identifier,
 are used for fitting (a documented bound); everything else covers all rows.
 
@@ -45,9 +45,14 @@ LOOKALIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 _SIGNS = re.escape("".join(LOOKALIKE))
-_LEET = re.compile(rf"[a-z{_SIGNS}]*[a-z][{_SIGNS}]+[a-z][a-z{_SIGNS}]*|[0-9@$!|+(]+[a-z][a-z{_SIGNS}]*|[a-z{_SIGNS}]*[a-z][0-9@$|]+(?![a-z])")
+_RUN = re.compile(rf"[a-z{_SIGNS}]+")
+_INSIDE = re.compile(rf"[a-z][{_SIGNS}]+[a-z]")
+_ENDS = re.compile(rf"([{_SIGNS}]*)([a-z]+)([0-9@$|]*)")
 _ANY_SIGN = re.compile(rf"[{_SIGNS}]")
-_REPEAT = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+_TRIPLE = re.compile(r"([a-z])\1\1")
+_LETTERS = re.compile(r"[a-z]+")
+#: Stretches of letters that each differ from the next, then runs of one sign.
+_PIECE = re.compile(r"((?:([a-z])(?!\2))+)|(.)\3*", re.DOTALL)
 _SPACED = re.compile(rf"(?<![a-z0-9])[a-z0-9@$!](?:[ ._\-*]{{1,2}}[a-z0-9@$!|*]){{3,}}(?![a-z0-9])")
 _STEP = re.compile(r"([ ._\-*]{1,2})([a-z0-9@$!|*])")
 _FOLD = byte_table(SPACE + PUNCTUATION)
@@ -65,7 +70,8 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(CODES**3, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 256):
-                data = np.frombuffer(b"  ".join((t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).slice(at, 256).to_pylist()), np.uint8)
+                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).slice(at, 256).to_pylist()]
+                data = np.frombuffer(b"  ".join([b"", *texts, b""]), np.uint8)  # two spaces around each, whatever its batch
                 for a in range(0, len(data), 1 << 20):
                     c = _CODE[data[a : a + (1 << 20) + 2]]
                     if len(c) > 2:
@@ -80,38 +86,66 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.reshape(CODES, CODES, CODES)
 
 
+def disguised(low: str) -> Iterator[str]:
+    """Strings of letters and signs that look like disguised words, in time linear in the text.
+
+    A run of letters and signs counts whole if a sign lies between letters, or if signs other than asterisks come before
+    letters; else without the asterisks at its front and what precedes them; else up to the digits behind its letters.
+    """
+    for m in _RUN.finditer(low):
+        run = m[0]
+        if run.isalpha():
+            continue
+        if _INSIDE.search(run):
+            yield run
+        elif ends := _ENDS.match(run):
+            before, letters, behind = ends.groups()
+            if before and "*" not in before:
+                yield run
+            elif behind:
+                yield before + letters + behind
+            elif tail := before.rpartition("*")[2]:
+                yield tail + run[len(before) :]
+
+
 class _Cells:
-    """The best path to each pair of last letters."""
+    """The best path to each pair of last letters, as arrays: for steps of many states and readings."""
 
-    def __init__(self) -> None:
+    def __init__(self, states: dict[tuple[int, int], tuple[float, tuple]]) -> None:
         self.score = np.full((27, 27), -np.inf)
         self.spelt = np.empty((27, 27), object)
-        self.used = False
-
-    def offer(self, x: int, y: int, score: float, spelt: tuple) -> None:
-        if score > self.score[x, y]:
-            self.score[x, y], self.spelt[x, y], self.used = score, spelt, True
+        for at, (score, spelt) in states.items():
+            self.score[at], self.spelt[at] = score, spelt
 
     def moved(self, letters: str, cost: float, log_p: np.ndarray) -> _Cells:
         """These paths with some letters more; ``spelt`` is still without them."""
         score, spelt = self.score + cost, self.spelt
+        cols = np.arange(27)
         for ch in letters:
             z = ord(ch) - 96 if "a" <= ch <= "z" else 0
             reached = score + log_p[:, :, z]
             came = reached.argmax(0)
-            cols = np.arange(27)
             next_score, next_spelt = np.full((27, 27), -np.inf), np.empty((27, 27), object)
             next_score[:, z], next_spelt[:, z] = reached[came, cols], spelt[came, cols]
             score, spelt = next_score, next_spelt
-        out = _Cells()
+        out = _Cells({})
         out.score, out.spelt = score, spelt
         return out
 
     def take(self, other: _Cells, letters: str) -> None:
-        for x, y in np.argwhere(other.score > self.score).tolist():
-            self.score[x, y] = other.score[x, y]
-            self.spelt[x, y] = (other.spelt[x, y], letters) if letters else other.spelt[x, y]
-            self.used = True
+        better = other.score > self.score
+        self.score[better] = other.score[better]
+        came = other.spelt[better]
+        if letters and len(came):
+            came = np.frompyfunc(lambda spelt: (spelt, letters), 1, 1)(came)
+        self.spelt[better] = came
+
+    def states(self) -> dict[tuple[int, int], tuple[float, tuple]]:
+        return {(x, y): (float(self.score[x, y]), self.spelt[x, y]) for x, y in np.argwhere(self.score > -np.inf).tolist()}
+
+
+#: States times readings from which a step of the search works on arrays.
+DENSE = 256
 
 
 @dataclass
@@ -138,6 +172,8 @@ class Restorer:
         return Restorer(np.log((c + 20 * two[None, :, :]) / (pair[:, :, None] + 20)), known)
 
     def restore(self, shown: str) -> str:
+        if len(shown) > 256:  # hardly seen twice
+            return self._decode(shown)
         found = self.memo.get(shown)
         if found is None:
             if len(self.memo) > 200_000:
@@ -147,6 +183,8 @@ class Restorer:
 
     def restore_spaced(self, shown: str) -> list[str]:
         """The words of single letters set apart."""
+        if len(shown) > 256:
+            return self._search(self._spaced_slots(shown), self.bonus / 5).split()
         found = self.memo.get(shown + "\0")
         if found is None:
             if len(self.memo) > 200_000:
@@ -178,12 +216,15 @@ class Restorer:
         return slots
 
     def _decode(self, shown: str) -> str:
-        # The lattice: for each run of equal signs its readings, with their channel costs.
+        # The lattice: for each run of equal signs its readings, with their channel costs; other letters stand for themselves.
         slots: list[list[tuple[str, float]]] = []
-        for m in re.finditer(r"(.)\1*", shown, re.DOTALL):
-            sign, n = m[1], len(m[0])
+        for m in _PIECE.finditer(shown):
+            if m[1]:
+                slots.append([(m[1], 0.0)])
+                continue
+            sign, n = m[3], len(m[0])
             if sign.isalpha():
-                slots.append([(sign, -0.3 * (n > 1)), (sign * 2, -0.1 if n == 2 else -0.7)] if n > 1 else [(sign, 0.0)])
+                slots.append([(sign, -0.3), (sign * 2, -0.1 if n == 2 else -0.7)] if n > 1 else [(sign, 0.0)])
             elif sign in LOOKALIKE:
                 one = self._sign(sign)
                 if len(one) < 3:
@@ -193,6 +234,11 @@ class Restorer:
             # Other marks only set letters apart.
         return self._search(slots, 0.0)
 
+    def _inner(self, letters: str) -> float:
+        """The log probability of letters from the third on, each after the two before it."""
+        c = _CODE[np.frombuffer(letters.encode("ascii"), np.uint8)]
+        return float(self.log_p[c[:-2], c[1:-1], c[2:]].sum())
+
     def _search(self, slots: list[list[tuple[str, float]]], per_letter: float) -> str:
         """The best spelling; known words are worth ``per_letter`` for each of three letters or more, or else ``bonus``."""
         heads = self.heads
@@ -204,47 +250,67 @@ class Restorer:
                 return 0.0
             return self.bonus if not per_letter else per_letter * len(word) * (len(word) > 2)
 
+        def steps(x: int, y: int, letters: str, inner: float) -> tuple[int, int, float]:
+            """The last two letters after some more, and what they cost; ``inner`` is the cost from the third on."""
+            if len(letters) < 3:
+                total = 0.0
+                for ch in letters:
+                    z = ord(ch) - 96 if "a" <= ch <= "z" else 0
+                    total += self.steps[x][y][z]
+                    x, y = y, z
+                return x, y, total
+            first, second, x2, y2 = (ord(ch) - 96 if "a" <= ch <= "z" else 0 for ch in (letters[0], letters[1], letters[-2], letters[-1]))
+            return x2, y2, self.steps[x][y][first] + self.steps[y][first][second] + inner
+
         # A state is the last two letters and, while a known word begins like it, the word so far; each keeps its
-        # best path.  States without such a word are the cells of a 27 x 27 table.
+        # best path.  States without such a word are in ``free``, by their letters alone.
         begun: dict[state, path] = {(0, 0, ""): (0.0, ())}
-        free = _Cells()
+        free: dict[tuple[int, int], path] = {}
         for readings in slots:
             next_begun: dict[state, path] = {}
-            next_free = _Cells()
+            next_free: dict[tuple[int, int], path] = {}
+            inner = [self._inner(letters) if len(letters) > 2 else 0.0 for letters, _ in readings]
             for (a, b, head), (score, spelt) in begun.items():
-                for letters, cost in readings:
-                    x, y, h, total = a, b, head, score + cost
-                    for ch in letters:
-                        z = ord(ch) - 96 if "a" <= ch <= "z" else 0
-                        total += self.steps[x][y][z]
-                        x, y = y, z
-                        if ch == " ":
-                            total += worth(h) if h is not None else 0.0
-                            h = ""
-                        elif h is not None:
-                            h += ch
-                            if h not in heads:
-                                h = None
+                for (letters, cost), deep in zip(readings, inner, strict=True):
+                    x, y, more = steps(a, b, letters, deep)
+                    total, h = score + cost + more, head
+                    if letters == " ":
+                        total += worth(h)
+                        h = ""
+                    elif letters:
+                        h = h + letters if len(h) + len(letters) <= self.longest else None
+                        if h is not None and h not in heads:
+                            h = None
                     now = (spelt, letters) if letters else spelt
                     if h is None:
-                        next_free.offer(x, y, total, now)
+                        if (x, y) not in next_free or total > next_free[x, y][0]:
+                            next_free[x, y] = (total, now)
                     elif (x, y, h) not in next_begun or total > next_begun[x, y, h][0]:
                         next_begun[x, y, h] = (total, now)
-            if free.used:
+            if len(free) * len(readings) > DENSE:
+                cells, into = _Cells(free), _Cells(next_free)
                 for letters, cost in readings:
-                    moved = free.moved(letters, cost, self.log_p)
+                    moved = cells.moved(letters, cost, self.log_p)
                     if letters != " ":
-                        next_free.take(moved, letters)
+                        into.take(moved, letters)
                         continue
                     for y in range(27):  # a break: any word may begin
                         if moved.score[y, 0] > (next_begun[y, 0, ""][0] if (y, 0, "") in next_begun else -math.inf):
                             next_begun[y, 0, ""] = (float(moved.score[y, 0]), (moved.spelt[y, 0], " "))
+                next_free = into.states()
+            else:
+                for (letters, cost), deep in zip(readings, inner, strict=True):
+                    for (a, b), (score, spelt) in free.items():
+                        x, y, more = steps(a, b, letters, deep)
+                        total = score + cost + more
+                        if letters == " ":
+                            if (x, y, "") not in next_begun or total > next_begun[x, y, ""][0]:
+                                next_begun[x, y, ""] = (total, (spelt, letters))
+                        elif (x, y) not in next_free or total > next_free[x, y][0]:
+                            next_free[x, y] = (total, (spelt, letters) if letters else spelt)
             begun, free = next_begun, next_free
         ends = [(v[0] + self.steps[a][b][0] + worth(h), v[1]) for (a, b, h), v in begun.items()]
-        if free.used:
-            last = free.score + self.log_p[:, :, 0]
-            at = np.unravel_index(int(last.argmax()), last.shape)
-            ends.append((float(last[at]), free.spelt[at]))
+        ends += [(score + self.steps[a][b][0], spelt) for (a, b), (score, spelt) in free.items()]
         _, spelt = max(ends, key=lambda e: e[0])
         out = []
         while spelt:
@@ -257,8 +323,9 @@ class Restorer:
         low = text.lower()
         words = low.encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass").split()
         if _ANY_SIGN.search(low):
-            words += (self.restore(m[0].strip("!(|+*")) for m in _LEET.finditer(low))
-        words += (self.restore(m[0]) for m in _REPEAT.finditer(low))
+            words += (self.restore(found.strip("!(|+*")) for found in disguised(low))
+        if _TRIPLE.search(low):
+            words += (self.restore(m[0]) for m in _LETTERS.finditer(low) if _TRIPLE.search(m[0]))
         words += (w for m in _SPACED.finditer(low) for w in self.restore_spaced(m[0]))
         return words
 
@@ -307,7 +374,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.coef[0] + f @ self.coef[1:], -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, table: int = 4_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> ToxicityModel:
     """Fit on ``docs`` and the rows of ``labels`` (identifier, 0 or 1)."""
     restorer = Restorer.of_counts(trigram_counts(docs, text_col))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -335,7 +402,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     expect = (F.col("n0") + F.col("n1")) * (n1 / (n0 + n1))
     z = (F.col("n1") - expect) / F.sqrt(expect + 0.5)
     counted = rows.select("text", "y").mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    telling = counted.select("w", odds.alias("odds"), z.alias("z")).filter(F.abs("z") > 4.5).orderBy(F.abs("z").desc(), "w").limit(table).collect()
+    telling = counted.select("w", odds.alias("odds"), z.alias("z")).filter(F.abs("z") > 4.5).orderBy(F.abs("z").desc(), "w").collect()  # some hundreds: five toxic texts of the sample hold each
     weights = {r.w: r.odds for r in telling}
     restorer = Restorer(restorer.log_p, frozenset(weights))
 
