@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,53 @@ def combinations(items: Column, size: int) -> Column:
     return out
 
 
-def subsets(items: Column) -> Column:
-    """All subsets of an array of at most some 20 items, the empty one too, in the order of their bit masks."""
-    masks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.size(items)) - 1)
-    return F.transform(masks, lambda m: F.filter(items, lambda e, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+#: Numbers that one row may list while ranks or masks are spread out.
+STRETCH = 4096
+
+
+def spread(df: DataFrame, start: Column, stop: Column, name: str) -> DataFrame:
+    """A row for each number from ``start`` to below ``stop``, in two steps, so that no row lists more than the root of them or ``STRETCH``."""
+    step = F.greatest(F.lit(STRETCH).cast("long"), F.ceil(F.sqrt(F.greatest(stop - start, F.lit(0)).cast("double"))).cast("long"))
+    some = df.withColumns({"_from": start.cast("long"), "_to": stop.cast("long"), "_step": step}).filter("_to > _from")
+    some = some.withColumn("_from", F.explode(F.sequence("_from", F.col("_to") - 1, F.col("_step"))))
+    return some.withColumn(name, F.explode(F.sequence("_from", F.least(F.col("_from") + F.col("_step"), F.col("_to")) - 1))).drop("_from", "_to", "_step")
+
+
+def masked(items: Column, mask: Column) -> Column:
+    """The items of an array at the bits of a mask."""
+    return F.filter(items, lambda e, i: F.call_function("shiftright", mask, i).bitwiseAND(1) == 1)
+
+
+def unrank(items: Column, size: int, nth: Column) -> Column:
+    """The nth (from 0) of the subsets of ``size`` of a sorted array, in lexicographic order, without listing any other.
+
+    Numbers of subsets, largest first, are digits of the combinatorial number system: the
+    lexicographic order backwards is that of the sets of places counted from the end.
+    """
+    if size == 0:
+        return F.array().cast("array<int>")
+    n = F.size(items)
+    places = F.sequence(F.lit(0), n - 1)
+
+    def digit(acc: Column, k: Column) -> Column:
+        # The largest place with no more than what is left of subsets of k below it.
+        at = F.size(F.filter(places, lambda c: binomial(c, k) <= acc["left"])) - 1
+        return F.struct((acc["left"] - binomial(at, k)).alias("left"), F.concat(acc["s"], F.array(F.get(items, n - 1 - at))).alias("s"))
+
+    start = F.struct((choose(n, size) - 1 - nth).cast("long").alias("left"), F.array().cast("array<int>").alias("s"))
+    return F.aggregate(F.array(*map(F.lit, range(size, 0, -1))), start, digit, lambda acc: acc["s"])
+
+
+def binomial(n: Column, k: Column) -> Column:
+    """``choose`` for a column k of 1 or more."""
+    return F.aggregate(F.sequence(F.lit(1), k), F.lit(1).cast("long"), lambda a, i: F.floor(a * F.greatest(n - i + 1, F.lit(0)) / i))
+
+
+def rank_of(items: Column, s: Column) -> Column:
+    """The number of a subset of a sorted array among those of its size, in lexicographic order."""
+    n, k = F.size(items), F.size(s)
+    after = F.transform(s, lambda v, i: F.struct((n - F.array_position(items, v)).cast("int").alias("at"), (k - i).alias("k")))
+    return F.when(k == 0, F.lit(0).cast("long")).otherwise(binomial(n, F.greatest(k, F.lit(1))) - 1 - F.aggregate(after, F.lit(0).cast("long"), lambda a, c: a + binomial(c["at"], c["k"])))
 
 
 def choose(n: Column, k: int) -> Column:
@@ -56,6 +101,20 @@ def set_key(s: Column) -> Column:
     return F.array_join(s, "|")
 
 
+def sides(edges: DataFrame, level: int) -> DataFrame:
+    """Two rows an edge (edge_x, edge_y, side, x, y, pool, n_pool, n_sets, first): x's other neighbours, how many sets they give, and the first one's number."""
+    near = neighbours(edges)
+    both = edges.select(F.col("x").alias("edge_x"), F.col("y").alias("edge_y"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit(1).alias("side"), F.col("y").alias("x"), F.col("x").alias("y")))))
+    pool = both.join(near, F.col("x") == F.col("v")).withColumn("pool", F.array_remove("adj", F.col("y"))).withColumn("n_pool", F.size("pool")).drop("adj", "v").withColumn("n_sets", choose(F.col("n_pool"), level))
+    # A side's tasks are numbered behind those of the sides before it, whose numbers are known without listing them.
+    order = Window.orderBy("edge_x", "edge_y", "side").rowsBetween(Window.unboundedPreceding, -1)  # two rows an edge
+    return pool.withColumn("first", F.coalesce(F.sum("n_sets").over(order), F.lit(0)).cast("long"))
+
+
+def _as_tasks(tasks: DataFrame, level: int) -> DataFrame:
+    return tasks.select((F.col("first") + F.col("nth")).cast("long").alias("task_id"), F.lit(level).alias("level"), "edge_x", "edge_y", "side", "x", "y", "s", ((F.col("nth") == 0) & (F.col("n_pool") > level)).alias("opens_next"))
+
+
 def layer_plan(edges: DataFrame, level: int) -> DataFrame:
     """All tests of a level, in canonical order.
 
@@ -63,27 +122,38 @@ def layer_plan(edges: DataFrame, level: int) -> DataFrame:
     set that both sides offer is listed twice.  ``opens_next``: the first task of a
     side that has more neighbours than the level uses.
     """
-    near = neighbours(edges)
-    sides = edges.select(F.col("x").alias("edge_x"), F.col("y").alias("edge_y"), F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.lit(1).alias("side"), F.col("y").alias("x"), F.col("x").alias("y")))))
-    pool = sides.join(near, F.col("x") == F.col("v")).withColumn("pool", F.array_remove("adj", F.col("y"))).withColumn("n_pool", F.size("pool")).drop("adj", "v")
-    # A side's tasks are numbered behind those of the sides before it, whose numbers are known without listing them.
-    order = Window.orderBy("edge_x", "edge_y", "side").rowsBetween(Window.unboundedPreceding, -1)  # two rows an edge
-    pool = pool.withColumn("first", F.coalesce(F.sum(choose(F.col("n_pool"), level)).over(order), F.lit(0)).cast("long"))
+    pool = sides(edges, level)
     if level == 0:
-        tasks = pool.select("*", F.lit(0).cast("long").alias("nth"), F.array().cast("array<int>").alias("s"))
-    else:
-        # A row for each smallest member first, so that no row holds all sets of a side.
-        heads = pool.select("*", F.posexplode("pool").alias("at", "head")).filter(F.col("at") <= F.col("n_pool") - level)
-        rest = F.slice("pool", F.col("at") + 2, F.col("n_pool"))
-        skipped = choose(F.col("n_pool"), level) - choose(F.col("n_pool") - F.col("at"), level)
-        some = heads.select("*", skipped.alias("skipped"), F.posexplode(combinations(rest, level - 1)).alias("k", "tail"))
-        tasks = some.select("*", (F.col("skipped") + F.col("k")).alias("nth"), F.concat(F.array("head"), "tail").alias("s"))
-    return tasks.select((F.col("first") + F.col("nth")).cast("long").alias("task_id"), F.lit(level).alias("level"), "edge_x", "edge_y", "side", "x", "y", "s", ((F.col("nth") == 0) & (F.col("n_pool") > level)).alias("opens_next"))
+        return _as_tasks(pool.select("*", F.lit(0).cast("long").alias("nth"), F.array().cast("array<int>").alias("s")), level)
+    # A row for each smallest member first, so that no row holds all sets of a side.
+    heads = pool.select("*", F.posexplode("pool").alias("at", "head")).filter(F.col("at") <= F.col("n_pool") - level)
+    rest = F.slice("pool", F.col("at") + 2, F.col("n_pool"))
+    skipped = F.col("n_sets") - choose(F.col("n_pool") - F.col("at"), level)
+    some = heads.select("*", skipped.alias("skipped"), F.posexplode(combinations(rest, level - 1)).alias("k", "tail"))
+    return _as_tasks(some.select("*", (F.col("skipped") + F.col("k")).alias("nth"), F.concat(F.array("head"), "tail").alias("s")), level)
+
+
+def plan_ranks(sided: DataFrame, level: int, start: int, stop: int) -> DataFrame:
+    """Of the tests of ``layer_plan``, those that are an edge's ``start``-th (from 0) to before its ``stop``-th; no other is made.
+
+    ``sided`` are the rows of ``sides`` for the edges that are asked for.
+    """
+    before = F.when(F.col("side") == 1, F.sum("n_sets").over(Window.partitionBy("edge_x", "edge_y")) - F.col("n_sets")).otherwise(F.lit(0))
+    some = sided.withColumn("before", before.cast("long"))
+    low, high = F.greatest(F.lit(start) - F.col("before"), F.lit(0)), F.least(F.lit(stop) - F.col("before"), F.col("n_sets"))
+    return _as_tasks(spread(some, low, high, "nth").withColumn("s", unrank(F.col("pool"), level, F.col("nth"))), level)
+
+
+def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Add a gapless number from 0 in the order of (group, order); no window holds more than a group, or a row for each."""
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select(*group, F.coalesce(F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # pairs of variables
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).join(first, list(group)).withColumn(name, (F.col("_first") + F.col("_at")).cast("long")).select(*rows.columns, name)
 
 
 def in_pcalg_order(tasks: DataFrame) -> DataFrame:
     """Tasks with ``rank``: their place by (x, y, set), the order in which random numbers are drawn elsewhere."""
-    return tasks.withColumn("rank", F.row_number().over(Window.orderBy("x", "y", "s")) - 1)
+    return numbered(tasks, ["x", "y"], ["s"], "rank")
 
 
 def residual_requests(tasks: DataFrame) -> DataFrame:

@@ -97,7 +97,8 @@ def triple_tests(edges: DataFrame) -> DataFrame:
     t = unshielded_triples(skeleton_pdag(edges))
     near = layer.neighbours(edges)
     pool = lambda end, other: t.join(near, F.col(end) == F.col("v")).select("x", "y", "z", F.array_remove("adj", F.col(other)).alias("pool"))
-    return pool("x", "z").unionByName(pool("z", "x")).select("x", "y", "z", F.explode(layer.subsets(F.col("pool"))).alias("s")).distinct()
+    masks = layer.spread(pool("x", "z").unionByName(pool("z", "x")), F.lit(0), F.call_function("shiftleft", F.lit(1).cast("long"), F.size("pool")), "mask")
+    return masks.select("x", "y", "z", layer.masked(F.col("pool"), F.col("mask")).alias("s")).distinct()
 
 
 def unfaithful(tests: DataFrame, alpha: float, majority: bool = False) -> DataFrame:

@@ -328,7 +328,8 @@ def _(spark, sf):
 
 @query("neighbour_subsets", f"WITH {_g(8)}, {_BOTH}, pools AS (SELECT v, list(u ORDER BY u) AS pool FROM bw GROUP BY v), s AS (SELECT v, unnest({_SUBSETS}) AS s FROM pools) SELECT v, len(s)::INT AS size, array_to_string(s, '|') AS s_key FROM s WHERE len(s) > 0")
 def _(spark, sf):
-    out = layer.neighbours(graph(spark, sf, 8)).select("v", F.explode(layer.subsets(F.col("adj"))).alias("s")).filter(F.size("s") > 0)
+    masks = layer.spread(layer.neighbours(graph(spark, sf, 8)), F.lit(1), F.call_function("shiftleft", F.lit(1).cast("long"), F.size("adj")), "mask")
+    out = masks.select("v", layer.masked(F.col("adj"), F.col("mask")).alias("s"))
     return out.select("v", F.size("s").alias("size"), layer.set_key(F.col("s")).alias("s_key"))
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CIConfig, SplineConfig
@@ -222,7 +222,7 @@ def unfaithful_triples(spark: SparkSession, sk: Skeleton, provider: Provider, al
         return frozenset()
     wanted = patterns.triple_tests(spark.createDataFrame(sorted(sk.edges), "x int, y int")).persist()
     asked = wanted.select("x", F.col("z").alias("y"), "s").distinct()
-    asked = asked.withColumn("task_id", F.row_number().over(Window.orderBy("x", "y", "s")).cast("long") - 1).persist()  # two ends' subsets; numbers name permutations
+    asked = layer.numbered(asked, ["x", "y"], ["s"], "task_id").persist()  # numbers name permutations
     tests = asked.join(provider(asked), "task_id").select("x", F.col("y").alias("z"), "s", layer.effective_p(F.col("p"), na_delete).alias("p"))
     found = patterns.unfaithful(wanted.join(tests, ["x", "z", "s"]), alpha, majority).collect()  # triples of a graph
     wanted.unpersist()

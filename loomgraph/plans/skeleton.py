@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import resolve_max_size
@@ -86,22 +86,19 @@ def search(spark: SparkSession, p: int, provider: Provider, *, alpha: float, max
     return out
 
 
-def _in_waves(plan: DataFrame, provider: Provider, alpha: float, na_delete: bool, waves: Sequence[int], most: int, held: list[DataFrame]) -> DataFrame:
-    """Rows (task_id, p) of the tests that may count."""
-    spark = plan.sparkSession
-    ranked = plan.withColumn("rank", F.col("task_id") - F.min("task_id").over(Window.partitionBy("edge_x", "edge_y"))).persist()
-    held.append(ranked)
+def _in_waves(sided: DataFrame, level: int, provider: Provider, alpha: float, na_delete: bool, waves: Sequence[int], most: int, held: list[DataFrame]) -> DataFrame:
+    """The tests that may count, with p; a wave makes those of its ranks only."""
+    spark = sided.sparkSession
     at, k, decided, got = 0, 0, [], None
     while at < most:
         step = waves[min(k, len(waves) - 1)]
-        part = ranked.filter((F.col("rank") >= at) & (F.col("rank") < at + step))
-        if decided:
-            part = part.join(spark.createDataFrame(decided, "edge_x int, edge_y int"), ["edge_x", "edge_y"], "left_anti")
-        p = provider(part).persist()
+        left = sided.join(spark.createDataFrame(decided, "edge_x int, edge_y int"), ["edge_x", "edge_y"], "left_anti") if decided else sided
+        part = layer.plan_ranks(left, level, at, at + step)
+        p = part.join(provider(part), "task_id").persist()
         held.append(p)
         got = p if got is None else got.unionByName(p)
         if at + step < most:
-            hits = part.join(p, "task_id").filter(layer.effective_p(F.col("p"), na_delete) >= alpha).select("edge_x", "edge_y").distinct().collect()  # edges
+            hits = p.filter(layer.effective_p(F.col("p"), na_delete) >= alpha).select("edge_x", "edge_y").distinct().collect()  # edges
             decided += [(r.edge_x, r.edge_y) for r in hits]
         at, k = at + step, k + 1
     return got
@@ -114,17 +111,18 @@ def _stable_level(spark, out, provider, level, alpha, na_delete, keep, waves, tr
     planned, most = sum(each), max(each, default=0)
     if not planned:
         return False
-    plan = layer.layer_plan(spark.createDataFrame(sorted(out.edges), "x int, y int"), level)
-    if len(tested) < len(out.edges):
-        plan = plan.join(spark.createDataFrame(tested, "edge_x int, edge_y int"), ["edge_x", "edge_y"], "left_semi")
-    held = [plan.persist()]
+    edges = spark.createDataFrame(sorted(out.edges), "x int, y int")
+    only = (lambda df: df.join(spark.createDataFrame(tested, "edge_x int, edge_y int"), ["edge_x", "edge_y"], "left_semi")) if len(tested) < len(out.edges) else (lambda df: df)
+    held: list[DataFrame] = []
     try:
         if waves and most > waves[0]:
-            p = _in_waves(plan, provider, alpha, na_delete, waves, most, held)
+            held.append(only(layer.sides(edges, level)).persist())
+            done = _in_waves(held[0], level, provider, alpha, na_delete, waves, most, held)
         else:
-            p = provider(plan).persist()
-            held.append(p)
-        consumed = layer.replay(plan.join(p, "task_id"), alpha, na_delete)
+            plan = only(layer.layer_plan(edges, level)).persist()
+            done = plan.join(provider(plan), "task_id").persist()
+            held += [plan, done]
+        consumed = layer.replay(done, alpha, na_delete)
         if trace:  # written, whatever its size: the provider's matrix may be gone when it is read
             deletes = F.coalesce(F.col("task_id") == F.col("first_hit"), F.lit(False)).alias("deletes")
             kept = consumed.select("level", "task_id", "x", "y", "s", "p", deletes, *record_columns(consumed, "provider", 1))
@@ -132,7 +130,7 @@ def _stable_level(spark, out, provider, level, alpha, na_delete, keep, waves, tr
         rows = layer.edge_outcome(consumed).collect()  # one row an edge
         rows.sort(key=lambda r: (r.x, r.y))
         opens = any(r.opens for r in rows)
-        out.evaluated.append(p.count())
+        out.evaluated.append(done.count())
     finally:
         for df in held:
             df.unpersist()
