@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def workload_stats(tasks: DataFrame) -> DataFrame:
@@ -48,6 +50,22 @@ def safe_runs(settings: Iterable[object], run: Callable[[object], Mapping[str, o
     return rows
 
 
+def safe_map(settings: DataFrame, run: Callable[[Mapping[str, object]], Mapping[str, object]], columns: str) -> DataFrame:
+    """``safe_runs`` on the executors: each row of settings with status, error and the columns that ``run`` gives (as DDL)."""
+    schema = settings.sparkSession.createDataFrame([], f"status string, error string, {columns}").schema
+    names = schema.names
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*settings.schema, *schema))
+    arrow = to_arrow_schema(StructType([*settings.schema, *schema]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            done = [{**d["setting"], **{n: d.get(n) for n in names}} for d in safe_runs(rows, run)]
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+
+    return settings.mapInArrow(work, ddl)
+
+
 def pairwise_runs(runs: DataFrame) -> DataFrame:
     """Pairs i < j of successful runs (rows run_id, status, value) with their difference."""
     ok = runs.filter("status = 'ok'")

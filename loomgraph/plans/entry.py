@@ -79,6 +79,13 @@ def graph(spark: SparkSession, sf: str, k: int = 4) -> DataFrame:
     return both.filter((F.col("x") * 7 + F.col("y") * 3 + F.col("rx") * 5 + F.col("ry")) % k == 0).select("x", "y")
 
 
+def nation_gaps(spark: SparkSession, sf: str, k: int = 4) -> tuple[int, list[tuple[int, int]]]:
+    """The number of nations, and the pairs that the nation graph does not join."""
+    n = _t(spark, sf, "nation").select(F.max("n_nationkey").alias("n")).first().n + 1
+    joined = {(r.x, r.y) for r in graph(spark, sf, k).collect()}  # edges over nations
+    return n, [(x, y) for x in range(n) for y in range(x + 1, n) if (x, y) not in joined]
+
+
 def _g(k: int = 4, name: str = "g") -> str:
     return f"{name} AS (SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE (a.n_nationkey * 7 + b.n_nationkey * 3 + a.n_regionkey * 5 + b.n_regionkey) % {k} = 0)"
 
@@ -358,15 +365,21 @@ def _(spark, sf):
     return rows.select("i", F.col("basis").cast("long").alias("basis"), _r("value").alias("value"))
 
 
-@query("lambda_grid", "SELECT i AS step, round(exp(ln(1e-4) * (1 - i / 24.0) + ln(1e4) * (i / 24.0)), 6) AS smoothing FROM range(25) t(i)")
+@query("lambda_grid", f"WITH {_SUP}, l AS (SELECT i AS step, exp(ln(1e-4) * (1 - i / 24.0) + ln(1e4) * (i / 24.0)) AS lam FROM range(25) t(i)) SELECT step, round(lam, 6) AS smoothing, round(sum(v0 * v0 / (v0 * v0 + lam)), 6) AS freedom FROM m, l GROUP BY step, lam")
 def _(spark, sf):
-    return spark.range(1).select(F.posexplode(splines.lambda_grid_col()).alias("step", "l")).select(F.col("step").cast("long").alias("step"), _r("l").alias("smoothing"))
+    """How much freedom each smoothing parameter leaves to the suppliers' balances."""
+    rows = suppliers(spark, sf).select("v0", F.posexplode(splines.lambda_grid_col()).alias("step", "l"))
+    return rows.groupBy(F.col("step").cast("long").alias("step"), _r("l").alias("smoothing")).agg(_r(F.sum(F.col("v0") * F.col("v0") / (F.col("v0") * F.col("v0") + F.col("l")))).alias("freedom"))
 
 
-@query("penalty_second_difference", "WITH d AS (SELECT r, c, CASE c - r WHEN 0 THEN 1 WHEN 1 THEN -2 WHEN 2 THEN 1 ELSE 0 END AS v FROM range(8) a(r), range(10) b(c)) SELECT x.c AS i, y.c AS j, sum(x.v * y.v)::DOUBLE AS value FROM d x JOIN d y ON x.r = y.r GROUP BY ALL")
+@query("penalty_second_difference", "WITH c AS (SELECT o_orderpriority AS priority, o_orderkey % 10 AS j, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT p.priority, r.j, coalesce(n, 0) AS n FROM (SELECT DISTINCT priority FROM c) p CROSS JOIN range(10) r(j) LEFT JOIN c ON c.priority = p.priority AND c.j = r.j) SELECT x.priority, sum(pow(x.n - 2 * y.n + z.n, 2)) AS roughness FROM b x JOIN b y ON x.priority = y.priority AND y.j = x.j + 1 JOIN b z ON x.priority = z.priority AND z.j = x.j + 2 GROUP BY x.priority")
 def _(spark, sf):
+    """How rough the orders of each priority are over ten classes of keys: a quadratic form of the penalty."""
     p = splines.second_difference_penalty(10)
-    return spark.createDataFrame([(i, j, float(p[i, j])) for i in range(10) for j in range(10)], "i long, j long, value double")
+    penalty = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(10) for j in range(10)], "i int, j int, value double")
+    n = _t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"), (F.col("o_orderkey") % 10).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = n.withColumnsRenamed({"k": "i", "n": "a"}), n.withColumnsRenamed({"k": "j", "n": "b"})
+    return a.join(F.broadcast(penalty), "i").join(b, ["priority", "j"]).groupBy("priority").agg(F.sum(F.col("a") * F.col("value") * F.col("b")).alias("roughness"))  # a hundred numbers
 
 
 # ---- Planning -------------------------------------------------------------------------------
@@ -496,7 +509,8 @@ def _(spark, sf):
 
 @query("skeleton_ptable")
 def _(spark, sf):
-    return search(spark, 8, formula_provider(formula_p), alpha=0.9).tables(spark)["deletions"].select("level", "x", "y", layer.set_key(F.col("s")).alias("s_key"), "p")
+    n, gaps = nation_gaps(spark, sf)
+    return search(spark, n, formula_provider(formula_p), alpha=0.9, gaps=gaps).tables(spark)["deletions"].select("level", "x", "y", layer.set_key(F.col("s")).alias("s_key"), "p")
 
 
 def _discovery(residual: str, method: str, precision_mode: str = "fast"):
@@ -579,12 +593,16 @@ def _(spark, sf):
     return precision.verify(t.select("task_id", "p"), v, 0.2, 0.6931471805599453).select("task_id", "source", "p_final", "independent_before", "independent_after")
 
 
-@query("backend_route", f"WITH modes AS (SELECT unnest(['legacy', 'fast', 'compatible', 'hybrid']) AS mode), n AS (SELECT unnest(range(4)) AS size) SELECT mode, size::INT AS size, CASE WHEN size = 0 THEN 'direct' WHEN mode IN ('legacy', 'compatible') THEN 'tprs_gcv' ELSE 'fast_spline' END AS primary_backend, CASE WHEN mode = 'hybrid' AND size > 0 THEN 'tprs_gcv' END AS verifier_backend, CASE WHEN size > 0 THEN 'linear' END AS fallback_backend FROM modes, n")
+@query("backend_route", f"WITH modes AS (SELECT unnest(['legacy', 'fast', 'compatible', 'hybrid']) AS mode), n AS ({' UNION ALL '.join(f'SELECT {k} AS size, count(*) AS n FROM ({_plan_sql(k)} SELECT task_id FROM plan)' for k in range(4))}) SELECT mode, size::INT AS size, CASE WHEN size = 0 THEN 'direct' WHEN mode IN ('legacy', 'compatible') THEN 'tprs_gcv' ELSE 'fast_spline' END AS primary_backend, CASE WHEN mode = 'hybrid' AND size > 0 THEN 'tprs_gcv' END AS verifier_backend, CASE WHEN size > 0 THEN 'linear' END AS fallback_backend, n AS n_tests FROM modes, n")
 def _(spark, sf):
-    g = analytics.campaign_grid(spark, {"mode": ["legacy", "fast", "compatible", "hybrid"], "size": [0, 1, 2, 3]})
-    s = F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("size").cast("int"))).otherwise(F.array().cast("array<int>"))
-    r = g.select("mode", F.col("size").cast("int").alias("size"), precision.route(F.col("mode"), s).alias("r"))
-    return r.select("mode", "size", F.col("r.primary").alias("primary_backend"), F.col("r.verifier").alias("verifier_backend"), F.col("r.fallback").alias("fallback_backend"))
+    """What fits the tests of each level of the nation graph, by precision."""
+    modes = F.explode(F.array(*map(F.lit, ("legacy", "fast", "compatible", "hybrid"))))
+    plan = None
+    for k in range(4):
+        one = layer.layer_plan(graph(spark, sf), k).select("s")
+        plan = one if plan is None else plan.unionByName(one)
+    r = plan.select(modes.alias("mode"), F.size("s").alias("size"), "s").select("mode", "size", precision.route(F.col("mode"), F.col("s")).alias("r"))
+    return r.groupBy("mode", "size", F.col("r.primary").alias("primary_backend"), F.col("r.verifier").alias("verifier_backend"), F.col("r.fallback").alias("fallback_backend")).agg(F.count(F.lit(1)).alias("n_tests"))
 
 
 @query("layered_hybrid", f"{_replay_sql(1, 0.2, f'(SELECT CASE WHEN abs(ln(greatest(q, 2.2250738585072014e-308) / 0.2)) <= ln(2) + 1e-12 AND w IS NOT NULL THEN w ELSE q END FROM (SELECT {_PSQL} AS q, {_VP} AS w))')} SELECT count(*) AS consumed, sum(CASE WHEN task_id = first_hit THEN 1 ELSE 0 END)::BIGINT AS deleted FROM consumed")
@@ -725,9 +743,14 @@ def _(spark, sf):
     return analytics.tau_select(r).select("tau", "flip_reduction")
 
 
-@query("campaign_grid", "SELECT s AS seed, n, m AS method FROM (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([100, 300]) AS n), (SELECT unnest(['dcc.gamma', 'hsic.gamma']) AS m)")
+@query("campaign_grid", "WITH r AS (SELECT DISTINCT l_returnflag AS flag FROM lineitem), s AS (SELECT DISTINCT l_linestatus AS status FROM lineitem), g AS (SELECT flag, status, n FROM r, s, (SELECT unnest([100, 300]) AS n)) SELECT g.flag, g.status, g.n, count(l_orderkey) AS n_rows FROM g LEFT JOIN lineitem ON l_returnflag = g.flag AND l_linestatus = g.status GROUP BY ALL")
 def _(spark, sf):
-    return analytics.campaign_grid(spark, {"seed": [1, 2, 3], "n": [100, 300], "method": ["dcc.gamma", "hsic.gamma"]}).select(F.col("seed").cast("int").alias("seed"), F.col("n").cast("int").alias("n"), "method")
+    """A campaign over all flags and statuses that line items have, with the rows of each setting."""
+    li = _t(spark, sf, "lineitem")
+    have = li.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+    found = have.collect()  # flags and statuses, some letters each
+    grid = analytics.campaign_grid(spark, {"flag": sorted({r.flag for r in found}), "status": sorted({r.status for r in found}), "n": [100, 300]})
+    return grid.join(have, ["flag", "status"], "left").select("flag", "status", F.col("n").cast("int").alias("n"), F.coalesce("rows", F.lit(0).cast("long")).alias("n_rows"))
 
 
 @query("pairwise_runs", "WITH r AS (SELECT s_suppkey AS run_id, s_acctbal AS value FROM supplier WHERE s_acctbal >= 0) SELECT a.run_id AS i, b.run_id AS j, round(b.value - a.value, 4) + 0.0 AS diff FROM r a JOIN r b ON a.run_id < b.run_id")

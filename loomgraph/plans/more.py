@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import CIConfig, DiscoverConfig, SplineConfig
 from ..functions import splines
+from ..functions.gram import gram
 from ..operators import analytics, graphdiff, layer, patterns, precision, regression
 from ..operators.factors import hsic_lowrank
 from ..operators.moment_splines import spline_residuals
@@ -16,7 +17,7 @@ from ..sources.matrix import read_any, to_numpy
 from ..sources.sinks import write_tables
 from ..sources.staging import shared_folder
 from .discover import discover, kernel_ci_test
-from .entry import FIVE, ORACLES, _BOTH, _GE, _NAT, _ORD, _PSQL, _Q10, _SUP, _g, _k, _large_sql, _perm_sql, _plan_sql, _q, _r, _replay_sql, _seps, _t, _tasks, formula_p, graph, nations, orders, query, suppliers
+from .entry import FIVE, ORACLES, _BOTH, _GE, _NAT, _ORD, _PSQL, _Q10, _SUP, _g, _k, _large_sql, _perm_sql, _plan_sql, _q, _r, _replay_sql, _seps, _t, _tasks, formula_p, graph, nation_gaps, nations, orders, query, suppliers
 from .providers import formula_provider, matrix_provider
 from .residual_tables import residual_table
 from .skeleton import search
@@ -189,9 +190,11 @@ def _(spark, sf):
 
 @query("penalised_solve", f"WITH {_SUP}, f AS (SELECT covar_pop(v1, v0) * count(*) AS sxy, var_pop(v0) * count(*) AS sxx, avg(v0) AS mx, avg(v1) AS my FROM m), l AS (SELECT unnest([0.0, 0.5, 20.0]) AS lam) SELECT lam::DOUBLE AS lam, round(my - mx * sxy / (sxx + lam), 6) + 0.0 AS b0, round(sxy / (sxx + lam), 6) + 0.0 AS b1 FROM f, l")
 def _(spark, sf):
-    d = to_numpy(suppliers(spark, sf), FIVE, ["i"])
-    x = np.column_stack((np.ones(len(d)), d[:, 0]))
-    rows = [(lam, *map(float, fixed_solve(x, d[:, 1], np.diag([0.0, lam]))[0])) for lam in (0.0, 0.5, 20.0)]
+    m = gram(suppliers(spark, sf), ["v0", "v1"], 3, lambda b: np.column_stack((np.ones(len(b)), b.column(0), b.column(1))))
+    # The triangular factor of X'X stands for all rows: a design of two rows with the same products.
+    x = np.linalg.cholesky(m[:2, :2]).T
+    y = np.linalg.solve(x.T, m[:2, 2])
+    rows = [(lam, *map(float, fixed_solve(x, y, np.diag([0.0, lam]))[0])) for lam in (0.0, 0.5, 20.0)]
     out = spark.createDataFrame(rows, "lam double, b0 double, b1 double")
     return out.select("lam", _r("b0").alias("b0"), _r("b1").alias("b1"))
 
@@ -227,13 +230,14 @@ def _level_sql(level: int, alpha: float) -> str:
     g{i + 1} AS (SELECT x, y FROM g{i} EXCEPT SELECT edge_x, edge_y FROM run{i} WHERE deletes)"""
 
 
-_SEARCH = "WITH g0 AS (SELECT a.x, b.y FROM range(8) a(x), range(8) b(y) WHERE a.x < b.y), " + ", ".join(_level_sql(k, 0.9) for k in range(7))
+_SEARCH = f"WITH {_g(4, 'g0')}, " + ", ".join(_level_sql(k, 0.9) for k in range(7))
 _RUNS = " UNION ALL ".join(f"SELECT level, task_id, edge_x, edge_y, x, y, s_key, p, deletes FROM run{k}" for k in range(7))
 
 
 @query("search_trace", f"{_SEARCH} SELECT level, task_id, x, y, s_key, p, deletes FROM ({_RUNS})")
 def _(spark, sf):
-    out = search(spark, 8, formula_provider(formula_p), alpha=0.9, trace=True).ci_results(spark)
+    n, gaps = nation_gaps(spark, sf)
+    out = search(spark, n, formula_provider(formula_p), alpha=0.9, gaps=gaps, trace=True).ci_results(spark)
     return out.select("level", "task_id", "x", "y", layer.set_key(F.col("s")).alias("s_key"), "p", "deletes")
 
 
@@ -242,8 +246,9 @@ ORACLES["skeleton_ptable"] = f"{_SEARCH}, r AS ({_RUNS}), top AS (SELECT level,
 
 @query("search_in_waves", f"{_SEARCH} SELECT x, y, true AS same FROM g3")
 def _(spark, sf):
-    waved = search(spark, 8, formula_provider(formula_p), alpha=0.9, max_size=2, waves=(4, 16))
-    whole = search(spark, 8, formula_provider(formula_p), alpha=0.9, max_size=2)
+    n, gaps = nation_gaps(spark, sf)
+    waved = search(spark, n, formula_provider(formula_p), alpha=0.9, gaps=gaps, max_size=2, waves=(4, 16))
+    whole = search(spark, n, formula_provider(formula_p), alpha=0.9, gaps=gaps, max_size=2)
     same = (waved.sepsets, waved.pmax, waved.levels) == (whole.sepsets, whole.pmax, whole.levels)
     return spark.createDataFrame([(x, y, same) for x, y in sorted(waved.edges)], "x int, y int, same boolean")
 
@@ -335,21 +340,25 @@ def _(spark, sf):
 
 # ---- Precision and failures -------------------------------------------------------------------
 
-_GOLD = [("linear", 0, 1, "", 0.08, None), ("linear", 0, 2, "", 0.001, None), ("linear", 0, 1, "1", 0.2, None), ("linear", 0, 2, "1|3", 0.049, 0.2), ("flip", 1, 2, "3", 0.049, 0.2), ("flip", 1, 3, "2", 0.051, 0.001), ("flip", 1, 2, "", 0.001, None), ("flip", 2, 3, "1", 0.2, None), ("flip", 1, 2, "1|3", 0.052, 0.2), ("flip", 2, 3, "2|3", float("nan"), 0.02)]
-_GOLD_SQL = ", ".join(f"('{n}', {i}, {x}, {y}, '{s}', {'''CAST('NaN' AS DOUBLE)''' if p != p else f'{p}::DOUBLE'}, {'NULL' if v is None else v}::DOUBLE)" for i, (n, x, y, s, p, v) in enumerate(_GOLD))
+#: Tests of pairs of a nation and a region, one for each order of the nation's customers: p-values by arithmetic on keys, some not numbers, every third with a second opinion.
+_SNAPSHOTS = """t AS (SELECT o_orderkey AS task_id, c_nationkey AS x, n_regionkey AS y, CAST(o_orderkey % 7 AS VARCHAR) AS s_key,
+    CASE WHEN o_orderkey % 17 = 0 THEN CAST('NaN' AS DOUBLE) ELSE (o_orderkey * 7919 % 1000) / 20000.0::DOUBLE END AS p, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 104729 % 1000) / 10000.0::DOUBLE END AS v
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-@query("golden_replay", f"""WITH t(name, task_id, x, y, s_key, p, v) AS (VALUES {_GOLD_SQL}), n AS (SELECT *, v IS NOT NULL AND (isnan(p) OR abs(ln(greatest(p, 2.2250738585072014e-308) / 0.05)) <= ln(2) + 1e-12) AS used FROM t),
-    f AS (SELECT *, CASE WHEN used THEN v ELSE p END AS q FROM n), h AS (SELECT *, min(CASE WHEN q >= 0.05 THEN task_id END) OVER (PARTITION BY name, x, y) AS hit FROM f), c AS (SELECT * FROM h WHERE hit IS NULL OR task_id <= hit)
-    SELECT name, x, y, bool_or(coalesce(task_id = hit, false)) AS deleted, count(*) AS n_tests, max(CASE WHEN task_id = hit THEN s_key END) AS s_key FROM c GROUP BY name, x, y""")
+@query("golden_replay", f"""WITH {_SNAPSHOTS}, n AS (SELECT *, v IS NOT NULL AND (isnan(p) OR abs(ln(greatest(p, 2.2250738585072014e-308) / 0.05)) <= ln(2) + 1e-12) AS used FROM t),
+    f AS (SELECT *, CASE WHEN used THEN v ELSE p END AS q FROM n), h AS (SELECT *, min(CASE WHEN isnan(q) OR q >= 0.05 THEN task_id END) OVER (PARTITION BY x, y) AS hit FROM f), c AS (SELECT * FROM h WHERE hit IS NULL OR task_id <= hit)
+    SELECT x, y, bool_or(coalesce(task_id = hit, false)) AS deleted, count(*) AS n_tests, max(CASE WHEN task_id = hit THEN s_key END) AS s_key FROM c GROUP BY x, y""")
 def _(spark, sf):
-    rows = [(n, i, x, y, s, p, v) for i, (n, x, y, s, p, v) in enumerate(_GOLD)]
-    t = spark.createDataFrame(rows, "name string, task_id long, x int, y int, s_key string, p double, v double")
+    """Replays of one sequence of tests for each nation."""
+    key = F.col("o_orderkey")
+    p = F.when(key % 17 == 0, F.lit(float("nan"))).otherwise(key * 7919 % 1000 / 20000.0)
+    owned = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    t = owned.select(key.alias("task_id"), F.col("c_nationkey").alias("edge_x"), F.col("n_regionkey").alias("edge_y"), (key % 7).cast("string").alias("s_key"), p.alias("p"), F.when(key % 3 == 0, key * 104729 % 1000 / 10000.0).alias("v"))
     done = precision.verify(t.select("task_id", "p"), t.filter("v is not null").select("task_id", F.col("v").alias("p")), 0.05, float(np.log(2)))
-    tasks = t.select("name", "task_id", "s_key", F.concat_ws(":", "name", "x").alias("edge_x"), "y", "x").withColumn("edge_y", F.col("y")).join(done.select("task_id", F.col("p_final").alias("p")), "task_id")
-    c = layer.replay(tasks, 0.05)
+    c = layer.replay(t.drop("p", "v").join(done.select("task_id", F.col("p_final").alias("p")), "task_id"), 0.05)
     hit = F.col("task_id") == F.col("first_hit")
-    return c.groupBy("name", "x", "y").agg(F.max(F.coalesce(hit, F.lit(False))).alias("deleted"), F.count(F.lit(1)).alias("n_tests"), F.max(F.when(hit, F.col("s_key"))).alias("s_key"))
+    return c.groupBy(F.col("edge_x").alias("x"), F.col("edge_y").alias("y")).agg(F.max(F.coalesce(hit, F.lit(False))).alias("deleted"), F.count(F.lit(1)).alias("n_tests"), F.max(F.when(hit, F.col("s_key"))).alias("s_key"))
 
 
 def _broken_sql(value: str, odd: str) -> str:
@@ -374,22 +383,22 @@ def _(spark, sf):
     return precision.snapshot(layer.replay(_tasks(spark, sf, 1), 0.8))
 
 
-_ENV = "f(family) AS (VALUES ('gaussian'), ('poisson'), (NULL)), l(link) AS (VALUES ('identity'), ('log')), c(formula) AS (VALUES ('full'), ('additive'), ('other')), s(given) AS (SELECT unnest(range(4))), k(penalties) AS (VALUES (1), (2)), w(known) AS (VALUES (true), (false))"
+#: Requests for fits, one for each part.
+_ENV = "g AS (SELECT CASE p_size % 3 WHEN 0 THEN 'gaussian' WHEN 1 THEN 'poisson' END AS family, CASE WHEN p_partkey % 2 = 0 THEN 'identity' ELSE 'log' END AS link, CASE WHEN p_partkey % 5 < 3 THEN 'full' WHEN p_partkey % 5 = 3 THEN 'additive' ELSE 'other' END AS formula, p_size % 4 AS given, CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 1 END AS penalties, p_partkey % 11 <> 0 AS known FROM part)"
 
 
-@query("compatibility_envelope", f"WITH {_ENV}, r AS (SELECT *, list_filter([CASE WHEN NOT known THEN 'version' END, CASE WHEN coalesce(family, '') <> 'gaussian' THEN 'family' END, CASE WHEN link <> 'identity' THEN 'link' END, CASE WHEN formula NOT IN ('full', 'additive') THEN 'formula' END, CASE WHEN given > 2 THEN 'given' END, CASE WHEN penalties <> 1 THEN 'penalties' END], lambda x: x IS NOT NULL) AS failed FROM f, l, c, s, k, w) SELECT family, link, formula, given::BIGINT AS given, penalties::BIGINT AS penalties, known, CASE WHEN len(failed) = 0 THEN 'supported' ELSE 'unsupported' END AS status, CASE WHEN len(failed) = 0 THEN 'run' ELSE 'fall back' END AS action, CASE WHEN len(failed) = 0 THEN 'supported' ELSE 'canary' END AS canary, array_to_string(failed, '|') AS failed FROM r")
+@query("compatibility_envelope", f"WITH {_ENV}, r AS (SELECT list_filter([CASE WHEN NOT known THEN 'version' END, CASE WHEN coalesce(family, '') <> 'gaussian' THEN 'family' END, CASE WHEN link <> 'identity' THEN 'link' END, CASE WHEN formula NOT IN ('full', 'additive') THEN 'formula' END, CASE WHEN given > 2 THEN 'given' END, CASE WHEN penalties <> 1 THEN 'penalties' END], lambda x: x IS NOT NULL) AS failed FROM g) SELECT CASE WHEN len(failed) = 0 THEN 'supported' ELSE 'unsupported' END AS status, CASE WHEN len(failed) = 0 THEN 'run' ELSE 'fall back' END AS action, CASE WHEN len(failed) = 0 THEN 'supported' ELSE 'canary' END AS canary, array_to_string(failed, '|') AS failed, count(*) AS n FROM r GROUP BY ALL")
 def _(spark, sf):
-    g = analytics.campaign_grid(spark, {"family": ["gaussian", "poisson", None], "link": ["identity", "log"], "formula": ["full", "additive", "other"], "given": [0, 1, 2, 3], "penalties": [1, 2], "known": [True, False]})
-    cols = [F.col(c) for c in ("family", "link", "formula", "given", "penalties", "known")]
-    out = g.select("*", precision.envelope(*cols).alias("e"), precision.envelope(*cols, allow_canary=True)["status"].alias("canary"))
-    return out.select(*cols, F.col("e.status").alias("status"), F.col("e.action").alias("action"), "canary", F.array_join("e.failed", "|").alias("failed"))
+    k, z = F.col("p_partkey"), F.col("p_size")
+    cols = [F.when(z % 3 == 0, "gaussian").when(z % 3 == 1, "poisson"), F.when(k % 2 == 0, "identity").otherwise("log"), F.when(k % 5 < 3, "full").when(k % 5 == 3, "additive").otherwise("other"), z % 4, F.when(k % 7 == 0, 2).otherwise(1), k % 11 != 0]
+    out = _t(spark, sf, "part").select(precision.envelope(*cols).alias("e"), precision.envelope(*cols, allow_canary=True)["status"].alias("canary"))
+    return out.groupBy(F.col("e.status").alias("status"), F.col("e.action").alias("action"), "canary", F.array_join("e.failed", "|").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("safe_runs", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n_regionkey = 0 THEN 'ZeroDivisionError' END AS error, CASE WHEN n_regionkey > 0 THEN 60 // n_regionkey END AS value FROM nation")
 def _(spark, sf):
-    rows = _t(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()  # settings of a campaign
-    done = analytics.safe_runs([(int(r.n_nationkey), int(r.n_regionkey)) for r in rows], lambda s: {"value": 60 // s[1]})
-    return spark.createDataFrame([(d["setting"][0], d["status"], d.get("error", "").split(":")[0] or None, d.get("value")) for d in done], "k long, status string, error string, value long")
+    settings = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("r"))
+    return analytics.safe_map(settings, lambda row: {"value": 60 // row["r"]}, "value long").select("k", "status", F.substring_index("error", ":", 1).alias("error"), "value")
 
 
 # ---- Comparison and analytics -----------------------------------------------------------------
