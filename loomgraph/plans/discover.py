@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ from ..operators import precision
 from ..operators.ci import fisher_z, run_test
 from ..operators.residuals import residual
 from ..sources.matrix import descriptor, moments, numeric_columns, to_numpy
-from .orientation import Orientation, orient, unfaithful_triples
-from .providers import Provider, gauss_provider, matrix_provider
+from .orientation import Orientation, orient, orient_in_waves, unfaithful_triples
+from .providers import Provider, gauss_provider, matrix_provider, regression_provider
 from .skeleton import Skeleton, search
 
 
@@ -87,25 +85,18 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, config: Discov
         # The regression step tests residuals against plain columns, with the residuals that the skeleton's tests use.
         ci = cfg.ci if cfg.ci.method != "hsic.clust" else replace(cfg.ci, method="hsic.gamma")
         settings = {"alpha": cfg.alpha, "ci": ci, "backend": backend, "spline": cfg.spline, "rules": cfg.rules, "orient_collider": cfg.orient_collider, "solve_confl": cfg.solve_confl, "unfaithful": odd}
-        bare = replace(found, traced=[])
-        oriented = orient(found, None, **settings) if data is None else on_executor(spark, lambda: orient(bare, data, **settings))
+        if data is None:
+            oriented = orient(found, None, **settings)
+        else:
+            ask = regression_provider(data, ci, backend, cfg.spline)
+            oriented, _ = orient_in_waves(spark, found, ask, **settings)
+            ask.close()
     cache = provider.stats() if hasattr(provider, "stats") else {}
     if data is not None:
         provider.close()
     return Discovery(cfg, names, found, oriented, descriptor(df, cols), cache)
 
 
-def on_executor(spark: SparkSession, f: Callable[[], object]) -> object:
-    """What ``f`` returns in a task: for steps that can't be divided and need more than the driver should do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            pass
-        yield pa.RecordBatch.from_pydict({"out": [pickle.dumps(f())]}, schema=pa.schema([("out", pa.binary())]))
-
-    return pickle.loads(bytes(spark.range(1, numPartitions=1).mapInArrow(run, "out binary").collect()[0].out))
-
-
 def _test_of(data: np.ndarray, cfg: DiscoverConfig) -> Callable[[int, int, tuple[int, ...]], float]:
     def test(x: int, y: int, s: tuple[int, ...]) -> float:
         a, b = (residual(data[:, v], data[:, list(s)], cfg.residual, cfg.spline) if s else data[:, v] for v in (x, y))

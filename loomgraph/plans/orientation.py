@@ -1,16 +1,17 @@
 """Orientation of a skeleton: colliders, rules to a fixpoint, and the regression step.
 
 These steps write one after the other and look at what was written, on a graph of
-at most some hundred nodes; so they run on one p x p array, in one task where
-there are regressions to do (``plans.discover``).  The joins in
-``operators.patterns`` give the same patterns as tables.
+at most some hundred nodes; so they run on one p x p array.  Regressions do not run there:
+``orient_in_waves`` asks for them in waves, as a query, before the sequential step needs them.
+The joins in ``operators.patterns`` give the same patterns as tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -197,8 +198,77 @@ def generalised_step(o: Orientation, rejections: Callable[[int, tuple[int, ...]]
         size += 1
 
 
-def orient(sk: Skeleton, data: np.ndarray | None, *, alpha: float = 0.2, ci: CIConfig = CIConfig(), backend: str = "linear", spline: SplineConfig = SplineConfig(), rules: tuple[bool, bool, bool] = (True, True, True), orient_collider: bool = True, solve_confl: bool = False, unfaithful: frozenset = frozenset()) -> Orientation:
-    """The partially directed graph of a skeleton; without data the regression step is left out."""
+Request = tuple[int, tuple[int, ...], int]
+
+
+class Unknown(Exception):
+    """A regression test whose p-value has not been asked for, with others that may be needed after it."""
+
+    def __init__(self, requests: set[Request]) -> None:
+        super().__init__(f"{len(requests)} tests")
+        self.requests = requests
+
+
+#: Of a node's sets, how many are asked for before it is known that they are needed.
+AHEAD = 64
+
+
+def _requests(g: np.ndarray, v: int, s: Iterable[int]) -> set[Request]:
+    given = tuple(sorted({*s, *(u for u in range(len(g)) if _arrow(g, u, v))}))
+    return {(v, given, m) for m in s}
+
+
+def _ahead(g: np.ndarray) -> set[Request]:
+    """What each node may ask for while the graph stays as it is: its first sets that make no new collider."""
+    out: set[Request] = set()
+    for v in range(len(g)):
+        near = [u for u in range(len(g)) if u != v and _line(g, u, v)]
+        for s in islice((s for s in _subsets(near) if check_immor(g, v, s)), AHEAD):
+            out |= _requests(g, v, s)
+    return out
+
+
+def known_rejections(o: Orientation, known: dict[Request, float], v: int, s: Iterable[int], alpha: float) -> int:
+    """``regression_rejections`` from p-values that are known; what was asked for under other parents has another key and is not used."""
+    wanted = _requests(o.pdag, v, s)
+    if not wanted <= known.keys():
+        raise Unknown((wanted | _ahead(o.pdag)) - known.keys())
+    bad = 0
+    for m in s:
+        given = next(iter(wanted))[1]
+        p = known[v, given, m]
+        o.tests += 1
+        o.trace.append(("regression", v, m, list(s), list(given), float(p), bool(p < alpha)))
+        bad += p < alpha
+    return bad
+
+
+def orient_in_waves(spark: SparkSession, sk: Skeleton, ask: Callable[[DataFrame], DataFrame], **settings) -> tuple[Orientation, list[int]]:
+    """``orient`` with regressions as queries; and how many tests each wave asked for.
+
+    The step runs on what is known until a p-value is missing.  Then one query asks for it and for what
+    the nodes may need while the graph stands as it does, and the step runs anew: so it takes the same
+    decisions in the same order as with tests one by one, whatever the waves held.
+    """
+    known: dict[Request, float] = {}
+    waves: list[int] = []
+    while True:
+        try:
+            return orient(sk, None, known=known, **settings), waves
+        except Unknown as missing:
+            asked = sorted(missing.requests)
+            waves.append(len(asked))
+            tasks = spark.createDataFrame([(i, v, list(given), m) for i, (v, given, m) in enumerate(asked)], "task_id long, target int, s array<int>, other int")
+            for r in ask(tasks).collect():  # one row a request
+                known[asked[r.task_id]] = math.nan if r.p is None else r.p
+
+
+def orient(sk: Skeleton, data: np.ndarray | None, *, alpha: float = 0.2, ci: CIConfig = CIConfig(), backend: str = "linear", spline: SplineConfig = SplineConfig(), rules: tuple[bool, bool, bool] = (True, True, True), orient_collider: bool = True, solve_confl: bool = False, unfaithful: frozenset = frozenset(), known: dict[Request, float] | None = None) -> Orientation:
+    """The partially directed graph of a skeleton.
+
+    The regression step tests one by one on the matrix, or takes p-values from ``known`` (``Unknown`` where
+    one is missing); without both it is left out.
+    """
     o = Orientation(adjacency(sk))
     if not sk.edges:
         return o
@@ -206,10 +276,12 @@ def orient(sk: Skeleton, data: np.ndarray | None, *, alpha: float = 0.2, ci: CIC
     if orient_collider:
         orient_colliders(o, sep, solve_confl, unfaithful)
     apply_rules(o, rules)
-    if data is None:
-        o.note("regression", "skipped", -1, -1, accepted=False, message="there is no matrix to regress on")
-    else:
+    if known is not None:
+        generalised_step(o, lambda v, s: known_rejections(o, known, v, s, alpha), rules)
+    elif data is not None:
         generalised_step(o, lambda v, s: regression_rejections(o, data, v, s, alpha, ci, backend, spline), rules)
+    else:
+        o.note("regression", "skipped", -1, -1, accepted=False, message="there is no matrix to regress on")
     return o
 
 

@@ -117,6 +117,37 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
     return provide
 
 
+def regression_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None) -> Provider:
+    """Tests of a column's residual given a set against another column as it is: rows (task_id, target, s, other) in, (task_id, p) out.
+
+    Tasks are dealt out by set; a worker fits a set once for all its targets.  ``provide.close()`` frees the matrix.
+    """
+    x = np.asarray(data, float)
+    state: dict = {}
+
+    def provide(tasks: DataFrame) -> DataFrame:
+        spark = tasks.sparkSession
+        if not state:
+            state["held"] = spark.sparkContext.broadcast(x)
+        held = state["held"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = held.value
+            sets = _Kept(lambda s: _all_residuals(x, s, backend, spline), lambda r: r.nbytes)
+            for batch in batches:
+                ps = []
+                for v, s, m in zip(*(batch.column(c).to_pylist() for c in ("target", "s", "other")), strict=True):
+                    r = sets.get(tuple(s))[:, v] if s else x[:, v]
+                    ps.append(run_test(r, x[:, m], ci).p_value)
+                yield pa.RecordBatch.from_arrays([batch.column("task_id"), pa.array(ps, pa.float64())], names=["task_id", "p"])
+
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return tasks.repartition(n, F.array_join("s", "|")).mapInArrow(run, "task_id long, p double")
+
+    provide.close = lambda: state.pop("held").destroy() if "held" in state else None
+    return provide
+
+
 def gauss_provider(n: int, corr: np.ndarray) -> Provider:
     """Partial-correlation tests from a correlation matrix: for any number of rows, as only p x p numbers are kept."""
     corr = np.asarray(corr, float)
