@@ -21,7 +21,10 @@ class SplineConfig:
 
 @dataclass(frozen=True)
 class CIConfig:
-    """One conditional-independence test.  ``num_col`` and ``num_cluster`` of None mean a tenth of the rows."""
+    """One conditional-independence test.  ``num_col`` and ``num_cluster`` of None mean a tenth of the rows.
+
+    A test that fails raises, or with ``on_error`` 'na' has no p-value (and ``na_delete`` decides).
+    """
 
     method: str = "dcc.gamma"
     index: float = 1.0
@@ -33,12 +36,15 @@ class CIConfig:
     num_col: int | None = None
     num_cluster: int | None = None
     eps: float = 0.1
+    on_error: str = "raise"
 
     def __post_init__(self) -> None:
         if self.method not in CI_METHODS:
             raise ValueError(f"unknown test {self.method!r}; known: {', '.join(CI_METHODS)}")
         if self.sig <= 0:
             raise ValueError("sig must be positive")
+        if self.on_error not in ("raise", "na"):
+            raise ValueError("on_error is 'raise' or 'na'")
         if self.replicates < 0:
             raise ValueError("replicates must not be negative")
 

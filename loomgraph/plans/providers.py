@@ -89,19 +89,24 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
                     return x[:, target]
                 return sets.get(s)[:, target]
 
+            def one(a: int, b: int, key: tuple[int, ...], cfg: CIConfig) -> TestResult:
+                if ci.method == "hsic.clust" and key:
+                    return run_test(x[:, a], x[:, b], cfg, x[:, list(key)])
+                if ci.method == "gauss":
+                    r = float(np.corrcoef(of(a, key), of(b, key))[0, 1])
+                    return TestResult("gauss", fisher_z(r, len(x), len(key)), r)
+                return paired(parts.get(a, key), parts.get(b, key), cfg)
+
             seen = (sets.asked, sets.made)
             for batch in batches:
                 tests: list[TestResult] = []
                 for t, a, b, s in zip(*(batch.column(c).to_pylist() for c in ("task_id", "x", "y", "s")), strict=True):
-                    key = tuple(sorted(s))
-                    cfg = replace(ci, seed=(ci.seed + 1000003 * t) % 2147483647)
-                    if ci.method == "hsic.clust" and key:
-                        tests.append(run_test(x[:, a], x[:, b], cfg, x[:, list(key)]))
-                    elif ci.method == "gauss":
-                        r = float(np.corrcoef(of(a, key), of(b, key))[0, 1])
-                        tests.append(TestResult("gauss", fisher_z(r, len(x), len(key)), r))
-                    else:
-                        tests.append(paired(parts.get(a, key), parts.get(b, key), cfg))
+                    try:
+                        tests.append(one(a, b, tuple(sorted(s)), replace(ci, seed=(ci.seed + 1000003 * t) % 2147483647)))
+                    except (ValueError, ArithmeticError, np.linalg.LinAlgError, RuntimeError) as e:
+                        if ci.on_error == "raise":
+                            raise
+                        tests.append(TestResult(ci.method, math.nan, reason=str(e)))
                 told = [[r.p_value for r in tests], [r.method for r in tests], *([getattr(r, c) for r in tests] for c in ("statistic", "mean", "variance")), [len(r.replicates) for r in tests]]
                 yield pa.RecordBatch.from_arrays([batch.column("task_id"), *map(pa.array, told, (pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int32()))], names=["task_id", "p", *RECORD])
             asked.add(sets.asked - seen[0])
