@@ -15,8 +15,8 @@ count, so lost or repeated tasks leave no trace.
 The number of buckets grows with the keys, ``BUCKET_KEYS`` for each; staged keys are kept
 by batch, so a batch reads its own alone.
 
-Edge cases: identifiers are integers (others raise a TypeError, as owners are kept as
-numbers); null or empty texts are one empty line; null identifiers order before
+Edge cases: identifiers of any type that can be ordered; owners are kept as numbers, so others
+than integers are numbered first, in their order; null or empty texts are one empty line; null identifiers order before
 all others; rows with the same identifier are one document (all keep an owned
 line); repeated rows are treated alike; empty batches add an empty run; very long
 texts are split where they stand; extra columns are ignored.
@@ -31,11 +31,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
-from .scratch import fresh_path, stage
+from .scratch import fresh_path, free_name, stage
 from .token_tables import _open_fs
 
 _BLANK = " \t\n\x0b\x0c\r"
@@ -169,6 +169,16 @@ class LineStore:
         return {r.bucket: r.file for r in stage(plan.mapInArrow(merge, "bucket int, file string"), "line-compaction").collect()}  # one row a bucket
 
 
+def numbered(ids: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Rows (identifier, number): distinct identifiers, counted in their order by ranges, each behind those of the ranges before it."""
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(ids.filter(F.col(f"`{id_col}`").isNotNull()).distinct().repartitionByRange(n, F.col(f"`{id_col}`")).withColumn("_range", F.spark_partition_id()), "line-ids")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # one row a range
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(f"`{id_col}`"))) - 1
+    return dealt.withColumn("_at", at).join(F.broadcast(first), "_range").select(id_col, (F.col("_first") + F.col("_at")).cast("long").alias(name))  # n rows
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 10, batches: int = 4, buckets: int | None = None) -> DataFrame:
     """Rows (id, text, n_lines, n_dropped): ``docs`` without lines that a smaller identifier holds.
 
@@ -176,12 +186,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``buckets``: of the store; by default as many as keep one within ``BUCKET_KEYS`` keys.
     """
     spark = docs.sparkSession
+    number = id_col
     if not isinstance(docs.schema[id_col].dataType, (IntegralType, NullType)):
-        raise TypeError(f"identifiers are integers, not {docs.schema[id_col].dataType.simpleString()}")
-    cuts = docs.agg(F.percentile_approx(F.col(f"`{id_col}`").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else []
+        number = free_name("number", [id_col, text_col])
+        docs = stage(docs.select(id_col, text_col).join(numbered(docs.select(id_col), id_col, number), id_col, "left"), "line-numbered")
+    cuts = docs.agg(F.percentile_approx(F.col(f"`{number}`").cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else []
     cuts = sorted(set(cuts or []))
     batch = sum(((F.col("doc") > c).cast("int") for c in cuts), F.lit(0))
-    keys = stage(line_keys(docs, id_col=id_col, text_col=text_col, least=least).withColumn("batch", batch), "line-keys", by="batch")
+    keys = stage(line_keys(docs, id_col=number, text_col=text_col, least=least).withColumn("batch", batch), "line-keys", by="batch")
     n_buckets = buckets or max(BUCKETS, -(-keys.count() // BUCKET_KEYS))
     store = LineStore(spark, fresh_path(spark, "line-store"), n_buckets)
     drops = None
@@ -194,7 +206,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumns({"doc": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))), "row_hash": F.xxhash64("text")})
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(F.col(f"`{number}`").cast("long"), F.lit(-(1 << 63))).alias("doc")).withColumn("row_hash", F.xxhash64("text"))
     joined = rows.join(gone, ["doc", "row_hash"], "left").select("id", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ with all others.
 Edge cases: a null text has size ``pad`` and CRC 0; an empty table gives an empty
 result; repeated rows each get a slot of their own; extra columns are ignored
 unless named in ``keep``; rows with a null id come first.  One text larger than
-a shard leaves the shards that it spans empty.
+a shard leaves the shards that it spans empty; where no row has any bytes all are in the first.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def byte_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_co
         dealt.withColumns({"run": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(inside)})
         .join(F.broadcast(offsets), "part")  # n rows
         .withColumns({"start_byte": F.col("bytes_before") + F.col("run") - F.col("size"), "row": F.col("rows_before") + F.col("nth") - 1})
-        .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.expr(f"((2 * start_byte + size) * {shards}) div (2 * total)"))).cast("int"))
+        .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.expr(f"((2 * start_byte + size) * {shards}) div greatest(2 * total, 1)"))).cast("int"))
     )
     first = placed.groupBy("shard").agg(F.min("row").alias("first_row"))
     return placed.join(F.broadcast(first), "shard").select("id", "size", "text_crc32", "start_byte", "shard", (F.col("row") - F.col("first_row")).alias("slot"))  # one row a shard

@@ -503,8 +503,19 @@ def test_line_buckets_grow_with_the_keys(docs, rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "LineStore", lambda *a: made.append(a) or real(*a))
     assert collections.Counter(tuple(r) for r in line_dedup.dedup_lines(docs).collect()) == collections.Counter(_kept_lines(rows, 10))
     assert made[0][2] > 5
-    with pytest.raises(TypeError):
-        line_dedup.dedup_lines(docs.withColumn("doc_id", F.lit("x")))
+
+
+def test_lines_of_string_identifiers(docs, rows):
+    """Their order is that of the strings; here the same as of the numbers."""
+    named = docs.withColumn("doc_id", F.format_string("d%06d", "doc_id")).withColumn("doc_id", F.when(F.col("doc_id") != "dnull", F.col("doc_id")))
+    want = collections.Counter((None if i is None else f"d{i:06d}", *rest) for i, *rest in _kept_lines(rows, 10))
+    assert collections.Counter(tuple(r) for r in line_dedup.dedup_lines(named).collect()) == want
+
+
+def test_shards_without_any_bytes(spark):
+    df = spark.createDataFrame([("a", None), ("b", ""), (None, None)], "doc_id string, text string")
+    got = sharding.byte_shards(df, 4, pad=0).collect()
+    assert sorted((r.shard, r.slot, r.size) for r in got) == [(0, 0, 0), (0, 1, 0), (0, 2, 0)]
 
 
 def test_line_store_levels(spark, docs):
