@@ -98,3 +98,11 @@ def spline_residuals(df: DataFrame, targets: Sequence[str], given: Sequence[str]
         terms = F.zip_with("_basis", F.array(*(F.lit(float(b)) for b in f.beta)), lambda v, b: v * b)
         out = out.withColumn(f"{prefix}{t}", F.col(f"`{t}`") - F.aggregate(terms, F.lit(0.0), lambda a, v: a + v))
     return out.drop("_basis")
+
+
+def projection_floor(df: DataFrame, target: str, columns: Sequence[str]) -> float:
+    """The part of a column's norm that no linear function of others explains, by one aggregate: ``residuals.projection_floor`` of all rows."""
+    m = gram(df, [f"`{c}`" for c in (*columns, target)], len(columns) + 2, lambda b: np.column_stack([np.ones(len(b)), *(b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(b.num_columns))]))
+    beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+    rss = m[-1, -1] - 2 * beta @ m[:-1, -1] + beta @ m[:-1, :-1] @ beta
+    return float(math.sqrt(max(rss, 0.0)) / max(math.sqrt(m[-1, -1]), 1e-300))

@@ -11,7 +11,7 @@ from ..functions import splines
 from ..functions.gram import gram
 from ..operators import analytics, graphdiff, layer, patterns, precision, regression
 from ..operators.factors import hsic_lowrank
-from ..operators.moment_splines import spline_residuals
+from ..operators.moment_splines import projection_floor, spline_residuals
 from ..operators.residuals import fixed_solve
 from ..sources.matrix import read_any, to_numpy
 from ..sources.sinks import write_tables
@@ -188,6 +188,11 @@ def _(spark, sf):
     return out.select("i", _r("resid_v1", 4).alias("resid"))
 
 
+@query("projection_floor_orders", f"WITH {_ORD}, f AS (SELECT regr_slope(v2, v1) AS b, regr_intercept(v2, v1) AS a FROM m) SELECT round(sqrt(sum(pow(v2 - a - b * v1, 2))) / sqrt(sum(v2 * v2)), 6) AS floor FROM m, f")
+def _(spark, sf):
+    return spark.createDataFrame([(round(projection_floor(orders(spark, sf), "v2", ["v1"]), 6),)], "floor double")
+
+
 @query("penalised_solve", f"WITH {_SUP}, f AS (SELECT covar_pop(v1, v0) * count(*) AS sxy, var_pop(v0) * count(*) AS sxx, avg(v0) AS mx, avg(v1) AS my FROM m), l AS (SELECT unnest([0.0, 0.5, 20.0]) AS lam) SELECT lam::DOUBLE AS lam, round(my - mx * sxy / (sxx + lam), 6) + 0.0 AS b0, round(sxy / (sxx + lam), 6) + 0.0 AS b1 FROM f, l")
 def _(spark, sf):
     m = gram(suppliers(spark, sf), ["v0", "v1"], 3, lambda b: np.column_stack((np.ones(len(b)), b.column(0), b.column(1))))
