@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from .kernels import from_totals, permutations, row_totals
+from .smooth import rbf_sums
 
 TILE = 1024
 
@@ -90,7 +91,11 @@ def row_sums(sample: DataFrame, k: Kernel, l: Kernel, tile: int = TILE) -> DataF
 
 
 def centred_sums(sample: DataFrame, k: Kernel, l: Kernel, tile: int = TILE) -> DataFrame:
-    """``kernels.centred_sums`` of two kernels, without a table of pairs."""
+    """``kernels.centred_sums`` of two kernels, without a table of pairs; RBF kernels of one column each need no pairs at all."""
+    if k.kind == l.kind == "rbf" and len(k.columns) == len(l.columns) == 1:
+        smooth = rbf_sums(sample, *k.columns, *l.columns, k.sig, l.sig)
+        if smooth is not None:
+            return smooth
     return from_totals(row_totals(row_sums(sample, k, l, tile)))
 
 
