@@ -32,3 +32,31 @@ def test_rbf_sums_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(tiles, "row_sums", None)
     got = numbers(kernels.hsic_tail(tiles.centred_sums(df, k, l, 32)).first())
     assert np.allclose(got, want, rtol=1e-9) and np.allclose(got, by_tiles, rtol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["hsic.gamma", "hsic.perm"])
+@pytest.mark.parametrize("scale", [(1, 1), (1e4, 1), (1e4, 1e4)])
+def test_large_kernel_parts(monkeypatch, method, scale):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 90)) * np.array(scale)[:, None]
+    cfg = CIConfig(method, replicates=19)
+    want = ci.run_test(x, y, cfg)
+    monkeypatch.setattr(ci, "MATRIX_ROWS", 50)
+    assert ci.prepare(x, cfg).kind == ("smooth" if scale[0] == 1 else "large")
+    got = ci.run_test(x, y, cfg)
+    assert np.allclose(told(got), told(want), rtol=1e-9) and np.allclose(got.replicates, want.replicates, rtol=1e-9)
+
+
+def test_a_full_rank_needs_no_eigenpairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2, 80))
+    y = y + x / 4
+    d = [ci.distances(v[:, None]) for v in (x, y)]
+    (a, u), (b, v) = (ci.top_eigen(k, 80) for k in d)
+    u, v = u - u.mean(0), v - v.mean(0)
+    by_eigenpairs = float(((u.T @ v) ** 2 * np.outer(a, b)).sum()) / 80
+    monkeypatch.setattr(ci, "top_eigen", None)
+    for rows in (8192, 50):
+        monkeypatch.setattr(ci, "MATRIX_ROWS", rows)
+        got, want = ci.dcov_lowrank(x, y, 1000), ci.dcov_gamma(x, y)
+        assert got.method == "dcc.lowrank" and got.statistic == pytest.approx(by_eigenpairs) and np.allclose(told(got), told(want), rtol=1e-9)
