@@ -60,3 +60,25 @@ def test_a_full_rank_needs_no_eigenpairs(monkeypatch):
         monkeypatch.setattr(ci, "MATRIX_ROWS", rows)
         got, want = ci.dcov_lowrank(x, y, 1000), ci.dcov_gamma(x, y)
         assert got.method == "dcc.lowrank" and got.statistic == pytest.approx(by_eigenpairs) and np.allclose(told(got), told(want), rtol=1e-9)
+
+
+def test_factors_read_a_written_sample_once_a_pivot(spark, tmp_path):
+    """Each pivot evaluated the query behind the sample anew."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import factors
+
+    folder = tmp_path / "seen"
+    folder.mkdir()
+
+    @F.udf("double")
+    def seen(v):
+        (folder / uuid.uuid4().hex).touch()
+        return v
+
+    rng = np.random.default_rng(6)
+    df = frame(spark, rng.normal(size=(2, 40)), 1).withColumn("v0", seen.asNondeterministic()("v0"))
+    factors.hsic_lowrank(df, ["v0"], ["v1"], num_col=8)
+    assert len(list(folder.iterdir())) == 40
