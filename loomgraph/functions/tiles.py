@@ -3,14 +3,15 @@
 Rows are dealt into blocks by a hash of their identifier; a task holds the rows of two blocks
 and nothing of the n x n matrices but their tile.  A tile gives each of its rows the sums over
 the rows of the other block, which an aggregate adds up.  Kernels are symmetric, so of two
-blocks one tile is made.  For ``n`` rows there are (n / tile)^2 / 2 tiles, and a row travels
-to n / tile of them: quadratic work, as the statistics ask for, in bounded memory.
+blocks one tile is made, and inside of it matrices of some ``CELLS`` values at a time.  For ``n`` rows in b blocks there
+are b^2 / 2 tiles, and a row travels to b of them: quadratic work, as the statistics ask for, in bounded memory.  Blocks
+have at most ``GROUP`` rows, and there are no more than ``SMALL_BLOCKS`` smaller ones, however small a caller asks for them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,8 @@ from .kernels import from_totals, permutations, row_totals
 from .smooth import rbf_sums
 
 TILE = 1024
+GROUP, SMALL_BLOCKS = 1 << 14, 16
+CELLS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -65,8 +68,19 @@ def _values(t: pa.Table, columns: Sequence[str]) -> np.ndarray:
     return np.column_stack([t[c].to_numpy() for c in columns]).astype(float)
 
 
+def block_count(n: int, tile: int) -> int:
+    return max(1, min(math.ceil(n / tile), max(SMALL_BLOCKS, math.ceil(n / GROUP))))
+
+
 def blocks_of(sample: DataFrame, tile: int) -> int:
-    return max(1, math.ceil(sample.count() / tile))
+    return block_count(sample.count(), tile)
+
+
+def _cells(rows: int, columns: int) -> Iterator[tuple[slice, slice]]:
+    """Parts of a tile that a task holds at a time."""
+    for i in range(0, rows, 128):
+        for j in range(0, columns, CELLS // 128):
+            yield slice(i, i + 128), slice(j, j + CELLS // 128)
 
 
 def row_sums(sample: DataFrame, k: Kernel, l: Kernel, tile: int = TILE) -> DataFrame:
@@ -76,16 +90,21 @@ def row_sums(sample: DataFrame, k: Kernel, l: Kernel, tile: int = TILE) -> DataF
 
     def one(t: pa.Table) -> pa.Table:
         a, b, same = _split(t)
-        km, lm = k.of(_values(a, k.columns), _values(b, k.columns)), l.of(_values(a, l.columns), _values(b, l.columns))
-        sides = [(a, 1)] if same else [(a, 1), (b, 0)]
+        (ka, la), (kb, lb) = ((_values(x, k.columns), _values(x, l.columns)) for x in (a, b))
+        sums = np.zeros((5, len(a))), np.zeros((5, len(b)))
+        for i, j in _cells(len(a), len(b)):
+            km, lm = k.of(ka[i], kb[j]), l.of(la[i], lb[j])
+            for side, axis, at, to in ((0, 1, i, "i"), (1, 0, j, "j"))[: 1 if same else 2]:
+                sums[side][:, at] += km.sum(axis), lm.sum(axis), *(np.einsum(f"ij,ij->{to}", *m) for m in ((km, lm), (km, km), (lm, lm)))
         out = []
-        for rows, axis in sides:
-            cols = {"rk": km.sum(axis), "rl": lm.sum(axis), "kl": (km * lm).sum(axis), "kk": (km * km).sum(axis), "ll": (lm * lm).sum(axis)}
-            # A row and itself lie in the tile of a block with itself, on the diagonal.
-            out.append(pa.table({"i": rows["i"], **cols, "ok": cols["rk"] - (km.diagonal() if same else 0), "ol": cols["rl"] - (lm.diagonal() if same else 0)}))
+        for rows, got in zip((a, b)[: 1 if same else 2], sums, strict=False):
+            # A row and itself lie in the tile of a block with itself: at distance 0, or with a kernel of 1.
+            own = [float(same and of.kind == "rbf") for of in (k, l)]
+            out.append(pa.table({"i": rows["i"], **dict(zip(("rk", "rl", "kl", "kk", "ll"), got, strict=True)), "ok": got[0] - own[0], "ol": got[1] - own[1]}))
         return pa.concat_tables(out)
 
     names = ("rk", "rl", "kl", "kk", "ll", "ok", "ol")
+    sample = stage(sample.select("i", *columns), "tile-sample")  # counted, then dealt out
     made = _tiles(sample, blocks_of(sample, tile), *columns).groupBy("ta", "tb").applyInArrow(one, f"i {kind}, " + ", ".join(f"{c} double" for c in names))
     return made.groupBy("i").agg(*(F.sum(c).alias(c) for c in names))
 
@@ -118,10 +137,13 @@ def permutation_test(sample: DataFrame, k: Kernel, l: Kernel, replicates: int, s
         a, b, same = _split(t)
         if not a.num_rows or not b.num_rows:
             return pa.table({"rep": pa.array([], pa.int32()), "raw": pa.array([], pa.float64())})
-        km = k.of(_values(a, k.columns), _values(b, k.columns)) * (1 if same else 2)
+        ka, kb = _values(a, k.columns), _values(b, k.columns)
         va, vb = (x["v"].combine_chunks() for x in (a, b))
         va, vb = (np.asarray(x.flatten() if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks).flatten()).reshape(len(x), replicates, dims) for x in (va, vb))
-        raw = [float(np.vdot(km, l.of(va[:, r], vb[:, r]))) for r in range(replicates)]
+        raw = np.zeros(replicates)
+        for i, j in _cells(len(a), len(b)):
+            km = k.of(ka[i], kb[j]) * (1 if same else 2)
+            raw += [float(np.vdot(km, l.of(va[i, r], vb[j, r]))) for r in range(replicates)]
         return pa.table({"rep": pa.array(range(replicates), pa.int32()), "raw": raw})
 
     reps = _tiles(wide, blocks_of(sample, tile), *k.columns, "v").groupBy("ta", "tb").applyInArrow(one, "rep int, raw double").groupBy("rep").agg(F.sum("raw").alias("raw")).join(cross, "rep")

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from loomgraph.config import CIConfig
-from loomgraph.functions import kernels, smooth, tiles
-from loomgraph.operators import ci
+from loomgraph.functions import kernels, smooth, sorted_sums, tiles
+from loomgraph.operators import analytics, ci, moment_splines
 
 from .test_large import frame, numbers, told
 
@@ -82,3 +82,30 @@ def test_factors_read_a_written_sample_once_a_pivot(spark, tmp_path):
     df = frame(spark, rng.normal(size=(2, 40)), 1).withColumn("v0", seen.asNondeterministic()("v0"))
     factors.hsic_lowrank(df, ["v0"], ["v1"], num_col=8)
     assert len(list(folder.iterdir())) == 40
+
+
+def test_blocks_and_tiles_do_not_multiply():
+    """Small blocks gave n / 8 partitions for each level, small tiles (n / 16)^2 / 2 tasks and n / 16 copies of each row."""
+    assert [sorted_sums.block_count(n, 8) for n in (0, 20, 1_000, 360_000, 1 << 21)] == [1, 3, 16, 16, 32]
+    assert [tiles.block_count(n, 16) for n in (0, 40, 1_000, 200_000, 360_000)] == [1, 3, 16, 16, 22]
+    assert sorted_sums.block_count(1 << 21) == 32 and tiles.block_count(5_000, 1024) == 5
+
+
+@pytest.mark.parametrize("cells", [128 * 5, 1 << 17])
+def test_tiles_in_cells(spark, monkeypatch, cells):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(3, 300)), 1)
+    k, l = tiles.Kernel(("v0", "v1")), tiles.Kernel(("v2",), "rbf")
+    monkeypatch.setattr(tiles, "CELLS", cells)
+    got = {r.i: [r[c] for c in ("rk", "rl", "kl", "kk", "ll", "ok", "ol")] for r in tiles.row_sums(frame(spark, x), k, l, 140).collect()}
+    a, b = ci.distances(x[:2].T), ci.rbf(x[2][:, None], 1.0)
+    want = np.column_stack((a.sum(1), b.sum(1), (a * b).sum(1), (a * a).sum(1), (b * b).sum(1), a.sum(1), b.sum(1) - 1))
+    assert np.allclose([got[i] for i in range(300)], want, rtol=1e-10)
+
+
+def test_pairs_of_runs_are_made_in_all_tasks(spark):
+    runs = spark.createDataFrame([(i, "ok" if i % 5 else "error", float(i)) for i in range(60)], "run_id long, status string, value double").coalesce(1)
+    out = analytics.pairwise_runs(runs)
+    kept = [i for i in range(60) if i % 5]
+    assert sorted((r.i, r.j, r["diff"]) for r in out.collect()) == [(i, j, float(j - i)) for i in kept for j in kept if i < j]
+    assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
