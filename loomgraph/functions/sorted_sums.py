@@ -25,6 +25,13 @@ from ..sources.staging import stage
 from .kernels import from_totals
 
 BLOCK = 1 << 16
+#: Blocks that a caller may have of fewer rows than ``BLOCK``: a block is a partition, and each level of pairs of blocks a sort.
+SMALL_BLOCKS = 16
+
+
+def block_count(n: int, block: int = BLOCK) -> int:
+    """Blocks for ``n`` rows: of ``block`` rows, as long as these are not many small ones, whose tasks would grow with the rows."""
+    return max(1, min(-(-n // block), max(SMALL_BLOCKS, -(-n // BLOCK))))
 
 
 def range_blocks(df: DataFrame, order: Sequence[str], count: int, name: str) -> DataFrame:
@@ -70,10 +77,11 @@ def concordant_in_block(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def distance_sums(sample: DataFrame, x: str, y: str, block: int = BLOCK) -> DataFrame:
     """``kernels.centred_sums`` of the distances of two columns."""
+    sample = stage(sample.select(F.col(x).alias(x), F.col(y).alias(y)), "distance-rows")
     m = sample.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y")).first()
     mean_x, mean_y = m.x or 0.0, m.y or 0.0
     rows = sample.select((F.col(x) - mean_x).alias("x"), (F.col(y) - mean_y).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    count = -(-max(m.n, 1) // block)
+    count = block_count(m.n, block)
     by_x = range_blocks(rows, ["x", "y"], count, "bx")
     w, wx, wy = F.col("w"), F.col("w") * F.col("x"), F.col("w") * F.col("y")
     t = by_x.agg(F.sum(w).alias("n"), F.sum(wx).alias("sx"), F.sum(wy).alias("sy"), F.sum(wx * F.col("x")).alias("sxx"), F.sum(wy * F.col("y")).alias("syy"), F.sum(wx * F.col("y")).alias("sxy"))
