@@ -1,4 +1,4 @@
-"""Penalised spline residuals of any number of rows: fits need sums of products only, and a residual is a column expression.
+"""Penalised spline residuals of any number of rows: fits need sums of products only, and residuals are made in the tasks.
 
 Knots are exact quantiles by a range-partitioned sort; X'X, X'y and y'y are one aggregate; the
 driver solves for coefficients, and scores smoothing parameters by RSS = y'y - 2 b'X'y + b'X'Xb.
@@ -9,18 +9,19 @@ to rounding.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..config import SplineConfig
 from ..functions.gram import gram
 from ..functions.sorted_sums import exact_quantiles
-from ..functions.splines import additive_col, additive_rows, bump_basis_col, is_flat, lambda_grid, penalty_of, tensor_col, tensor_rows, tents
+from ..functions.splines import additive_rows, lambda_grid, penalty_of, tensor_rows, tents
+from ..sources.staging import stage
 
 
 @dataclass
@@ -58,16 +59,10 @@ def fit_moments(n: float, xtx: np.ndarray, xty: np.ndarray, yty: np.ndarray, pen
     raise RuntimeError("the spline could not be solved")
 
 
-def basis_column(given: Sequence[str], knots: Sequence[Sequence[float]]) -> Column:
-    """A row of the design of a conditioning set, as an array column."""
-
-    def one(c: str, k: Sequence[float]) -> Column:
-        if is_flat(k):
-            return F.array(*(F.lit(float(i == 0)) for i in range(len(k))))
-        return bump_basis_col(F.col(f"`{c}`"), F.array(*(F.lit(float(v)) for v in k)))
-
-    parts = [one(c, k) for c, k in zip(given, knots, strict=True)]
-    return parts[0] if len(parts) == 1 else tensor_col(*parts) if len(parts) == 2 else additive_col(*parts)
+def design_rows(values: Sequence[np.ndarray], knots: Sequence[Sequence[float]]) -> np.ndarray:
+    """Rows of the design of a conditioning set."""
+    bases = [tents(v, np.array(k)) for v, k in zip(values, knots, strict=True)]
+    return bases[0] if len(bases) == 1 else tensor_rows(*bases) if len(bases) == 2 else additive_rows(bases)
 
 
 def spline_fits(df: DataFrame, targets: Sequence[str], given: Sequence[str], cfg: SplineConfig = SplineConfig()) -> tuple[list[MomentFit], list[list[float]]]:
@@ -81,8 +76,7 @@ def spline_fits(df: DataFrame, targets: Sequence[str], given: Sequence[str], cfg
 
     def rows(b: pa.RecordBatch) -> np.ndarray:
         values = [b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(b.num_columns)]
-        bases = [tents(v, np.array(k)) for v, k in zip(values, knots, strict=False)]
-        x = bases[0] if len(bases) == 1 else tensor_rows(*bases) if len(bases) == 2 else additive_rows(bases)
+        x = design_rows(values[: len(given)], knots)
         return np.column_stack((x, *values[len(given) :], np.ones(len(x))))
 
     m = gram(df, [f"`{c}`" for c in (*given, *targets)], width + len(targets) + 1, rows)
@@ -92,12 +86,18 @@ def spline_fits(df: DataFrame, targets: Sequence[str], given: Sequence[str], cfg
 
 def spline_residuals(df: DataFrame, targets: Sequence[str], given: Sequence[str], cfg: SplineConfig = SplineConfig(), prefix: str = "resid_") -> DataFrame:
     """``df`` with a column of residuals for each target; nulls in a column of the set or a target raise in the fit."""
+    df = stage(df, "spline-rows")  # quantiles, sums and residuals read it
     fits, knots = spline_fits(df, targets, given, cfg)
-    out = df.withColumn("_basis", basis_column(given, knots))
-    for t, f in zip(targets, fits, strict=True):
-        terms = F.zip_with("_basis", F.array(*(F.lit(float(b)) for b in f.beta)), lambda v, b: v * b)
-        out = out.withColumn(f"{prefix}{t}", F.col(f"`{t}`") - F.aggregate(terms, F.lit(0.0), lambda a, v: a + v))
-    return out.drop("_basis")
+    beta = np.column_stack([f.beta for f in fits])
+    places = [df.columns.index(c) for c in (*given, *targets)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in places]
+            left = np.column_stack(values[len(given) :]) - design_rows(values[: len(given)], knots) @ beta
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, left.T)], names=[*b.schema.names, *(f"{prefix}{t}" for t in targets)])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(f"{prefix}{t}", T.DoubleType()) for t in targets)]))
 
 
 def projection_floor(df: DataFrame, target: str, columns: Sequence[str]) -> float:

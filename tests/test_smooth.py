@@ -109,3 +109,22 @@ def test_pairs_of_runs_are_made_in_all_tasks(spark):
     kept = [i for i in range(60) if i % 5]
     assert sorted((r.i, r.j, r["diff"]) for r in out.collect()) == [(i, j, float(j - i)) for i in kept for j in kept if i < j]
     assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_splines_read_a_written_sample_once(spark, tmp_path):
+    """Quantiles, sums and residuals each evaluated the query behind the rows anew."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    folder = tmp_path / "seen"
+    folder.mkdir()
+
+    @F.udf("double")
+    def seen(v):
+        (folder / uuid.uuid4().hex).touch()
+        return v
+
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.normal(size=(2, 60)), 1).withColumn("v0", seen.asNondeterministic()("v0"))
+    assert moment_splines.spline_residuals(df, ["v1"], ["v0"]).count() == 60 and len(list(folder.iterdir())) == 60
