@@ -54,24 +54,40 @@ def running_sums(df: DataFrame, block: str, order: Sequence[str], values: dict[s
 
 
 def concordant_in_block(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """The weighted sum of (x_i - x_j)(y_i - y_j) over pairs of rows with x_j < x_i and y_j < y_i, by bits of the rank of y."""
+    """The weighted sum of (x_i - x_j)(y_i - y_j) over pairs of rows with x_j < x_i and y_j < y_i, by bits of the rank of y.
+
+    From the highest bit down, rows stand in groups of equal higher bits and in the order of x inside of them. Ranks are
+    all numbers below n, so a group begins at its smallest rank, and the next bit's order deals each group in two.
+    """
+    n = len(y)
     order = np.lexsort((y, x))
     x, y, w = x[order], y[order], w[order]
-    rank = np.empty(len(y), np.int64)
-    rank[np.argsort(y, kind="stable")] = np.arange(len(y))
-    terms = np.stack((w, w * x, w * y, w * x * y))
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(y, kind="stable")] = np.arange(n)
+    places = np.arange(n)
     total = 0.0
-    for bit in range(int(len(y) - 1).bit_length()):
-        low = (rank >> bit) & 1 == 0
-        group = rank >> (bit + 1)
-        at = np.argsort(group, kind="stable")  # by group, and by x in it
-        sums = np.cumsum(np.where(low, terms, 0.0)[:, at], axis=1)
-        first = np.searchsorted(group[at], group[at])
-        sums = sums - np.where(first > 0, sums[:, first - 1], 0.0)
-        up = ~low[at]
-        xi, yi, wi = x[at][up], y[at][up], w[at][up]
-        c, sx, sy, sxy = sums[:, up]
-        total += float((wi * (xi * yi * c - xi * sy - yi * sx + sxy)).sum())
+    sums = np.zeros((4, n + 1))  # of w, wx, wy, wxy over the rows with a low bit before each place
+    for bit in reversed(range(int(n - 1).bit_length())):
+        up = np.flatnonzero(rank >> bit & 1)
+        low = (rank >> bit & 1) ^ 1
+        wl = w * low
+        for row, terms in zip(sums, (wl, wl * x, wl * y, wl * x * y), strict=True):
+            np.cumsum(terms, out=row[1:])
+        first = rank >> (bit + 1) << (bit + 1)
+        start = first[up]
+        c, sx, sy, sxy = (row[up] - row[start] for row in sums)
+        xi, yi = x[up], y[up]
+        total += float((w[up] * (xi * yi * c - xi * sy - yi * sx + sxy)).sum())
+        before = np.concatenate(([0], np.cumsum(low)))
+        lows = before[:-1] - before[first]  # of the group's, before each place
+        to = first + np.where(low, lows, (1 << bit) + places - first - lows)
+        turned = np.empty((3, n))
+        for row, v in zip(turned, (x, y, w), strict=True):
+            row[to] = v
+        x, y, w = turned
+        moved = np.empty_like(rank)
+        moved[to] = rank
+        rank = moved
     return total
 
 

@@ -128,3 +128,17 @@ def test_splines_read_a_written_sample_once(spark, tmp_path):
     rng = np.random.default_rng(8)
     df = frame(spark, rng.normal(size=(2, 60)), 1).withColumn("v0", seen.asNondeterministic()("v0"))
     assert moment_splines.spline_residuals(df, ["v1"], ["v0"]).count() == 60 and len(list(folder.iterdir())) == 60
+
+
+def test_concordant_sums_sort_once(monkeypatch):
+    """Each bit of the ranks sorted all rows anew."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 37, 64, 300):
+        x, y, w = rng.integers(0, 40, n) / 8, rng.normal(size=n), rng.integers(1, 4, n).astype(float)
+        up = (x[:, None] > x) & (y[:, None] > y)
+        want = float((np.outer(w, w) * (x[:, None] - x) * (y[:, None] - y) * up).sum())
+        calls, sort = [], np.argsort
+        monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+        got = sorted_sums.concordant_in_block(x, y, w)
+        monkeypatch.undo()
+        assert got == pytest.approx(want) and len(calls) == 1
