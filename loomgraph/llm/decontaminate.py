@@ -9,8 +9,7 @@ with m equal words in k runs has k - 1 edits at least, so s <= m - k + 1, and m
 neighbouring word pairs of the item are intact in it, s - 1 at least.  Of an item's w
 word pairs, at most w - (s - 1) can be broken; the w - (s - 1) + ``least`` rarest are
 its seeds, and a document that holds fewer than ``least`` of them is no pair.  How
-rare a word pair is, is counted on a sample of the texts: it decides what a search
-costs, never what it finds.  Windows of a document that pass a bounded bit filter of
+rare a word pair is, is counted over all texts.  Windows of a document that pass a bounded bit filter of
 the seeds are possible hits; a join with the seeds settles which are.  The regions of
 a document around an item's seeds are aligned with it.
 
@@ -42,7 +41,6 @@ from .words import PUNCTUATION, SPACE, byte_table, windows, word_hashes
 SEPARATORS = SPACE + PUNCTUATION
 FILTER_BITS, FILTER_MOST = 1 << 22, 1 << 27
 SIZE = 2  # words of a seed; the bound on intact windows above holds for two
-SAMPLE = 8  # one text in so many counts for rarity
 _FOLD = byte_table(SEPARATORS)
 
 
@@ -183,8 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     of_items = stage(tests.mapInArrow(_windows(None, "whole"), f"id {item_type}, part long, h long, pos int"), "leak-items")
     lone = of_items.groupBy("id", "part").count().filter("count = 1")  # items of one or two words
     single = "no" if lone.isEmpty() else "all"
-    sample = texts.filter(F.pmod(F.xxhash64("part", F.lit(11)), F.lit(SAMPLE)) == 0)
-    counts = sample.select("text").mapInArrow(_window_counts(bit_filter(of_items), single), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
+    counts = texts.select("text").mapInArrow(_window_counts(bit_filter(of_items), single), "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
 
     def seeds(key: tuple, t: pa.Table) -> pa.Table:
         n = len(t)

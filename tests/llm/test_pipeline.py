@@ -188,3 +188,17 @@ def test_stages_on_odd_tables(spark):
     assert pipeline.token_tables(spark, docs, DATA).count() == len(texts)
     empty = docs.limit(0)
     assert [f(spark, empty, DATA).count() for _, f in pipeline.STAGES] == [0] * 5
+
+
+def test_rarity_counts_all_texts(spark, monkeypatch):
+    """Word pairs that a text holds are no rare ones, whichever text it is: a sample of texts missed most of them."""
+    seen = []
+    stage = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: seen.append((name, stage(df, name))) or seen[-1][1])
+    words = [f"item{chr(97 + k)}" for k in range(20)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for k in range(3):
+        docs = spark.createDataFrame([(1, " ".join([f"text{k}", *words[:7], "end"]))], "doc_id long, text string")
+        assert decontaminate.contaminated(docs, items).count() == 0
+        seeds = next(df for name, df in reversed(seen) if name == "leak-seeds")
+        assert sorted(r.item_pos for r in seeds.collect()) == list(range(6, 18))
