@@ -12,9 +12,9 @@ character model counts all trigrams of all documents.
 
 Scoring.  Words (restored ones included) and beginnings of words of labelled documents give log odds by
 smoothed document counts; words whose odds are significant (|z| > 4.5) make up a
-table, as large as the bounded sample makes it.  A logistic regression on what a text's words say under that table gives the
-probability.  At most ``sample`` labelled rows, picked by a hash of the identifier,
-are used for fitting (a documented bound); everything else covers all rows.
+table.  A logistic regression on what a text's words say under that table gives the
+probability.  Both learn from every labelled row: counts are aggregates, and each Newton step
+is a pass over the rows' features, whose sums are taken in one order however rows were dealt out.
 
 Edge cases: null and empty texts get the score of a text without words; labels of
 null identifiers or classes are left out, of repeated ones the largest counts;
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,6 +57,8 @@ _SPACED = re.compile(rf"(?<![a-z0-9])[a-z0-9@$!](?:[ ._\-*]{{1,2}}[a-z0-9@$!|*])
 _STEP = re.compile(r"([ ._\-*]{1,2})([a-z0-9@$!|*])")
 _FOLD = byte_table(SPACE + PUNCTUATION)
 CODES, HEADS = 32, (4, 7)
+#: Rows of a bucket of the regression; terms that a task counts before it tells them.
+BUCKET, TERMS = 4096, 400_000
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
@@ -347,22 +349,64 @@ def _word_features(words: list[str], weights: dict[str, float]) -> list[float]:
     return [max(up, default=0.0), math.log1p(sum(up)), math.log1p(len(up)), sum(hits) / math.sqrt(1 + len(words))]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Coefficients, the intercept first, by Newton steps with a ridge on all but the intercept."""
+def _slopes(x: np.ndarray, y: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log likelihood, without the ridge."""
     a = np.column_stack((np.ones(len(x)), x))
-    b = np.zeros(a.shape[1])
-    penalty = np.full(len(b), ridge)
+    p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+    return a.T @ (y - p), (a * (p * (1 - p))[:, None]).T @ a
+
+
+def _newton(slopes: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Coefficients, the intercept first, by Newton steps with a ridge on all but the intercept."""
+    b = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (y - p) - penalty * b
-        move = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), grad)
+        grad, curve = slopes(b)
+        move = np.linalg.solve(curve + np.diag(penalty + 1e-9), grad - penalty * b)
         b += np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-8:
             break
     return b
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """``_newton`` of rows in memory."""
+    return _newton(lambda b: _slopes(x, y, b), x.shape[1] + 1, ridge, steps)
+
+
+def fit_logistic_rows(rows: DataFrame, n: int) -> np.ndarray:
+    """``fit_logistic`` of ``n`` rows (y int, a, b, c, d double): a pass over them for each step.
+
+    Rows meet in buckets by a hash of their values, some ``BUCKET`` in each; a bucket is sorted and kept as one
+    row, and the driver adds up buckets in their order.
+    """
+    columns = ["y", "a", "b", "c", "d"]
+
+    def sort(t: pa.Table) -> pa.Table:
+        made = np.column_stack([t[c].to_numpy() for c in columns]).astype(float)
+        made = made[np.lexsort(made.T)]
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int64()), "v": pa.array([made.ravel()], pa.list_(pa.float64()))})
+
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(-(-n // BUCKET)))
+    held = stage(rows.select(bucket.alias("bucket"), *columns).groupBy("bucket").applyInArrow(sort, "bucket long, v array<double>"), "toxicity-features")
+
+    def slopes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = []
+                for i in range(len(batch)):
+                    v = np.array(batch.column(1)[i].values).reshape(-1, 5)
+                    sums.append(np.concatenate([x.ravel() for x in _slopes(v[:, 1:], v[:, 0], b)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.list_(pa.float64()))], names=["bucket", "s"])
+
+        got = held.mapInArrow(run, "bucket long, s array<double>").collect()  # 30 numbers for each BUCKET rows
+        total = np.sum([r.s for r in sorted(got, key=lambda r: r.bucket)], axis=0)
+        return total[:5], total[5:].reshape(5, 5)
+
+    return _newton(slopes, 5)
+
+
 @dataclass
 class ToxicityModel:
     restorer: Restorer
@@ -374,24 +418,28 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.coef[0] + f @ self.coef[1:], -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on ``docs`` and the rows of ``labels`` (identifier, 0 or 1)."""
     restorer = Restorer.of_counts(trigram_counts(docs, text_col))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    n = known.count()
-    rank = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
-    picked = known.filter(rank < int((1 << 30) * min(1.0, 0.95 * sample / max(n, 1)))) if n > 0.95 * sample else known
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    # `sample` rows of 12 bytes, by construction.
-    rows = stage(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(F.broadcast(picked), "id"), "toxicity-sample")
+    rows = stage(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(known, "id").select("text", "y"), "toxicity-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            words = list(seen[0].keys() | seen[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["w", "n0", "n1"])
+
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y].update(_terms(restorer.words(t)).keys())
-        words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["w", "n0", "n1"])
+                if len(seen[0]) + len(seen[1]) > TERMS:  # the aggregate adds up what a task tells in parts
+                    yield told()
+                    seen[0].clear()
+                    seen[1].clear()
+        yield told()
 
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -402,7 +450,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     expect = (F.col("n0") + F.col("n1")) * (n1 / (n0 + n1))
     z = (F.col("n1") - expect) / F.sqrt(expect + 0.5)
     counted = rows.select("text", "y").mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    telling = counted.select("w", odds.alias("odds"), z.alias("z")).filter(F.abs("z") > 4.5).orderBy(F.abs("z").desc(), "w").collect()  # some hundreds: five toxic texts of the sample hold each
+    telling = counted.select("w", odds.alias("odds"), z.alias("z")).filter(F.abs("z") > 4.5).orderBy(F.abs("z").desc(), "w").collect()  # terms of significant odds
     weights = {r.w: r.odds for r in telling}
     restorer = Restorer(restorer.log_p, frozenset(weights))
 
@@ -411,9 +459,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             f = np.array([_word_features(restorer.words(t), weights) for t in batch.column(0).to_pylist()]).reshape(len(batch), 4)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, i]) for i in range(4))], names=["y", "a", "b", "c", "d"])
 
-    made = np.array([tuple(r) for r in rows.select("text", "y").mapInArrow(measure, "y int, a double, b double, c double, d double").collect()])  # at most `sample` rows
-    made = made[np.lexsort(made.T)]  # sums in one order, however rows were dealt out
-    return ToxicityModel(restorer, weights, fit_logistic(made[:, 1:], made[:, 0]))
+    made = rows.select("text", "y").mapInArrow(measure, "y int, a double, b double, c double, d double")
+    return ToxicityModel(restorer, weights, fit_logistic_rows(made, n0 + n1))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -317,6 +317,31 @@ def test_long_strings_take_linear_time():
         assert time.time() - began < 20, text[:10]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    n = 24_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('plain words ', if(id % 4 = 0, 'grobian', 'kind'), ' w', id % 7) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 8 = 0 or id % 1000 = 1 as int) as toxic")
+    bad = {i for i in range(n) if i % 8 == 0 or i % 1000 == 1}
+    with_word = sum(i % 4 == 0 for i in bad)
+    model = toxicity.fit(docs, labels)
+    want = math.log((with_word + 0.1) / (len(bad) + 1)) - math.log((n / 4 - with_word + 0.1) / (n - len(bad) + 1))
+    assert model.weights["grobian"] == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(toxicity, "TERMS", 3)  # told in parts
+    again = toxicity.fit(docs.repartition(3), labels)
+    assert again.weights == model.weights and (again.coef == model.coef).all()
+
+
+def test_logistic_rows_in_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 4))
+    y = (rng.random(900) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    monkeypatch.setattr(toxicity, "BUCKET", 64)
+    rows = spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y, strict=True)], "y int, a double, b double, c double, d double")
+    got = toxicity.fit_logistic_rows(rows, 900)
+    assert np.allclose(got, toxicity.fit_logistic(x, y), rtol=1e-9)
+    assert (got == toxicity.fit_logistic_rows(rows.repartition(7), 900)).all()
+
+
 @pytest.mark.skipif(not os.path.isdir(FULL), reason="needs the test tables")
 def test_toxicity_finds_held_out_cases(spark):
     from loomgraph.llm.entry import QUERIES
