@@ -71,7 +71,9 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, config: Discov
             provider = gauss_provider(n, corr)
         else:
             data = to_numpy(df, cols, order_by)
-            provider = matrix_provider(data, cfg.ci, backend, cfg.spline)
+            # Where all that counts of a p-value is its side of alpha.
+            decide = None if cfg.trace or cfg.precision == "hybrid" else cfg.alpha
+            provider = matrix_provider(data, cfg.ci, backend, cfg.spline, alpha=decide)
             if cfg.precision == "hybrid":
                 provider = precision.hybrid_provider(provider, matrix_provider(data, cfg.ci, cfg.verifier, cfg.spline), cfg.alpha, cfg.tau)
     # Tests on the matrix are dear, so they go in waves; moments are not worth it.
@@ -88,7 +90,7 @@ def discover(df: DataFrame, columns: Sequence[str] | None = None, config: Discov
         if data is None:
             oriented = orient(found, None, **settings)
         else:
-            ask = regression_provider(data, ci, backend, cfg.spline)
+            ask = regression_provider(data, ci, backend, cfg.spline, alpha=None if cfg.trace else cfg.alpha)
             oriented, _ = orient_in_waves(spark, found, ask, **settings)
             ask.close()
     cache = provider.stats() if hasattr(provider, "stats") else {}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CIConfig, SplineConfig
-from ..operators.ci import TestResult, fisher_z, paired, prepare, run_test
+from ..operators.ci import TestResult, fisher_z, paired, paired_bounded, prepare, prepare_bounded, run_test, settled
 from ..operators.precision import RECORD
 from ..operators.residuals import residuals
 
@@ -45,7 +45,7 @@ class _Kept:
 
 
 #: What a worker keeps between tasks, by provider.
-_WORKER: dict[str, tuple[_Kept, _Kept]] = {}
+_WORKER: dict[str, tuple[_Kept, _Kept, _Kept]] = {}
 
 
 def _all_residuals(x: np.ndarray, s: tuple[int, ...], backend: str, spline: SplineConfig) -> np.ndarray:
@@ -56,7 +56,7 @@ def _all_residuals(x: np.ndarray, s: tuple[int, ...], backend: str, spline: Spli
     return out
 
 
-def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None) -> Provider:
+def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None, alpha: float | None = None) -> Provider:
     """Tests on the matrix, which every executor gets once (its size is checked where it is read).
 
     Tasks are dealt out by conditioning set, and by x where there are fewer sets than tasks to
@@ -64,6 +64,9 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
     columns' together) and makes a residual's part of the test (its distances or kernel) once,
     as far as ``KEPT_BYTES`` hold them.  ``provide.stats()`` tells residuals asked for and fitted, so
     far, and ``provide.close()`` frees the matrix.
+
+    With ``alpha``, p-values count for the side of it that they lie on: tests of ``dcc.lowrank`` on many rows
+    then take eigenpairs only where bounds leave that open, and else tell the p-value of the matrix that is not cut.
     """
     x = np.asarray(data, float)
     p = x.shape[1]
@@ -81,8 +84,8 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
             x = held.value
             if uid not in _WORKER:
                 _WORKER.clear()  # one provider's at a time
-                _WORKER[uid] = (_Kept(lambda s: _all_residuals(x, s, backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: prepare(of(t, s), ci), lambda part: part.matrix.nbytes))
-            sets, parts = _WORKER[uid]
+                _WORKER[uid] = (_Kept(lambda s: _all_residuals(x, s, backend, spline), lambda r: r.nbytes), _Kept(lambda t, s: prepare(of(t, s), ci), lambda part: part.matrix.nbytes), _Kept(lambda t, s: prepare_bounded(of(t, s), ci), lambda part: part.matrix.nbytes if part else 0))
+            sets, parts, bounded = _WORKER[uid]
 
             def of(target: int, s: tuple[int, ...]) -> np.ndarray:
                 if not s:
@@ -95,6 +98,10 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
                 if ci.method == "gauss":
                     r = float(np.corrcoef(of(a, key), of(b, key))[0, 1])
                     return TestResult("gauss", fisher_z(r, len(x), len(key)), r)
+                if alpha is not None and bounded.get(a, key) and bounded.get(b, key):
+                    found = paired_bounded(bounded.get(a, key), bounded.get(b, key))
+                    if settled(found, alpha):
+                        return found
                 return paired(parts.get(a, key), parts.get(b, key), cfg)
 
             seen = (sets.asked, sets.made)
@@ -122,10 +129,11 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
     return provide
 
 
-def regression_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None) -> Provider:
+def regression_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None, alpha: float | None = None) -> Provider:
     """Tests of a column's residual given a set against another column as it is: rows (task_id, target, s, other) in, (task_id, p) out.
 
     Tasks are dealt out by set; a worker fits a set once for all its targets.  ``provide.close()`` frees the matrix.
+    ``alpha``: see ``matrix_provider``.
     """
     x = np.asarray(data, float)
     state: dict = {}
@@ -143,7 +151,9 @@ def regression_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear",
                 ps = []
                 for v, s, m in zip(*(batch.column(c).to_pylist() for c in ("target", "s", "other")), strict=True):
                     r = sets.get(tuple(s))[:, v] if s else x[:, v]
-                    ps.append(run_test(r, x[:, m], ci).p_value)
+                    a, b = (prepare_bounded(v, ci) if alpha is not None else None for v in (r, x[:, m]))
+                    found = paired_bounded(a, b) if a and b else None
+                    ps.append((found if found and settled(found, alpha) else run_test(r, x[:, m], ci)).p_value)
                 yield pa.RecordBatch.from_arrays([batch.column("task_id"), pa.array(ps, pa.float64())], names=["task_id", "p"])
 
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

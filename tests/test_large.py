@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.config import CIConfig, SplineConfig
+from loomgraph.config import CIConfig, DiscoverConfig, SplineConfig
 from loomgraph.functions import kernels, sorted_sums, splines, tiles
 from loomgraph.operators import ci, factors, moment_splines, precision, residuals
+from loomgraph.plans.discover import discover
 
 
 def frame(spark, cols, parts=3):
@@ -184,3 +185,36 @@ def test_designs_without_full_rank():
     twice = np.column_stack((s[:, 0], s[:, 0], s[:, 1]))
     fits = residuals.tprs_gcv_many(ys, twice)
     assert all(np.isfinite(f.residuals).all() and np.isfinite(f.gcv) for f in fits)
+
+
+def test_lowrank_bounds(monkeypatch):
+    """What a cut to a tenth of the eigenpairs leaves out is bounded, and the bounds of p hold its value."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(ci, "EIGEN_ROWS", 100)
+    cfg = CIConfig("dcc.lowrank")
+    n = 600
+    x = rng.normal(size=n)
+    samples = [x, 0.1 * x + rng.normal(size=n), rng.exponential(size=n), rng.standard_t(2, n), np.repeat(rng.normal(size=40), 15), np.round(rng.normal(size=n), 1)]
+    for v in samples:
+        size = np.sort(np.abs(np.linalg.eigvalsh(np.abs(v[:, None] - v))))[::-1]
+        bound = ci.left_out(v, n // 10)
+        assert size[n // 10] <= bound * (1 + 1e-9) + 1e-9 and bound <= 1.6 * size[n // 10 - 3]
+    for a in range(len(samples)):
+        for b in range(a):
+            got = ci.paired_bounded(ci.prepare_bounded(samples[a], cfg), ci.prepare_bounded(samples[b], cfg))
+            want = ci.paired(ci.prepare(samples[a], cfg), ci.prepare(samples[b], cfg), cfg)
+            assert got.bounds[0] - 1e-9 <= want.p_value <= got.bounds[1] + 1e-9 and got.mean == pytest.approx(want.mean)
+    same = ci.paired_bounded(*(ci.prepare_bounded(samples[k], cfg) for k in (4, 4)))
+    assert same.bounds[0] == same.bounds[1]  # nothing is left out
+
+
+def test_lowrank_search_by_bounds(spark):
+    rng = np.random.default_rng(3)
+    n = 3000
+    x = rng.normal(size=n)
+    data = np.column_stack((x, x + rng.normal(size=n), rng.normal(size=n)))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(data)], "i long, a double, b double, c double")
+    cfg = DiscoverConfig(alpha=0.1, max_conditioning_size=1, ci=CIConfig("dcc.lowrank"))
+    out = discover(df, ["a", "b", "c"], cfg, order_by=["i"])
+    p = {(a, b): ci.paired(*(ci.prepare(data[:, k], cfg.ci) for k in (a, b)), cfg.ci).p_value for a, b in ((0, 1), (0, 2), (1, 2))}
+    assert out.found.edges == {k for k, v in p.items() if v < 0.1}
