@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import SplineConfig
+from .radial import leading_radial, thin_plate
+
+#: Distinct places up to which thin plates take all eigenpairs of their matrix.
+EIGEN_PLACES = 2048
 
 
 def quantile_knots(x: np.ndarray, count: int) -> np.ndarray:
@@ -117,11 +121,6 @@ def bump_basis_col(x: Column, knots: Column) -> Column:
 # ---- Thin-plate regression splines -------------------------------------------------------------
 
 
-def _thin_plate(r: np.ndarray, dim: int) -> np.ndarray:
-    """The radial function of second-order thin plates, without its constant factor."""
-    return r**3 / 12 if dim == 1 else np.where(r > 0, r**2 * np.log(np.where(r > 0, r, 1)), 0) / (8 * math.pi)
-
-
 def tprs(columns: Sequence[np.ndarray], k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A centred thin-plate regression basis of rank ``k`` (10 for one variable, 30 for two) and its penalty."""
     z = np.column_stack(columns)
@@ -134,10 +133,13 @@ def tprs(columns: Sequence[np.ndarray], k: int | None = None) -> tuple[np.ndarra
     if k <= poly.shape[1]:
         x = poly[where.ravel()][:, 1:]
         return x - x.mean(0), np.zeros((x.shape[1], x.shape[1]))
-    e = _thin_plate(np.sqrt(((places[:, None, :] - places[None]) ** 2).sum(2)), dim)
-    val, vec = np.linalg.eigh(e)
-    top = np.argsort(-np.abs(val), kind="stable")[:k]
-    u, d = vec[:, top], val[top]
+    if len(places) > EIGEN_PLACES and dim <= 2:
+        d, u = leading_radial(places, k)
+    else:
+        e = thin_plate(np.sqrt(((places[:, None, :] - places[None]) ** 2).sum(2)), dim)
+        val, vec = np.linalg.eigh(e)
+        top = np.argsort(-np.abs(val), kind="stable")[:k]
+        u, d = vec[:, top], val[top]
     # Coefficients of the radial part have no polynomial component.
     q, _ = np.linalg.qr((poly.T @ u).T, mode="complete")
     free = q[:, poly.shape[1] :]

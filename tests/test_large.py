@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.config import CIConfig, DiscoverConfig, SplineConfig
-from loomgraph.functions import kernels, sorted_sums, splines, tiles
+from loomgraph.functions import kernels, radial, sorted_sums, splines, tiles
 from loomgraph.operators import ci, factors, moment_splines, precision, residuals
 from loomgraph.plans.discover import discover
 
@@ -218,3 +218,22 @@ def test_lowrank_search_by_bounds(spark):
     out = discover(df, ["a", "b", "c"], cfg, order_by=["i"])
     p = {(a, b): ci.paired(*(ci.prepare(data[:, k], cfg.ci) for k in (a, b)), cfg.ci).p_value for a, b in ((0, 1), (0, 2), (1, 2))}
     assert out.found.edges == {k for k, v in p.items() if v < 0.1}
+
+
+@pytest.mark.parametrize("kind", ["line", "plane", "near copies"])
+def test_thin_plates_without_the_matrix(monkeypatch, kind):
+    """Leading eigenpairs from products with the matrix are the matrix's, and residuals those of all eigenpairs."""
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(900, 1 if kind == "line" else 2)) * ([1] if kind == "line" else [1, 0.2])
+    if kind == "near copies":
+        z = np.repeat(z[:300], 3, 0) * (1 + 2e-16 * rng.integers(-2, 3, (900, 2)))
+    y = np.column_stack((np.sin(3 * z[:, 0]), z[:, 0] ** 2)) + 0.1 * rng.normal(size=(900, 2))
+    want = residuals.residuals(y, z, "tprs_gcv")
+    monkeypatch.setattr(splines, "EIGEN_PLACES", 100)
+    monkeypatch.setattr(radial, "DENSE", 100)
+    assert np.abs(residuals.residuals(y, z, "tprs_gcv") - want).max() < 1e-5
+    z = np.unique(z - z.mean(0), axis=0)
+    val, vec = radial.leading_radial(z, 10)
+    e = radial.thin_plate(np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)), z.shape[1])
+    size = np.linalg.eigvalsh(e)
+    assert np.allclose(np.sort(np.abs(val)), np.sort(np.abs(size))[-10:], rtol=1e-5) and np.abs(vec.T @ vec - np.eye(10)).max() < 1e-8
