@@ -10,7 +10,7 @@ Tokenizing is by the given tokenizer.  Where its file says that its normalizer a
 splitter never join characters across a space or line feed (``piecewise`` knows which
 steps those are), equal pieces between those have equal IDs wherever they stand: a worker
 keeps the IDs of the pieces that it has met (some ``MEMO`` of them) and encodes only new
-ones.  Any other tokenizer gets whole texts.  ``tests/llm`` holds both against encoding
+ones; of those, words of Latin letters go to the tokenizer's merges at once.  Any other tokenizer gets whole texts.  ``tests/llm`` holds both against encoding
 whole texts.
 
 There are as many tables as shuffle partitions, or more so that none has over some
@@ -43,10 +43,12 @@ from pyspark.sql.types import IntegralType, StringType
 from . import sstable
 from .scratch import CACHES, fresh_path, release_memory, stage
 
-MEMO, MEMO_BASES, SEGMENT = 500_000, 1_000_000, 4_000_000
+MEMO, SEGMENT = 1_000_000, 4_000_000
 _LONGEST = 48
+#: Marks that end no word of a splitter's own (as apostrophes begin some) and stand in no special token.
+_MARKS = ".,;:!?*&%$#\"-"
 _MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("id_type", pa.string())])
-_pieces: dict[tuple[str, int], tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_pieces: dict[tuple[str, int, bool], _Pieces] = {}
 
 CACHES["token_tables"] = lambda: (_pieces.clear(), _tokenizer.cache_clear())
 
@@ -77,26 +79,42 @@ def _segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _learn(new: list[str], known: dict[str, bytes], path: str, width: int) -> None:
-    """Encode strings and remember their IDs."""
-    tok = _tokenizer(path)
-    kind = np.dtype(f"<u{width}")
-    added = tok.get_added_tokens_decoder()
-    special = [x.content for x in added.values()]
-    mark, mark_id = max(((x.content, i) for i, x in added.items()), key=lambda x: x[1], default=("", -1))
-    plain, odd = [], []
-    for p in new:
-        (odd if not mark or len(p) > 2000 or "<" in p and any(s in p for s in special) else plain).append(p)
-    # Many short strings in one call: a special token stands between them, which always ends a piece.
-    chunks = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-    for chunk, got in zip(chunks, tok.encode_batch_fast([mark.join(c) for c in chunks], add_special_tokens=False) if chunks else (), strict=True):
-        ids = np.array(got.ids, np.int64)
-        cuts = np.flatnonzero(ids == mark_id)
-        data = ids.astype(kind).tobytes()
-        starts = [0, *((cuts + 1) * width).tolist()]
-        known.update((p, data[a:b]) for p, a, b in zip(chunk, starts, [*(cuts * width).tolist(), len(data)], strict=True))
-    for p in odd:
-        known[p] = np.array(tok.encode(p, add_special_tokens=False).ids, kind).tobytes()
+#: The characters that stand for bytes in the vocabulary: printable ones for themselves, others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
+
+class _Pieces(dict):
+    """IDs of the pieces between spaces, each encoded when it is met first."""
+
+    def __init__(self, path: str, width: int, folded: bool) -> None:
+        super().__init__()
+        self.tok, self.kind, self.folded = _tokenizer(path), np.dtype(f"<u{width}"), folded
+        self.merge = self.tok.model.tokenize
+        # Words of Latin letters are merged at once, unless a special token could be found in them.
+        self.direct = not any(x.content.isalpha() for x in self.tok.get_added_tokens_decoder().values())
+
+    def _whole(self, p: str) -> bytes:
+        return np.array(self.tok.encode(p, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, p: str) -> bytes:
+        b = p.rstrip(_MARKS) if self.folded and not p[-1:].isalpha() else p
+        if not b.isalpha() or not b.isascii() and max(b) > "\xff":
+            found = self._whole(p) if p else b""
+        elif b is not p and len(b) < len(p):
+            found = self[b] + self[p[len(b) :]]
+        elif self.folded and (low := b.lower()) != b:
+            found = self[low]
+        elif self.direct:
+            shown = b if b.isascii() else b.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
+            found = np.array([t.id for t in self.merge(shown)], self.kind).tobytes()
+        else:
+            found = self._whole(b)
+        if len(p) <= _LONGEST:  # long strings would fill the memory and seldom come again
+            if len(self) >= MEMO:
+                self.clear()
+            self[p] = found
+        return found
 
 
 def encode_texts(texts: list[str], path: str, width: int, folded: bool) -> list[bytes]:
@@ -105,39 +123,10 @@ def encode_texts(texts: list[str], path: str, width: int, folded: bool) -> list[
     ``folded``: the tokenizer lowers case and splits letters from marks, so a word
     of Latin letters with full stops or commas after it has its letters' IDs, then theirs.
     """
-    known, whole = _pieces.setdefault((path, width), ({}, {}))
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    pieces = set().union(*split)
-    fresh = pieces.difference(whole)
-    if len(whole) + len(fresh) > MEMO:
-        whole.clear()
-        fresh = pieces
-    bases, marks = [], []
-    for p in fresh:
-        b, m = p, ""
-        if folded:
-            if p[-1:] in (".", ","):
-                b = p.rstrip(".,")
-            if b.isalpha() and (b.isascii() or max(b) <= "\xff"):
-                m = p[len(b) :]
-                b = b.lower()
-            else:
-                b = p
-        bases.append(b)
-        marks.append(m)
-    need = {*bases, *marks}
-    new = need.difference(known)
-    if len(known) + len(new) > MEMO_BASES:
-        known.clear()
-        new = need
-    _learn(list(new), known, path, width)
-    whole.update((p, known[b] + known[m] if m else known[b]) for p, b, m in zip(fresh, bases, marks, strict=True))
-    get = whole.__getitem__
-    out = [b"".join(map(get, words)) for words in split]
-    for store, of in ((known, new), (whole, fresh)):  # long strings would fill the memory and seldom come again
-        for p in [p for p in of if len(p) > _LONGEST]:
-            del store[p]
-    return out
+    if (path, width, folded) not in _pieces:
+        _pieces[path, width, folded] = _Pieces(path, width, folded)
+    get = _pieces[path, width, folded].__getitem__
+    return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 # Splitters that take letters by themselves, drop white space and never cross it.

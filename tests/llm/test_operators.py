@@ -647,3 +647,17 @@ def test_decontamination_of_short_items(spark):
     items = [(10, "alpha"), (11, "beta, gamma"), (12, "delta eps zeta"), (13, ""), (14, "unseen")]
     got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.id, r.item, r.score, r.start, r.end) for r in got} == {(1, 10, 1, 1, 2), (6, 10, 1, 0, 1), (2, 11, 2, 0, 2), (4, 12, 3, 0, 3), (7, 12, 2, 0, 2)}
+
+
+def test_pieces_of_latin_letters_are_merged_at_once():
+    """Words and the marks behind them have the IDs of the whole text, without a call of the tokenizer for each word."""
+    from loomgraph.llm.entry import tokenizer_path
+
+    path = tokenizer_path()
+    texts = ["ÉTÉ. Straße, µ ª º ÿ Àb", "a..,, x., <s> </s> pad [UNK] it's", "日本 x\ty", "Wort*** ab&&& x$#,. é!? a-b- it's. - *** \"Wort\" s>, &</s>"]
+    pieces = token_tables._Pieces(path, 4, True)
+    plain = pieces.tok
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert token_tables.encode_texts(texts, path, 4, True) == want
+    pieces._whole = None
+    assert pieces["Straße"] == np.array(plain.encode("Straße", add_special_tokens=False).ids, "<u4").tobytes()
