@@ -58,7 +58,7 @@ _STEP = re.compile(r"([ ._\-*]{1,2})([a-z0-9@$!|*])")
 _FOLD = byte_table(SPACE + PUNCTUATION)
 CODES, HEADS = 32, (4, 7)
 #: Rows of a bucket of the regression; terms that a task counts before it tells them.
-BUCKET, TERMS = 4096, 400_000
+BUCKET, TERMS = 4096, 100_000
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[65:91] = np.arange(1, 27)
