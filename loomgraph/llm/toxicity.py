@@ -423,7 +423,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     restorer = Restorer.of_counts(trigram_counts(docs, text_col))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = stage(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(known, "id").select("text", "y"), "toxicity-labelled")
+    # Texts are shuffled once at any size, not only where labels outgrow a broadcast, and stream past the labels unsorted.
+    rows = stage(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(known.hint("shuffle_hash"), "id").select("text", "y"), "toxicity-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())

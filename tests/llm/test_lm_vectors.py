@@ -331,6 +331,20 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert again.weights == model.weights and (again.coef == model.coef).all()
 
 
+def test_toxicity_joins_labels_alike_at_any_size(spark, monkeypatch):
+    plans, real = [], toxicity.stage
+
+    def kept(df, name, *rest):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, *rest)
+
+    monkeypatch.setattr(toxicity, "stage", kept)
+    docs = spark.createDataFrame([(1, "kind"), (2, "foul"), (2, "foul again"), (3, None), (None, "lost")], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 1), (2, 0), (None, 1)], "doc_id long, toxic int"))
+    executed = dict(plans)["toxicity-labelled"]
+    assert "ShuffledHashJoin" in executed and "Broadcast" not in executed  # few labels go the way that many go
+
+
 def test_logistic_rows_in_buckets(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 4))
