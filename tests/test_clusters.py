@@ -4,10 +4,12 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.config import CIConfig
 from loomgraph.functions import clusters
 from loomgraph.operators import ci
+from loomgraph.plans.providers import matrix_provider
 
 
 def plain(z, k, seed, steps=100):
@@ -73,3 +75,15 @@ def test_permutations_inside_clusters_and_their_test():
     assert np.abs(factor @ factor.T - ci.rbf(x, 1.0)).max() < 2e-3
     assert (ci.inchol(x[:150], 1e-4, 70)).shape == (150, 70)
     assert ci.hsic_clust(x[:200], x[:200] + 1, rng.normal(size=200), CIConfig("hsic.clust", replicates=19)).p_value == 0.05
+
+
+def test_cluster_tests_of_one_set_are_dealt_out(spark):
+    tests = [(i, x, y, [4]) for i, (x, y) in enumerate((x, y) for x in range(4) for y in range(4) if x != y)]
+    data = np.random.default_rng(2).normal(size=(60, 5))
+    provide = matrix_provider(data, CIConfig("hsic.clust", replicates=5), partitions=97)
+    got = provide(spark.createDataFrame(tests, "task_id long, x int, y int, s array<int>")).select("task_id", "p", F.spark_partition_id().alias("task")).collect()
+    provide.close()
+    assert len(got) == 12 and len({r.task for r in got}) > 6  # at most 3 where the lesser of x and y decides
+    for r in got[:3]:
+        x, y = tests[r.task_id][1:3]
+        assert r.p == ci.run_test(data[:, x], data[:, y], CIConfig("hsic.clust", replicates=5, seed=(1 + 1000003 * r.task_id) % 2147483647), data[:, [4]]).p_value
