@@ -240,6 +240,52 @@ def test_gains_of_moves_are_exact():
             assert gain[to] == pytest.approx(class_lm.objective(counts(new)) - class_lm.objective(m), abs=1e-9)
 
 
+def test_class_model_never_moves_whole_parts(spark, monkeypatch):
+    """Texts go to their words' classes in slices, and a part's words in a piece of each task, whatever the batches."""
+    rows = prose(7)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    train = F.crc32(F.col("doc_id")) % 10 != 0
+    run = lambda: class_lm.score_documents(df, train=train, classes=8, part_tokens=2000, core_share=130)
+    kept = lambda: sorted((repr(r.id), r.n_tokens, r.base_score, r.score) for r in run().collect())
+    want = kept()
+    staged, real = {}, class_lm.stage
+    monkeypatch.setattr(class_lm, "stage", lambda d, name: staged.setdefault(name, (real(d, name), d))[0])
+    monkeypatch.setattr(class_lm, "SLICE", 64)
+    before = spark.conf.get(class_lm._BATCH)
+    spark.conf.set(class_lm._BATCH, "7")
+    try:
+        assert kept() == want
+    finally:
+        spark.conf.set(class_lm._BATCH, before)
+    assert "CoGroup" not in staged["lm-coded"][1]._jdf.queryExecution().optimizedPlan().toString()
+    per_part = [r["count"] for r in staged["lm-words"][0].groupBy("part").count().collect()]
+    assert per_part and max(per_part) <= 4  # shuffle partitions
+    parts = staged["lm-parts"][0]
+    found = class_lm.spread(parts, lambda: {b"": 1}, np.array([0, 1]), np.array([0, 9])).collect()
+    for p in parts.collect():
+        own = [r for r in found if r.part == p.part]
+        assert [(bytes(r.codes), bytes(r.counts), bytes(r.classes)) for r in own if r.lengths is None] == [(np.int32([0]).tobytes(), np.int64([9]).tobytes(), b"\1")]
+        slices = [r for r in own if r.lengths is not None]
+        assert b"".join(bytes(r.codes) for r in slices) == bytes(p.codes)
+        for name in ("ids", "train", "lengths"):
+            assert [x for r in slices for x in r[name]] == p[name]
+        assert all(sum(r.lengths[:-1]) < 64 for r in slices) and all(4 * sum(r.lengths) == len(r.codes) for r in slices)
+
+
+def test_neighbours_are_dealt_out_by_their_number(spark, monkeypatch):
+    """A partition of the exchange is read as one batch, so it must not grow with the pairs; the classes stay the same."""
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(1, 40, (600, 2))})
+    df = spark.createDataFrame([(a, b, 1 + (a * b) % 5) for a, b in pairs], "prev int, cur int, n long")
+    staged, real = [], class_lm.stage
+    monkeypatch.setattr(class_lm, "stage", lambda d, name: staged.append(d) or real(d, name))
+    want = class_lm.exchange(df, 40, 1, 6, 3)
+    monkeypatch.setattr(class_lm, "NEAR", 64)
+    got = class_lm.exchange(df, 40, 1, 6, 3)
+    assert [d.rdd.getNumPartitions() for d in staged] == [1, 2 * len(pairs) // 64]
+    assert (got[0] == want[0]).all() and got[2] == want[2]
+
+
 def test_class_model_without_training_rows(spark):
     df = spark.createDataFrame([("a", "x y", None, None), ("b", None, None, None)], DOCS)
     got = class_lm.score_documents(df, train=F.lit(False)).collect()
