@@ -25,6 +25,11 @@ Provider = Callable[[DataFrame], DataFrame]
 KEPT_BYTES = 256 << 20
 
 
+def _alone(ci: CIConfig, backend: str) -> bool:
+    """Whether tests are dealt out one by one, in more tasks than run at a time: those of replicates, where residuals cost little beside them."""
+    return ci.method == "dcc.perm" and backend == "linear"
+
+
 class _Kept:
     """A cache of arrays, least recently used first to go; counts requests and makes."""
 
@@ -60,7 +65,7 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
     """Tests on the matrix, which every executor gets once (its size is checked where it is read).
 
     Tasks are dealt out by conditioning set, and by x where there are fewer sets than tasks to
-    run at a time.  A worker fits a set's residuals once (all
+    run at a time; tests of many replicates each alone.  A worker fits a set's residuals once (all
     columns' together) and makes a residual's part of the test (its distances or kernel) once,
     as far as ``KEPT_BYTES`` hold them.  ``provide.stats()`` tells residuals asked for and fitted, so
     far, and ``provide.close()`` frees the matrix.
@@ -124,7 +129,9 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
         pieces = F.element_at(F.array(*(F.lit(max(1, -(-4 * n // math.comb(p, k)))) for k in range(p + 1))), F.size("s") + 1)
         # Tests of hsic.clust share nothing that is dear, so each is dealt out alone.
         by = F.xxhash64("x", "y") if ci.method == "hsic.clust" else F.xxhash64(F.least("x", "y"))
-        return tasks.select("task_id", "x", "y", "s").repartition(n, F.array_join("s", "|"), F.pmod(by, pieces)).mapInArrow(run, "task_id long, p double, " + ", ".join(f"{c} {t}" for c, t in RECORD.items()))
+        tasks = tasks.select("task_id", "x", "y", "s")
+        dealt = tasks.repartition(4 * n, "task_id") if _alone(ci, backend) else tasks.repartition(n, F.array_join("s", "|"), F.pmod(by, pieces))
+        return dealt.mapInArrow(run, "task_id long, p double, " + ", ".join(f"{c} {t}" for c, t in RECORD.items()))
 
     provide.stats = lambda: {"requests": state["asked"].value, "fits": state["made"].value} if state else {"requests": 0, "fits": 0}
     provide.close = lambda: state.pop("held").destroy() if "held" in state else None
@@ -134,7 +141,7 @@ def matrix_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spl
 def regression_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear", spline: SplineConfig = SplineConfig(), partitions: int | None = None, alpha: float | None = None) -> Provider:
     """Tests of a column's residual given a set against another column as it is: rows (task_id, target, s, other) in, (task_id, p) out.
 
-    Tasks are dealt out by set; a worker fits a set once for all its targets.  ``provide.close()`` frees the matrix.
+    Tasks are dealt out by set, or alone where replicates make them dear; a task fits a set once for all its targets.  ``provide.close()`` frees the matrix.
     ``alpha``: see ``matrix_provider``.
     """
     x = np.asarray(data, float)
@@ -159,7 +166,8 @@ def regression_provider(data: np.ndarray, ci: CIConfig, backend: str = "linear",
                 yield pa.RecordBatch.from_arrays([batch.column("task_id"), pa.array(ps, pa.float64())], names=["task_id", "p"])
 
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return tasks.repartition(n, F.array_join("s", "|")).mapInArrow(run, "task_id long, p double")
+        dealt = tasks.repartition(4 * n, "task_id") if _alone(ci, backend) else tasks.repartition(n, F.array_join("s", "|"))
+        return dealt.mapInArrow(run, "task_id long, p double")
 
     provide.close = lambda: state.pop("held").destroy() if "held" in state else None
     return provide

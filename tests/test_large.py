@@ -237,3 +237,58 @@ def test_thin_plates_without_the_matrix(monkeypatch, kind):
     e = radial.thin_plate(np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)), z.shape[1])
     size = np.linalg.eigvalsh(e)
     assert np.allclose(np.sort(np.abs(val)), np.sort(np.abs(size))[-10:], rtol=1e-5) and np.abs(vec.T @ vec - np.eye(10)).max() < 1e-8
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "same", "two", "constant"])
+def test_permuted_distances_need_no_matrix(kind):
+    rng = np.random.default_rng(8)
+    n = 700
+    x = {"two": np.arange(n) % 2, "ties": rng.integers(0, 5, n), "constant": np.zeros(n)}.get(kind, rng.normal(size=n)).astype(float)
+    y = {"two": np.arange(n) // 2 % 2, "ties": rng.integers(0, 4, n), "same": x}.get(kind, rng.normal(size=n)).astype(float)
+    cfg = CIConfig("dcc.perm", replicates=30, seed=5)
+    a, b = (ci.centred(ci.distances(v[:, None])) for v in (x, y))
+    orders = [ci.permutation(n, 5, r) for r in range(30)]
+    want = np.array([np.vdot(a, b[np.ix_(o, o)]) / n for o in orders])
+    got = ci.dcov_perm(x, y, cfg)
+    size = max(np.abs(want).max(), 1e-9)
+    stat = np.vdot(a, b) / n
+    assert np.abs(np.array(got.replicates) - want).max() < 1e-8 * size and abs(got.statistic - stat) < 1e-8 * size
+    assert got.p_value == ((want >= stat - 1e-9 * size).sum() + 1) / 31
+    assert ci.prepare(x, cfg).matrix.nbytes <= 8 * n
+    both = ci.dcov_perm(x, np.column_stack((y, y)), cfg)  # of two columns there is no order
+    assert np.allclose(both.replicates, np.sqrt(2) * want, atol=1e-8 * size)
+
+
+@pytest.mark.parametrize("side", [2, 7, 16, 100])
+def test_concordant_sums_in_a_grid(side):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 15, 64, 101):
+        for y in (rng.normal(size=n), rng.integers(0, 3, n).astype(float), np.arange(n) * 1.0, -np.arange(n) * 1.0):
+            x = np.sort(rng.integers(0, 9, n)) - 4.0
+            rank = np.argsort(np.argsort(y, kind="stable"))
+            want = sum((x[i] - x[j]) * (y[i] - y[j]) for i in range(n) for j in range(i) if y[j] < y[i])
+            assert sorted_sums.concordant_in_grid(x, y, rank, side) == pytest.approx(want, abs=1e-9)
+            assert sorted_sums.PermutedProducts(x, y)() == pytest.approx(sum(abs((x[i] - x[j]) * (y[i] - y[j])) for i in range(n) for j in range(n)), abs=1e-9)
+
+
+def test_numbered_hashes():
+    import hashlib
+
+    from loomgraph.functions.hashes import md5_numbered
+
+    for prefix, n in (("1|0|", 1), ("2147483646|99|", 10_001), ("", 101), ("a" * 60, 12)):
+        want = [hashlib.md5(f"{prefix}{i}".encode()).digest() for i in range(n)]
+        high, low = md5_numbered(prefix, n)
+        assert high.tolist() == [int.from_bytes(d[:8], "big") for d in want] and low.tolist() == [int.from_bytes(d[8:], "big") for d in want]
+
+
+def test_tests_of_replicates_are_dealt_out_one_by_one(spark):
+    """Tests of one set and one x were one task's."""
+    from loomgraph.plans.providers import matrix_provider
+
+    x = np.random.default_rng(10).normal(size=(30, 20))
+    tasks = spark.createDataFrame([(i, 0, i + 1, []) for i in range(16)], "task_id long, x int, y int, s array<int>")
+    ask = matrix_provider(x, CIConfig("dcc.perm", replicates=3), partitions=4)
+    told = ask(tasks).withColumn("part", F.spark_partition_id()).collect()
+    ask.close()
+    assert len(told) == 16 and len({r.part for r in told}) >= 6
